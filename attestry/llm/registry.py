@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from attestry.llm import exact_dedup, mixing, simhash, url_filters
+from attestry.llm import exact_dedup, language_id, mixing, packing, quality, simhash, topk_search, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
+        "op2_topk_search": topk_search.op2_topk_search,
+        "op5_packing": packing.op5_packing,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_url_filters": url_filters.op10_url_filters,
     }
@@ -16,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk_search": topk_search.SQL,
         "op7_mix_sources": mixing.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
         "op10_url_filters": url_filters.SQL,
