@@ -118,7 +118,7 @@ def slots(counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, rows_per_range: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, rows_per_range: int = 4_096) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one end id. Texts of any length are cut into as many pieces as they

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from attestry.llm import exact_dedup, language_id, mixing, packing, quality, simhash, topk_search, url_filters
+from attestry.llm import exact_dedup, language_id, mixing, packing, quality, simhash, substring_dedup, topk_search, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_topk_search": topk_search.op2_topk_search,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op5_packing": packing.op5_packing,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_topk_search": topk_search.SQL,
+        "op3_substring_dedup": substring_dedup.SQL,
         "op7_mix_sources": mixing.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
         "op10_url_filters": url_filters.SQL,
