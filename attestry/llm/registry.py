@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.llm import exact_dedup, language_id, mixing, packing, quality, simhash, substring_dedup, topk_search, url_filters
+from attestry.llm import exact_dedup, language_id, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op2_topk_search": topk_search.op2_topk_search,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_packing": packing.op5_packing,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_mix_sources": mixing.op7_mix_sources,
