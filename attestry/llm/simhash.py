@@ -13,6 +13,7 @@ each row that is not the first of its component.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from math import comb
 
@@ -22,33 +23,42 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import checkpoint, sorted_groups, text_buffer
+from attestry.llm import sketch
+from attestry.llm.common import checkpoint, mix, sorted_groups, text_buffer
 from attestry.llm.components import connected_components
-from attestry.llm.tiles import link
+from attestry.llm.tiles import link, link_wide
 
 #: Fixed values of the contract: words of a shingle, seed of XXH64, differing bits of a link.
 SHINGLE, SEED, RADIUS = 4, 42, 4
 
 
-def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one text, as an unsigned number; no words: zero."""
+def shingle_hashes(text: bytes, words: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of ``words`` words, repeats included; of all words, where these are fewer."""
     told = text.lower().split()  # bytes: A-Z and white space from tab to carriage return only
     if not told:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(told)
-    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     if len(told) <= words:
-        hashes = [xxhash.xxh64_intdigest(flat, seed)]
-    else:
-        starts = np.concatenate(([0], gaps + 1))[: len(told) - words + 1].tolist()
-        ends = np.concatenate((gaps, [len(flat)]))[words - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(flat[a:b], seed) for a, b in zip(starts, ends)]
-    counts, values = np.zeros(64, np.int64), np.array(hashes, "<u8")
-    for at in range(0, len(values), 1 << 16):
-        part = values[at : at + (1 << 16)]
+        return np.array([xxhash.xxh64_intdigest(flat, seed)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+    starts = np.concatenate(([0], gaps + 1))[: len(told) - words + 1].tolist()
+    ends = np.concatenate((gaps, [len(flat)]))[words - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(flat[a:b], seed) for a, b in zip(starts, ends)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half the hashes; of none: zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of one text, as an unsigned number; no words: zero."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(text: Column, words: int = SHINGLE, seed: int = SEED) -> Column:
@@ -121,26 +131,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), words).alias("fp")))
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     members = connected_components(near_links(prints.select("fp"), radius))
-    told = prints.join(members, prints["fp"] == members["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    classes = _classes(rows, prints, "fp", members)
+    return classes.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def wide_print(text: bytes, words: int, seed: int = SEED) -> tuple[int, np.ndarray]:
+    """Number of shingles and a fingerprint of 256 bits, from four mixtures of each shingle's hash."""
+    hashes = shingle_hashes(text, words, seed)
+    return len(hashes), np.array([majority(mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(4)], np.uint64)
+
+
+def wide_prints(text: Column, words: int) -> Column:
+    """A struct of the number of shingles and the fingerprint's 32 bytes; null: zero of both."""
+
+    @F.arrow_udf("n long, wide binary")
+    def of(column: pa.Array) -> pa.Array:
+        raw, at = text_buffer(column)
+        held = raw.tobytes()
+        told = [wide_print(held[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in told], pa.int64()), pa.array([w.tobytes() for _, w in told], pa.binary())], ["n", "wide"])
+
+    return of(text)
+
+
+def similar_links(prints: DataFrame, similarity: float, tile: int = 8192) -> DataFrame:
+    """``(a, b)``: links between rows (name, n, wide) that connect all with the similarity or more.
+
+    A Jaccard similarity s of shingle sets is a share acos(2s / (1 + s)) / pi of differing bits, give
+    or take; the radius allows for a deviation and a quarter of that. Sets this similar have sizes in the
+    ratio s or more, so rows are laid out in classes of size, and tiles only meet those of their own
+    and the neighbouring classes. This compares all rows of like size: the square of a class.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = int(256 * share + 1.25 * math.sqrt(256 * share * (1 - share)))
+    first = int(64 * share + 2.5 * math.sqrt(64 * share * (1 - share)))
+    size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(similarity))).cast("int")
+    rows = prints.select("name", "n", "wide", size_class.alias("c"))
+    salts = {c: -(-n // tile) for c, n in rows.groupBy("c").count().collect()}  # some tens of classes
+    if not salts:
+        return prints.sparkSession.createDataFrame([], "a long, b long")
+    known = F.create_map(*[F.lit(x) for c, n in salts.items() for x in (c, n)])
+    salt = F.pmod(F.xxhash64("name"), F.element_at(known, F.col("c"))).cast("int")
+    mine = rows.withColumn("mine", F.struct(F.col("c").alias("c"), salt.alias("s")))
+    tiles = F.transform(F.array(*[F.col("c") + d for d in (-1, 0, 1)]), lambda c: F.struct(c.alias("c"), F.try_element_at(known, c).alias("salts")))
+    others = F.flatten(F.transform(F.filter(tiles, lambda t: t["salts"].isNotNull()), lambda t: F.transform(F.sequence(F.lit(0), t["salts"] - 1), lambda k: F.struct(t["c"].alias("c"), k.alias("s")))))
+    spread = mine.select("name", "n", "wide", "mine", F.explode(others).alias("other"))
+    placed = spread.select(F.struct(F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).alias("pair"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "name", "n", "wide")
+    placed = placed.select(F.xxhash64("pair").alias("pair"), "side", "name", "n", "wide")
+
+    def compare(batches):
+        for group in sorted_groups(batches, ["pair"]):
+            side = group["side"].to_numpy()
+            wide = np.frombuffer(b"".join(group["wide"].to_pylist()), "<u8").reshape(-1, 4)
+            a, b = link_wide(wide, group["n"].to_numpy(), side, radius, first, similarity)
+            if len(a):
+                names = group["name"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
+
+    return placed.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row for each input row: doc_id, name (of the fingerprint), component_id.
+
+    Documents are linked at ``similarity`` of their word shingles or more. Candidates are the nearest
+    pairs, by 256 bits, that connect what may be similar; their sets of shingles decide.
+    Null and empty texts are alike. Equal fingerprints are one component; nulls as in
+    ``near_duplicates``.
+    """
+    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words).alias("p")).select("doc_id", "p.*", F.xxhash64("p").alias("name")))
+    prints = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide")))
+    links = checkpoint(similar_links(prints.select("name", "n", "wide"), similarity).distinct())
+    return _classes(rows, prints, "name", connected_components(_verified(docs, id_col, text_col, prints, links, words, similarity)))
+
+
+def _verified(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links whose documents' sets of shingles have the similarity. Links of rows without ids go.
+
+    Only texts at the end of a link travel: a sketch of their ids picks them before the join.
+    """
+    ids = prints.select("name", "least")
+    ends = links.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b")
+    needed = checkpoint(ends.select(F.explode(F.array("i", "j")).alias("id")).distinct().where("id is not null"))
+    spark = docs.sparkSession
+    maybe = spark.sparkContext.broadcast(sketch.of_longs(needed.select(F.xxhash64("id").alias("id")), "id"))
+
+    @F.arrow_udf("boolean")
+    def picked(name: pa.Array) -> pa.Array:
+        return pa.array(maybe.value.passes(name.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    @F.arrow_udf("binary")
+    def shingles(column: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes((t.as_py() or "").encode(), words)).tobytes() for t in column], pa.binary())
+
+    @F.arrow_udf("double")
+    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pa.array(out, pa.float64())
+
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(picked(F.xxhash64("id")))
+    texts = some.join(needed, "id").groupBy("id").agg(F.min("text").alias("text"))  # one, where ids repeat
+    sets = checkpoint(texts.select("id", shingles("text").alias("set")))
+    told = ends.join(sets.toDF("i", "x"), "i").join(sets.toDF("j", "y"), "j")
+    return told.where(jaccard("x", "y") >= similarity).select("a", "b")
+
+
+def _classes(rows: DataFrame, prints: DataFrame, name: str, members: DataFrame) -> DataFrame:
+    told = prints.join(members, prints[name] == members["node"], "left").select(name, "least", F.coalesce("component", name).alias("component"))
     ids = told.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = told.join(ids, "component").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(told.join(ids, "component").select(name, "component_id"), name)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, the one with the smallest id, with all its columns.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of similar documents, that with the smallest id, with all columns.
 
-    Of rows that share that id, one stays. Rows without any id form components whose one row stays.
+    Of rows that share that id, one stays; of components without any id, one row stays.
     """
-    rows = near_duplicates(docs, id_col, text_col, words, radius)
-    kept = checkpoint(rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("i"), F.col("fp").alias("p"), "component_id").count())
-    ranked = kept.groupBy("component_id").agg(F.min(F.struct("i", "p")).alias("one"), F.sum("count").alias("n")).select("one.*", "n")
-    several = not ranked.where("n > 1").limit(1).isEmpty()
-    whole = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), words).alias("fp")) if several else docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"))
+    rows = similar_documents(docs, id_col, text_col, words, similarity)
+    least = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = checkpoint(least.groupBy("component_id", F.col("doc_id").alias("i")).agg(F.min("name").alias("p"), F.count("*").alias("n")))
+    several = not kept.where("n > 1 or i is null").limit(1).isEmpty()
+    whole = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"))
     if not several:
-        return whole.join(ranked.select("i"), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi").select("whole.*")
-    stay = whole.join(ranked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("p")), "left_semi")
-    return stay.groupBy("doc_id", "fp").agg(F.first("whole").alias("whole")).select("whole.*")
+        return whole.join(kept.select("i"), F.col("doc_id") == F.col("i"), "left_semi").select("whole.*")
+    named = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"), F.xxhash64(wide_prints(F.col(text_col), words)).alias("name"))
+    stay = named.join(kept, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("name") == F.col("p")), "left_semi")
+    return stay.groupBy("doc_id", "name").agg(F.first("whole").alias("whole")).select("whole.*")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,14 +17,27 @@ class Forest:
             at = up
         return at
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Joins pairs; gives the places of pairs that suffice for it, and close no circle."""
+        place, used = np.arange(len(a)), []
         while True:
             x, y = self.roots(a), self.roots(b)
             apart = x != y
             if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
+                return np.concatenate([np.zeros(0, np.int64), *used])
+            a, b, place = a[apart], b[apart], place[apart]
+            high, first = np.unique(np.maximum(x, y)[apart], return_index=True)  # each root goes below one lesser root
+            self.parent[high] = np.minimum(x, y)[apart][first]
+            used.append(place[first])
+
+
+def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
+    """The places of pairs that make up a spanning forest of least distances."""
+    forest, used = Forest(n), []
+    order = np.argsort(apart, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(apart[order])) + 1):
+        used.append(part[forest.join(a[part], b[part])])
+    return np.concatenate([np.zeros(0, np.int64), *used])
 
 
 def link(prints: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -54,3 +67,35 @@ def link(prints: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray,
     top = forest.roots(np.arange(n))
     moved = np.flatnonzero(top != np.arange(n))
     return prints[moved], prints[top[moved]]
+
+
+def link_wide(prints: np.ndarray, sizes: np.ndarray, side: np.ndarray, radius: int, first: int, ratio: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of 256-bit fingerprints: a spanning forest of those within the radius, nearest first.
+
+    Rows of different sides are compared, or all rows where there is one side only. The first 64 bits
+    of a pair decide whether the others are looked at; the sizes of a pair are in the ratio or more.
+    """
+    counts = np.bitwise_count(prints[:, 0])
+    order = np.lexsort((counts, side))
+    prints, sizes, counts = prints[order], sizes[order], counts[order].astype(int)
+    cut, n, found = int(np.searchsorted(side[order], 1)), len(prints), []
+    left, right = (range(0, n, tile), None) if cut in (0, n) else (range(0, cut, tile), range(cut, n, tile))
+    for i in left:
+        end = min(i + tile, n if right is None else cut)
+        for j in range(i, n, tile) if right is None else right:
+            stop = min(j + tile, n)
+            if counts[j] - counts[end - 1] > first or counts[i] - counts[stop - 1] > first:
+                continue
+            x, y = np.nonzero(np.bitwise_count(prints[i:end, None, 0] ^ prints[None, j:stop, 0]) <= first)
+            x, y = x + i, y + j
+            apart = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=int)
+            near = np.flatnonzero((apart <= radius) & (x != y) & (np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y])))
+            if len(near):
+                x, y, apart = x[near], y[near], apart[near]
+                some = nearest(x, y, apart, n)
+                found.append((x[some], y[some], apart[some]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y, apart = (np.concatenate(z) for z in zip(*found))
+    some = nearest(x, y, apart, n)
+    return order[x[some]], order[y[some]]
