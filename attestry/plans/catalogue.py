@@ -1,19 +1,623 @@
-"""The registered reference-shaped queries and their SQL counterparts."""
+"""The registered queries over the driver's tables, each beside its SQL counterpart.
+
+``QUERIES`` and ``SQL`` share keys; a key without SQL is an operator that SQL cannot express and that
+the tests check against vectors or brute force.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestry.functions import hashing, jsondoc, temporal, terms, text
+from attestry.operators import blobs, chains, keys, patterns, privacy, quads
+from attestry.operators.patterns import Literal, Var
+
+BASE = "urn:vk:"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# --- blobs ---------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS address FROM documents")
+def cas_address(spark, d):
+    return read(spark, d, "documents").select("doc_id", hashing.sha256(F.col("text")).alias("address"))
+
+
+@query("SELECT count(*) AS documents, count(DISTINCT text) AS blobs, sum(n)::BIGINT AS bytes FROM (SELECT text, CASE WHEN row_number() OVER (PARTITION BY text) = 1 THEN octet_length(encode(text)) ELSE 0 END AS n FROM documents)")
+def cas_dedup(spark, d):
+    docs = read(spark, d, "documents").select(hashing.sha256(F.col("text")).alias("hash"), F.octet_length("text").alias("n"))
+    each = docs.groupBy("hash").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    return each.agg(F.sum("c").alias("documents"), F.count("*").alias("blobs"), F.sum("n").alias("bytes"))
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src1' AND text IN (SELECT text FROM documents WHERE source <> 'src1')")
+def cas_semi(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "source", hashing.sha256(F.col("text")).alias("hash"))
+    return blobs.present(docs.where("source = 'src1'"), docs.where("source <> 'src1'")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src1' AND text NOT IN (SELECT text FROM documents WHERE source <> 'src1' AND text IS NOT NULL)")
+def cas_anti(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "source", hashing.sha256(F.col("text")).alias("hash"))
+    return blobs.without(docs.where("source = 'src1'"), docs.where("source <> 'src1'")).select("doc_id")
+
+
+@query("SELECT doc_id, octet_length(encode(text))::INTEGER AS n FROM documents WHERE doc_id % 3 <> 0")
+def cas_lookup(spark, d):
+    """Addresses of all documents against a store of which every third one is missing from the result."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    kept = blobs.store(docs, F.col("text"))
+    wanted = docs.where("doc_id % 3 <> 0").select("doc_id", hashing.sha256(F.col("text")).alias("hash"))
+    return blobs.lookup(wanted, kept).select("doc_id", F.octet_length("bytes").alias("n"))
+
+
+@query("SELECT count(*) AS blobs, count(*) FILTER (WHERE doc_id % 7 = 0) AS corrupted FROM documents")
+def cas_corrupted(spark, d):
+    """Flips a byte of every seventh document and finds just these by their addresses."""
+    docs = read(spark, d, "documents").select("doc_id", hashing.sha256(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("bytes"))
+    bad = docs.withColumn("bytes", F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("bytes"), F.lit(b"!"))).otherwise(F.col("bytes")))
+    return bad.agg(F.count("*").alias("blobs"), F.count_if(~hashing.verify(F.col("hash"), F.col("bytes"))).alias("corrupted"))
+
+
+@query("SELECT text AS hash, count(DISTINCT text) = 1 AS identical, 2 * count(*) AS readings FROM (SELECT 'sha256:' || sha256(text) AS text FROM documents) GROUP BY text")
+def adapter_identity(spark, d):
+    docs = read(spark, d, "documents").select(hashing.sha256(F.col("text")).alias("hash"), F.col("text").cast("binary").alias("bytes"))
+    return blobs.identical(docs.unionByName(docs))
+
+
+# --- statements ----------------------------------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+h AS (SELECT doc_id, i, sha256('salt' || s) AS h FROM s WHERE s <> '')
+SELECT doc_id, sha256(unhex(string_agg(h, '' ORDER BY i))) AS root, count(*) AS statements FROM h GROUP BY doc_id""")
+def statement_index_root(spark, d):
+    return privacy.index_root(privacy.statement_index(read(spark, d, "documents"), "doc_id", "text", F.lit(b"salt")))
+
+
+@query("""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+t AS (SELECT doc_id, unnest(list_filter(l, lambda x: x <> '')) AS statement, generate_subscripts(list_filter(l, lambda x: x <> ''), 1) - 1 AS idx FROM s),
+h AS (SELECT doc_id, idx::INTEGER AS idx, unhex(sha256(unhex('5D534F' || repeat('36', 61)) || encode(statement))) AS i FROM t)
+SELECT doc_id, idx, sha256(unhex('373925' || repeat('5C', 61)) || i) AS tag FROM h""")
+def hmac_tags(spark, d):
+    """Tags under the key ``key``: the SQL has its padded blocks written out."""
+    return privacy.tags(privacy.statement_index(read(spark, d, "documents"), "doc_id", "text", F.lit(b"")), b"key").select("doc_id", "idx", "tag")
+
+
+@query("""
+WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents WHERE source = 'src2'),
+c AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS s FROM documents WHERE source = 'src3')
+SELECT doc_id, count(*) AS found FROM s JOIN c USING (s) WHERE s <> '' GROUP BY doc_id""")
+def dictionary_attack(spark, d):
+    """Statements of one source guessed from the lines of another, through salted digests only."""
+    docs = read(spark, d, "documents")
+    index = privacy.statement_index(docs.where("source = 'src2'"), "doc_id", "text", F.lit(b"pepper"))
+    lines = docs.where("source = 'src3'").select(F.explode(F.split("text", "\n")).alias("statement")).distinct()
+    return privacy.guesses(index.drop("statement"), lines, F.lit(b"pepper")).groupBy("doc_id").agg(F.count("*").alias("found"))
+
+
+@query("""
+WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents),
+t AS (SELECT DISTINCT doc_id, trim(s) AS q FROM s WHERE trim(s) <> '' AND NOT starts_with(trim(s), '#'))
+SELECT doc_id, sha256(string_agg(q, chr(10) ORDER BY q) || chr(10)) AS digest FROM t GROUP BY doc_id""")
+def nquads_serialize(spark, d):
+    told = quads.serialise(quads.quad_set(read(spark, d, "documents"), "text", "doc_id"))
+    return told.select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+def _events(spark, d):
+    events = read(spark, d, "events")
+    return events.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "purchase", "add").otherwise("remove").alias("op"), F.concat(F.lit("user "), F.col("user_id"), F.lit(" at "), F.dayofmonth("ts")).alias("quad"), "user_id")
+
+
+_OPS = "SELECT event_id AS seq, CASE WHEN event_type IN ('signup', 'purchase') THEN 'add' ELSE 'remove' END AS op, 'user ' || user_id || ' at ' || day(ts) AS quad, user_id FROM events"
+
+
+@query(f"""
+WITH o AS ({_OPS}), l AS (SELECT quad, arg_max(op, seq) AS op FROM o GROUP BY quad),
+g AS (SELECT DISTINCT 'user ' || user_id || ' at 1' AS quad FROM events)
+SELECT quad FROM g WHERE quad NOT IN (SELECT quad FROM l) UNION SELECT quad FROM l WHERE op = 'add'""")
+def quad_patch_apply(spark, d):
+    ops = _events(spark, d)
+    given = ops.select(F.concat(F.lit("user "), F.col("user_id"), F.lit(" at 1")).alias("quad"))
+    return quads.apply_patch(given, ops)
+
+
+@query("""
+WITH a AS (SELECT DISTINCT user_id || ':' || event_type AS quad FROM events WHERE day(ts) <= 15),
+b AS (SELECT DISTINCT user_id || ':' || event_type AS quad FROM events WHERE day(ts) > 15)
+SELECT 'remove' AS op, quad FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT 'add', quad FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def quad_diff(spark, d):
+    said = read(spark, d, "events").select(F.concat_ws(":", "user_id", "event_type").alias("quad"), F.dayofmonth("ts").alias("day"))
+    return quads.difference(said.where("day <= 15"), said.where("day > 15"))
+
+
+# --- chains --------------------------------------------------------------------------------------
+
+
+def _manifests(spark, d):
+    """A version chain for each conversation: a turn is a version, its address covers its content.
+
+    Turn 3 of every third conversation is tampered with after the chain was made.
+    """
+    turns = read(spark, d, "conversations")
+    own = F.concat_ws("|", F.lit("m"), "conv_id", "turn", "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = turns.select("conv_id", "turn", "role", hashing.sha256(own).alias("manifest_hash"))
+    rows = rows.select("*", F.lag("manifest_hash").over(w).alias("p"), F.first("manifest_hash").over(w).alias("g"), F.row_number().over(w).alias("n"), F.lag("role").over(w).alias("b"))
+    bad = (F.col("turn") == 3) & (F.col("conv_id") % 3 == 0)
+    chain = F.struct(F.col("p").alias("previous"), F.col("b").alias("previous_branch"), F.col("g").alias("genesis_hash"), (F.col("n") + F.when(bad, 1).otherwise(0)).alias("depth"))
+    return rows.select("manifest_hash", F.col("conv_id").alias("id"), F.col("n").cast("decimal(38,0)").alias("version_n"), F.col("role").alias("branch"), F.when(F.col("p").isNotNull(), chain).alias("chain"), "n")
+
+
+_CHAIN = """
+t AS (SELECT *, row_number() OVER w AS n, max(CASE WHEN turn = 3 AND conv_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn) AS bad,
+        lag(CASE WHEN turn = 3 AND conv_id % 3 = 0 THEN 1 ELSE 0 END) OVER w AS was FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+v AS (SELECT conv_id, n, CASE WHEN n + bad <> (CASE WHEN n = 2 THEN 1 ELSE n - 1 + was END) + 1 THEN 'depth' END AS reason FROM t WHERE n > 1)"""
+
+
+@query(f"WITH {_CHAIN} SELECT conv_id AS id, n, reason FROM v")
+def chain_link_verdict(spark, d):
+    made = _manifests(spark, d)
+    return chains.link_verdicts(made).join(made.select("manifest_hash", "id", "n"), "manifest_hash").select("id", F.col("n").cast("long").alias("n"), "reason")
+
+
+@query("SELECT conv_id AS id, count(*) AS depth FROM conversations GROUP BY conv_id")
+def chain_walk_depth(spark, d):
+    made = _manifests(spark, d)
+    links = made.where("chain is not null").select("manifest_hash", F.col("chain.previous").alias("previous"))
+    way = chains.walk(chains.heads(made), links).groupBy("head").agg(F.max("depth").alias("depth"))
+    return way.join(made.select(F.col("manifest_hash").alias("head"), "id"), "head").select("id", "depth")
+
+
+@query(f"""WITH {_CHAIN}, m AS (SELECT conv_id, max(n) AS most FROM t GROUP BY conv_id)
+SELECT conv_id AS id, bool_and(reason IS NULL) IS NOT FALSE AS valid, arg_max(reason, n) FILTER (WHERE reason IS NOT NULL) AS reason FROM m LEFT JOIN v USING (conv_id) GROUP BY conv_id""")
+def chain_first_failure(spark, d):
+    made = _manifests(spark, d)
+    told = chains.report(made, chains.link_verdicts(made))
+    return told.join(made.select(F.col("manifest_hash").alias("head"), "id"), "head").select("id", "valid", "reason")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, role, text FROM conversations),
+f AS (SELECT conv_id, n, sha256('' || '|' || turn || '|' || role || '|' || text) AS h FROM o WHERE n = 1
+      UNION ALL SELECT o.conv_id, o.n, sha256(f.h || '|' || o.turn || '|' || o.role || '|' || o.text) FROM f JOIN o ON o.conv_id = f.conv_id AND o.n = f.n + 1)
+SELECT conv_id AS id, arg_max(h, n) AS head, max(n) AS depth FROM f GROUP BY conv_id""")
+def chain_fold_head(spark, d):
+    """The head's digest of a chain in which every version covers the one before it."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    told = read(spark, d, "conversations").groupBy("conv_id").agg(rows.alias("r"))
+    fold = F.aggregate("r", F.lit(""), lambda h, r: F.sha2(F.concat_ws("|", h, r["turn"], r["role"], r["text"]), 256))
+    return told.select(F.col("conv_id").alias("id"), fold.alias("head"), F.size("r").cast("long").alias("depth"))
+
+
+@query("SELECT conv_id AS id, max(turn) AS turn FROM conversations GROUP BY conv_id")
+def head_selection(spark, d):
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").cast("decimal(38,0)").alias("version_n"), "turn", F.sha2("text", 256).alias("manifest_hash"))
+    return chains.heads(turns).select("id", "turn")
+
+
+@query("SELECT conv_id AS id, count(DISTINCT sha256(text)) <= 1 AS same, count(*) AS versions FROM conversations GROUP BY conv_id")
+def same_plaintext(spark, d):
+    return chains.same_plaintext(read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.sha2("text", 256).alias("logical_hash")))
+
+
+# --- keys and time -------------------------------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'active' WHEN o_orderstatus = 'F' THEN
+  CASE WHEN TIMESTAMP '1998-06-01' <= least(o_orderdate + INTERVAL 180 DAY, TIMESTAMP '1998-12-01') THEN 'rotated-grace' ELSE 'rotated-expired' END
+  ELSE 'revoked' END AS status,
+  CASE WHEN o_orderstatus = 'P' THEN true WHEN o_orderstatus = 'F' THEN TIMESTAMP '1998-06-01' <= least(o_orderdate + INTERVAL 180 DAY, TIMESTAMP '1998-12-01')
+  ELSE o_orderdate < TIMESTAMP '1997-01-01' END AS valid FROM orders""")
+def key_grace_status(spark, d):
+    orders = read(spark, d, "orders")
+    found = F.when(F.col("o_orderstatus") == "P", "active").when(F.col("o_orderstatus") == "F", "rotated").otherwise("revoked")
+    date = F.col("o_orderdate").cast("timestamp")
+    end = keys.grace_end(date, F.lit("1998-12-01").cast("timestamp"), F.lit("P180D"))
+    told = keys.status(found, date, F.lit("1998-06-01").cast("timestamp"), end, F.lit("1997-01-01").cast("timestamp"))
+    return orders.select("o_orderkey", told["status"].alias("status"), told["valid"].alias("valid"))
+
+
+@query("""
+SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN CASE WHEN ts <= TIMESTAMP '2024-01-15 00:00:00' THEN 'rotated-grace' ELSE 'rotated-expired' END
+  WHEN 2 THEN 'revoked' ELSE 'unknown' END AS status,
+  CASE user_id % 4 WHEN 0 THEN true WHEN 1 THEN ts <= TIMESTAMP '2024-01-15 00:00:00' WHEN 2 THEN ts < TIMESTAMP '2024-01-10 00:00:00' ELSE false END AS valid FROM events""")
+def key_interval_join(spark, d):
+    """Events signed by one of four keys of one key document, judged at their own time."""
+    one = "SELECT 'a' AS authority, array(named_struct('id', 'vk://a#key-0', 'public_key', x'00')) AS active, array(named_struct('id', 'vk://a#key-1', 'public_key', x'01', 'rotated_at', timestamp'2024-01-05', 'verify_until', timestamp'2024-02-20')) AS rotated, array(named_struct('id', 'vk://a#key-2', 'public_key', x'02', 'invalid_after', timestamp'2024-01-10')) AS revoked, named_struct('grace', 'P10D') AS policies"
+    events = read(spark, d, "events").select("event_id", F.lit("a").alias("authority"), F.concat(F.lit("vk://a#key-"), F.col("user_id") % 4).alias("method"), F.col("ts").cast("timestamp").alias("created"))
+    told = keys.statuses(events, keys.flatten(spark.sql(one)), F.col("created"))
+    return told.select("event_id", "key.status", "key.valid")
+
+
+@query("""
+SELECT c_custkey, moment, CASE WHEN moment <= TIMESTAMP '2024-01-11' THEN 'rotated-grace' ELSE 'rotated-expired' END AS status
+FROM customer, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-29', INTERVAL 7 DAY)) t(moment) WHERE c_nationkey = 3""")
+def key_status_sweep(spark, d):
+    one = "SELECT 'a' AS authority, cast(array() AS array<struct<id:string,public_key:binary>>) AS active, array(named_struct('id', 'vk://a#k', 'public_key', x'01', 'rotated_at', timestamp'2024-01-01', 'verify_until', timestamp'2024-02-20')) AS rotated, cast(array() AS array<struct<id:string,public_key:binary,invalid_after:timestamp>>) AS revoked, named_struct('grace', 'P10D') AS policies"
+    signed = read(spark, d, "customer").where("c_nationkey = 3").select("c_custkey", F.lit("a").alias("authority"), F.lit("vk://a#k").alias("method"), F.lit("2024-01-01").cast("timestamp").alias("created"))
+    told = keys.sweep(signed, keys.flatten(spark.sql(one)), "2024-01-01", "2024-01-29", "7 days")
+    return told.select("c_custkey", F.col("at").cast("timestamp_ntz").alias("moment"), "key.status")
+
+
+@query("SELECT event_id, epoch_ms(TIMESTAMP '2024-01-31 00:00:00') > epoch_ms(ts) + (user_id % 20) * 86400000 + 12 * 3600000 AS stale FROM events")
+def custody_stale(spark, d):
+    policy = F.concat(F.lit("P"), F.col("user_id") % 20, F.lit("DT12H"))
+    return read(spark, d, "events").select("event_id", temporal.custody_stale(F.col("ts").cast("timestamp"), policy, F.lit("2024-01-31").cast("timestamp")).alias("stale"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN false ELSE epoch_ms(TIMESTAMP '2024-01-31 00:00:00') - epoch_ms(ts) > (user_id % 3) * 864000000 END AS stale FROM events")
+def key_document_stale(spark, d):
+    most = (F.col("user_id") % 3) * F.lit(864_000_000)
+    return read(spark, d, "events").select("event_id", temporal.document_stale(F.col("ts").cast("timestamp"), most, F.lit("2024-01-31").cast("timestamp")).alias("stale"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 29 DAY, '%Y-%m-%dT00:00:00Z') AS moved, day(last_day(o_orderdate)) AS days, year(o_orderdate) % 4 = 0 AS leap FROM orders")
+def duration_arithmetic(spark, d):
+    stamp = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    year, month = F.year("o_orderdate"), F.month("o_orderdate")
+    return read(spark, d, "orders").select("o_orderkey", temporal.add_duration(stamp, F.lit("P29D")).alias("moved"), temporal.days_in_month(year, month).cast("long").alias("days"), temporal.is_leap_year(year).alias("leap"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN v IS NULL THEN 'missing' WHEN v = '' THEN 'empty' WHEN NOT regexp_full_match(v, '-?[0-9]+') THEN 'not an integer'
+  WHEN starts_with(v, '-') OR v::HUGEINT < 1 THEN 'below 1' END AS reason, CASE WHEN regexp_full_match(v, '[0-9]+') AND v::HUGEINT >= 1 THEN v END AS number
+FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN '1.5' WHEN 2 THEN '-' || o_orderkey WHEN 3 THEN '0' WHEN 4 THEN o_orderkey::VARCHAR END AS v FROM orders)""")
+def version_guard(spark, d):
+    k = F.col("o_orderkey")
+    v = F.when(k % 6 == 0, "").when(k % 6 == 1, "1.5").when(k % 6 == 2, F.concat(F.lit("-"), k)).when(k % 6 == 3, "0").when(k % 6 == 4, k.cast("string"))
+    return read(spark, d, "orders").select("o_orderkey", text.check_version(v)["reason"].alias("reason"), text.version_number(v).cast("string").alias("number"))
+
+
+# --- privacy -------------------------------------------------------------------------------------
+
+_MODES = {"signup": "proof-of-possession", "view": "selective-disclosure", "click": "encrypted", "purchase": "public", "error": "attestation"}
+
+
+def _mode(c):
+    return F.create_map(*[F.lit(x) for pair in _MODES.items() for x in pair])[c]
+
+
+_MODE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MODES.items()) + " END"
+_LEVEL_SQL = "CASE {0} WHEN 'proof-of-possession' THEN 4 WHEN 'selective-disclosure' THEN 3 WHEN 'encrypted' THEN 2 WHEN 'public' THEN 1 END"
+
+
+@query(f"""
+WITH m AS (SELECT user_id, event_id, {_MODE_SQL} AS mode, lag({_MODE_SQL}) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events)
+SELECT event_id, was AS from_mode, mode AS to_mode, coalesce({_LEVEL_SQL.format('was')} >= {_LEVEL_SQL.format('mode')}, true) AS valid FROM m WHERE was <> mode""")
+def mode_transition(spark, d):
+    told = chains.transitions(read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version_n"), _mode(F.col("event_type")).alias("mode")))
+    return told.select(F.col("version_n").alias("event_id"), "from_mode", "to_mode", privacy.transition_valid(F.col("from_mode"), F.col("to_mode")).alias("valid"))
+
+
+@query(f"""
+WITH m AS (SELECT event_id, {_MODE_SQL} AS mode, CASE event_id % 3 WHEN 0 THEN 'application/octet-stream' WHEN 1 THEN 'application/index-delta+json' ELSE 'application/json-patch+json' END AS f,
+  CASE event_id % 2 WHEN 0 THEN -1 ELSE 4 END AS ops, CASE event_id % 5 WHEN 0 THEN 'sha256:x' END AS a FROM events)
+SELECT event_id, CASE mode WHEN 'encrypted' THEN CASE WHEN f <> 'application/octet-stream' THEN 'encrypted deltas are opaque bytes' WHEN ops <> -1 THEN 'encrypted deltas hide their operations'
+  WHEN a IS NOT NULL THEN 'encrypted deltas hide what they apply to' END WHEN 'selective-disclosure' THEN CASE WHEN f <> 'application/index-delta+json' THEN 'disclosure deltas are index deltas' END END AS reason FROM m""")
+def delta_restriction(spark, d):
+    k = F.col("event_id")
+    f = F.when(k % 3 == 0, "application/octet-stream").when(k % 3 == 1, "application/index-delta+json").otherwise("application/json-patch+json")
+    return read(spark, d, "events").select("event_id", privacy.delta_reason(_mode(F.col("event_type")), f, F.when(k % 2 == 0, -1).otherwise(4), F.when(k % 5 == 0, "sha256:x"), "application/index-delta+json").alias("reason"))
+
+
+@query(f"""
+WITH m AS (SELECT event_id, {_MODE_SQL} AS mode, CASE WHEN event_id % 2 = 0 THEN 'p' || event_id END AS p FROM events)
+SELECT event_id, CASE WHEN mode = 'attestation' THEN NULL WHEN mode = 'encrypted' THEN p ELSE 'c' || event_id END AS hash,
+  CASE WHEN mode = 'attestation' THEN 'an attestation has no plaintext' WHEN mode = 'encrypted' AND p IS NULL THEN 'plaintext hash missing' END AS error FROM m""")
+def logical_hash(spark, d):
+    k = F.col("event_id")
+    told = privacy.logical_hash(_mode(F.col("event_type")), F.concat(F.lit("c"), k), F.when(k % 2 == 0, F.concat(F.lit("p"), k)), F.lit(None).cast("string"))
+    return read(spark, d, "events").select("event_id", told["hash"].alias("hash"), told["error"].alias("error"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN coalesce(toxic, 0) = 1 AND coalesce(quality, 0) <> 1 THEN 'unverifiable' WHEN coalesce(quality, 0) = 1 AND coalesce(toxic, 0) <> 1 THEN 'full' ELSE 'partial' END AS trust
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def attestation_trust(spark, d):
+    told = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left")
+    return told.select("doc_id", privacy.trust(F.lit(True), F.col("toxic") == 1, F.col("quality") == 1).alias("trust"))
+
+
+@query("SELECT source AS authority, count(*) AS manifests FROM documents GROUP BY source HAVING count(*) > 1")
+def authority_linkability(spark, d):
+    return privacy.linkable(read(spark, d, "documents").select(F.col("source").alias("authority")))
+
+
+@query("SELECT count(*) AS entries, count(*) FILTER (WHERE turn = 0) AS manifests, count(*) FILTER (WHERE turn <> 0) AS contents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM conversations")
+def package_counts(spark, d):
+    rows = read(spark, d, "conversations").select(F.when(F.col("turn") == 0, F.concat(F.lit('{"signature":{},"version":"'), F.col("turn"), F.lit('"}'))).otherwise(F.to_json(F.struct("text"))).alias("doc"), F.octet_length("text").alias("n"))
+    from attestry.sources import packages
+
+    return rows.agg(F.count("*").alias("entries"), F.count_if(packages.is_manifest(F.col("doc"))).alias("manifests"), F.count_if(~packages.is_manifest(F.col("doc"))).alias("contents"), F.sum("n").alias("bytes"))
+
+
+# --- text and JSON -------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '^https://([^/]+)/([^/]+)/(.+)$', 1), '') AS authority, nullif(regexp_extract(url, '^https://([^/]+)/([^/]+)/(.+)$', 2), '') AS type, nullif(regexp_extract(url, '^https://([^/]+)/([^/]+)/(.+)$', 3), '') AS identifier FROM pages")
+def uri_parse(spark, d):
+    return read(spark, d, "pages").select("page_id", text.parse_uri(F.col("url"), "https").alias("u")).select("page_id", "u.*")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_pointer_get(spark, d):
+    return read(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"t":"' || event_type || '"}' AS canonical FROM events""")
+def canonical_json(spark, d):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    made = F.concat(F.lit('{ "t" : "'), F.col("event_type"), F.lit('", "k" : '), k.cast("string"), F.lit(".0 }"))
+    return read(spark, d, "events").select("event_id", F.coalesce(jsondoc.canonical_plain(made), jsondoc.canonical_json(made)).alias("canonical"))
+
+
+@query("""SELECT event_id, '{"a":{"n":' || (event_id + 1) || '},"c":true}' AS patched FROM events""")
+def json_patch(spark, d):
+    k = F.col("event_id")
+    doc = F.concat(F.lit('{"a":{"n":'), k, F.lit('},"b":"x"}'))
+    ops = F.concat(F.lit('[{"op":"replace","path":"/a/n","value":'), k + 1, F.lit('},{"op":"remove","path":"/b"},{"op":"add","path":"/c","value":true}]'))
+    return read(spark, d, "events").select("event_id", jsondoc.apply_patch(doc, ops).alias("patched"))
+
+
+@query("SELECT doc_id, translate(rtrim(to_base64(unhex(sha256(text))), '='), '+/', '-_') AS b64, sha256(text) AS back FROM documents")
+def base64url_roundtrip(spark, d):
+    raw = F.unhex(F.sha2("text", 256))
+    return read(spark, d, "documents").select("doc_id", text.to_base64url(raw).alias("b64"), text.to_hex(text.from_base64url(text.to_base64url(raw))).alias("back"))
+
+
+@query()
+def authority_roundtrip(spark, d):
+    """Authorities of made-up keys and the keys that they name again: SQL has no base 58."""
+    docs = read(spark, d, "documents").select("doc_id", F.unhex(F.sha2("text", 256)).alias("pk"))
+    told = docs.select("doc_id", "pk", text.derive_authority(F.col("pk")).alias("authority"))
+    return told.select("doc_id", "authority", (text.public_key_of(F.col("authority")) == F.col("pk")).alias("same"))
+
+
+@query()
+def content_identifier(spark, d):
+    """CIDv1 addresses of documents in their envelopes: SQL has no base 32."""
+    docs = read(spark, d, "documents")
+    return docs.select("doc_id", hashing.cid(F.col("text").cast("binary"), "Content", "JCS", "vk").alias("cid"))
+
+
+# --- graph queries -------------------------------------------------------------------------------
+
+
+def graph(spark, d) -> DataFrame:
+    """Region, nation, customer and orders as statements."""
+    def iri(kind, c):
+        return F.concat(F.lit(f"{BASE}{kind}/"), c)
+
+    region, nation = read(spark, d, "region"), read(spark, d, "nation")
+    customer, orders = read(spark, d, "customer"), read(spark, d, "orders")
+    parts = [
+        quads.from_table(region, iri("region", F.col("r_regionkey")), "Region", {"regionName": F.col("r_name")}, {}, BASE),
+        quads.from_table(nation, iri("nation", F.col("n_nationkey")), "Nation", {"nationName": F.col("n_name")}, {"inRegion": iri("region", F.col("n_regionkey"))}, BASE),
+        quads.from_table(customer, iri("customer", F.col("c_custkey")), "Customer", {"customerName": F.col("c_name"), "balance": F.col("c_acctbal")}, {"inNation": iri("nation", F.col("c_nationkey"))}, BASE),
+        quads.from_table(orders, iri("order", F.col("o_orderkey")), "Order", {"status": F.col("o_orderstatus"), "total": F.col("o_totalprice")}, {"by": iri("customer", F.col("o_custkey"))}, BASE),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p(name: str) -> str:
+    return BASE + name
+
+
+C, N, R, O = Var("c"), Var("n"), Var("r"), Var("o")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return customer.select(F.col("c_custkey"))
+    """Customers with their nation's and region's names, by three linked triple patterns."""
+    g = graph(spark, sf_dir)
+    rows = patterns.bgp(g, [(C, p("inNation"), N), (N, p("inRegion"), R), (R, p("regionName"), Var("region")), (N, p("nationName"), Var("nation")), (C, p("customerName"), Var("name"))])
+    return rows.select(F.col("name.value").alias("name"), F.col("nation.value").alias("nation"), F.col("region.value").alias("region"))
+
+
+@query("SELECT c_name AS name, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def rdf_bgp_customer_region(spark, d):
+    return flagship(spark, d)
+
+
+@query("SELECT c_name AS name, o_orderstatus AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+def rdf_optional(spark, d):
+    g = graph(spark, d)
+    rows = patterns.optional(patterns.bgp(g, [(C, p("customerName"), Var("name"))]), patterns.bgp(g, [(O, p("by"), C), (O, p("status"), Var("status"))]))
+    return rows.select(F.col("name.value").alias("name"), F.col("status.value").alias("status"))
+
+
+@query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+def rdf_union(spark, d):
+    g = graph(spark, d)
+    return patterns.union(patterns.bgp(g, [(N, p("nationName"), Var("name"))]), patterns.bgp(g, [(R, p("regionName"), Var("name"))])).select(F.col("name.value").alias("name"))
+
+
+@query("SELECT 'urn:vk:customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def rdf_minus(spark, d):
+    g = graph(spark, d)
+    return patterns.minus(patterns.bgp(g, [(C, "a", p("Customer"))]), patterns.bgp(g, [(O, p("by"), C)])).select(F.col("c.value").alias("c"))
+
+
+@query("SELECT 'urn:vk:customer/' || c_custkey AS c FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def rdf_exists(spark, d):
+    g = graph(spark, d)
+    return patterns.exists(patterns.bgp(g, [(C, "a", p("Customer"))]), patterns.bgp(g, [(O, p("by"), C), (O, p("status"), Literal("F"))])).select(F.col("c.value").alias("c"))
+
+
+@query("SELECT 'urn:vk:customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def rdf_not_exists(spark, d):
+    g = graph(spark, d)
+    return patterns.not_exists(patterns.bgp(g, [(C, "a", p("Customer"))]), patterns.bgp(g, [(O, p("by"), C), (O, p("status"), Literal("F"))])).select(F.col("c.value").alias("c"))
+
+
+@query("SELECT 'urn:vk:customer/' || c_custkey AS c FROM customer WHERE c_acctbal > 5000")
+def rdf_filter(spark, d):
+    rows = patterns.bgp(graph(spark, d), [(C, p("balance"), Var("b"))])
+    return rows.where(terms.compare(">", F.col("b"), terms.literal(5000))).select(F.col("c.value").alias("c"))
+
+
+@query("SELECT 'urn:vk:customer/' || c_custkey AS c, c_acctbal::DOUBLE * 2 AS twice FROM customer")
+def rdf_bind(spark, d):
+    rows = patterns.bgp(graph(spark, d), [(C, p("balance"), Var("b"))])
+    twice = terms.arithmetic("*", F.col("b"), terms.literal(2))
+    return rows.select(F.col("c.value").alias("c"), terms.number(twice).alias("twice"))
+
+
+@query("SELECT n_name AS name, 'urn:vk:region/' || n_regionkey AS r FROM nation WHERE n_regionkey IN (1, 3)")
+def rdf_values(spark, d):
+    rows = patterns.bgp(graph(spark, d), [(N, p("inRegion"), R), (N, p("nationName"), Var("name"))])
+    return patterns.values(rows, ["r"], [(BASE + "region/1",), (BASE + "region/3",)]).select(F.col("name.value").alias("name"), F.col("r.value").alias("r"))
+
+
+@query("SELECT DISTINCT o_orderstatus AS status FROM orders")
+def rdf_distinct(spark, d):
+    return patterns.bgp(graph(spark, d), [(O, p("status"), Var("status"))]).select("status").distinct().select(F.col("status.value").alias("status"))
+
+
+@query("SELECT n_name AS name, count(*) AS customers, min(c_name) AS first, max(c_acctbal)::DOUBLE AS most FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 4")
+def rdf_group_having(spark, d):
+    rows = patterns.bgp(graph(spark, d), [(C, p("inNation"), N), (N, p("nationName"), Var("name")), (C, p("customerName"), Var("cn")), (C, p("balance"), Var("b"))])
+    told = rows.groupBy(F.col("name.value").alias("name")).agg(F.count("*").alias("customers"), F.min("cn.value").alias("first"), F.max(terms.number(F.col("b"))).alias("most"))
+    return told.where("customers > 4")
+
+
+@query("SELECT r_name AS region, string_agg(n_name, ',' ORDER BY n_name) AS nations, any_value(1) AS one FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def rdf_group_concat(spark, d):
+    rows = patterns.bgp(graph(spark, d), [(N, p("inRegion"), R), (R, p("regionName"), Var("region")), (N, p("nationName"), Var("name"))])
+    return rows.groupBy(F.col("region.value").alias("region")).agg(F.array_join(F.array_sort(F.collect_list("name.value")), ",").alias("nations"), F.any_value(F.lit(1)).alias("one"))
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 10)")
+def rdf_subquery(spark, d):
+    g = graph(spark, d)
+    busy = patterns.bgp(g, [(O, p("by"), C)]).groupBy("c").agg(F.count("*").alias("n")).where("n >= 10").select("c")
+    return patterns.join(busy, patterns.bgp(g, [(C, p("customerName"), Var("name"))])).select(F.col("name.value").alias("name"))
+
+
+@query("""
+SELECT 'urn:vk:order/' || o_orderkey AS x, 'urn:vk:nation/' || c_nationkey AS y FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'
+UNION SELECT 'urn:vk:order/' || o_orderkey, 'urn:vk:customer/' || o_custkey FROM orders WHERE o_orderstatus = 'P'
+UNION SELECT 'urn:vk:order/' || o_orderkey, 'urn:vk:region/' || n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'""")
+def rdf_path_plus(spark, d):
+    g = graph(spark, d)
+    pending = patterns.bgp(g, [(Var("x"), p("status"), Literal("P"))])
+    closed = patterns.one_or_more(patterns.steps(g, [p("by"), p("inNation"), p("inRegion")]))
+    return patterns.join(pending, closed).select(F.col("x.value").alias("x"), F.col("y.value").alias("y"))
+
+
+@query("SELECT 'urn:vk:region/' || n_regionkey AS x, c_name AS y FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def rdf_path_sequence_inverse(spark, d):
+    """Back along two links, then on to a name: inverse steps in sequence."""
+    g = graph(spark, d)
+    back = patterns.sequence(patterns.steps(g, [p("inRegion")], inverse=True), patterns.steps(g, [p("inNation")], inverse=True))
+    return patterns.sequence(back, patterns.steps(g, [p("customerName")])).select(F.col("x.value").alias("x"), F.col("y.value").alias("y"))
+
+
+@query("""
+SELECT 'urn:vk:nation/' || n_nationkey AS x, 'urn:vk:nation/' || n_nationkey AS y FROM nation
+UNION SELECT 'urn:vk:nation/' || n_nationkey, 'urn:vk:region/' || n_regionkey FROM nation""")
+def rdf_path_optional(spark, d):
+    g = graph(spark, d)
+    nations = patterns.bgp(g, [(Var("x"), "a", p("Nation"))])
+    pairs = patterns.zero_or_one(patterns.steps(g, [p("inRegion")]), nations)
+    return patterns.join(nations, pairs).select(F.col("x.value").alias("x"), F.col("y.value").alias("y"))
+
+
+@query("SELECT 'urn:vk:nation/' || n_nationkey AS x, n_name AS y FROM nation UNION ALL SELECT 'urn:vk:nation/' || n_nationkey, 'urn:vk:Nation' FROM nation")
+def rdf_path_negated(spark, d):
+    g = graph(spark, d)
+    return patterns.join(patterns.bgp(g, [(Var("x"), "a", p("Nation"))]), patterns.steps(g, [p("inRegion")], negated=True)).select(F.col("x.value").alias("x"), F.col("y.value").alias("y"))
+
+
+@query("SELECT c_name AS name FROM customer ORDER BY c_acctbal DESC, c_name LIMIT 10 OFFSET 5")
+def rdf_order_limit(spark, d):
+    rows = patterns.bgp(graph(spark, d), [(C, p("balance"), Var("b")), (C, p("customerName"), Var("name"))])
+    return patterns.order_by(rows, ("b", False), ("name", True)).offset(5).limit(10).select(F.col("name.value").alias("name"))
+
+
+@query("SELECT true AS answer")
+def rdf_ask(spark, d):
+    return patterns.ask(patterns.bgp(graph(spark, d), [(O, p("status"), Literal("F"))]))
+
+
+@query("SELECT 'urn:vk:customer/' || c_custkey AS s, 'urn:vk:livesIn' AS p, 'urn:vk:region/' || n_regionkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def rdf_construct(spark, d):
+    rows = patterns.bgp(graph(spark, d), [(C, p("inNation"), N), (N, p("inRegion"), R)])
+    return patterns.construct(rows, [(C, p("livesIn"), R)]).select(F.col("s.value").alias("s"), F.col("p.value").alias("p"), F.col("o.value").alias("o"))
+
+
+@query("SELECT 'urn:vk:region/' || r_regionkey AS s, 'urn:vk:regionName' AS p, r_name AS o FROM region UNION ALL SELECT 'urn:vk:region/' || r_regionkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:vk:Region' FROM region")
+def rdf_describe(spark, d):
+    g = graph(spark, d)
+    return patterns.describe(g, patterns.bgp(g, [(R, "a", p("Region"))]), "r").select("s", "p", "o")
+
+
+@query("""
+SELECT c_custkey AS k, length(c_name) AS len, upper(c_name) AS up, lower(c_name) AS low, substr(c_name, 1, 8) AS sub, starts_with(c_name, 'Cust') AS starts, contains(c_name, '#') AS has,
+  CASE WHEN contains(c_name, '#') THEN split_part(c_name, '#', 1) ELSE '' END AS before, CASE WHEN contains(c_name, '#') THEN substr(c_name, strpos(c_name, '#') + 1) ELSE '' END AS after,
+  regexp_replace(c_name, '[0-9]', 'd', 'g') AS rep, regexp_matches(c_name, '7$') AS rx, md5(c_name) AS md5, sha256(c_name) AS sha, abs(c_acctbal)::DOUBLE AS ab, ceil(c_acctbal)::DOUBLE AS ce, floor(c_acctbal + 0.5)::DOUBLE AS ro FROM customer""")
+def rdf_functions(spark, d):
+    rows = patterns.bgp(graph(spark, d), [(C, p("customerName"), Var("name")), (C, p("balance"), Var("b"))])
+    s, b = terms.text(F.col("name")), terms.number(F.col("b"))
+    return rows.select(
+        F.substring_index("c.value", "/", -1).cast("long").alias("k"), F.length(s).cast("long").alias("len"), F.upper(s).alias("up"), F.lower(s).alias("low"), F.substring(s, 1, 8).alias("sub"),
+        F.startswith(s, F.lit("Cust")).alias("starts"), F.contains(s, F.lit("#")).alias("has"), terms.string_before(s, "#").alias("before"), terms.string_after(s, "#").alias("after"),
+        F.regexp_replace(s, "[0-9]", "d").alias("rep"), s.rlike("7$").alias("rx"), F.md5(s).alias("md5"), F.sha2(s, 256).alias("sha"), F.abs(b).alias("ab"), F.ceil(b).cast("double").alias("ce"), terms.round_half_up(b).cast("double").alias("ro"),
+    )
+
+
+@query("""SELECT (SELECT count(*) * 2 FROM region) + (SELECT count(*) * 3 FROM nation) + (SELECT count(*) * 4 FROM customer) + (SELECT count(*) * 4 FROM orders) AS n""")
+def triple_count(spark, d):
+    return quads.triple_count(graph(spark, d))
 
 
-def queries() -> dict:
-    return {}
+@query("""
+SELECT 'urn:vk:inNation' AS p, count(*) AS n FROM customer UNION ALL SELECT 'urn:vk:balance', count(*) FROM customer UNION ALL SELECT 'urn:vk:customerName', count(*) FROM customer
+UNION ALL SELECT 'urn:vk:inRegion', count(*) FROM nation UNION ALL SELECT 'urn:vk:nationName', count(*) FROM nation UNION ALL SELECT 'urn:vk:regionName', count(*) FROM region
+UNION ALL SELECT 'urn:vk:by', count(*) FROM orders UNION ALL SELECT 'urn:vk:status', count(*) FROM orders UNION ALL SELECT 'urn:vk:total', count(*) FROM orders
+UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)""")
+def predicate_histogram(spark, d):
+    return graph(spark, d).groupBy("p").agg(F.count("*").alias("n"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT 'urn:vk:nation/' || n_nationkey AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type urn:vk:Nation | urn:vk:inRegion urn:vk:region/' || n_regionkey || ' | urn:vk:nationName ' || n_name AS statements FROM nation")
+def group_by_subject(spark, d):
+    told = quads.by_subject(graph(spark, d).where(F.startswith("s", F.lit(BASE + "nation/"))))
+    return told.select("s", F.array_join(F.transform("statements", lambda x: F.concat_ws(" ", x["p"], x["o"])), " | ").alias("statements"))
