@@ -27,6 +27,34 @@ GRAM = 64
 MOST = 16_384
 
 
+def window_ranges(lefts: list[bytes], rights: list[bytes], length: int) -> dict[int, list[dict]]:
+    """For each context the disjoint ranges of its windows that lie in a maximal repeat, by number.
+
+    The repeats come innermost first, so one adds to a member only what reaches further left than all
+    before it: a context that many repeats hold is told once for each step of that stair.
+    """
+    best, stairs = np.full(len(lefts), -1), []
+    for left, right, members in maximal_repeats(lefts, rights, length):
+        fresh = members[best[members] < left]
+        best[fresh] = left
+        if len(fresh):
+            stairs.append((fresh, np.full(len(fresh), left), np.full(len(fresh), right)))
+    out: dict[int, list[dict]] = {}
+    if not stairs:
+        return out
+    member, left, right = (np.concatenate(x) for x in zip(*stairs))
+    before, after = np.array(list(map(len, lefts)))[member], np.array(list(map(len, rights)))[member]
+    low, high = np.maximum(0, before - left), before + np.minimum(right, after) - length
+    order = np.lexsort((low, member))
+    for m, a, b in zip(member[order].tolist(), low[order].tolist(), high[order].tolist()):
+        told = out.setdefault(m, [])
+        if told and a <= told[-1]["high"] + 1:
+            told[-1]["high"] = max(told[-1]["high"], b)
+        elif a <= b:
+            told.append({"low": a, "high": b})
+    return {m: told for m, told in out.items() if told}
+
+
 def _compared(rows: DataFrame, wanted, length: int, gram: int) -> DataFrame:
     """anchor, content, ranges: windows of wanted anchors' contexts in a maximal repeat."""
 
@@ -50,12 +78,7 @@ def _compared(rows: DataFrame, wanted, length: int, gram: int) -> DataFrame:
                 continue
             before, held = group["before"].to_numpy()[at].tolist(), group["held"].take(pa.array(at)).to_pylist()
             lefts, rights = [h[:k][::-1] for h, k in zip(held, before)], [h[k:] for h, k in zip(held, before)]
-            ranges: dict[int, list[dict]] = {}
-            for left, right, members in maximal_repeats(lefts, rights, length):
-                for m in members.tolist():
-                    low, high = max(0, before[m] - left), min(len(held[m]) - length, before[m] + right - length)
-                    if low <= high:
-                        ranges.setdefault(m, []).append({"low": low, "high": high})
+            ranges = window_ranges(lefts, rights, length)
             if ranges:
                 yield pa.RecordBatch.from_arrays([group["anchor"].take(pa.array([0] * len(ranges))).combine_chunks(), pa.array(contents[list(ranges)]), pa.array(list(ranges.values()), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], ["anchor", "content", "ranges"])
 
