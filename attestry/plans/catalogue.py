@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestry.functions import hashing, jsondoc, temporal, terms, text
-from attestry.operators import blobs, chains, keys, patterns, privacy, quads
+from attestry.functions import crypto, hashing, jsondoc, temporal, terms, text
+from attestry.operators import blobs, canonical, chains, keys, manifests, patterns, privacy, quads, resolve
 from attestry.operators.patterns import Literal, Var
+from attestry.plans import durable
+from attestry.sources import graphs, packages
 
 BASE = "urn:vk:"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,8 +363,6 @@ def authority_linkability(spark, d):
 @query("SELECT count(*) AS entries, count(*) FILTER (WHERE turn = 0) AS manifests, count(*) FILTER (WHERE turn <> 0) AS contents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM conversations")
 def package_counts(spark, d):
     rows = read(spark, d, "conversations").select(F.when(F.col("turn") == 0, F.concat(F.lit('{"signature":{},"version":"'), F.col("turn"), F.lit('"}'))).otherwise(F.to_json(F.struct("text"))).alias("doc"), F.octet_length("text").alias("n"))
-    from attestry.sources import packages
-
     return rows.agg(F.count("*").alias("entries"), F.count_if(packages.is_manifest(F.col("doc"))).alias("manifests"), F.count_if(~packages.is_manifest(F.col("doc"))).alias("contents"), F.sum("n").alias("bytes"))
 
 
@@ -621,3 +621,96 @@ def predicate_histogram(spark, d):
 def group_by_subject(spark, d):
     told = quads.by_subject(graph(spark, d).where(F.startswith("s", F.lit(BASE + "nation/"))))
     return told.select("s", F.array_join(F.transform("statements", lambda x: F.concat_ws(" ", x["p"], x["o"])), " | ").alias("statements"))
+
+
+# --- signatures, sealing and resolution ----------------------------------------------------------
+
+
+@query("SELECT doc_id, doc_id % 5 <> 0 AS valid FROM documents")
+def signatures_hold(spark, d):
+    """Every document signed under a key of its own; every fifth one altered afterwards."""
+    docs = read(spark, d, "documents").select("doc_id", "text", F.unhex(F.sha2(F.col("doc_id").cast("string"), 256)).alias("seed"))
+    made = docs.select("doc_id", "text", crypto.sign(F.col("text"), F.col("seed")).alias("signature"), crypto.public_key(F.col("seed")).alias("pk"))
+    got = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return made.select("doc_id", crypto.verify_signature(got, F.col("signature"), F.col("pk")).alias("valid"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS opened, octet_length(encode(text)) + 16 AS sealed_bytes FROM documents")
+def seal_roundtrip(spark, d):
+    """Documents sealed and opened again, every third one with a wrong key."""
+    key, nonce = F.unhex(F.sha2(F.col("doc_id").cast("string"), 256)), F.substring(F.unhex(F.sha2("text", 256)), 1, 12)
+    rows = read(spark, d, "documents").select("doc_id", crypto.seal(key, nonce, F.col("text")).alias("sealed"), key.alias("key"), nonce.alias("nonce"))
+    used = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.sha2(F.lit("wrong"), 256))).otherwise(F.col("key"))
+    return rows.select("doc_id", F.sha2(crypto.unseal(used, F.col("nonce"), F.col("sealed")), 256).alias("opened"), F.octet_length("sealed").cast("long").alias("sealed_bytes"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 4 <> 0 AS recovered FROM supplier")
+def key_recovery(spark, d):
+    """A content key wrapped for each supplier's signing key; every fourth one asks under another name."""
+    k = F.col("s_suppkey").cast("string")
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_name", F.unhex(F.sha2(F.concat(F.lit("r"), k), 256)).alias("mine"), F.unhex(F.sha2(F.concat(F.lit("e"), k), 256)).alias("once"), F.unhex(F.sha2(F.concat(F.lit("k"), k), 256)).alias("key"), F.unhex(F.substring(F.sha2(k, 256), 1, 24)).alias("nonce"))
+    rows = rows.select("*", crypto.to_agreement_public(crypto.public_key(F.col("mine"))).alias("to"), crypto.to_agreement_public(crypto.public_key(F.col("once"))).alias("sent"))
+    rows = rows.withColumn("wrapped", crypto.wrap(F.col("key"), crypto.to_agreement_secret(F.col("once")), F.col("to"), F.col("nonce"), "cek", F.col("s_name")))
+    name = F.when(F.col("s_suppkey") % 4 == 0, "someone else").otherwise(F.col("s_name"))
+    got = crypto.unwrap(F.col("wrapped"), crypto.to_agreement_secret(F.col("mine")), F.col("sent"), F.col("nonce"), "cek", name)
+    return rows.select("s_suppkey", F.coalesce(got == F.col("key"), F.lit(False)).alias("recovered"))
+
+
+def _store(spark, d):
+    """Conversations as chains of signed manifests, and the blobs that hold them and their content.
+
+    Every manifest is version, chain and content of one turn, under one key. The content of turn 2 of
+    every fourth conversation is altered in the store.
+    """
+    seed = F.unhex(F.sha2(F.lit("catalogue"), 256))
+    turns = read(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.to_json(F.struct("conv_id", "role", "text", "turn")).alias("body"))
+    turns = turns.withColumns({"content": jsondoc.canonical_json(F.col("body")), "authority": text.derive_authority(crypto.public_key(seed)), "pk": crypto.public_key(seed)})
+    firsts = Window.partitionBy("conv_id").orderBy("turn")
+    turns = durable.cut(turns.withColumn("n", F.row_number().over(firsts)))
+    stamp = F.lit("2025-01-01T00:00:00Z")
+    uri = F.concat(F.lit("vk://"), F.col("authority"), F.lit("/data/"), F.col("conv_id"))
+    built = manifests.build(uri, F.col("n"), F.lit("main"), stamp, manifests.content_record(F.col("content"), "application/json"))
+    made = turns.select("conv_id", "turn", "n", uri.alias("uri"), "pk", "content", manifests.sign(built, seed, F.lit("key-1"), stamp).alias("doc"))
+    made = durable.cut(made.withColumn("manifest_hash", hashing.sha256(F.col("doc"))))
+    bad = (F.col("turn") == 2) & (F.col("conv_id") % 4 == 0)
+    stored = made.select(F.col("manifest_hash").alias("hash"), F.col("doc").cast("binary").alias("bytes")).unionByName(made.select(hashing.sha256(F.col("content")).alias("hash"), F.when(bad, F.lit("altered")).otherwise(F.col("content")).cast("binary").alias("bytes")))
+    return made, stored.dropDuplicates(["hash"])
+
+
+@query("""SELECT conv_id, turn::BIGINT AS turn, NOT (turn = 2 AND conv_id % 4 = 0) AND conv_id % 5 <> 0 AS ok,
+  CASE WHEN conv_id % 5 = 0 THEN 'MANIFEST_NOT_FOUND' WHEN turn = 2 AND conv_id % 4 = 0 THEN 'STORAGE_CORRUPTION' END AS error_code FROM conversations""")
+def resolve_turns(spark, d):
+    """Every turn resolved by its address; every fifth conversation asks for what is not there."""
+    made, stored = _store(spark, d)
+    asked = made.select("conv_id", "turn", "uri", F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("sha256:"), F.col("conv_id"), F.lit("-"), F.col("turn"))).otherwise(F.col("manifest_hash")).alias("manifest_hash"), F.col("pk").alias("public_key"))
+    told = resolve.resolve(asked.drop("conv_id", "turn"), stored)
+    return told.join(asked, ["uri", "manifest_hash"]).select("conv_id", "turn", "ok", "error_code")
+
+
+@query("""SELECT n_nationkey, sha256('<urn:vk:nation/' || n_nationkey || '> <urn:vk:is> _:c14n0 .' || chr(10) || '_:c14n0 <urn:vk:in> <urn:vk:region/' || n_regionkey || '> .' || chr(10) || '_:c14n0 <urn:vk:name> "' || n_name || '" .' || chr(10)) AS digest FROM nation""")
+def canonical_graphs(spark, d):
+    """One small graph with a blank node for each nation, named at random, in canonical form."""
+    n = read(spark, d, "nation")
+    node = F.concat(F.lit("_:x"), F.hex("n_name"))
+    lines = [F.concat(node, F.lit(' <urn:vk:name> "'), F.col("n_name"), F.lit('" .')), F.concat(F.lit("<urn:vk:nation/"), F.col("n_nationkey"), F.lit("> <urn:vk:is> "), node, F.lit(" .")), F.concat(node, F.lit(" <urn:vk:in> <urn:vk:region/"), F.col("n_regionkey"), F.lit("> ."))]
+    told = canonical.canonicalise(n.select(F.col("n_nationkey").alias("doc_id"), F.explode(F.array(*lines)).alias("quad")))
+    return told.select(F.col("doc_id").alias("n_nationkey"), F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT 'urn:vk:customer/' || c_custkey AS s, c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def json_ld_graph(spark, d):
+    """Customers as JSON-LD documents, loaded as a graph and asked for a name inside a nested node."""
+    both = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    doc = F.to_json(F.struct(F.create_map(F.lit("@vocab"), F.lit(BASE)).alias("@context"), F.concat(F.lit(BASE + "customer/"), F.col("c_custkey")).alias("@id"), F.lit("Customer").alias("@type"), F.col("c_name").alias("name"), F.struct(F.lit("Nation").alias("@type"), F.col("n_name").alias("name")).alias("from")))
+    g = graphs.load_json_ld(both.select(F.col("c_custkey").alias("doc_id"), doc.alias("text")), "doc_id", "text")
+    rows = patterns.bgp(g, [(C, "a", p("Customer")), (C, p("name"), Var("name")), (C, p("from"), N), (N, p("name"), Var("nation"))])
+    return rows.select(F.col("c.value").alias("s"), F.col("name.value").alias("name"), F.col("nation.value").alias("nation"))
+
+
+@query("SELECT 'urn:vk:order/' || o_orderkey AS o, 'urn:vk:status/' || o_orderstatus AS graph FROM orders")
+def rdf_named_graphs(spark, d):
+    """Statements told in named graphs, and the graph of each bound to a variable."""
+    orders = read(spark, d, "orders")
+    line = F.concat(F.lit(f"<{BASE}order/"), F.col("o_orderkey"), F.lit(f'> <{BASE}total> "'), F.col("o_totalprice"), F.lit(f'" <{BASE}status/'), F.col("o_orderstatus"), F.lit("> ."))
+    g = graphs.load_n_quads(orders.select(F.col("o_orderkey").alias("doc_id"), line.alias("text")), "doc_id", "text")
+    return patterns.pattern(g, O, p("total"), Var("t"), Var("g")).select(F.col("o.value").alias("o"), F.col("g.value").alias("graph"))
