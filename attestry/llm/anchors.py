@@ -225,15 +225,20 @@ def repeated_windows(docs: DataFrame, symbols: Callable, window: int, gram: int,
     each = packed.mapInArrow(spread, "anchor long, w long, content long, place int")
     twice = each.groupBy("anchor", "w").count().where("count > 1").select("anchor", "w")
     found = each.join(twice, ["anchor", "w"]).groupBy("anchor", "content").agg(F.collect_set("place").alias("places"))
-    return found.select("anchor", "content", F.expr("transform(places, p -> struct(cast(p as long) as low, cast(p as long) as high))").alias("ranges"))
+    joined = """aggregate(array_sort(places), cast(array() as array<struct<low:bigint,high:bigint>>), (told, p) ->
+      CASE WHEN size(told) > 0 AND element_at(told, -1).high = p - 1 THEN concat(slice(told, 1, size(told) - 1), array(struct(element_at(told, -1).low as low, cast(p as long) as high)))
+      ELSE concat(told, array(struct(cast(p as long) as low, cast(p as long) as high))) END)"""
+    return found.select("anchor", "content", F.expr(joined).alias("ranges"))
 
 
 def spans_of(thin: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """k1, k2, spans: the stretches of each row that its contexts' repeated windows cover.
 
-    ``found`` has anchor, content and ranges (low, high) of windows in the context.
+    ``found`` has anchor, content and ranges (low, high) of windows in the context. A context that very
+    many rows share makes one key of the join hot; ``found`` is laid out anew before it, so that both
+    sides are shuffles of the join's own and adaptive execution can split the hot one.
     """
-    each = thin.join(found, ["anchor", "content"]).select("k1", "k2", F.explode(F.expr(f"transform(ranges, r -> struct(start + r.low as a, start + least(r.high, windows - 1) + {window} as b))")).alias("span"))
+    each = thin.join(found.hint("rebalance"), ["anchor", "content"]).select("k1", "k2", F.explode(F.expr(f"transform(ranges, r -> struct(start + r.low as a, start + least(r.high, windows - 1) + {window} as b))")).alias("span"))
     return each.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
