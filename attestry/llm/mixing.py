@@ -30,7 +30,7 @@ def random_key(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))), 256), 1, 15), 16, 10).cast("long")
 
 
-def _ranked(sources: DataFrame, rows_per_range: int = 10_000) -> DataFrame:
+def _ranked(sources: DataFrame) -> DataFrame:
     """Adds ``rank``, from 0, in code-point order with null last, without one task for all sources.
 
     Sources are counted by their first byte pairs; the running count over these few prefixes is the
@@ -66,7 +66,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     return known.select("source", "source_size", F.least(F.lit(level) * F.col("w"), F.col("most")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", rows_per_range: int = 50_000) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", rows_per_range: int = 4_096) -> DataFrame:
     """One row for each input row: doc_id, source, size, source_size, target, taken.
 
     ``taken`` counts the words that the mix takes from the document, repeats by further epochs
