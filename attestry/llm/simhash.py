@@ -188,7 +188,8 @@ def similar_links(prints: DataFrame, similarity: float, tile: int = 8192) -> Dat
                 names = group["name"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
 
-    return placed.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(compare, "a long, b long")
+    # by name too: which of equally near pairs make up a forest must not depend on the order of arrival
+    return placed.repartition("pair").sortWithinPartitions("pair", "side", "name").mapInArrow(compare, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
