@@ -714,3 +714,177 @@ def rdf_named_graphs(spark, d):
     line = F.concat(F.lit(f"<{BASE}order/"), F.col("o_orderkey"), F.lit(f'> <{BASE}total> "'), F.col("o_totalprice"), F.lit(f'" <{BASE}status/'), F.col("o_orderstatus"), F.lit("> ."))
     g = graphs.load_n_quads(orders.select(F.col("o_orderkey").alias("doc_id"), line.alias("text")), "doc_id", "text")
     return patterns.pattern(g, O, p("total"), Var("t"), Var("g")).select(F.col("o.value").alias("o"), F.col("g.value").alias("graph"))
+
+
+# --- records, rules and round trips --------------------------------------------------------------
+
+
+@query("""
+SELECT doc_id, coalesce(lang, '') AS tag, coalesce(lang = 'en', false) AS english, CASE WHEN lang IS NULL THEN 'http://www.w3.org/2001/XMLSchema#string' ELSE 'http://www.w3.org/1999/02/22-rdf-syntax-ns#langString' END AS kind,
+  false AS uri, true AS lit, false AS numeric, n_chars > 0 AS truth, true AS same FROM documents""")
+def rdf_term_functions(spark, d):
+    """Tests on terms and their parts, over titles told in the document's language."""
+    t = terms.term("literal", F.concat(F.lit("doc "), F.col("doc_id")), None, F.col("lang"))
+    count = terms.term("literal", F.col("n_chars"), F.lit(terms.XSD + "integer"))
+    docs = read(spark, d, "documents").select("doc_id", t.alias("t"), count.alias("n"))
+    t, n = F.col("t"), F.col("n")
+    return docs.select("doc_id", terms.lang(t).alias("tag"), terms.lang_matches(terms.lang(t), "en").alias("english"), terms.datatype(t).alias("kind"), terms.is_uri(t).alias("uri"), terms.is_literal(t).alias("lit"), terms.is_numeric(t).alias("numeric"), terms.truth(n).alias("truth"), terms.same_term(t, t).alias("same"))
+
+
+@query("""
+SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, 13 AS h, 'Z' AS tz, epoch_ms(o_orderdate::TIMESTAMP) + 48600250 AS millis,
+  strftime(o_orderdate, '%Y-%m-%dT13:30:00.250Z') AS shown, CASE WHEN o_orderdate < DATE '1995-01-01' THEN -1 ELSE 1 END AS place FROM orders""")
+def rdf_dates(spark, d):
+    """Parts of timestamps told as text, their milliseconds, their text again and their order."""
+    rows = read(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T13:30:00.25Z'").alias("told"))
+    told, at = F.col("told"), temporal.parse_stamp(F.col("told"))
+    parts = {"y": F.year(at), "m": F.month(at), "d": F.day(at), "h": F.hour(at)}
+    return rows.select("o_orderkey", *[c.cast("long").alias(k) for k, c in parts.items()], terms.timezone_of(told).alias("tz"), temporal.epoch_millis(told).alias("millis"), temporal.format_stamp(at).alias("shown"), temporal.compare_stamps(told, F.lit("1995-01-01T00:00:00Z")).alias("place"))
+
+
+@query("SELECT event_id, ((user_id % 3) * 365 + 30 + user_id % 7) * 86400000 + (user_id % 24) * 3600000 + 90000 AS millis FROM events")
+def full_duration(spark, d):
+    u = F.col("user_id")
+    told = F.concat(F.lit("P"), u % 3, F.lit("Y1M"), u % 7, F.lit("DT"), u % 24, F.lit("H1M30S"))
+    return read(spark, d, "events").select("event_id", temporal.duration_millis(told).alias("millis"))
+
+
+@query("""
+SELECT 'urn:vk:order/' || o_orderkey AS x, 'urn:vk:order/' || o_orderkey AS y FROM orders WHERE o_orderstatus = 'P'
+UNION SELECT 'urn:vk:order/' || o_orderkey, 'urn:vk:customer/' || o_custkey FROM orders WHERE o_orderstatus = 'P'
+UNION SELECT 'urn:vk:order/' || o_orderkey, 'urn:vk:nation/' || c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'""")
+def rdf_path_star(spark, d):
+    g = graph(spark, d)
+    pending = patterns.bgp(g, [(Var("x"), p("status"), Literal("P"))])
+    closed = patterns.zero_or_more(patterns.steps(g, [p("by"), p("inNation")]), pending)
+    return patterns.join(pending, closed).select(F.col("x.value").alias("x"), F.col("y.value").alias("y"))
+
+
+@query("SELECT 'urn:vk:nation/' || n_nationkey AS x, n_name AS y FROM nation UNION ALL SELECT 'urn:vk:region/' || r_regionkey, r_name FROM region")
+def rdf_path_alternative(spark, d):
+    return patterns.steps(graph(spark, d), [p("nationName"), p("regionName")]).select(F.col("x.value").alias("x"), F.col("y.value").alias("y"))
+
+
+@query("""
+SELECT 'urn:vk:part/' || p_partkey AS s, 'urn:vk:' || k AS kind FROM part, (VALUES ('Made'), ('Thing'), ('Any')) t(k) WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'urn:vk:part/' || p_partkey, 'urn:vk:' || k FROM part, (VALUES ('Thing'), ('Any')) t(k) WHERE p_partkey % 2 = 1""")
+def subclass_types(spark, d):
+    """Types that follow from a chain of two subclass statements."""
+    k = F.col("p_partkey")
+    made = quads.from_table(read(spark, d, "part").where(k % 2 == 0), F.concat(F.lit(BASE + "part/"), k), "Made", {}, {}, BASE)
+    other = quads.from_table(read(spark, d, "part").where(k % 2 == 1), F.concat(F.lit(BASE + "part/"), k), "Thing", {}, {}, BASE)
+    lines = spark.sql(f"SELECT -1 AS doc_id, '<{BASE}Made> <{graphs.SUBCLASS}> <{BASE}Thing> .\n<{BASE}Thing> <{graphs.SUBCLASS}> <{BASE}Any> .' AS text")
+    order = graphs.load_n_quads(lines, "doc_id", "text").select(*made.columns)
+    told = graphs.subclass_closure(made.unionByName(other).unionByName(order))
+    return told.where(F.col("p") == quads.RDF_TYPE).select("s", F.col("o").alias("kind"))
+
+
+@query("""SELECT page_id, 'vk://' || split_part(replace(url, 'https://', ''), '/', 1) || '/page/' || page_id AS uri, split_part(replace(url, 'https://', ''), '/', 1) AS authority, 'key-' || page_id AS fragment,
+  CASE WHEN starts_with(url, 'https://www.') THEN 'w:' || substr(url, 13) WHEN starts_with(url, 'https://') THEN 'h:' || substr(url, 9) ELSE url END AS short FROM pages""")
+def uri_build(spark, d):
+    rows = read(spark, d, "pages").select("page_id", "url", text.authority_of(F.col("url"), "https").alias("authority"))
+    uri = text.build_uri("vk", F.col("authority"), F.lit("page"), F.col("page_id").cast("string"))
+    return rows.select("page_id", uri.alias("uri"), "authority", text.key_fragment(F.concat(uri, F.lit("#key-"), F.col("page_id"))).alias("fragment"), text.shorten(F.col("url"), {"w": "https://www.", "h": "https://"}).alias("short"))
+
+
+@query("""
+WITH v AS (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
+SELECT event_id, event_id > was AS rises FROM v WHERE event_id >= 1 AND (was IS NULL OR was >= 1)""")
+def version_rises(spark, d):
+    """Whether the version text of each event is above the one before it in time."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = read(spark, d, "events").select("event_id", F.lag("event_id").over(w).alias("was"))
+    told = text.increases(F.col("event_id").cast("string"), F.col("was").cast("string"))
+    return rows.where("event_id >= 1 AND (was IS NULL OR was >= 1)").select("event_id", told.alias("rises"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'sha256' WHEN 1 THEN 'cidv1' END AS algorithm, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN true END AS holds FROM documents WHERE text IS NOT NULL""")
+def hash_registry(spark, d):
+    """Addresses of two algorithms and of two unknown kinds, each checked by what it names."""
+    data, k = F.col("text").cast("binary"), F.col("doc_id") % 4
+    address = F.when(k == 0, hashing.sha256(data)).when(k == 1, hashing.cid(data, "Content", "JCS", "vk")).when(k == 2, F.concat(F.lit("md5:"), F.md5(data))).otherwise(F.lit("b:1"))
+    return read(spark, d, "documents").where("text is not null").select("doc_id", hashing.algorithm_of(address).alias("algorithm"), hashing.verify(address, data).alias("holds"))
+
+
+@query("""SELECT event_id, '[{"op":"replace","path":"/n","value":' || (event_id + 1) || '},{"op":"remove","path":"/o"}]' AS ops, '{"n":' || (event_id + 1) || '}' AS patched FROM events""")
+def json_diff(spark, d):
+    """The ops between two documents, and the first one with them applied."""
+    k = F.col("event_id")
+    a, b = F.concat(F.lit('{"n":'), k, F.lit(',"o":1}')), F.concat(F.lit('{"n":'), k + 1, F.lit("}"))
+    rows = read(spark, d, "events").select("event_id", a.alias("a"), jsondoc.diff_json(a, b).alias("ops"))
+    shown = F.array_sort(F.from_json("ops", "array<struct<path:string,op:string,value:bigint>>"))
+    shown = F.transform(shown, lambda x: F.struct(x["op"].alias("op"), x["path"].alias("path"), x["value"].alias("value")))
+    return rows.select("event_id", F.to_json(shown).alias("ops"), jsondoc.apply_patch(F.col("a"), F.col("ops")).alias("patched"))
+
+
+@query("""SELECT c_custkey, '{"AUTH":"x","id":"vk://a' || c_custkey || '/data","list":["a' || c_custkey || '",1]}' AS filled FROM customer""")
+def placeholder_fill(spark, d):
+    """A placeholder replaced in string values, and left alone where it is a key."""
+    doc = F.lit('{"list":["AUTH",1],"id":"vk://AUTH/data","AUTH":"x"}')
+    return read(spark, d, "customer").select("c_custkey", jsondoc.fill_placeholder(doc, "AUTH", F.concat(F.lit("a"), F.col("c_custkey"))).alias("filled"))
+
+
+@query(f"""
+WITH m AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 'x-other' ELSE {_MODE_SQL} END END AS stated FROM events)
+SELECT event_id, coalesce(stated, 'public') AS mode, coalesce(stated, '') <> 'x-other' AS known,
+  CASE WHEN event_id % 3 = 0 THEN 'an ephemeral authority refers to a key document' END AS anonymous,
+  event_id % 2 = 0 OR event_id % 5 = 0 AS addressing, event_id % 10 < 5 AS stale FROM m""")
+def privacy_rules(spark, d):
+    """The stated or default mode and whether it is known, the anonymous rule, addressing, expiry."""
+    k = F.col("event_id")
+    stated = F.when(k % 4 != 0, F.when(k % 7 == 0, "x-other").otherwise(_mode(F.col("event_type"))))
+    method = F.when(k % 3 == 0, "vk://a/key/main#1").otherwise("vk://a#1")
+    addressing = privacy.addressing_consistent(F.when(k % 2 == 0, "raw").otherwise("cid"), F.when(k % 5 != 0, "raw"))
+    stale = privacy.attestation_stale(F.concat(F.lit("2024-01-0"), k % 10, F.lit("T00:00:00Z")), F.lit("2024-01-05T00:00:00Z"))
+    mode = privacy.mode_of(stated)
+    return read(spark, d, "events").select("event_id", mode.alias("mode"), privacy.known_mode(mode).alias("known"), privacy.anonymous_reason(F.lit("ephemeral"), method).alias("anonymous"), addressing.alias("addressing"), stale.alias("stale"))
+
+
+@query("""
+SELECT event_id, NOT (event_id % 5 > 1 AND event_id % 2 = 0) AS genesis, CASE WHEN event_id % 2 = 0 AND event_id % 3 <> 0 THEN 'JCS needs a JSON patch' WHEN event_id % 2 = 1 AND event_id % 3 <> 1 THEN 'URDNA2015 needs an RDF patch' END AS coupling,
+  CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'valid' WHEN event_id % 5 = 0 THEN 'warning' ELSE 'invalid' END AS delta FROM events""")
+def manifest_rules(spark, d):
+    """Genesis validity, delta and profile coupling, and the verdict on a delta."""
+    k = F.col("event_id")
+    chain = F.when(k % 2 == 1, F.struct(F.lit("x").alias("previous")))
+    profile = F.when(k % 2 == 0, "JCS").otherwise("URDNA2015")
+    kind = F.when(k % 3 == 0, "application/json-patch+json").when(k % 3 == 1, "application/rdf-patch").otherwise("text/plain")
+    return read(spark, d, "events").select("event_id", chains.genesis_valid(k % 5, chain).alias("genesis"), chains.coupling_reason(profile, kind).alias("coupling"), chains.delta_verdict(k % 4 != 0, k % 3 == 0, k % 5 == 0).alias("delta"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'content present' WHEN 1 THEN 'type' WHEN 2 THEN 'missing timing' WHEN 3 THEN 'mode' WHEN 4 THEN 'missing evidence' END AS reason FROM events""")
+def attestation_structure(spark, d):
+    """The first structural fault of attestations made with one fault each, and of whole ones."""
+    k = F.col("event_id") % 6
+    whole = ["@context", "@id", "@type", "version", "branch", "timing", "privacy", "attestation"]
+    fields = F.when(k == 0, F.array(*map(F.lit, [*whole, "content"]))).when(k == 2, F.array(*[F.lit(x) for x in whole if x != "timing"])).otherwise(F.array(*map(F.lit, whole)))
+    parts = F.when(k == 4, F.array(F.lit("subject"), F.lit("claim"))).otherwise(F.array(F.lit("subject"), F.lit("claim"), F.lit("evidence")))
+    told = privacy.attestation_reason(fields, F.when(k == 1, "Other").otherwise("Att"), F.when(k == 3, "public").otherwise("attestation"), parts, "Att")
+    return read(spark, d, "events").select("event_id", told.alias("reason"))
+
+
+@query("""
+WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents),
+t AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS idx FROM s)
+SELECT doc_id, count(*) AS shown, count(*) FILTER (WHERE idx % 2 = 0) AS valid FROM t WHERE idx = 0 OR doc_id % 3 = 0 OR (doc_id % 3 = 1 AND idx IN (2, 3)) GROUP BY doc_id""")
+def selective_disclosure(spark, d):
+    """Statements that each document's recipient may see, odd ones altered on the way, checked one by one."""
+    docs, k = read(spark, d, "documents"), F.col("doc_id") % 3
+    index = privacy.statement_index(docs, "doc_id", "text", F.lit(b"salt"))
+    own = F.when(k == 1, F.array(F.lit(2), F.lit(3))).when(k == 2, F.array().cast("array<int>"))
+    seen = privacy.disclosed(index, F.array(F.lit(0)), own)
+    got = F.when(F.col("idx") % 2 == 1, F.concat("statement", F.lit("!"))).otherwise(F.col("statement"))
+    return seen.groupBy("doc_id").agg(F.count("*").alias("shown"), F.count_if(privacy.statement_valid(got, F.lit(b"salt"), F.col("hash"))).alias("valid"))
+
+
+@query("""
+SELECT 'vk://' || conv_id AS uri, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE count(DISTINCT role || text) END AS entries, CASE WHEN conv_id % 3 = 0 THEN 'integrity' END AS error FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def package_roundtrip(spark, d):
+    """A package for each conversation, written and read; every third one holds an altered entry."""
+    body = F.concat("role", "text")
+    turns = read(spark, d, "conversations").where("text is not null").select("conv_id", F.concat(F.lit("vk://"), F.col("conv_id")).alias("uri"), hashing.sha256(body).alias("hash"), body.alias("body")).dropDuplicates(["uri", "hash"])
+    data = F.when(F.col("conv_id") % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")).cast("binary")
+    heads = turns.select("uri").distinct().select("uri", F.lit("key:a").alias("authority"), F.unhex(F.sha2("uri", 256)).alias("public_key"))
+    told = packages.load(packages.export(heads, turns.select("uri", "hash", data.alias("bytes"))))
+    return told.groupBy("uri").agg(F.count("hash").alias("entries"), F.max("error").alias("error"))
