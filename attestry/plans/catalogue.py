@@ -888,3 +888,15 @@ def package_roundtrip(spark, d):
     heads = turns.select("uri").distinct().select("uri", F.lit("key:a").alias("authority"), F.unhex(F.sha2("uri", 256)).alias("public_key"))
     told = packages.load(packages.export(heads, turns.select("uri", "hash", data.alias("bytes"))))
     return told.groupBy("uri").agg(F.count("hash").alias("entries"), F.max("error").alias("error"))
+
+
+@query("""
+SELECT 'urn:vk:nation/' || n_nationkey AS s, n_name AS name, 'urn:vk:region/' || n_regionkey AS region, 'urn:vk:graph/' || (n_nationkey % 3) AS graph FROM nation""")
+def trig_graph(spark, d):
+    """Nations as TriG documents, each in a graph of its own kind, asked for what a nested node says."""
+    k = F.col("n_nationkey")
+    doc = F.concat(F.lit(f"@prefix v: <{BASE}> .\nGRAPH <{BASE}graph/"), k % 3, F.lit(f"> {{ <{BASE}nation/"), k, F.lit('> a v:Nation ;\n  v:told [ v:name "'), F.col("n_name"), F.lit(f'" ; v:in <{BASE}region/'), F.col("n_regionkey"), F.lit("> ] . }"))
+    g = graphs.build_graph(read(spark, d, "nation").select(k.alias("doc_id"), doc.alias("text")), "doc_id", "text", "application/trig")
+    told = patterns.pattern(g, N, p("told"), Var("b"), Var("g"))
+    rows = patterns.join(patterns.join(told, patterns.pattern(g, Var("b"), p("name"), Var("name"), Var("g"))), patterns.pattern(g, Var("b"), p("in"), R, Var("g")))
+    return rows.select(F.col("n.value").alias("s"), F.col("name.value").alias("name"), F.col("r.value").alias("region"), F.col("g.value").alias("graph"))

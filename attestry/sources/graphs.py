@@ -1,4 +1,4 @@
-"""Loading graphs: JSON-LD documents and N-Quads or N-Triples text as statement tables.
+"""Loading graphs: JSON-LD, Turtle and TriG documents, N-Quads or N-Triples text as statement tables.
 
 Contexts come from the document or from a registry that the caller hands over; nothing is fetched.
 """
@@ -6,7 +6,7 @@ Contexts come from the document or from a registry that the caller hands over; n
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from attestry.functions.jsondoc import number_text
 from attestry.functions.terms import XSD
 from attestry.operators import quads
 from attestry.operators.quads import RDF_TYPE
+from attestry.sources import turtle
 
 #: The list vocabulary and the entailment modes.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -175,6 +176,19 @@ def json_ld_lines(docs: DataFrame, id_col: str, text_col: str, registry: dict[st
     limit gives one row with the error. Null documents give nothing.
     """
     known = registry or {}
+    return _each(docs, id_col, text_col, lambda text: lines_of(text, known, base, most_nodes))
+
+
+def turtle_lines(docs: DataFrame, id_col: str, text_col: str, base: str | None = None, named_graphs: bool = False) -> DataFrame:
+    """doc_id, quad, error: the statement lines of Turtle documents, or of TriG ones with ``named_graphs``.
+
+    A document that is not well formed gives one row with the error. Null documents give nothing.
+    """
+    return _each(docs, id_col, text_col, lambda text: turtle.lines_of(text, base, named_graphs))
+
+
+def _each(docs: DataFrame, id_col: str, text_col: str, lines: Callable[[str], list[str]]) -> DataFrame:
+    """The lines that a function gives for each document, or its error."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,10 +197,10 @@ def json_ld_lines(docs: DataFrame, id_col: str, text_col: str, registry: dict[st
                 if text is None:
                     continue
                 try:
-                    lines = lines_of(text, known, base, most_nodes)
-                    row += [k] * len(lines)
-                    out += lines
-                    errors += [None] * len(lines)
+                    told = lines(text)
+                    row += [k] * len(told)
+                    out += told
+                    errors += [None] * len(told)
                 except (ValueError, TypeError, AttributeError, RecursionError) as e:
                     row, out, errors = [*row, k], [*out, None], [*errors, str(e)[:200]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(out, pa.string()), pa.array(errors, pa.string())], ["doc_id", "quad", "error"])
@@ -200,6 +214,11 @@ def load_json_ld(docs: DataFrame, id_col: str, text_col: str, **options) -> Data
     return scoped(quads.parse(json_ld_lines(docs, id_col, text_col, **options).where("error is null")))
 
 
+def load_turtle(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """The statement table of Turtle or TriG documents; blank nodes are told apart by document."""
+    return scoped(quads.parse(turtle_lines(docs, id_col, text_col, **options).where("error is null")))
+
+
 def load_n_quads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The statement table of N-Quads or N-Triples texts."""
     return scoped(quads.parse(quads.quad_set(docs, text_col, id_col)))
@@ -226,6 +245,8 @@ def build_graph(docs: DataFrame, id_col: str, text_col: str, media: str = "appli
         return load_json_ld(docs, id_col, text_col, **options)
     if media in ("application/n-quads", "application/n-triples"):
         return load_n_quads(docs, id_col, text_col)
+    if media in ("text/turtle", "application/trig"):
+        return load_turtle(docs, id_col, text_col, named_graphs=media == "application/trig", **options)
     raise ValueError(f"no reader for {media}")
 
 
