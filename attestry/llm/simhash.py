@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from attestry.llm import sketch
 from attestry.llm.common import checkpoint, mix, sorted_groups, text_buffer
 from attestry.llm.components import connected_components
-from attestry.llm.tiles import link, link_wide
+from attestry.llm.tiles import link, link_sets, link_wide
 
 #: Fixed values of the contract: words of a shingle, seed of XXH64, differing bits of a link.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -141,15 +141,27 @@ def wide_print(text: bytes, words: int, seed: int = SEED) -> tuple[int, np.ndarr
     return len(hashes), np.array([majority(mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(4)], np.uint64)
 
 
+def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """The different shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(text, words, seed))
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """A signed long that names a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
+
+
 def wide_prints(text: Column, words: int) -> Column:
-    """A struct of the number of shingles and the fingerprint's 32 bytes; null: zero of both."""
+    """A struct of the number of shingles, the fingerprint's 32 bytes and the set's name; null: as empty."""
 
-    @F.arrow_udf("n long, wide binary")
+    @F.arrow_udf("n long, wide binary, name long")
     def of(column: pa.Array) -> pa.Array:
         raw, at = text_buffer(column)
         held = raw.tobytes()
-        told = [wide_print(held[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        return pa.StructArray.from_arrays([pa.array([n for n, _ in told], pa.int64()), pa.array([w.tobytes() for _, w in told], pa.binary())], ["n", "wide"])
+        texts = [held[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        told = [wide_print(t, words) for t in texts]
+        names = [set_name(shingle_set(t, words)) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in told], pa.int64()), pa.array([w.tobytes() for _, w in told], pa.binary()), pa.array(names, pa.int64())], ["n", "wide", "name"])
 
     return of(text)
 
@@ -188,57 +200,61 @@ def similar_links(prints: DataFrame, similarity: float, tile: int = 8192) -> Dat
                 names = group["name"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
 
-    # by name too: which of equally near pairs make up a forest must not depend on the order of arrival
-    return placed.repartition("pair").sortWithinPartitions("pair", "side", "name").mapInArrow(compare, "a long, b long")
+    return placed.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row for each input row: doc_id, name (of the fingerprint), component_id.
+    """One row for each input row: doc_id, name (of the set of shingles), component_id.
 
-    Documents are linked at ``similarity`` of their word shingles or more. Candidates are the nearest
-    pairs, by 256 bits, that connect what may be similar; their sets of shingles decide.
-    Null and empty texts are alike. Equal fingerprints are one component; nulls as in
+    Documents are linked at ``similarity`` of their word shingles or more. Links by 256 bits make up
+    groups of what may be similar; inside a group, sets of shingles are compared exactly.
+    Null and empty texts are alike. Equal sets are one component; nulls as in
     ``near_duplicates``.
     """
-    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words).alias("p")).select("doc_id", "p.*", F.xxhash64("p").alias("name")))
+    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words).alias("p")).select("doc_id", "p.*"))
     prints = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide")))
-    links = checkpoint(similar_links(prints.select("name", "n", "wide"), similarity).distinct())
-    return _classes(rows, prints, "name", connected_components(_verified(docs, id_col, text_col, prints, links, words, similarity)))
+    groups = connected_components(similar_links(prints.select("name", "n", "wide"), similarity))
+    links = _verified(docs.select(F.col(text_col).alias("text")), prints.select("name", "n"), checkpoint(groups), words, similarity)
+    return _classes(rows, prints, "name", connected_components(links))
 
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links whose documents' sets of shingles have the similarity. Links of rows without ids go.
+def _verified(docs: DataFrame, prints: DataFrame, groups: DataFrame, words: int, similarity: float, tile: int = 1024, most: int = 1 << 20) -> DataFrame:
+    """``(a, b)``: links that connect all sets of a group with the similarity or more.
 
-    Only texts at the end of a link travel: a sketch of their ids picks them before the join.
+    Only sets in a group travel: a sketch of their names picks them before the join. A group above
+    ``tile`` sets or ``most`` shingles is cut by name, and each pair of tiles is a task's group of its own.
     """
-    ids = prints.select("name", "least")
-    ends = links.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b")
-    needed = checkpoint(ends.select(F.explode(F.array("i", "j")).alias("id")).distinct().where("id is not null"))
+    members = checkpoint(prints.join(groups.select(F.col("node").alias("name"), "component"), "name"))
     spark = docs.sparkSession
-    maybe = spark.sparkContext.broadcast(sketch.of_longs(needed.select(F.xxhash64("id").alias("id")), "id"))
-
-    @F.arrow_udf("boolean")
-    def picked(name: pa.Array) -> pa.Array:
-        return pa.array(maybe.value.passes(name.to_numpy(zero_copy_only=False).view(np.uint64)))
+    maybe = spark.sparkContext.broadcast(sketch.of_longs(members, "name"))
+
+    def pick(batches):
+        for batch in batches:
+            raw, at = text_buffer(batch["text"])
+            held = raw.tobytes()
+            sets = [shingle_set(held[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            names = np.array([set_name(s) for s in sets], np.int64)
+            kept = np.flatnonzero(maybe.value.passes(names.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array([sets[k].tobytes() for k in kept], pa.binary())], ["name", "set"])
+
+    found = docs.mapInArrow(pick, "name long, set binary")
+    sets = found.groupBy("name").agg(F.min("set").alias("set"))
+    parts = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / most)).alias("parts")).where("parts > 1")
+    cut = members.join(parts, "component", "left").select("name", "component", F.coalesce("parts", F.lit(1)).alias("parts"))
+    cut = cut.select("name", "component", F.expr("pmod(name, parts)").alias("mine"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
+    spread = cut.select("name", F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    placed = spread.join(sets, "name")
 
-    @F.arrow_udf("binary")
-    def shingles(column: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes((t.as_py() or "").encode(), words)).tobytes() for t in column], pa.binary())
-
-    @F.arrow_udf("double")
-    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
-        return pa.array(out, pa.float64())
+    def compare(batches):
+        for group in sorted_groups(batches, ["pair"]):
+            if group.num_rows > 1:
+                held = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["set"]]
+                a, b = link_sets(np.concatenate(held), np.array([len(s) for s in held]), group["side"].to_numpy(), similarity)
+                if len(a):
+                    names = group["name"].combine_chunks()
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
 
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(picked(F.xxhash64("id")))
-    texts = some.join(needed, "id").groupBy("id").agg(F.min("text").alias("text"))  # one, where ids repeat
-    sets = checkpoint(texts.select("id", shingles("text").alias("set")))
-    told = ends.join(sets.toDF("i", "x"), "i").join(sets.toDF("j", "y"), "j")
-    return told.where(jaccard("x", "y") >= similarity).select("a", "b")
+    return placed.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a long, b long")
 
 
 def _classes(rows: DataFrame, prints: DataFrame, name: str, members: DataFrame) -> DataFrame:
@@ -259,7 +275,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     whole = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"))
     if not several:
         return whole.join(kept.select("i"), F.col("doc_id") == F.col("i"), "left_semi").select("whole.*")
-    named = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"), F.xxhash64(wide_prints(F.col(text_col), words)).alias("name"))
+    named = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words)["name"].alias("name"))
     stay = named.join(kept, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("name") == F.col("p")), "left_semi")
     return stay.groupBy("doc_id", "name").agg(F.first("whole").alias("whole")).select("whole.*")
 

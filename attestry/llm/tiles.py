@@ -31,15 +31,6 @@ class Forest:
             used.append(place[first])
 
 
-def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, n: int) -> np.ndarray:
-    """The places of pairs that make up a spanning forest of least distances."""
-    forest, used = Forest(n), []
-    order = np.argsort(apart, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(apart[order])) + 1):
-        used.append(part[forest.join(a[part], b[part])])
-    return np.concatenate([np.zeros(0, np.int64), *used])
-
-
 def link(prints: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected at ``radius``: each row and the first of its component.
 
@@ -70,7 +61,7 @@ def link(prints: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray,
 
 
 def link_wide(prints: np.ndarray, sizes: np.ndarray, side: np.ndarray, radius: int, first: int, ratio: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of 256-bit fingerprints: a spanning forest of those within the radius, nearest first.
+    """Pairs of rows of 256-bit fingerprints: a spanning forest of those within the radius.
 
     Rows of different sides are compared, or all rows where there is one side only. The first 64 bits
     of a pair decide whether the others are looked at; the sizes of a pair are in the ratio or more.
@@ -80,6 +71,7 @@ def link_wide(prints: np.ndarray, sizes: np.ndarray, side: np.ndarray, radius: i
     prints, sizes, counts = prints[order], sizes[order], counts[order].astype(int)
     cut, n, found = int(np.searchsorted(side[order], 1)), len(prints), []
     left, right = (range(0, n, tile), None) if cut in (0, n) else (range(0, cut, tile), range(cut, n, tile))
+    forest = Forest(n)
     for i in left:
         end = min(i + tile, n if right is None else cut)
         for j in range(i, n, tile) if right is None else right:
@@ -89,13 +81,51 @@ def link_wide(prints: np.ndarray, sizes: np.ndarray, side: np.ndarray, radius: i
             x, y = np.nonzero(np.bitwise_count(prints[i:end, None, 0] ^ prints[None, j:stop, 0]) <= first)
             x, y = x + i, y + j
             apart = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=int)
-            near = np.flatnonzero((apart <= radius) & (x != y) & (np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y])))
-            if len(near):
-                x, y, apart = x[near], y[near], apart[near]
-                some = nearest(x, y, apart, n)
-                found.append((x[some], y[some], apart[some]))
+            near = (apart <= radius) & (x != y) & (np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y]) - 1e-9)
+            x, y = x[near], y[near]
+            some = forest.join(x, y)
+            found.append((x[some], y[some]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x, y, apart = (np.concatenate(z) for z in zip(*found))
-    some = nearest(x, y, apart, n)
-    return order[x[some]], order[y[some]]
+    x, y = (np.concatenate(z) for z in zip(*found))
+    return order[x], order[y]
+
+
+def link_sets(flat: np.ndarray, sizes: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all sets whose Jaccard similarity is reached, as pairs of rows.
+
+    ``flat`` holds the sets end to end. Rows of different sides are compared, or all rows where there is
+    one side only. Sets this similar share one of the rarest members of each: these choose what is
+    counted. A row that a link has reached is compared once more, with the rows not yet reached.
+    """
+    n, at = len(sizes), np.concatenate(([0], np.cumsum(sizes)))
+    members, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((code, often[code], row))
+    code = code[order]
+    short = sizes - np.ceil(similarity * sizes - 1e-9).astype(int) + 1
+    rare = np.flatnonzero(np.arange(len(code)) - at[row] < short[row])
+    rare = rare[np.argsort(code[rare], kind="stable")]
+    holders, places = row[rare], np.searchsorted(code[rare], np.arange(len(members) + 1))
+    apart = len(np.unique(side)) > 1
+    left, marked, a, b = np.ones(n, bool), np.zeros(len(members), bool), [], []
+    for root in range(n):
+        reached = [root] if left[root] else []
+        left[root] = False
+        while reached:
+            x = reached.pop()
+            mine = code[at[x] : at[x + 1]]
+            maybe = np.zeros(n, bool)
+            for c in mine[: short[x]].tolist():
+                maybe[holders[places[c] : places[c + 1]]] = True
+            maybe &= left & (side != side[x]) if apart else left
+            marked[mine] = True
+            for y in np.flatnonzero(maybe).tolist():
+                both = np.count_nonzero(marked[code[at[y] : at[y + 1]]])
+                if both >= similarity * (len(mine) + sizes[y] - both) - 1e-9:
+                    a.append(x)
+                    b.append(y)
+                    left[y] = False
+                    reached.append(y)
+            marked[mine] = False
+    return np.array(a, np.int64), np.array(b, np.int64)

@@ -6,11 +6,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, simhash, substring_dedup, suffix_dedup
+from attestry.llm import exact_dedup, simhash, substring_dedup, suffix_dedup, tiles
 from attestry.llm.suffix_repeats import array, intervals
 
 #: Columns with names that the operators use inside, to show that they do not clash.
@@ -251,6 +252,54 @@ def test_similar_documents_match_brute_force(spark):
     assert all(len(x) == 1 for x in together.values())
 
 
+def shingle_sets(rows):
+    out = []
+    for _, t in rows:
+        w = words_of((t or "").lower())
+        out.append(frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)][: len(w)]))
+    return out
+
+
+def brute_similar(rows):
+    """The pairs (doc_id, component_id) of exact similarity."""
+    least, of = {}, brute_components(shingle_sets(rows), lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
+    for (doc, _), c in zip(rows, of):
+        least[c] = min(doc, least.get(c, doc))
+    return {(doc, least[c]) for (doc, _), c in zip(rows, of)}
+
+
+def test_copies_of_one_document_are_one_group(spark):
+    """Each copy is near the base document only; links among the copies fail."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(204)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        told = list(base)
+        for at in rng.sample(range(4, 200, 6), 4):
+            told[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(told)))
+    want = brute_similar(rows)
+    assert {c for _, c in want} == {0}
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(table(spark, rows)).collect()} == want
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_link_sets_match_brute_force(sides):
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(120):
+        kept = sets[rng.integers(len(sets))] if sets and rng.random() < 0.7 else rng.integers(0, 500, rng.integers(1, 60)).astype(np.uint64)
+        kept = kept[rng.random(len(kept)) > 0.06]
+        sets.append(np.unique(np.append(kept, rng.integers(0, 500, rng.integers(1, 3)).astype(np.uint64))))
+    side = np.arange(120) % sides
+    a, b = tiles.link_sets(np.concatenate(sets), np.array([len(s) for s in sets]), side, 0.8)
+    pairs = [(i, j) for i in range(120) for j in range(i) if sides == 1 or side[i] != side[j]]
+    true = {(i, j) for i, j in pairs if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    got = {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    assert got <= true and true
+    assert brute_components(range(120), lambda i, j: (i, j) in got) == brute_components(range(120), lambda i, j: (i, j) in true)
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "q r s t u v w"), (9, None), (8, ""), (2, "q r s t u v w")]
     got = simhash.dedup(table(spark, rows))
