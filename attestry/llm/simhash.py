@@ -135,6 +135,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Of the near-duplicate stage: sets of fewer shingles are joined on their members, larger ones by
+#: fingerprints within the expected distance and so many deviations.
+FEWEST, DEVIATIONS = 12, 5
+
+
 def wide_print(text: bytes, words: int, seed: int = SEED) -> tuple[int, np.ndarray]:
     """Number of shingles and a fingerprint of 256 bits, from four mixtures of each shingle's hash."""
     hashes = shingle_hashes(text, words, seed)
@@ -146,39 +151,78 @@ def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
     return np.unique(shingle_hashes(text, words, seed))
 
 
+def sets_of(column: pa.Array, words: int) -> list[np.ndarray]:
+    """The set of each text of a column."""
+    raw, at = text_buffer(column)
+    held = raw.tobytes()
+    return [shingle_set(held[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def set_name(shingles: np.ndarray) -> int:
     """A signed long that names a set of shingles."""
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-def wide_prints(text: Column, words: int) -> Column:
-    """A struct of the number of shingles, the fingerprint's 32 bytes and the set's name; null: as empty."""
+def wide_prints(text: Column, words: int, most: int = 0) -> Column:
+    """A struct of the number of shingles, the fingerprint's 32 bytes and the set's name; null: as empty.
 
-    @F.arrow_udf("n long, wide binary, name long")
+    ``few`` is the set itself, if it has ``most`` members or less.
+    """
+
+    @F.arrow_udf("n long, wide binary, name long, few array<long>")
     def of(column: pa.Array) -> pa.Array:
         raw, at = text_buffer(column)
         held = raw.tobytes()
-        texts = [held[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        told = [wide_print(t, words) for t in texts]
-        names = [set_name(shingle_set(t, words)) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([n for n, _ in told], pa.int64()), pa.array([w.tobytes() for _, w in told], pa.binary()), pa.array(names, pa.int64())], ["n", "wide", "name"])
+        told = [wide_print(held[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        sets = sets_of(column, words)
+        few = pa.array([s.view(np.int64) if len(s) <= most else None for s in sets], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in told], pa.int64()), pa.array([w.tobytes() for _, w in told], pa.binary()), pa.array([set_name(s) for s in sets], pa.int64()), few], ["n", "wide", "name", "few"])
 
     return of(text)
 
 
+def bit_share(x: int, y: int, similarity: float) -> float:
+    """The share of bits in which fingerprints of x and y shingles differ, at the least overlap that is similar."""
+    both = math.ceil(similarity * (x + y) / (1 + similarity) - 1e-9)
+    if both > min(x, y):
+        return 0.0
+
+    def ones(n: int) -> np.ndarray:
+        return np.array([comb(n, k) / 2**n for k in range(n + 1)])
+
+    def over(n: int, held: int) -> float:  # more than half of n bits are set, where ``held`` of the shared ones are
+        return float(ones(n - both)[max(0, n // 2 + 1 - held) :].sum())
+
+    told = [(over(x, k), over(y, k)) for k in range(both + 1)]
+    return float(sum(p * (a * (1 - b) + b * (1 - a)) for p, (a, b) in zip(ones(both), told)))
+
+
+def small_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links of rows (name, few) that connect all similar sets of which one has less than ``FEWEST`` shingles.
+
+    Such sets share one of the least members of each, as many as may differ and one more. Each set is
+    linked to one that holds such a member too, so a group has one link for each of its sets.
+    """
+    short = F.size("few") - F.ceil(F.size("few") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
+    rows = checkpoint(prints.where(F.size("few") > 0).select("name", F.explode(F.slice("few", F.lit(1), short)).alias("key")))
+    heads = rows.groupBy("key").agg(F.min("name").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(heads, "key").where("name <> b").select(F.col("name").alias("a"), "b")
+
+
 def similar_links(prints: DataFrame, similarity: float, tile: int = 8192) -> DataFrame:
     """``(a, b)``: links between rows (name, n, wide) that connect all with the similarity or more.
 
-    A Jaccard similarity s of shingle sets is a share acos(2s / (1 + s)) / pi of differing bits, give
-    or take; the radius allows for a deviation and a quarter of that. Sets this similar have sizes in the
-    ratio s or more, so rows are laid out in classes of size, and tiles only meet those of their own
-    and the neighbouring classes. This compares all rows of like size: the square of a class.
+    Two sets this similar differ in a share of bits that follows from their sizes (``bit_share``); the
+    radius is that of the worst sizes from ``FEWEST`` shingles on, plus ``DEVIATIONS``. Sets this similar
+    have sizes in the ratio s or more, so rows are laid out in classes of size, and tiles only meet
+    those of their own and the neighbouring classes. This compares all rows of like size: the square of
+    a class. Smaller sets take no part: ``small_links`` has theirs.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(256 * share + 1.25 * math.sqrt(256 * share * (1 - share)))
-    first = int(64 * share + 2.5 * math.sqrt(64 * share * (1 - share)))
+    share = max(bit_share(x, y, similarity) for x in range(FEWEST, 4 * FEWEST) for y in range(x, int(x / similarity + 1e-9) + 1))
+    share = max(share, math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    radius, second, first = (math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))) for bits in (256, 128, 64))
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(similarity))).cast("int")
-    rows = prints.select("name", "n", "wide", size_class.alias("c"))
+    rows = prints.where(F.col("n") >= FEWEST).select("name", "n", "wide", size_class.alias("c"))
     salts = {c: -(-n // tile) for c, n in rows.groupBy("c").count().collect()}  # some tens of classes
     if not salts:
         return prints.sparkSession.createDataFrame([], "a long, b long")
@@ -195,7 +239,7 @@ def similar_links(prints: DataFrame, similarity: float, tile: int = 8192) -> Dat
         for group in sorted_groups(batches, ["pair"]):
             side = group["side"].to_numpy()
             wide = np.frombuffer(b"".join(group["wide"].to_pylist()), "<u8").reshape(-1, 4)
-            a, b = link_wide(wide, group["n"].to_numpy(), side, radius, first, similarity)
+            a, b = link_wide(wide, group["n"].to_numpy(), side, (first, second, radius), similarity)
             if len(a):
                 names = group["name"].combine_chunks()
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
@@ -206,15 +250,17 @@ def similar_links(prints: DataFrame, similarity: float, tile: int = 8192) -> Dat
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each input row: doc_id, name (of the set of shingles), component_id.
 
-    Documents are linked at ``similarity`` of their word shingles or more. Links by 256 bits make up
-    groups of what may be similar; inside a group, sets of shingles are compared exactly.
+    Documents are linked at ``similarity`` of their word shingles or more. Links by 256 bits, or by
+    members of small sets, make up groups of what may be similar; inside a group, sets of shingles are compared exactly.
     Null and empty texts are alike. Equal sets are one component; nulls as in
     ``near_duplicates``.
     """
-    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words).alias("p")).select("doc_id", "p.*"))
-    prints = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide")))
-    groups = connected_components(similar_links(prints.select("name", "n", "wide"), similarity))
-    links = _verified(docs.select(F.col(text_col).alias("text")), prints.select("name", "n"), checkpoint(groups), words, similarity)
+    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words, int(FEWEST / similarity)).alias("p")).select("doc_id", "p.*"))
+    prints = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide"), F.min("few").alias("few")))
+    texts = docs.select(F.col(text_col).alias("text"))
+    near = similar_links(prints.select("name", "n", "wide"), similarity).unionByName(small_links(prints, similarity))
+    groups = connected_components(near)
+    links = _verified(texts, prints.select("name", "n"), checkpoint(groups), words, similarity)
     return _classes(rows, prints, "name", connected_components(links))
 
 
@@ -230,9 +276,7 @@ def _verified(docs: DataFrame, prints: DataFrame, groups: DataFrame, words: int,
 
     def pick(batches):
         for batch in batches:
-            raw, at = text_buffer(batch["text"])
-            held = raw.tobytes()
-            sets = [shingle_set(held[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            sets = sets_of(batch["text"], words)
             names = np.array([set_name(s) for s in sets], np.int64)
             kept = np.flatnonzero(maybe.value.passes(names.view(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array([sets[k].tobytes() for k in kept], pa.binary())], ["name", "set"])

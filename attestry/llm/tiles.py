@@ -60,12 +60,14 @@ def link(prints: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray,
     return prints[moved], prints[top[moved]]
 
 
-def link_wide(prints: np.ndarray, sizes: np.ndarray, side: np.ndarray, radius: int, first: int, ratio: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def link_wide(prints: np.ndarray, sizes: np.ndarray, side: np.ndarray, radii: tuple[int, int, int], ratio: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of 256-bit fingerprints: a spanning forest of those within the radius.
 
-    Rows of different sides are compared, or all rows where there is one side only. The first 64 bits
-    of a pair decide whether the others are looked at; the sizes of a pair are in the ratio or more.
+    Rows of different sides are compared, or all rows where there is one side only. The first 64 and
+    128 bits of a pair, at radii of their own, decide whether the others are looked at; the sizes of a
+    pair are in the ratio or more.
     """
+    first, second, radius = radii
     counts = np.bitwise_count(prints[:, 0])
     order = np.lexsort((counts, side))
     prints, sizes, counts = prints[order], sizes[order], counts[order].astype(int)
@@ -80,8 +82,10 @@ def link_wide(prints: np.ndarray, sizes: np.ndarray, side: np.ndarray, radius: i
                 continue
             x, y = np.nonzero(np.bitwise_count(prints[i:end, None, 0] ^ prints[None, j:stop, 0]) <= first)
             x, y = x + i, y + j
+            near = (x != y) & (np.bitwise_count(prints[x, 0] ^ prints[y, 0]) + np.bitwise_count(prints[x, 1] ^ prints[y, 1]) <= second)
+            x, y = x[near], y[near]
             apart = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=int)
-            near = (apart <= radius) & (x != y) & (np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y]) - 1e-9)
+            near = (apart <= radius) & (np.minimum(sizes[x], sizes[y]) >= ratio * np.maximum(sizes[x], sizes[y]) - 1e-9)
             x, y = x[near], y[near]
             some = forest.join(x, y)
             found.append((x[some], y[some]))

@@ -283,6 +283,19 @@ def test_copies_of_one_document_are_one_group(spark):
     assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(table(spark, rows)).collect()} == want
 
 
+def test_sets_just_similar_are_linked_whatever_their_size(spark):
+    """Pairs of sets of k shingles out of 1.25 k: a similarity of 0.8 or a little more."""
+    rows, pairs = [], []
+    for size in (4, 5, 8, 11, 12, 13, 20, 60, 200):
+        for k in range(30):
+            told = [f"{size}-{k}-{i}" for i in range(size + 4)]
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(told)), (len(rows) + 1, " ".join(told + [f"more{i}" for i in range(size // 4)]))]
+    want = brute_similar(rows[:240]) | {(x, i) for i, j in pairs[120:] for x in (i, j)}
+    assert want == {(x, i) for i, j in pairs for x in (i, j)}
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(table(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize("sides", [1, 2])
 def test_link_sets_match_brute_force(sides):
     rng = np.random.default_rng(2)
