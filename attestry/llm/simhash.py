@@ -140,10 +140,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 FEWEST, DEVIATIONS = 12, 5
 
 
-def wide_print(text: bytes, words: int, seed: int = SEED) -> tuple[int, np.ndarray]:
-    """Number of shingles and a fingerprint of 256 bits, from four mixtures of each shingle's hash."""
-    hashes = shingle_hashes(text, words, seed)
-    return len(hashes), np.array([majority(mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(4)], np.uint64)
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of 256 bits, from four mixtures of each hash."""
+    return np.array([majority(mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(4)], np.uint64)
 
 
 def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -164,19 +163,16 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def wide_prints(text: Column, words: int, most: int = 0) -> Column:
-    """A struct of the number of shingles, the fingerprint's 32 bytes and the set's name; null: as empty.
+    """A struct of the number of different shingles, the fingerprint's 32 bytes and the set's name; null: as empty.
 
     ``few`` is the set itself, if it has ``most`` members or less.
     """
 
     @F.arrow_udf("n long, wide binary, name long, few array<long>")
     def of(column: pa.Array) -> pa.Array:
-        raw, at = text_buffer(column)
-        held = raw.tobytes()
-        told = [wide_print(held[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         sets = sets_of(column, words)
         few = pa.array([s.view(np.int64) if len(s) <= most else None for s in sets], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array([n for n, _ in told], pa.int64()), pa.array([w.tobytes() for _, w in told], pa.binary()), pa.array([set_name(s) for s in sets], pa.int64()), few], ["n", "wide", "name", "few"])
+        return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary()), pa.array([set_name(s) for s in sets], pa.int64()), few], ["n", "wide", "name", "few"])
 
     return of(text)
 

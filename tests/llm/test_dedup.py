@@ -296,6 +296,16 @@ def test_sets_just_similar_are_linked_whatever_their_size(spark):
     assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(table(spark, rows)).collect()} == want
 
 
+def test_similarity_is_that_of_sets_where_texts_repeat_themselves(spark):
+    """A body told three times is near the same body told once; so are texts that repeat different lines."""
+    body = [f"w{k}" for k in range(100)]
+    lines = [" ".join(f"{a}{k}" for k in range(40)) for a in "pqrs"]
+    rows = [(1, " ".join(body)), (None, " ".join(body * 3)), (3, " ".join(lines + lines[:1] * 9)), (4, " ".join(lines + lines[3:] * 9))]
+    want = brute_similar([(i or 2, t) for i, t in rows])
+    assert {c for _, c in want} == {1, 3}
+    assert {(r.doc_id or 2, r.component_id) for r in simhash.similar_documents(table(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize("sides", [1, 2])
 def test_link_sets_match_brute_force(sides):
     rng = np.random.default_rng(2)
