@@ -27,13 +27,13 @@ WINDOW, END = 2048, 1  # fixed values of the contract
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, window: int = WINDOW, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece; null text is empty, one end id."""
     with open(tokenizer, encoding="utf-8") as f:  # read by the driver, so executors need no file
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared.value, added)
         for batch in batches:
             row, start, length, crc, whole = [], [], [], [], []
             for k, text in enumerate(batch["text"]):
@@ -118,14 +118,15 @@ def slots(counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, rows_per_range: int = 4_096) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, rows_per_range: int = 4_096, added: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one end id. Texts of any length are cut into as many pieces as they
-    need. Rows with null or equal ids are packed as documents of their own. An empty table gives an
+    need. Strings of added tokens are ordinary text, or with ``added`` those tokens, as ``tokenizers``
+    has it by default. Rows with null or equal ids are packed as documents of their own. An empty table gives an
     empty result. Other columns are not read.
     """
-    told = checkpoint(pieces(docs, id_col, text_col, tokenizer or str(public_tokenizers.path(TOKENIZER)), window).withColumn("key", F.xxhash64("doc_id", "start", "ids_crc32")))
+    told = checkpoint(pieces(docs, id_col, text_col, tokenizer or str(public_tokenizers.path(TOKENIZER)), window, added=added).withColumn("key", F.xxhash64("doc_id", "start", "ids_crc32")))
     counts = np.zeros(window + 1, np.int64)
     for length, n in told.groupBy("length").count().collect():  # at most ``window`` rows
         counts[length] = n
@@ -152,4 +153,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), added=True)

@@ -27,9 +27,10 @@ def _visible() -> dict[str, int]:
 
 
 class Encoder:
-    """Encodes texts; strings of special tokens in a text are ordinary text."""
+    """Encodes texts. Strings of added tokens in a text are ordinary text, or with ``added`` those tokens."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, added: bool = False) -> None:
+        self.spec, self.added, self.general = spec, added, None
         told = json.loads(spec)
         vocabulary, merges = told["model"]["vocab"], told["model"]["merges"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
@@ -38,8 +39,14 @@ class Encoder:
             byte = _visible()
             special = {t["content"] for t in told["added_tokens"]}
             ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items() if token not in special}
-            self.ids = tiktoken.Encoding("bytes", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            fast = tiktoken.Encoding("bytes", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.ids = lambda text: self.general_ids(text) if added and any(t in text for t in special) else fast(text)
         else:
-            tokenizer = Tokenizer.from_str(spec)
-            tokenizer.encode_special_tokens = True
-            self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self.ids = self.general_ids
+
+    def general_ids(self, text: str) -> list[int]:
+        """The ids by ``tokenizers`` itself."""
+        if self.general is None:
+            self.general = Tokenizer.from_str(self.spec)
+            self.general.encode_special_tokens = not self.added
+        return self.general.encode(text, add_special_tokens=False).ids

@@ -126,6 +126,16 @@ def test_packing_is_the_same_again_and_of_nothing(spark):
     assert sum(r.length for r in twice) == 3 + 3 + 2
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_registered_packing_takes_added_tokens_as_the_tokenizer_does(spark, tmp_path, monkeypatch, name):
+    texts = ["hi <|endoftext|> there", "<|endoftext|><|endoftext|>", "plain text", "< |endoftext|>"]
+    table(spark, [(i, t, "s") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(packing, "TOKENIZER", name)
+    t = Tokenizer.from_file(str(public_tokenizers.path(name)))
+    want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, x in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in packing.op5_packing(spark, str(tmp_path)).collect()} == want
+
+
 def test_other_vocabularies_run_on_the_general_tokenizer(spark):
     rows = [(1, "Hello there", "s"), (2, None, "s")]
     name = str(public_tokenizers.path("word_bpe_49k.json"))
