@@ -150,44 +150,34 @@ def double_text(x: float) -> str:
     return f"{digits}{'0' if digits.endswith('.') else ''}E{int(power)}"
 
 
-def estimate_nodes(value: object) -> int:
-    """Non-empty objects without an ``@id``, contexts and values counted like any other."""
-    if isinstance(value, list):
-        return sum(map(estimate_nodes, value))
-    if not isinstance(value, dict):
-        return 0
-    return int(bool(value) and "@id" not in value) + sum(map(estimate_nodes, value.values()))
-
-
-def lines_of(text: str, registry: dict[str, dict], base: str | None, most_nodes: int) -> list[str]:
+def lines_of(text: str, registry: dict[str, dict], base: str | None) -> list[str]:
     document = json.loads(text)
-    if estimate_nodes(document) > most_nodes:
-        raise ValueError("too many blank nodes")
     said = Statements()
     for item in document if isinstance(document, list) else [document]:
         said.node(item, Context(registry, base), None)
     return list(dict.fromkeys(said.out))
 
 
-def json_ld_lines(docs: DataFrame, id_col: str, text_col: str, registry: dict[str, dict] | None = None, base: str | None = None, most_nodes: int = 1000) -> DataFrame:
-    """doc_id, quad, error: the statement lines of JSON-LD documents.
+def json_ld_lines(docs: DataFrame, id_col: str, text_col: str, registry: dict[str, dict] | None = None, base: str | None = None, strict: bool = False) -> DataFrame:
+    """doc_id, quad, error: the statement lines of JSON-LD documents, of any size.
 
-    A document that is no JSON, names a context outside the registry or has more blank nodes than the
-    limit gives one row with the error. Null documents give nothing.
+    A document that is no JSON or names a context outside the registry gives one row with the error, or
+    raises with ``strict``. Null documents give nothing.
     """
     known = registry or {}
-    return _each(docs, id_col, text_col, lambda text: lines_of(text, known, base, most_nodes))
+    return _each(docs, id_col, text_col, lambda text: lines_of(text, known, base), strict)
 
 
-def turtle_lines(docs: DataFrame, id_col: str, text_col: str, base: str | None = None, named_graphs: bool = False) -> DataFrame:
+def turtle_lines(docs: DataFrame, id_col: str, text_col: str, base: str | None = None, named_graphs: bool = False, strict: bool = False) -> DataFrame:
     """doc_id, quad, error: the statement lines of Turtle documents, or of TriG ones with ``named_graphs``.
 
-    A document that is not well formed gives one row with the error. Null documents give nothing.
+    A document that is not well formed gives one row with the error, or raises with ``strict``. Null
+    documents give nothing.
     """
-    return _each(docs, id_col, text_col, lambda text: turtle.lines_of(text, base, named_graphs))
+    return _each(docs, id_col, text_col, lambda text: turtle.lines_of(text, base, named_graphs), strict)
 
 
-def _each(docs: DataFrame, id_col: str, text_col: str, lines: Callable[[str], list[str]]) -> DataFrame:
+def _each(docs: DataFrame, id_col: str, text_col: str, lines: Callable[[str], list[str]], strict: bool) -> DataFrame:
     """The lines that a function gives for each document, or its error."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +192,8 @@ def _each(docs: DataFrame, id_col: str, text_col: str, lines: Callable[[str], li
                     out += told
                     errors += [None] * len(told)
                 except (ValueError, TypeError, AttributeError, RecursionError) as e:
+                    if strict:
+                        raise ValueError(f"document {batch['doc_id'][k].as_py()!r}: {str(e)[:200]}") from e
                     row, out, errors = [*row, k], [*out, None], [*errors, str(e)[:200]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(out, pa.string()), pa.array(errors, pa.string())], ["doc_id", "quad", "error"])
 
@@ -210,15 +202,29 @@ def _each(docs: DataFrame, id_col: str, text_col: str, lines: Callable[[str], li
 
 
 def load_json_ld(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """The statement table of JSON-LD documents; blank nodes are told apart by document."""
+    """The statement table of JSON-LD documents; blank nodes are told apart by document.
+
+    Documents with an error have no statements: ``load_errors`` names them, ``strict`` raises.
+    """
     return scoped(quads.parse(json_ld_lines(docs, id_col, text_col, **options).where("error is null")))
 
 
 def load_turtle(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """The statement table of Turtle or TriG documents; blank nodes are told apart by document."""
+    """The statement table of Turtle or TriG documents; blank nodes are told apart by document. Errors as in ``load_json_ld``."""
     return scoped(quads.parse(turtle_lines(docs, id_col, text_col, **options).where("error is null")))
 
 
+def load_errors(docs: DataFrame, id_col: str, text_col: str, media: str = "application/ld+json", **options) -> DataFrame:
+    """doc_id, error: the documents that the table of their media type holds no statement of."""
+    if media == "application/ld+json":
+        lines = json_ld_lines(docs, id_col, text_col, **options)
+    elif media in ("text/turtle", "application/trig"):
+        lines = turtle_lines(docs, id_col, text_col, named_graphs=media == "application/trig", **options)
+    else:
+        raise ValueError(f"no errors are told for {media}")
+    return lines.where("error is not null").select("doc_id", "error")
+
+
 def load_n_quads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The statement table of N-Quads or N-Triples texts."""
     return scoped(quads.parse(quads.quad_set(docs, text_col, id_col)))
@@ -237,12 +243,15 @@ def entailment_mode(stated: str | None) -> str:
 
 
 def build_graph(docs: DataFrame, id_col: str, text_col: str, media: str = "application/ld+json", mode: str | None = None, **options) -> DataFrame:
-    """The statement table of documents of one media type. Entailment modes other than ``none`` raise."""
+    """The statement table of documents of one media type. Entailment modes other than ``none`` raise.
+
+    So does a JSON-LD document with an error, unless ``strict`` is false; one in Turtle or TriG with ``strict``.
+    """
     mode = entailment_mode(mode)
     if mode != "none":
         raise NotImplementedError(f"entailment mode {mode}: see subclass_closure" if mode in ENTAILMENT else f"unknown entailment mode {mode}")
     if media == "application/ld+json":
-        return load_json_ld(docs, id_col, text_col, **options)
+        return load_json_ld(docs, id_col, text_col, **{"strict": True, **options})
     if media in ("application/n-quads", "application/n-triples"):
         return load_n_quads(docs, id_col, text_col)
     if media in ("text/turtle", "application/trig"):

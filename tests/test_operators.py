@@ -39,6 +39,17 @@ def test_json_ld(spark):
     assert far.where("doc_id = 'd3' and error is not null").count() == 0
 
 
+def test_json_ld_of_any_size_and_with_errors(spark):
+    large = {"@context": {"@vocab": "urn:v:"}, "@id": "urn:x", "has": [{"n": k} for k in range(1500)]}
+    docs = spark.createDataFrame([("d1", json.dumps(large)), ("d2", "{")], "doc_id string, text string")
+    assert graphs.build_graph(docs.where("doc_id = 'd1'"), "doc_id", "text").count() == 3000
+    assert graphs.load_json_ld(docs, "doc_id", "text").count() == 3000
+    assert [r.doc_id for r in graphs.load_errors(docs, "doc_id", "text").collect()] == ["d2"]
+    assert graphs.build_graph(docs, "doc_id", "text", strict=False).count() == 3000
+    with pytest.raises(Exception, match="document 'd2'"):
+        graphs.build_graph(docs, "doc_id", "text").count()
+
+
 def test_graph_factory(spark):
     docs = spark.createDataFrame([("d", '<urn:a> <urn:p> "x\\"y"@en <urn:g> .\n# no\n\n_:b <urn:p> _:b .')], "doc_id string, text string")
     table = graphs.build_graph(docs, "doc_id", "text", "application/n-quads")
