@@ -1,13 +1,17 @@
 """URL filters: longest rule by host and path, then decisions carried over redirects and canonical links.
 
-Pages and link targets are vertices, named by host, path and query. A page's ``rel=canonical`` link
-and its ``http-equiv=refresh`` target are edges. A component that holds a page which a rule blocks
+Pages and link targets are vertices, named by host, path (empty: ``/``) and query. A page's ``rel=canonical``
+links and its ``http-equiv=refresh`` targets are edges. A component that holds a page which a rule blocks
 is blocked, and one that holds a page which a rule allows is allowed, whatever else it holds; pages
 with a rule of their own keep that rule's verdict.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,23 +50,51 @@ def match_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column
 
 def _node(url: Column) -> Column:
     query = F.coalesce(F.regexp_extract(url, r"(?s)\A[^?#]*(\?[^#]*)", 1), F.lit(""))
-    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), path_of(url), query))
+    path = path_of(url)
+    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query))
+
+
+def resolve(url: str, target: str) -> str:
+    """The address that a target, absolute or relative, has on a page; ``url`` holds ``://``."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", target):
+        return target
+    scheme, host, path, query = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?", url).groups()
+    if target.startswith("//"):
+        return f"{scheme}:{target}"
+    told, rest = re.match(r"(?s)([^?#]*)(.*)", target).groups()
+    if not told:
+        return f"{scheme}://{host}{path}{rest if rest.startswith('?') else (query or '') + rest}"
+    parts = (told if told.startswith("/") else path[: path.rfind("/") + 1] + told).removeprefix("/").split("/")
+    out = []
+    for k, part in enumerate(parts):
+        if part == "..":
+            out = out[:-1]
+        elif part != ".":
+            out.append(part)
+        if part in (".", "..") and k == len(parts) - 1:
+            out.append("")
+    return f"{scheme}://{host}/{'/'.join(out)}{rest}"
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(a, b)``: page and the target of its canonical link or of its refresh.
+    """``(a, b)``: page and the targets of its canonical links and of its refreshes.
 
-    Relative targets that start with ``/`` are taken on the page's own host; other targets without
-    ``://``, null pages and null urls give no edge.
+    Entities in targets are decoded and relative targets are taken on the page's own address; addresses
+    without ``://``, null pages and null urls give no edge.
     """
+
+    @F.arrow_udf("string")
+    def resolved(url: pa.Array, target: pa.Array) -> pa.Array:
+        return pa.array([resolve(u.as_py(), unescape(t.as_py()).strip()) for u, t in zip(url, target)], pa.string())
+
     html, url = F.col(html_col), F.col(url_col)
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    turn = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+    turn = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
     some = pages.where(html.rlike(r"(?i)\bcanonical\b|\brefresh\b") & F.contains(url, F.lit("://")))
-    said = some.select(url.alias("url"), F.explode(F.array(F.regexp_extract(html, tag, 1), F.regexp_extract(html, turn, 1))).alias("to")).where("to <> ''")
-    base = F.concat(F.regexp_extract("url", r"(?s)\A(.*?://[^/?#]*)", 1), F.col("to"))
-    full = F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to")).when(F.startswith("to", F.lit("/")), base).otherwise(F.col("to"))
-    return said.select(_node(F.col("url")).alias("a"), _node(full).alias("b")).where("a is not null and b is not null")
+    told = F.concat(F.regexp_extract_all(html, F.lit(tag), F.lit(1)), F.regexp_extract_all(html, F.lit(turn), F.lit(1)))
+    said = some.select(url.alias("url"), F.explode(told).alias("to")).where("to <> ''")
+    full = said.select("url", resolved("url", "to").alias("full"))
+    return full.select(_node(F.col("url")).alias("a"), _node(F.col("full")).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES) -> DataFrame:

@@ -312,6 +312,32 @@ def test_judge_matches_brute_force(spark):
     assert [verdict[i] for i in (12, 13, 14, 15, 16, 19)] == ["block", "block", "block", "allow", "allow", "allow"]
 
 
+@pytest.mark.parametrize(
+    "url, html",
+    [
+        ("https://a.edu/d/e", '<link rel=canonical href="page.html">'),
+        ("https://a.edu/d/e/f", '<link rel=canonical href="../page.html">'),
+        ("https://a.edu/d/page.html?id=1", '<link rel=canonical href="?a=1&amp;b=2">'),
+        ("https://a.edu/x", '<link rel=canonical href="/d/./page.html?a=1&amp;b=2#top">'),
+        ("https://b.edu", '<link rel=canonical href="https://a.edu/d/page.html">'),
+        ("https://a.edu/y", '<link rel=canonical href="https://c.edu/"><link rel=canonical href="/d/page.html">'),
+        ("https://a.edu/z", '<meta http-equiv=refresh content="1;url=/w"><meta http-equiv=refresh content="2;url=d/page.html">'),
+        ("https://e.edu/?q", '<link rel=canonical href="https://bad.net">'),
+        ("https://e.edu/r", '<meta http-equiv=refresh content="0;url=/d?u=http://x.org/fr/"><link rel=canonical href="//bad.net/">'),
+    ],
+)
+def test_every_form_of_alias_is_followed(spark, url, html):
+    blocked = [(1, f"https://a.edu/d/page.html{q}", '<link rel=canonical href="https://bad.net/p">') for q in ("", "?a=1&b=2")]
+    pages = [*blocked, (2, url, html), (3, "https://apart.edu/", None)]
+    got = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert (got[2], got[3]) == ("block", "allow")
+
+
+def test_an_empty_path_is_the_root(spark):
+    pages = [(1, "https://b.edu/", '<link rel=canonical href="https://bad.net/p">'), (2, "https://c.edu/x", '<link rel=canonical href="https://b.edu">')]
+    assert {r.verdict for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"block"}
+
+
 def test_judge_of_nothing(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
