@@ -1,13 +1,14 @@
 """Byte-level BPE ids of whole texts, from a vocabulary in the ``tokenizers`` file format.
 
 Where ids follow the order of the merges, byte-pair encoding by rank gives the same ids several times
-faster than the general tokenizer; the file's vocabulary is then run that way. Other files run on
-``tokenizers`` itself.
+faster than the general tokenizer; the file's vocabulary is then run that way. Other files, texts that hold
+an added token's string and texts with a very long run of white space run on ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import tiktoken
 from tokenizers import Tokenizer
@@ -15,6 +16,14 @@ from tokenizers import Tokenizer
 #: Fixed value: the split into word pieces that the byte-level vocabulary is defined on.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Runs of white space from this length on are left to the general tokenizer: the faster one matches them with a stack.
+LONG_RUN = 1 << 16
+
+
+def _long_run(text: str) -> bool:
+    """Whether a run of white space is too long for the faster tokenizer."""
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text))
+
 
 def _visible() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for.
@@ -40,7 +49,7 @@ class Encoder:
             special = {t["content"] for t in told["added_tokens"]}
             ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items() if token not in special}
             fast = tiktoken.Encoding("bytes", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.ids = lambda text: self.general_ids(text) if added and any(t in text for t in special) else fast(text)
+            self.ids = lambda text: self.general_ids(text) if added and any(t in text for t in special) or _long_run(text) else fast(text)
         else:
             self.ids = self.general_ids
 
