@@ -1,16 +1,22 @@
 """Exact dedup: a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every document becomes a digest of its normalised text. The digests are merged in rounds: a first
-aggregation combines runs within ``fan ** levels`` shards, each later one merges ``fan`` neighbouring
-shards, the last one all. At every level a run keeps, for each digest, the smallest identifier, the
-number of rows, and the least and greatest of a second, independent check of the text; where these
-differ two texts share a digest, and the job stops instead of dropping one of them. A digest that a
-third of all rows share reaches the last level as at most ``fan`` rows. Text is never shuffled by
-``find``; the decisions are joined to thin rows.
+Every document becomes a digest of its normalised text, and digests are dealt over ``fan ** rounds``
+partitions by a hash of the row. There each partition sorts its digests and merges equal neighbours:
+that is its first run. Then the partitions exchange runs in rounds: in round k those whose numbers
+differ in digit k only cut their runs into ``fan`` stretches of the digest space and give each other
+one stretch each; what arrives is merged multiway, in sorted order, into the next run. After the last
+round each partition holds one range of digests, and no other has any of it. At every level a run keeps,
+for each digest, the smallest identifier, the number of rows, and the least and greatest of a second,
+independent check of the text; where these differ two texts share a digest, and the job stops instead
+of dropping one of them. A digest that a third of all rows share is one row of each first run, and so
+at most ``fan`` rows of any later merge. Text is never shuffled by ``find``; the decisions are joined to
+thin rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +36,38 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.sha2(flat, 256).alias("text_sha256"), F.xxhash64(flat, F.length(flat)).alias("check"))
 
 
-def merge_runs(rows: DataFrame, fan: int = 8, levels: int = 2) -> DataFrame:
+def _merged(runs: DataFrame) -> DataFrame:
+    """One sorted run for each partition number, of all rows with that number; equal digests are one row."""
+    sorted_ = runs.repartition("part").sortWithinPartitions("part", "text_sha256")
+    out = sorted_.groupBy("part", "text_sha256").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    clash = F.raise_error(F.lit("two texts share a SHA-256 digest"))
+    return out.withColumn("n", F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(clash.cast("long")))
+
+
+def merge_runs(rows: DataFrame, fan: int = 8, rounds: int | None = None, rows_per_run: int = 1 << 20) -> DataFrame:
     """One row for each digest: smallest ``doc_id``, first of its rows, number of rows.
 
-    ``rows`` has doc_id, row, text_sha256, check. A null doc_id sorts after every id.
+    ``rows`` has doc_id, row, text_sha256 (hexadecimal), check. A null doc_id sorts after every id.
+    Without ``rounds``, there are two or as many as runs of about ``rows_per_run`` rows need.
     """
+    if rounds is None:
+        rounds = max(2, math.ceil(math.log(max(1, rows.count() / rows_per_run), fan)))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     runs = rows.select(
         "text_sha256", first.alias("first"), F.lit(1).cast("long").alias("n"), F.col("check").alias("low"), F.col("check").alias("high"),
-        F.pmod(F.xxhash64("row"), F.lit(fan**levels)).alias("shard"),
+        F.pmod(F.xxhash64("row"), F.lit(fan**rounds)).alias("part"),
     )
-    for level in range(levels, -1, -1):
-        runs = runs.groupBy("text_sha256", "shard").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-        clash = F.raise_error(F.lit("two texts share a SHA-256 digest"))
-        runs = runs.withColumn("n", F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(clash.cast("long")))
-        if level:
-            runs = runs.withColumn("shard", (F.col("shard") / fan).cast("long") if level > 1 else F.lit(0).cast("long"))
+    runs = _merged(runs)
+    head = F.coalesce(F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long"), F.xxhash64("text_sha256").bitwiseAND(F.lit((1 << 32) - 1)))
+    stretch = F.floor(head * F.lit(fan**rounds) / F.lit(1 << 32))
+    for k in range(rounds):
+        unit = fan ** (rounds - 1 - k)  # the digit's place value, the highest digit first
+        mine, goal = (F.pmod(F.floor(x / unit), F.lit(fan)) for x in (F.col("part"), stretch))
+        runs = _merged(runs.withColumn("part", F.col("part") + (goal - mine) * unit))
     return runs.select("text_sha256", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.col("n").alias("group_size"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = 8, levels: int = 2) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = 8, rounds: int | None = None) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty, and empty texts equal each other. Of rows that share text and id
@@ -57,7 +75,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: i
     columns are not read.
     """
     rows = checkpoint(_rows(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    merged = merge_runs(rows, fan, levels)
+    merged = merge_runs(rows, fan, rounds)
     return rows.join(merged, "text_sha256").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
