@@ -9,7 +9,7 @@ with a rule of their own keep that rule's verdict.
 from __future__ import annotations
 
 import re
-from html import unescape
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,11 @@ from attestry.llm.components import connected_components
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
+#: What no link is read from: comments and scripts.
+SKIPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
+#: A tag that may be an alias, with what follows it up to the next tag.
+TAG = r"(?i)<(?:link|meta)\b[^<]*+"
+
 
 def _ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,6 +81,29 @@ def resolve(url: str, target: str) -> str:
     return f"{scheme}://{host}/{'/'.join(out)}{rest}"
 
 
+class _First(HTMLParser):
+    """The attributes of the first tag of a text; of attributes told twice, the first."""
+
+    found: tuple[str, dict[str, str]] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.found is None:
+            self.found = tag, {k: v or "" for k, v in reversed(attrs)}
+
+
+def target_of(tag: str) -> str | None:
+    """Where a canonical link or a refresh points to, entities decoded; null for any other tag."""
+    parser = _First()
+    parser.feed(tag)
+    name, attributes = parser.found or ("", {})
+    if name == "link" and "canonical" in attributes.get("rel", "").lower().split():
+        return attributes.get("href", "").strip() or None
+    if name == "meta" and attributes.get("http-equiv", "").strip().lower() == "refresh":
+        m = re.search(r"(?is)[;,]\s*(?:url\s*=\s*)?(?:'([^']*)'|\"([^\"]*)\"|(\S+))", attributes.get("content", ""))
+        return (m[1] or m[2] or m[3] or None) if m else None
+    return None
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(a, b)``: page and the targets of its canonical links and of its refreshes.
 
@@ -84,16 +112,16 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """
 
     @F.arrow_udf("string")
-    def resolved(url: pa.Array, target: pa.Array) -> pa.Array:
-        return pa.array([resolve(u.as_py(), unescape(t.as_py()).strip()) for u, t in zip(url, target)], pa.string())
-
-    html, url = F.col(html_col), F.col(url_col)
-    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    turn = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
-    some = pages.where(html.rlike(r"(?i)\bcanonical\b|\brefresh\b") & F.contains(url, F.lit("://")))
-    told = F.concat(F.regexp_extract_all(html, F.lit(tag), F.lit(1)), F.regexp_extract_all(html, F.lit(turn), F.lit(1)))
-    said = some.select(url.alias("url"), F.explode(told).alias("to")).where("to <> ''")
-    full = said.select("url", resolved("url", "to").alias("full"))
+    def resolved(url: pa.Array, tag: pa.Array) -> pa.Array:
+        targets = (target_of(t.as_py()) for t in tag)
+        return pa.array([to and resolve(u.as_py(), to) for u, to in zip(url, targets)], pa.string())
+
+    url, html = F.col(url_col), F.col(html_col)
+    says = r"(?i)\bcanonical\b|\brefresh\b"
+    some = pages.where(html.rlike(says) & F.contains(url, F.lit("://")))
+    tags = F.regexp_extract_all(F.regexp_replace(html, SKIPPED, ""), F.lit(TAG), F.lit(0))
+    said = some.select(url.alias("url"), F.explode(F.filter(tags, lambda t: t.rlike(says))).alias("tag"))
+    full = said.select("url", resolved("url", "tag").alias("full"))
     return full.select(_node(F.col("url")).alias("a"), _node(F.col("full")).alias("b")).where("a is not null and b is not null")
 
 
@@ -133,8 +161,12 @@ t AS (SELECT page_id, host, path, CASE
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
   host || path || regexp_extract(coalesce(url, ''), '^[^?#]*(\?[^#]*)', 1) AS node,
   regexp_extract(url, '^(?s:.*?)://[^/?#]*', 0) AS base,
-  regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS c FROM p),
-e AS (SELECT node AS a, regexp_replace(CASE WHEN starts_with(c, '/') THEN base || c ELSE c END, '^(?s:.*?)://', '') AS b FROM t WHERE c <> ''),
+  regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g') AS html FROM p),
+g AS (SELECT node, base, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM t WHERE html ILIKE '%canonical%' OR html ILIKE '%refresh%'),
+f AS (SELECT node, base, replace(CASE
+    WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*(["'']?)([^"''>]*\s)?canonical["''\s/>]') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh["''\s/>]') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS c FROM g),
+e AS (SELECT node AS a, regexp_replace(CASE WHEN starts_with(c, '/') THEN base || c ELSE c END, '^(?s:.*?)://', '') AS b FROM f WHERE c <> ''),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS x, a AS y FROM both_ways UNION SELECT x, b FROM reach JOIN both_ways ON y = a),
 v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS own FROM t),
