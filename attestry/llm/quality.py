@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-Indicators of hashed character n-grams are scaled by the log-count ratio of the two classes; a linear
-hinge-loss model over them is fitted by dual coordinate descent, and its margins become probabilities
+Indicators of hashed character n-grams, told by how often the text holds them (once, twice, four times and
+so on), are scaled by the log-count ratio of the two classes; a linear hinge-loss model over them is fitted by dual coordinate descent, and its margins become probabilities
 through a logistic curve fitted on a part of the sample that the model has not seen. The sample has
 at most about ``sample`` labelled documents, drawn by a hash of the id; every text is scored, whole.
 """
@@ -20,28 +20,28 @@ from attestry.llm.common import bucket_of, mix, runs, text_buffer
 from attestry.llm.ngrams import char_ngrams, code_points
 
 ORDERS, BITS = (1, 2, 3), 18
+TIMES = (1, 2, 4, 8, 16)
 RUN = 1 << 19
 THRESHOLD = 0.3  # fixed value of the contract
 
 
 def indicators(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each distinct feature of each row, rows in order.
+    """Row and bucket of each distinct indicator of each row, rows in order.
 
-    Features are character n-grams, case kept, and, in eighths, the share of word pairs that are
-    repeats within the text: a text can consist of good n-grams and still only repeat them.
+    An indicator says that a text holds a character n-gram, case kept, so many ``TIMES`` or more: texts
+    that only repeat themselves hold good n-grams, but too often.
     """
-    held = raw.tobytes()
     points, bounds = code_points(raw, at)
-    keys = [np.unique((row << BITS) | bucket) for row, bucket in (char_ngrams(points, bounds, n, BITS) for n in ORDERS)]
-    shares = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        words = held[a:b].split()
-        pairs = max(1, len(words) - 1)
-        shares.append(8 * (pairs - len(set(zip(words, words[1:])))) // pairs if len(words) > 1 else 9)
-    extra = mix(np.array(shares, np.uint64) + np.uint64(0xFEED)) >> np.uint64(64 - BITS)
-    keys.append((np.arange(len(at) - 1) << BITS) | extra.astype(np.int64))
+    keys, low = [], (1 << BITS) - 1
+    for n in ORDERS:
+        row, bucket = char_ngrams(points, bounds, n, BITS)
+        held, times = np.unique((row << BITS) | bucket, return_counts=True)
+        for t in TIMES:
+            held, times = held[times >= t], times[times >= t]
+            named = mix((held & low).astype(np.uint64) + np.uint64(t << 32)) >> np.uint64(64 - BITS) if t > 1 else (held & low).astype(np.uint64)
+            keys.append((held & ~low) | named.astype(np.int64))
     every = np.unique(np.concatenate(keys))
-    return every >> BITS, every & ((1 << BITS) - 1)
+    return every >> BITS, every & low
 
 
 @dataclass
@@ -65,6 +65,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(raw, at) + self.shift, -500, 500)))
 
 
+def descend(rows: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, most: np.ndarray, use: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the hinge loss, by coordinate descent over the rows ``use``.
+
+    ``x`` holds the values of each row's buckets, ``y`` labels of -1 and 1, ``most`` each dual variable's upper
+    bound. The bias is one more feature of value one.
+    """
+    w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
+    for _ in range(epochs):
+        for i in rng.permutation(use):
+            at, xi = rows[i], x[i]
+            slope = y[i] * (float(w[at] @ xi) + bias) - 1
+            new = min(max(alpha[i] - slope / (float(xi @ xi) + 1), 0.0), most[i])
+            if new != alpha[i]:
+                w[at] += (new - alpha[i]) * y[i] * xi
+                bias += (new - alpha[i]) * y[i]
+                alpha[i] = new
+    return w, bias, alpha
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 20, smoothing: float = 1.0, seed: int = 7) -> Model:
     """Fits on lists of buckets and labels 0 or 1. With one class only, every score is its share."""
     size = 1 << BITS
@@ -81,20 +100,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     for i in use:
         sums[int(labels[i])][rows[i]] += 1
     ratio = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
-    # dual coordinate descent; each class weighs the same, the bias is one more feature of value one
     y = np.where(labels == 1, 1.0, -1.0)
-    most = {s: cost * len(use) / 2 / max(1, (y[use] == s).sum()) for s in (1.0, -1.0)}
+    most = {k: cost * len(use) / 2 / max(1, (y[use] == k).sum()) for k in (1.0, -1.0)}  # each class weighs the same
     x = [ratio[rows[i]] / max(1e-12, float(np.linalg.norm(ratio[rows[i]]))) for i in range(len(rows))]
-    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
-    for _ in range(epochs):
-        for i in rng.permutation(use):
-            at, xi = rows[i], x[i]
-            slope = y[i] * (float(w[at] @ xi) + bias) - 1
-            new = min(max(alpha[i] - slope / (float(xi @ xi) + 1), 0.0), most[y[i]])
-            if new != alpha[i]:
-                w[at] += (new - alpha[i]) * y[i] * xi
-                bias += (new - alpha[i]) * y[i]
-                alpha[i] = new
+    w, bias, _ = descend(rows, x, y, np.array([most[k] for k in y]), use, epochs, rng)
     # a logistic curve over margins, by Newton's method, with softened targets
     part = np.flatnonzero(held) if held.any() else use
     m = np.array([float(w[rows[i]] @ x[i]) + bias for i in part])
