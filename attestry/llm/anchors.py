@@ -7,8 +7,9 @@ an anchor are consecutive; with the symbols that they span they make up the anch
 one symbol in half a window starts an anchor, so there are far fewer contexts than windows, and each
 is named by two hashes of 64 bits, of its gram and of its whole content.
 
-A context that occurs twice has nothing but repeated windows. What is left to compare are different
-contexts of one anchor; that is up to the operator.
+Grams only choose anchors, so a rolling hash does for them. Names are taken as equal content, so they
+come from a real hash (XXH3) of the bytes, or of the words' hashes, which are sums of mixed pairs of
+byte and place: no string is built from parts whose hashes cancel out.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm import sketch
 from attestry.llm.common import mix, row_key, runs, text_buffer
 
 BASE = 0x2545F4914F6CDD1D
@@ -63,13 +66,13 @@ class Contexts:
     place: np.ndarray  # anchor's start
     anchor: np.ndarray  # hash of the gram
     content: np.ndarray  # hash of the context and of the anchor's place in it
-    rolling: Rolling
-    base: int  # where the piece starts, for the rolling hashes
+    held: memoryview  # the bytes of all symbols
+    wide: int  # of one symbol, in bytes
 
     def windows(self, k: int, window: int) -> np.ndarray:
-        """The hash of each window of context k."""
-        at = np.arange(self.first[k], self.last[k] + 1) - self.base
-        return mix(self.rolling.of(at, at + window))
+        """The name of each window of context k."""
+        n, digest, held = self.wide, xxhash.xxh3_64_intdigest, self.held
+        return np.array([digest(held[n * a : n * (a + window)]) for a in range(self.first[k], self.last[k] + 1)], np.uint64)
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -81,18 +84,29 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(bounds: np.ndarray, values: Callable[[int, int], np.ndarray], window: int, gram: int) -> Iterator[Contexts]:
-    """The contexts of rows with the given bounds; ``values(a, b)`` gives symbols a to b as hashes.
+@dataclass
+class Symbols:
+    """Rows of texts as symbols."""
+
+    raw: np.ndarray
+    bounds: np.ndarray  # of rows, in symbols
+    values: Callable[[int, int], np.ndarray]  # symbols a to b as hashes
+    held: memoryview  # what names are taken from
+    wide: int  # of one symbol in ``held``, in bytes
+
+
+def contexts(s: Symbols, window: int, gram: int) -> Iterator[Contexts]:
+    """The contexts of rows of symbols.
 
     Long rows are worked on in pieces that overlap by a window less one symbol, so that every window
     is whole in exactly one of them.
     """
-    n = int(bounds[-1])
+    n, bounds, digest = int(s.bounds[-1]), s.bounds, xxhash.xxh3_64_intdigest
     for a in range(0, max(1, n - window + 1), PIECE - window + 1):
         b = min(n, a + PIECE)
         if b - a < window:
             return
-        rolling = Rolling(values(a, b))
+        rolling = Rolling(s.values(a, b))
         starts = np.arange(b - a - gram + 1)
         grams = mix(rolling.of(starts, starts + gram))
         keys = (grams >> np.uint64(PLACE) << np.uint64(PLACE)) | starts.astype(np.uint64)
@@ -108,9 +122,9 @@ def contexts(bounds: np.ndarray, values: Callable[[int, int], np.ndarray], windo
         at = np.flatnonzero(new)
         end = np.append(at[1:], len(begin)) - 1
         first, last, spot = begin[at], begin[end], place[at]
-        content = rolling.of(first - a, last - a + window)
-        content = mix(content ^ mix(((spot + a - first) * (1 << 32) + (last - first)).astype(np.uint64)))
-        yield Contexts(row[at], first, last, spot + a, grams[spot], content, rolling, a)
+        parts = zip((first * s.wide).tolist(), ((last + window) * s.wide).tolist(), (spot + a - first).tolist())
+        content = np.array([digest(s.held[x:y], k) for x, y, k in parts], np.uint64)
+        yield Contexts(row[at], first, last, spot + a, grams[spot], content, s.held, s.wide)
 
 
 @lru_cache(maxsize=1)
@@ -118,21 +132,17 @@ def _bytes() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-@dataclass
-class Symbols:
-    """Rows of texts as symbols."""
-
-    raw: np.ndarray
-    bounds: np.ndarray  # of rows, in symbols
-    values: Callable[[int, int], np.ndarray]
+def as_bytes(raw: np.ndarray, at: np.ndarray) -> Symbols:
+    return Symbols(raw, at, lambda a, b: _bytes()[raw[a:b]], memoryview(np.ascontiguousarray(raw)), 1)
 
 
-def as_bytes(raw: np.ndarray, at: np.ndarray) -> Symbols:
-    return Symbols(raw, at, lambda a, b: _bytes()[raw[a:b]])
+def _placed(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of bytes at their places inside a word."""
+    return mix((place.astype(np.uint64) << np.uint64(8)) + raw + np.uint64(0x9E3779B97F4A7C15))
 
 
 def as_words(raw: np.ndarray, at: np.ndarray) -> Symbols:
-    """Words as symbols. Each is named by a hash of its bytes."""
+    """Words as symbols. Each is named by the sum of the hashes of its bytes at their places."""
     white = (raw == 32) | ((raw >= 9) & (raw <= 13))
     fresh = np.zeros(len(raw) + 1, bool)
     fresh[at] = True
@@ -148,15 +158,17 @@ def as_words(raw: np.ndarray, at: np.ndarray) -> Symbols:
         j = max(k + 1, int(np.searchsorted(ends, starts[k] + PIECE, side="right")))
         a, b = int(starts[k]), int(ends[j - 1])
         if b - a > PIECE:  # one word longer than a piece: pieces of it in turn
-            h = np.uint64(b - a)
-            for c in range(a, b, PIECE):
-                h = mix(np.array([h + Rolling(_bytes()[raw[c : min(b, c + PIECE)]]).sums[-1]], np.uint64))[0]
-            hashes[k] = h
+            parts = [_placed(raw[c : min(b, c + PIECE)], np.arange(c - a, min(b, c + PIECE) - a)).sum(dtype=np.uint64) for c in range(a, b, PIECE)]
+            told = np.array([np.array(parts).sum(dtype=np.uint64)])
         else:
-            rolling = Rolling(_bytes()[raw[a:b]])
-            hashes[k:j] = mix(rolling.of(starts[k:j] - a, ends[k:j] - a) + (ends[k:j] - starts[k:j]).astype(np.uint64))
+            begin = np.zeros(b - a, np.int64)
+            begin[starts[k:j] - a] = starts[k:j] - a
+            place = np.arange(b - a) - np.maximum.accumulate(begin)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_placed(raw[a:b], place), dtype=np.uint64)))
+            told = sums[ends[k:j] - a] - sums[starts[k:j] - a]
+        hashes[k:j] = mix(told + (ends[k:j] - starts[k:j]).astype(np.uint64))
         k = j
-    return Symbols(raw, np.searchsorted(starts, at), lambda a, b: hashes[a:b])
+    return Symbols(raw, np.searchsorted(starts, at), lambda a, b: hashes[a:b], memoryview(hashes.view(np.uint8)), 8)
 
 
 def of_batch(column: pa.Array, symbols: Callable, window: int, gram: int) -> Iterator[tuple[int, Symbols, Contexts]]:
@@ -164,7 +176,7 @@ def of_batch(column: pa.Array, symbols: Callable, window: int, gram: int) -> Ite
     raw, at = text_buffer(column)
     for first, last in runs(at, RUN):
         s = symbols(raw[at[first] : at[last]], at[first : last + 1] - at[first])
-        for c in contexts(s.bounds, s.values, window, gram):
+        for c in contexts(s, window, gram):
             yield first, s, c
 
 
@@ -193,22 +205,59 @@ def occurrences(docs: DataFrame, symbols: Callable, window: int, gram: int, want
     return docs.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, anchor long, content long, start long, windows long")
 
 
-def repeated_windows(docs: DataFrame, symbols: Callable, window: int, gram: int, wanted: Callable[[np.ndarray], np.ndarray], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """anchor, content, ranges: of the contexts of wanted anchors, the windows that another one has.
+#: Anchors that a broadcast sketch picks at most, some 128 MB of it; more of them are joined instead.
+BROADCAST = 1 << 27
+
+
+def picked(docs: DataFrame, thin: DataFrame, anchors: DataFrame, symbols: Callable, window: int, gram: int, tell: Callable[[Symbols, Contexts, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, bits: int | None = None, broadcast: int = BROADCAST) -> DataFrame:
+    """What ``tell`` makes of the contexts of the given ``anchors`` (columns anchor, mark), by runs of texts.
+
+    ``thin`` has the ``occurrences`` of the documents. ``tell`` gets symbols, contexts, the places of those
+    that are picked and their anchors' marks (booleans, of which a sketch gives a few too many). Up to ``broadcast`` anchors travel as sketches, of which a
+    few others pass; more are joined to the occurrences and so to their texts, and none others pass.
+    """
+    spark, n = docs.sparkSession, anchors.count()
+    if n <= broadcast:
+        all_ = spark.sparkContext.broadcast(sketch.of_longs(anchors, "anchor", bits or sketch.bits_for(n)))
+        crowd = anchors.where("mark")
+        marked = spark.sparkContext.broadcast(sketch.of_longs(crowd, "anchor", bits or sketch.bits_for(crowd.count())))
+
+        def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, s, c in of_batch(batch["text"], symbols, window, gram):
+                    pick = np.flatnonzero(all_.value.passes(c.anchor))
+                    if len(pick):
+                        yield tell(s, c, pick, marked.value.passes(c.anchor[pick]))
+
+        return docs.select("text").mapInArrow(by_sketch, schema)
+    wanted = thin.join(anchors.hint("rebalance"), "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "mark")).alias("wanted"))
+
+    def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                names = {x["anchor"]: x["mark"] for x in batch["wanted"][k].as_py()}
+                for _, s, c in of_batch(batch["text"].slice(k, 1), symbols, window, gram):
+                    mine = c.anchor.view(np.int64).tolist()
+                    pick = np.array([i for i, x in enumerate(mine) if x in names], np.int64)
+                    if len(pick):
+                        yield tell(s, c, pick, np.array([names[mine[i]] for i in pick], bool))
+
+    return docs.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(by_row, schema)
+
+
+def repeated_windows(docs: DataFrame, thin: DataFrame, anchors: DataFrame, symbols: Callable, window: int, gram: int, keep: Callable[[DataFrame], DataFrame], broadcast: int = BROADCAST) -> DataFrame:
+    """anchor, content, ranges: of the contexts of the given anchors, the windows that another one has.
 
     Every different window is grouped exactly, by its anchor's hash and its own; counts are combined
     before the shuffle, so a window that very many rows hold is no large group. ``keep`` stores the
     packed windows, which are read twice.
     """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, c in of_batch(batch["text"], symbols, window, gram):
-                pick = np.flatnonzero(wanted(c.anchor))
-                names = np.column_stack((c.anchor[pick], c.content[pick]))
-                pick = pick[np.unique(names, axis=0, return_index=True)[1]] if len(pick) else pick
-                held = [c.windows(k, window).tobytes() for k in pick]
-                yield pa.RecordBatch.from_arrays([pa.array(c.anchor[pick].view(np.int64)), pa.array(c.content[pick].view(np.int64)), pa.array(held, pa.binary())], ["anchor", "content", "held"])
+    def pack(_: Symbols, c: Contexts, pick: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+        names = np.column_stack((c.anchor[pick], c.content[pick]))
+        pick = pick[np.unique(names, axis=0, return_index=True)[1]]
+        held = [c.windows(k, window).tobytes() for k in pick]
+        return pa.RecordBatch.from_arrays([pa.array(c.anchor[pick].view(np.int64)), pa.array(c.content[pick].view(np.int64)), pa.array(held, pa.binary())], ["anchor", "content", "held"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +270,7 @@ def repeated_windows(docs: DataFrame, symbols: Callable, window: int, gram: int,
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part["anchor"].take(take), pa.array(np.frombuffer(b"".join(held), np.int64)), part["content"].take(take), pa.array(place, pa.int32())], ["anchor", "w", "content", "place"])
 
-    packed = keep(docs.select("text").mapInArrow(pack, "anchor long, content long, held binary"))
+    packed = keep(picked(docs, thin, anchors.withColumn("mark", F.lit(False)), symbols, window, gram, pack, "anchor long, content long, held binary", broadcast=broadcast))
     each = packed.mapInArrow(spread, "anchor long, w long, content long, place int")
     twice = each.groupBy("anchor", "w").count().where("count > 1").select("anchor", "w")
     found = each.join(twice, ["anchor", "w"]).groupBy("anchor", "content").agg(F.collect_set("place").alias("places"))

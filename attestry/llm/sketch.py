@@ -37,6 +37,14 @@ class Sketch:
         return out
 
 
+def bits_for(n: int, least: int = 20, most: int = 29) -> int:
+    """The width for n different hashes: about eight cells for each, within a size that can be broadcast.
+
+    Beyond that size more hashes pass; none is lost.
+    """
+    return min(most, max(least, int(8 * n).bit_length()))
+
+
 def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (row + 1) % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
 

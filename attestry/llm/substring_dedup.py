@@ -18,19 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import sketch
-from attestry.llm.anchors import as_words, covered, keyed, occurrences, of_batch, repeated_windows, spans_of
-from attestry.llm.common import table
+from attestry.llm.anchors import BROADCAST, as_words, covered, keyed, occurrences, of_batch, repeated_windows, spans_of
+from attestry.llm.common import checkpoint, table
 
 WORDS = 35  # fixed value of the contract
 GRAM = 12
 
 
-def repeated_spans(rows: DataFrame, window: int = WORDS, gram: int = GRAM, bits: int = 26) -> DataFrame:
+def repeated_spans(rows: DataFrame, window: int = WORDS, gram: int = GRAM, bits: int | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """k1, k2, spans (a, b): the words that repeated windows cover, of ``keyed`` documents.
 
-    ``bits`` sets the sketch's width; a narrow one lets more windows into the exact pass, no fewer.
+    ``bits`` sets the sketch's width, which else follows from the number of anchors to expect, up to 2 ** 29
+    cells; a narrow one lets more windows into the exact pass, no fewer. ``broadcast`` is the most anchors
+    that travel as a sketch in that pass.
     """
     spark = rows.sparkSession
+    if bits is None:
+        told = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = sketch.bits_for(told // 3 // (window - gram + 2), least=24)  # a word and a space are six bytes or so
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, c in of_batch(batch["text"], as_words, window, gram):
@@ -39,13 +44,13 @@ def repeated_spans(rows: DataFrame, window: int = WORDS, gram: int = GRAM, bits:
     maybe = spark.sparkContext.broadcast(sketch.build(rows.select("text"), hashes, 2, bits))
     thin = table(occurrences(rows, as_words, window, gram, lambda a: maybe.value.passes(a)), "substring-contexts")
     sizes = thin.groupBy("anchor", "content").count()
-    several = spark.sparkContext.broadcast(sketch.of_longs(sizes.groupBy("anchor").count().where("count > 1"), "anchor", bits))
+    several = checkpoint(sizes.groupBy("anchor").count().where("count > 1").select("anchor"))
     whole = sizes.where("count > 1").select("anchor", "content", F.expr("array(struct(0L as low, cast(1e15 as long) as high))").alias("ranges"))
-    parts = repeated_windows(rows, as_words, window, gram, lambda a: several.value.passes(a), lambda df: table(df, "substring-windows"))
+    parts = repeated_windows(rows, thin, several, as_words, window, gram, lambda df: table(df, "substring-windows"), broadcast)
     return spans_of(thin, whole.unionByName(parts), window)
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORDS, gram: int = GRAM, bits: int = 26) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORDS, gram: int = GRAM, bits: int | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_removed, kept (the words left, joined by spaces).
 
     A word goes if a window of ``window`` words that covers it starts anywhere else too, in the same
@@ -53,7 +58,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     occurrences of each other. An empty table gives an empty result. Other columns are not read.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, window, gram, bits)
+    spans = repeated_spans(rows, window, gram, bits, broadcast)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

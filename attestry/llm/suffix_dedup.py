@@ -1,11 +1,16 @@
 """Suffix-array dedup of byte strings, by the common-prefix interval trees of their anchors.
 
 Windows of ``length`` bytes are found through anchors (see ``anchors``), which partition a suffix array
-of the whole corpus into small ones: the contexts of one anchor. A context that occurs twice is
-repeated as a whole and needs no comparison. Different contexts of an anchor, each one once, meet in
-one group, whose interval tree lists the maximal repeats with all occurrences (``suffix_repeats``).
-An anchor with more than ``most`` different contexts would be a large group: its windows are instead
-grouped one by one, exactly and with counts combined before the shuffle.
+of the whole corpus into small ones: the contexts of one anchor. All contexts of an anchor that occurs
+twice or more meet in one group, copies included, and the group's interval tree lists the maximal
+repeats with all occurrences (``suffix_repeats``). Copies are merged before the tree, after a comparison
+of their bytes; a context with copies stands in the arrays twice, which is all that its number matters.
+
+An anchor with more than ``most`` different contexts would be a large group. It is split by a longer
+prefix: a repeat of ``length`` bytes around bytes that a group shares already has half of what is
+missing on the left or on the right, so each context goes to the groups of those that share so much
+more on either side, and only groups with another member go on. What is missing halves with each
+round, to nothing: then the group is one interval, whatever its size.
 """
 
 from __future__ import annotations
@@ -14,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm import sketch
-from attestry.llm.anchors import as_bytes, covered, keyed, occurrences, of_batch, repeated_windows, spans_of
-from attestry.llm.common import sorted_groups, table
+from attestry.llm.anchors import BROADCAST, Contexts, Symbols, as_bytes, covered, keyed, occurrences, picked, spans_of
+from attestry.llm.common import checkpoint, sorted_groups, table
 from attestry.llm.suffix_repeats import maximal_repeats
 
 LENGTH = 400  # fixed value of the contract
@@ -33,78 +38,133 @@ def window_ranges(lefts: list[bytes], rights: list[bytes], length: int) -> dict[
     The repeats come innermost first, so one adds to a member only what reaches further left than all
     before it: a context that many repeats hold is told once for each step of that stair.
     """
-    best, stairs = np.full(len(lefts), -1), []
+    best, told = [-1] * len(lefts), {}
     for left, right, members in maximal_repeats(lefts, rights, length):
-        fresh = members[best[members] < left]
-        best[fresh] = left
-        if len(fresh):
-            stairs.append((fresh, np.full(len(fresh), left), np.full(len(fresh), right)))
+        for m in members:
+            if left > best[m]:
+                best[m] = left
+                low, high = max(0, len(lefts[m]) - left), len(lefts[m]) + min(right, len(rights[m])) - length
+                told.setdefault(m, []).append((low, high))
     out: dict[int, list[dict]] = {}
-    if not stairs:
-        return out
-    member, left, right = (np.concatenate(x) for x in zip(*stairs))
-    before, after = np.array(list(map(len, lefts)))[member], np.array(list(map(len, rights)))[member]
-    low, high = np.maximum(0, before - left), before + np.minimum(right, after) - length
-    order = np.lexsort((low, member))
-    for m, a, b in zip(member[order].tolist(), low[order].tolist(), high[order].tolist()):
-        told = out.setdefault(m, [])
-        if told and a <= told[-1]["high"] + 1:
-            told[-1]["high"] = max(told[-1]["high"], b)
-        elif a <= b:
-            told.append({"low": a, "high": b})
-    return {m: told for m, told in out.items() if told}
-
-
-def _compared(rows: DataFrame, wanted, length: int, gram: int) -> DataFrame:
-    """anchor, content, ranges: windows of wanted anchors' contexts in a maximal repeat."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, s, c in of_batch(batch["text"], as_bytes, length, gram):
-                pick = np.flatnonzero(wanted(c.anchor))
-                if not len(pick):
-                    continue
-                names = np.column_stack((c.anchor[pick], c.content[pick]))
-                pick = pick[np.unique(names, axis=0, return_index=True)[1]]
-                held = [s.raw[a:b].tobytes() for a, b in zip(c.first[pick].tolist(), (c.last[pick] + length).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c.anchor[pick].view(np.int64)), pa.array(c.content[pick].view(np.int64)), pa.array((c.place - c.first)[pick]), pa.array(held, pa.binary())], ["anchor", "content", "before", "held"])
+    for m, ranges in told.items():
+        for a, b in sorted(ranges):
+            mine = out.setdefault(m, [])
+            if mine and a <= mine[-1]["high"] + 1:
+                mine[-1]["high"] = max(mine[-1]["high"], b)
+            elif a <= b:
+                mine.append({"low": a, "high": b})
+    return {m: ranges for m, ranges in out.items() if ranges}
+
+
+#: What the tree needs of each context: its group, the names, the place of the anchor, the bytes, how often.
+HELD = "key long, anchor long, content long, before long, held binary, n long"
+RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+FOUND = "anchor long, content long, ranges array<struct<low:bigint,high:bigint>>"
+
+
+def _held(length: int):
+    """What a task sends of the contexts that are picked: each different one of a run of texts once."""
+
+    def tell(s: Symbols, c: Contexts, pick: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+        spans = {}
+        for k, crowd, a, b in zip(pick.tolist(), crowded.tolist(), c.first[pick].tolist(), (c.last[pick] + length).tolist()):
+            spans.setdefault((c.anchor[k], c.content[k], bytes(s.held[a:b])), [k, crowd, 0])[2] += 1
+        at = np.array([v[0] for v in spans.values()])
+        key = pa.array([None if v[1] else int(c.anchor[v[0]].view(np.int64)) for v in spans.values()], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [key, pa.array(c.anchor[at].view(np.int64)), pa.array(c.content[at].view(np.int64)), pa.array((c.place - c.first)[at]), pa.array([k[2] for k in spans], pa.binary()), pa.array([v[2] for v in spans.values()], pa.int64())],
+            ["key", "anchor", "content", "before", "held", "n"],
+        )
+
+    return tell
+
+
+def _merged(held: DataFrame) -> DataFrame:
+    """One row for each different context of a group, groups whole and in order; bytes that share a name are compared."""
+    dealt = held.repartition("key").sortWithinPartitions("key", "content")
+    each = dealt.groupBy("key", "content").agg(F.min("anchor").alias("anchor"), F.min("before").alias("before"), F.min("held").alias("held"), F.max("held").alias("other"), F.sum("n").alias("n"))
+    clash = F.raise_error(F.lit("two contexts share a name")).cast("long")
+    return each.withColumn("n", F.when(F.col("held") == F.col("other"), F.col("n")).otherwise(clash)).drop("other").sortWithinPartitions("key")
+
+
+def _compared(held: DataFrame, length: int) -> DataFrame:
+    """anchor, content, ranges: the windows of each context that lie in a maximal repeat of its group."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["anchor"]):
-            if group.num_rows < 2:
+        for group in sorted_groups(batches, ["key"]):
+            n = group["n"].to_numpy()
+            if n.sum() < 2:
                 continue
-            contents, at = np.unique(group["content"].to_numpy(), return_index=True)
-            if len(at) < 2:
-                continue
-            before, held = group["before"].to_numpy()[at].tolist(), group["held"].take(pa.array(at)).to_pylist()
-            lefts, rights = [h[:k][::-1] for h, k in zip(held, before)], [h[k:] for h, k in zip(held, before)]
-            ranges = window_ranges(lefts, rights, length)
-            if ranges:
-                yield pa.RecordBatch.from_arrays([group["anchor"].take(pa.array([0] * len(ranges))).combine_chunks(), pa.array(contents[list(ranges)]), pa.array(list(ranges.values()), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], ["anchor", "content", "ranges"])
+            twice = np.flatnonzero(n > 1)
+            at = np.concatenate((np.arange(len(n)), twice))
+            texts, before = group["held"].to_pylist(), group["before"].to_pylist()
+            told = window_ranges([texts[k][: before[k]][::-1] for k in at], [texts[k][before[k] :] for k in at], length)
+            told = {k: told[k] for k in range(len(n)) if k in told}  # both copies have the same ranges
+            if told:
+                take = pa.array(list(told))
+                yield pa.RecordBatch.from_arrays([group["anchor"].take(take).combine_chunks(), group["content"].take(take).combine_chunks(), pa.array(list(told.values()), RANGES)], ["anchor", "content", "ranges"])
+
+    return _merged(held).mapInArrow(compare, FOUND)
 
-    held = rows.select("text").mapInArrow(gather, "anchor long, content long, before long, held binary")
-    return held.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "anchor long, content long, ranges array<struct<low:bigint,high:bigint>>")
 
+def _split(crowded: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (HELD) of at most ``most`` different contexts each, and ranges of groups that share a whole window.
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, bits: int = 26) -> DataFrame:
+    ``crowded`` has one row for each different context of each crowded anchor.
+    """
+    name = xxhash.xxh3_64_intdigest
+
+    def wider(need: int, half: int):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, keys, shared = [], [], []
+                for k, (anchor, at, held, left) in enumerate(zip(*(batch[c].to_pylist() for c in ("anchor", "before", "held", "left")))):
+                    right = length - need - left
+                    for a, b in ((left + half, right), (left, right + half)) if half else ((left, right),):
+                        if a <= at and b <= len(held) - at:
+                            rows.append(k), shared.append(a)
+                            keys.append(name(held[at - a : at + b] + anchor.to_bytes(8, "little", signed=True), a))
+                taken = batch.select(["anchor", "content", "before", "held", "n"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *taken.columns, pa.array(shared, pa.int64())], ["key", "anchor", "content", "before", "held", "n", "left"])
+
+        return deal
+
+    ready, need, work = None, length - gram, crowded.withColumn("left", F.lit(0).cast("long"))
+    while True:
+        half = -(-need // 2)
+        wide = work.mapInArrow(wider(need, half), HELD + ", left long")
+        dealt = table(wide.dropDuplicates(["key", "content"]), "suffix-split")  # two groups may send a context on alike
+        need -= half
+        sizes = dealt.groupBy("key").agg(F.count_distinct("content").alias("contexts"), F.sum("n").alias("all")).where("all > 1")
+        sizes = checkpoint(sizes)
+        small = dealt.join(sizes.where(F.col("contexts") <= most).select("key"), "key").select("key", "anchor", "content", "before", "held", "n")
+        ready = small if ready is None else ready.unionByName(small)
+        large = dealt.join(sizes.where(F.col("contexts") > most).select("key"), "key")
+        if not need or sizes.where(F.col("contexts") > most).isEmpty():
+            low = F.col("before") - F.col("left")
+            whole = large.select("anchor", "content", F.array(F.struct(low.alias("low"), low.alias("high"))).alias("ranges"))
+            return ready, whole
+        work = large
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, bits: int | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """k1, k2, spans (a, b): the bytes that repeated windows cover, of ``keyed`` documents."""
-    spark = rows.sparkSession
     thin = table(occurrences(rows, as_bytes, length, gram), "suffix-contexts")
-    sizes = thin.groupBy("anchor", "content").count()
-    several = table(sizes.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "suffix-anchors")
-    small = spark.sparkContext.broadcast(sketch.of_longs(several, "anchor", bits))
-    crowded = several.where(F.col("contexts") > most).select("anchor")
-    found = sizes.where("count > 1").select("anchor", "content", F.expr("array(struct(0L as low, cast(1e15 as long) as high))").alias("ranges"))
-    if crowded.isEmpty():
-        found = found.unionByName(_compared(rows, lambda a: small.value.passes(a), length, gram))
-    else:
-        large = spark.sparkContext.broadcast(sketch.of_longs(crowded, "anchor", bits))
-        found = found.unionByName(_compared(rows, lambda a: small.value.passes(a) & ~large.value.passes(a), length, gram))
-        found = found.unionByName(repeated_windows(rows, as_bytes, length, gram, lambda a: large.value.passes(a), lambda df: table(df, "suffix-windows")))
-    return spans_of(thin, found, length)
-
-
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, bits: int = 26) -> DataFrame:
+    several = thin.groupBy("anchor", "content").count().groupBy("anchor").agg(F.sum("count").alias("n"), F.count("*").alias("contexts")).where("n > 1")
+    several = checkpoint(several.select("anchor", (F.col("contexts") > most).alias("mark")))
+    held = picked(rows, thin, several, as_bytes, length, gram, _held(length), HELD, bits, broadcast)
+    if several.where("mark").isEmpty():
+        return spans_of(thin, _compared(held, length), length)
+    held = table(held, "suffix-held")
+    crowded = held.where("key is null").groupBy("anchor", "content").agg(F.min("before").alias("before"), F.min("held").alias("held"), F.max("held").alias("other"), F.sum("n").alias("n"))
+    clash = F.raise_error(F.lit("two contexts share a name")).cast("long")
+    crowded = crowded.select("anchor", "content", "before", "held", F.when(F.col("held") == F.col("other"), F.col("n")).otherwise(clash).alias("n"))
+    groups, whole = _split(crowded, length, gram, most)
+    found = _compared(held.where("key is not null").unionByName(groups), length)
+    return spans_of(thin, found.unionByName(whole), length)
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, bits: int | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, n_removed, spans (a, b), kept (the bytes left).
 
     A byte of the UTF-8 text goes if a string of ``length`` bytes that covers it starts anywhere else
@@ -113,7 +173,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     Other columns are not read.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, length, gram, most, bits)
+    spans = repeated_spans(rows, length, gram, most, bits, broadcast)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,10 +23,14 @@ def common(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
 
 
+def _array(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    return order, [0, *(common(strings[a], strings[b]) for a, b in zip(order, order[1:]))]
+
+
 def array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted order of strings, and at each place the common prefix with the one before it."""
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    shared = [0] + [common(strings[a], strings[b]) for a, b in zip(order, order[1:])]
+    order, shared = _array(strings)
     return np.array(order), np.array(shared)
 
 
@@ -42,36 +46,30 @@ def intervals(shared: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int) -> Iterator[tuple[int, int, list[int]]]:
     """(bytes to the left, bytes to the right, all members) of repeats of ``least`` bytes or more.
 
     ``lefts`` are read backwards from the anchor, ``rights`` forwards from it. Strings that are equal
-    on both sides are members of one repeat like any others.
+    on both sides are members of one repeat like any others. An interval inside another shares a longer
+    prefix, so no string is in more intervals than it has bytes.
     """
-    if len(rights) == 2:
-        left, right = common(*lefts), common(*rights)
-        if left + right >= least:
-            yield left, right, np.array([0, 1])
-        return
-    order, right_shared = array(rights)
-    left_order, left_shared = array(lefts)
-    left_rank = np.empty(len(lefts), np.int64)
-    left_rank[left_order] = np.arange(len(lefts))
-    right_rank = np.empty(len(rights), np.int64)
-    right_rank[order] = np.arange(len(rights))
+    order, right_shared = _array(rights)
+    left_order, left_shared = _array(lefts)
+    left_rank, right_rank = [0] * len(lefts), [0] * len(rights)
+    for k, (x, y) in enumerate(zip(left_order, order)):
+        left_rank[x], right_rank[y] = k, k
     most_left = max(map(len, lefts))
-    for right, first, last in intervals(right_shared.tolist()):
+    for right, first, last in intervals(right_shared):
         if last == first or right + most_left < least:
             continue
-        ranks = np.sort(left_rank[order[first : last + 1]])
-        between = np.minimum.reduceat(left_shared[: ranks[-1] + 1], ranks[:-1] + 1)
-        if between.max() + right < least:
+        ranks = sorted(left_rank[k] for k in order[first : last + 1])
+        between = [min(left_shared[a + 1 : b + 1]) for a, b in zip(ranks, ranks[1:])]
+        if max(between) + right < least:
             continue
-        for left, a, b in intervals([0, *between.tolist()]):
+        for left, a, b in intervals([0, *between]):
             if b == a or left + right < least:
                 continue
-            members = left_order[ranks[a : b + 1]]
-            places = right_rank[members]
-            low, high = places.min(), places.max()
-            if right_shared[low + 1 : high + 1].min() == right:  # else a child interval has them all
+            members = [left_order[k] for k in ranks[a : b + 1]]
+            places = [right_rank[k] for k in members]
+            if min(right_shared[min(places) + 1 : max(places) + 1]) == right:  # else a child interval has them all
                 yield left, right, members
