@@ -2,16 +2,18 @@
 
 Inner products become distances: with M the greatest norm, a candidate x gets one more component,
 sqrt(M^2 - |x|^2), a query gets zero, and the nearest candidates are those of the greatest product.
-Pivots are fitted on a bounded sample; every vector is indexed by its nearest pivot and the distance
-to it. Cells are laid out over shards of bounded size, a crowded cell over several. Queries travel to
-every shard; there, in blocks, they visit cells in the order of their lower bounds, take the annulus
-that the triangle inequality leaves open at the present k-th distance, and stop at the first cell
-whose bound lies beyond it. The best of each shard are merged by query.
+Pivots are fitted on a bounded sample; every vector is keyed by its nearest pivot and the distance to
+it. Each pivot's rows are cut by distance into annuli of bounded size, an annulus of equal distances by
+salt; these are the shards. A query is first searched in the nearest shards that together hold more than
+k rows, which bounds its k-th distance. A shard that very many queries ask is copied. Then it goes to those other shards only whose annulus the
+triangle inequality leaves open at that distance. Inside a shard only the rows of the open annulus
+are multiplied, nearest shards narrowing it further. The best of each shard are merged by query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,33 +24,40 @@ from attestry.llm.common import checkpoint, sorted_groups
 
 SCALE, TOP, EVERY = 64, 20, 20  # fixed values of the contract
 SLACK = 1e-6  # relative, of squared distances: bounds are floating point, products are exact
+BINS = 256  # of the distances to one pivot
+MOST_DIMENSIONS = 64
 
 
 def digitise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``(vec_id, v)`` with v the components floor(scale * x) as packed 32-bit integers.
+    """``(row, vec_id, n, v)`` with v the n components floor(scale * x) as packed 64-bit integers.
 
-    Vectors that are null, empty, or hold null, non-finite or (scaled) not 32-bit components take no
-    part, nor do rows without an id. Rows that share an id count once, with the least vector.
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without an id.
+    Rows that share an id are rows of their own, told apart by ``row``. A component that has no
+    64-bit integer raises.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, packed = [], []
-            for i, v in zip(batch["vec_id"].to_pylist(), batch["v"]):
-                if i is None or not v.is_valid or not len(v.values) or v.values.null_count:
+            rows, ids, sizes, packed = [], [], [], []
+            for r, i, v in zip(batch["row"].to_pylist(), batch["vec_id"].to_pylist(), batch["v"]):
+                if i is None or not v.is_valid or v.values.null_count:
                     continue
-                x = np.floor(scale * v.values.to_numpy(zero_copy_only=False).astype(float))
-                if np.isfinite(x).all() and (np.abs(x) < 2**31).all():
-                    ids.append(i), packed.append(x.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["vec_id", "v"])
+                x = v.values.to_numpy(zero_copy_only=False).astype(float)
+                if not np.isfinite(x).all():
+                    continue
+                x = np.floor(scale * x)
+                if (np.abs(x) >= 2.0**63).any():
+                    raise OverflowError(f"a component of vector {i} has no 64-bit integer")
+                rows.append(r), ids.append(i), sizes.append(len(x)), packed.append(x.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["row", "vec_id", "n", "v"])
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    return rows.mapInArrow(pack, "vec_id long, v binary").groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    return rows.mapInArrow(pack, "row long, vec_id long, n int, v binary")
 
 
-def unpack(column: pa.ChunkedArray) -> np.ndarray:
+def unpack(column: pa.ChunkedArray, width: int) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<i4").reshape(len(rows), -1).astype(np.int64)
+    return np.frombuffer(b"".join(rows), "<i8").reshape(len(rows), width)
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -75,126 +84,213 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T))
 
 
-class Shard:
-    """One shard of the index: rows by cell and distance, with the bounds of each cell."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, cell: np.ndarray, far: np.ndarray, pivots: np.ndarray, top: float) -> None:
-        order = np.lexsort((ids, far, cell))
-        self.ids, self.x, self.far, self.pivots, self.top = ids[order], x[order], far[order], pivots, top
-        self.cells, first = np.unique(cell[order], return_index=True)
-        self.bounds = np.append(first, len(ids))
-
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query rows, ids and products of the k best of this shard for each query."""
-        flat = np.column_stack([q.astype(float), np.zeros(len(q))])
-        to = distances(flat, self.pivots[self.cells])
-        low, high = self.far[self.bounds[:-1]], self.far[self.bounds[1:] - 1]
-        bound = np.maximum(0.0, np.maximum(to - high, low - to))
-        reach = (q.astype(float) ** 2).sum(axis=1) + self.top  # distance^2 = reach - 2 * product
-        slack = SLACK * np.maximum(reach, 1.0)
-        kth = np.full(len(q), np.iinfo(np.int64).min)
-        radius = np.full(len(q), np.inf)
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        exact = float if np.abs(q).max(initial=0) * float(np.abs(self.x).max(initial=0)) * q.shape[1] < 2**52 else np.int64
-        left, right = q.astype(exact), self.x.astype(exact)
-        for c in np.argsort(bound.min(axis=0), kind="stable"):
-            if bound[:, c].min() > radius.max():
-                if (bound.min(axis=0)[c:] > radius.max()).all() and bound.min() > radius.max():
-                    break
-                continue
-            open_ = np.flatnonzero(bound[:, c] <= radius)
-            if not len(open_):
-                continue
-            a, b = self.bounds[c], self.bounds[c + 1]
-            inner = np.searchsorted(self.far[a:b], (to[open_, c] - radius[open_]).min(), side="left")
-            outer = np.searchsorted(self.far[a:b], (to[open_, c] + radius[open_]).max(), side="right")
-            for at in range(a + inner, a + outer, 4096):
-                to_row = min(at + 4096, a + outer)
-                products = np.rint(left[open_] @ right[at:to_row].T).astype(np.int64)
-                hit = (products >= kth[open_, None]) & (self.ids[at:to_row] != query_ids[open_, None])
-                i, j = np.nonzero(hit)
-                best = tuple(np.concatenate(z) for z in zip(best, (open_[i], self.ids[at + j], products[i, j])))
-                order = np.lexsort((best[1], -best[2], best[0]))
-                rows = best[0][order]
-                starts = np.searchsorted(rows, np.arange(len(q) + 1))
-                place = np.arange(len(rows)) - starts[rows]
-                best = tuple(z[order][place < k] for z in best)
-                full = np.flatnonzero(np.diff(starts) >= k)
-                ends = np.searchsorted(best[0], full, side="right") - 1
-                kth[full] = best[2][ends]
-                radius[full] = np.sqrt(np.maximum(0.0, reach[full] - 2.0 * kth[full] + slack[full])) + 1e-9
-        return best
-
-
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, every: int = EVERY, pivots: int = 64, sample: int = 4_000, rows_per_shard: int = 25_000, block: int = 512) -> DataFrame:
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of q and x, as Python's integers where 64 bits may not suffice."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    if most < 2**52:
+        return np.rint(q.astype(float) @ x.astype(float).T).astype(np.int64)
+    if most < 2**62:
+        return q @ x.T
+    return q.astype(object) @ x.astype(object).T
+
+
+def shard_bounds(to: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least distance that rows between ``low`` and ``high`` of a pivot can have from a point ``to`` off it."""
+    return np.maximum(0.0, np.maximum(to - high, low - to))
+
+
+def layout(counts: dict[tuple[int, int], int], pivots: int, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """For each pivot and bin the first shard and the number of shards, and of each shard pivot, first bin, last bin, rows.
+
+    Neighbouring bins of a pivot share a shard up to ``most`` rows; a bin with more is cut by salt.
+    """
+    first, cuts, shards = np.zeros((pivots, BINS), np.int64), np.ones((pivots, BINS), np.int64), []
+    for c in range(pivots):
+        room = 0
+        for b in range(BINS):
+            n = counts.get((c, b), 0)
+            if n > most:
+                first[c, b], cuts[c, b], room = len(shards), -(-n // most), 0
+                shards += [(c, b, b, n // -(-n // most))] * int(cuts[c, b])
+            elif n:
+                if n > room:
+                    shards.append((c, b, b, 0))
+                    room = most
+                room -= n
+                first[c, b] = len(shards) - 1
+                shards[-1] = (c, shards[-1][1], b, shards[-1][3] + n)
+    return first, cuts, shards
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, id and score of the k best of each query, in order."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], ids[place < k], scores[place < k]
+
+
+def search_shard(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, query_rows: np.ndarray, q: np.ndarray, to: np.ndarray, radius: np.ndarray, k: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query places, ids and products of the k best for each query, among rows sorted by ``far``.
+
+    ``to`` is each query's distance to the pivot, ``radius`` how far its candidates can be at most.
+    """
+    low, high = np.searchsorted(far, to - radius, side="left"), np.searchsorted(far, to + radius, side="right")
+    best = (np.zeros(0, np.int64),) * 3
+    for at in range(int(low.min(initial=len(far))), int(high.max(initial=0)), step):
+        end = min(at + step, len(far))
+        open_ = np.flatnonzero((low < end) & (high > at))
+        if not len(open_):
+            continue
+        told = products(q[open_], x[at:end])
+        if len(best[0]):  # of those that have k already, only what is as good counts
+            starts, ends = np.searchsorted(best[0], open_), np.searchsorted(best[0], open_, side="right")
+            least = np.where(ends - starts >= k, best[2][np.minimum(ends - 1, len(best[2]) - 1)], np.iinfo(np.int64).min)
+        else:
+            least = np.full(len(open_), np.iinfo(np.int64).min)
+        i, j = np.nonzero((told >= least[:, None]) & (rows[None, at:end] != query_rows[open_, None]))
+        new = told[i, j]
+        if new.dtype == object and any(abs(z) >= 2**63 for z in new):
+            raise OverflowError("an inner product has no 64-bit integer")
+        query, found, score = (np.concatenate(z) for z in zip(best, (open_[i], ids[at + j], new.astype(np.int64))))
+        best = best_of(found, score, query, k)
+    return best
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, every: int = EVERY, pivots: int = 64, sample: int = 4_000, rows_per_shard: int = 25_000, block: int = 512, queries_per_task: int = 1 << 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query, ties to the smaller id.
 
-    Queries are the ids that ``every`` divides. Vectors take part as ``digitise`` says, and only
-    those of the most frequent dimension (the smaller, in a tie). Fewer than k candidates give as
-    many rows; no query or an empty table gives none. Other columns are not read.
+    Queries are the rows whose id ``every`` divides, candidates all rows but the query's own: rows that share
+    an id are queries and candidates of their own. Vectors take part as ``digitise`` says; each is searched
+    among those of its own dimension, of which there are ``MOST_DIMENSIONS`` at most, else the search raises. Fewer
+    than k candidates give as many rows; a product that has no 64-bit integer raises; no query or an empty table gives none. Other columns are not read.
     """
     rows = checkpoint(digitise(vectors, id_col, vector_col))
-    sizes = rows.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    width = sizes[0][0] if sizes else 0
-    n = sizes[0][1] if sizes else 0
-    rows = rows.where(F.length("v") == width)
+    sizes = sorted(rows.groupBy("n").count().limit(MOST_DIMENSIONS + 1).collect())
+    if len(sizes) > MOST_DIMENSIONS:
+        raise ValueError(f"vectors of more than {MOST_DIMENSIONS} dimensions")
+    parts = [_of_dimension(rows.where(F.col("n") == width), width, n, k, every, pivots, sample, rows_per_shard, block, queries_per_task) for width, n in sizes]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, parts)
+
+
+NAMES = ["shard", "part", "row", "vec_id", "v", "far", "radius"]
+
+
+def _answering(width: int, k: int, block: int):
+    """Of each shard the stored rows, which come first (part -1), then its queries, in blocks as they arrive."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, shard = None, None
+        for group in sorted_groups(batches, ["shard", "copy", "part"]):
+            mine = group["shard"][0].as_py(), group["copy"][0].as_py()
+            if group["part"][0].as_py() < 0:
+                shard = mine
+                here = group["row"].to_numpy(), group["vec_id"].to_numpy(), unpack(group["v"], width), group["far"].to_numpy()
+                continue
+            if mine != shard:
+                continue
+            for at in range(0, group.num_rows, block):
+                some = group.slice(at, block)
+                rows, ids = some["row"].to_numpy(), some["vec_id"].to_numpy()
+                i, found, score = search_shard(*here, rows, unpack(some["v"], width), some["far"].to_numpy(), some["radius"].to_numpy(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i]), pa.array(ids[i]), pa.array(found), pa.array(score)], ["query", "query_id", "vec_id", "score"])
+
+    return answer
+
+
+def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivots: int, sample: int, rows_per_shard: int, block: int, queries_per_task: int) -> DataFrame:
+    """The search among ``n`` vectors that all have ``width`` components."""
+    spark = rows.sparkSession
 
     def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = unpack(batch["v"]).astype(float)
+                x = unpack(batch["v"], width).astype(float)
                 yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(axis=1).max())])], ["top"])
 
     top = (rows.mapInArrow(squares, "top double").agg(F.max("top")).first()[0] or 0.0) + 1.0
-    some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(sample / max(1, n) * 1_000_000) + 1).orderBy("vec_id").toArrow()
-    centre = fit_pivots(lift(unpack(some["v"]), top), pivots) if some.num_rows else np.zeros((1, width // 4 + 1))
-    shared = rows.sparkSession.sparkContext.broadcast((centre, top))  # pivots: a fixed number
+    some = rows.where(F.pmod(F.xxhash64("vec_id", "row"), F.lit(1_000_000)) < int(sample / max(1, n) * 1_000_000) + 1).orderBy("vec_id", "v").toArrow()
+    centre = fit_pivots(lift(unpack(some["v"], width), top), pivots) if some.num_rows else np.zeros((1, width + 1))
+    index = spark.sparkContext.broadcast(centre)  # a fixed number of pivots
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                far = distances(lift(unpack(batch["v"]), shared.value[1]), shared.value[0])
+                far = distances(lift(unpack(batch["v"], width), top), index.value)
                 cell = far.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["vec_id", "v", "cell", "far"])
-
-    placed = checkpoint(rows.mapInArrow(index, "vec_id long, v binary, cell int, far double"))
-    crowd = dict(placed.groupBy("cell").count().collect())  # as many rows as pivots
-    plan, shard, room = [], -1, 0
-    for c in range(len(centre)):  # a crowded cell has shards of its own, the others share
-        size = crowd.get(c, 0)
-        if size > rows_per_shard:
-            cuts = -(-size // rows_per_shard)
-            plan += [F.lit(c), F.struct(F.lit(shard + 1).alias("first"), F.lit(cuts).alias("cuts"))]
-            shard, room = shard + cuts, 0
-        else:
-            if size > room:
-                shard, room = shard + 1, rows_per_shard
-            room -= size
-            plan += [F.lit(c), F.struct(F.lit(max(shard, 0)).alias("first"), F.lit(1).alias("cuts"))]
-    spot = F.element_at(F.create_map(*plan), F.col("cell"))
-    home = spot["first"] + F.pmod(F.xxhash64("vec_id"), spot["cuts"]).cast("int")
-    stored = placed.select(home.alias("shard"), F.lit(0).alias("part"), "vec_id", "v", "cell", "far")
-    asked = rows.where(F.col("vec_id") % every == 0)
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(max(shard, 0)))).alias("shard"), F.lit(1).alias("part"), "vec_id", "v", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("double").alias("far"))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["shard"]):
-            part = group["part"].to_numpy()
-            cut = int(np.searchsorted(part, 1))
-            if cut == 0 or cut == len(part):
-                continue
-            have, ask = group.slice(0, cut), group.slice(cut)
-            here = Shard(have["vec_id"].to_numpy(), unpack(have["v"]), have["cell"].to_numpy(), have["far"].to_numpy(), *shared.value)
-            for at in range(0, ask.num_rows, block):
-                some = ask.slice(at, block)
-                ids = some["vec_id"].to_numpy()
-                q, found, products = here.search(ids, unpack(some["v"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found), pa.array(products)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "vec_id", "v")), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["row", "vec_id", "v", "cell", "far"])
+
+    placed = checkpoint(rows.mapInArrow(keyed, "row long, vec_id long, v binary, cell int, far double"))
+    ends = {c: (a, b) for c, a, b in placed.groupBy("cell").agg(F.min("far"), F.max("far")).collect()}  # as many as pivots
+    edges = np.array([np.linspace(*ends.get(c, (0.0, 0.0)), BINS + 1) for c in range(len(centre))])
+    low = F.element_at(F.array(*[F.lit(float(e[0])) for e in edges]), F.col("cell") + 1)
+    wide = F.element_at(F.array(*[F.lit(float(max(e[-1] - e[0], 1e-300) / BINS)) for e in edges]), F.col("cell") + 1)
+    placed = placed.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((F.col("far") - low) / wide)).cast("int"))
+    counts = {(c, b): m for c, b, m in placed.groupBy("cell", "bin").count().collect()}  # pivots times bins
+    first, cuts, shards = layout(counts, len(centre), rows_per_shard)
+    cell = np.array([s[0] for s in shards], np.int64)
+    held = np.array([s[3] for s in shards], np.int64)
+    step = edges[:, 1] - edges[:, 0]
+    reach_low = np.array([edges[c, a] - step[c] for c, a, _, _ in shards])  # a bin more on either side: bins are floating point too
+    reach_high = np.array([edges[c, b + 1] + step[c] for c, _, b, _ in shards])
+    plan = spark.sparkContext.broadcast((first, cuts, cell, held, reach_low, reach_high))  # at most pivots * BINS shards and those by salt
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, b = batch["cell"].to_numpy(), batch["bin"].to_numpy()
+            shard = plan.value[0][c, b] + batch["row"].to_numpy() % plan.value[1][c, b]
+            none = pa.nulls(batch.num_rows, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(c), -1)), *(batch[x] for x in ("row", "vec_id", "v", "far")), none], NAMES)
+
+    def asked(late: bool):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, cuts, cell, held, below, above = plan.value
+            for whole in batches:
+                for start in range(0, whole.num_rows, 64):
+                    batch = whole.slice(start, 64)
+                    q = np.column_stack([unpack(batch["v"], width).astype(float), np.zeros(batch.num_rows)])
+                    to = distances(q, index.value)[:, cell]
+                    bound = shard_bounds(to, below, above)
+                    order = np.argsort(bound, axis=1, kind="stable")
+                    before = np.cumsum(held[order], axis=1) - held[order]
+                    near = np.zeros(bound.shape, bool)
+                    np.put_along_axis(near, order, before <= k, axis=1)  # until more than k rows are in sight
+                    radius = batch["radius"].to_numpy(zero_copy_only=False)
+                    i, shard = np.nonzero(~near & (bound <= radius[:, None]) if late else near)
+                    take = pa.array(i)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(batch["row"].to_numpy()[i] // 7 % 1024), *(batch[x].take(take) for x in ("row", "vec_id", "v")), pa.array(to[i, shard]), pa.array(radius[i])], NAMES)
+
+        return send
+
+    names = "shard long, part long, row long, vec_id long, v binary, far double, radius double"
+    questions = rows.where(F.col("vec_id") % every == 0)
+
+    def round_of(asking: DataFrame) -> DataFrame:
+        busy = dict(asking.groupBy("shard").count().where(F.col("count") > queries_per_task).collect())  # of the shards
+        copies = F.lit(1) if not busy else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, m in busy.items() for x in (c, -(-m // queries_per_task))]), F.col("shard")), F.lit(1))
+        kept = placed.mapInArrow(stored, names).select(F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)).alias("copy"), *NAMES)
+        both = kept.unionByName(asking.withColumn("copy", F.pmod(F.xxhash64("row"), copies).cast("int")))
+        dealt = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "part", "far")
+        return dealt.mapInArrow(_answering(width, k, block), "query long, query_id long, vec_id long, score long")
+
+    near = checkpoint(round_of(questions.withColumn("radius", F.lit(float("inf"))).mapInArrow(asked(False), names)))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("kth"))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = unpack(batch["v"], width).astype(float)
+            most = (q * q).sum(axis=1) + top  # distance^2 = most - 2 * product
+            least = batch["kth"].to_numpy(zero_copy_only=False).astype(float)
+            radius = np.sqrt(np.maximum(0.0, most - 2.0 * least + SLACK * np.maximum(most, 1.0))) + 1e-9
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "vec_id", "v")), pa.array(np.where(np.isnan(least), np.inf, radius))], ["row", "vec_id", "v", "radius"])
 
-    both = stored.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "part")
-    found = both.mapInArrow(answer, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    bounded = questions.join(kth, "row", "left").select("row", "vec_id", "v", "kth").mapInArrow(reach, "row long, vec_id long, v binary, radius double")
+    found = near.unionByName(round_of(bounded.mapInArrow(asked(True), names)))
+    told = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return told.select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk_search(spark, sf_dir: str) -> DataFrame:
@@ -202,10 +298,10 @@ def op2_topk_search(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
 SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+WINDOW w AS (PARTITION BY rid ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
 """

@@ -61,6 +61,45 @@ def test_search_of_few_and_of_nothing(spark):
     assert topk_search.search(spark.createDataFrame([(20, None)], schema)).count() == 0
 
 
+def brute_rows(rows, k=20):
+    """As ``brute_top``, of tables in which ids repeat and lengths differ: every row is one of its own."""
+    held = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (q, v) in enumerate(held):
+        if q % 20 == 0:
+            told = sorted((-sum(a * b for a, b in zip(v, w)), c) for m, (c, w) in enumerate(held) if m != n and len(w) == len(v))[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(told)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("options", [{}, {"pivots": 3, "rows_per_shard": 5, "block": 2, "sample": 20, "queries_per_task": 2}])
+def test_search_takes_every_row_and_every_finite_component(spark, options):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4)]) for i in range(0, 90)]
+    rows += [(40, [3e8, 1.0, 0.0, -2.0]), (40, [1.0, 1.0, 1.0, 1.0]), (41, [1.0] * 4), (41, [2.0] * 4), (41, [2.0] * 4)]
+    rows += [(60, [1.0, 2.0]), (61, [3.0, 4.0]), (80, []), (81, []), (100, None), (120, [float("nan")] * 4)]
+    got = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **options)
+    assert sorted(map(tuple, got.collect())) == brute_rows(rows)
+
+
+def test_search_where_products_pass_the_floating_range(spark):
+    rows = [(0, [2.0**22, 1.0]), (1, [2.0**22, 2.0]), (2, [2.0**22, 3.0]), (3, [-(2.0**22), 1.0])]
+    got = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, got.collect())) == brute_rows(rows)
+    with pytest.raises(Exception, match="64-bit integer"):
+        topk_search.search(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_search_sends_queries_only_to_open_shards():
+    """Two far apart clusters: the annuli of the other one are closed to each query."""
+    counts = {(0, 0): 10, (0, 200): 7, (1, 5): 30}
+    first, cuts, shards = topk_search.layout(counts, 2, 12)
+    assert [s[:3] for s in shards] == [(0, 0, 0), (0, 200, 200), (1, 5, 5), (1, 5, 5), (1, 5, 5)]
+    assert (first[0, 0], first[0, 200], first[1, 5], cuts[1, 5]) == (0, 1, 2, 3)
+    bound = topk_search.shard_bounds(np.array([5.0, 5.0]), np.array([0.0, 7.0]), np.array([1.0, 9.0]))
+    assert bound.tolist() == [4.0, 2.0]
+
+
 # --- packing -------------------------------------------------------------------------------------
 
 
@@ -136,6 +175,17 @@ def test_registered_packing_takes_added_tokens_as_the_tokenizer_does(spark, tmp_
     assert {r.doc_id: r.ids_crc32 for r in packing.op5_packing(spark, str(tmp_path)).collect()} == want
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000 + "x", "\n" * 400_000, "a " * 5 + "\t " * 300_000 + "<|endoftext|>"])
+def test_packing_of_very_long_white_space(spark, tmp_path, run):
+    rows = [(1, run), (2, "x")]
+    table(spark, [(i, t, "s") for i, t in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = np.array([*t.encode(run, add_special_tokens=False).ids, 1], "<u4")
+    got = [r for r in packing.op5_packing(spark, str(tmp_path)).collect() if r.doc_id == 1]
+    assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids) for r in got)
+    assert sum(r.length for r in got) == len(ids)
+
+
 def test_other_vocabularies_run_on_the_general_tokenizer(spark):
     rows = [(1, "Hello there", "s"), (2, None, "s")]
     name = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -333,6 +383,27 @@ def test_every_form_of_alias_is_followed(spark, url, html):
     assert (got[2], got[3]) == ("block", "allow")
 
 
+@pytest.mark.parametrize(
+    "html, follows",
+    [
+        ('<link rel="shortlink canonical" href="https://bad.net/p">', True),
+        ("<link title='a > b' rel='canonical' href='https://bad.net/p'>", True),
+        ('<link rel="alternate" href="https://bad.net/p"><link href="/q" rel="canonical"><link rel=CANONICAL href="https://bad.net/p">', True),
+        ('<meta content="0; URL=\'https://bad.net/p\'" http-equiv="Refresh">', True),
+        ('<meta http-equiv=refresh content="5">', False),
+        ('<!-- <link rel="canonical" href="https://bad.net/p"> -->', False),
+        ('<!-- <link rel="canonical" href="https://bad.net/p">', False),
+        ('<script>var t = \'<link rel="canonical" href="https://bad.net/p">\'</script>', False),
+        ('<link rel="canonicals" href="https://bad.net/p"><link data-rel="canonical" href="https://bad.net/p"><a rel="canonical" href="https://bad.net/p">', False),
+        ('<link rel="canonical" href="">', False),
+        ('<link rel="canonical" ' + "x" * 200_000, False),
+    ],
+)
+def test_what_counts_as_an_alias(spark, html, follows):
+    got = url_filters.judge(spark.createDataFrame([(1, "https://a.edu/x", html)], "page_id long, url string, html string")).collect()
+    assert got[0].verdict == ("block" if follows else "allow")
+
+
 def test_an_empty_path_is_the_root(spark):
     pages = [(1, "https://b.edu/", '<link rel=canonical href="https://bad.net/p">'), (2, "https://c.edu/x", '<link rel=canonical href="https://b.edu">')]
     assert {r.verdict for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"block"}
