@@ -37,6 +37,59 @@ def literal(value: Column | str | int | float, datatype: str | None = None, lang
     return term("literal", value, F.lit(datatype) if datatype else None, F.lit(language) if language else None)
 
 
+def iri(t: Column, base: str | None = None) -> Column:
+    """IRI: the address that a string or an address names, taken on ``base`` where it has no scheme; else null."""
+    named = text(t)
+    full = named if base is None else F.when(named.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), named).otherwise(F.concat(F.lit(base), named))
+    return F.when(is_uri(t) | _plain(t), uri(full))
+
+
+def bnode(label: Column | None = None) -> Column:
+    """BNODE: a blank node, the same for equal labels within a solution, or a new one for each row."""
+    return term("bnode", F.regexp_replace(F.uuid(), "-", "") if label is None else F.when(_plain(label), F.sha2(label["value"], 256)))
+
+
+def strdt(t: Column, kind: str) -> Column:
+    """STRDT: a plain string as a literal of a datatype; null for other terms."""
+    return term("literal", F.when(_plain(t), t["value"]), F.lit(kind))
+
+
+def strlang(t: Column, tag: str) -> Column:
+    """STRLANG: a plain string in a language; null for other terms."""
+    return term("literal", F.when(_plain(t), t["value"]), None, F.lit(tag))
+
+
+def _plain(t: Column) -> Column:
+    return (t["kind"] == "literal") & t["language"].isNull() & t["datatype"].isNull()
+
+
+def digest(name: str, t: Column) -> Column:
+    """MD5, SHA1, SHA256, SHA384 and SHA512 of a plain string, as a literal in lower-case hexadecimal."""
+    told = t["value"].cast("binary")
+    found = F.md5(told) if name == "md5" else F.sha1(told) if name == "sha1" else F.sha2(told, int(name.removeprefix("sha")))
+    return term("literal", F.when(_plain(t), found))
+
+
+def coalesce(*ts: Column) -> Column:
+    """COALESCE: the first term that is bound."""
+    return F.coalesce(*ts)
+
+
+def if_(test: Column, yes: Column, no: Column) -> Column:
+    """IF: by a test's truth; null where the test fails."""
+    return F.when(test, yes).when(~test, no)
+
+
+def uuid() -> Column:
+    """UUID: a new address for each row."""
+    return uri(F.concat(F.lit("urn:uuid:"), F.uuid()))
+
+
+def struuid() -> Column:
+    """STRUUID: a new plain string for each row."""
+    return term("literal", F.uuid())
+
+
 def is_uri(t: Column) -> Column:
     return t["kind"] == "uri"
 

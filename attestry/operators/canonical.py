@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.operators.quads import LINE
+from attestry.operators.quads import LINE, malformed, normal
 from attestry.plans.durable import cut
 
 #: The default limits on blank nodes of a document and on steps of comparing paths.
@@ -23,8 +23,8 @@ ENDS = ("s", "o", "g")
 
 
 def tokens(quads: DataFrame) -> DataFrame:
-    """doc_id, s, p, o, g: the parts of each statement line as they stand; g is empty in the default graph."""
-    parts = [F.regexp_extract("quad", LINE, k + 1).alias(n) for k, n in enumerate(("s", "p", "o", "g"))]
+    """doc_id, s, p, o, g: the parts of each statement line, escaped in one way; g is empty in the default graph."""
+    parts = [normal(F.regexp_extract("quad", LINE, k + 1)).alias(n) for k, n in enumerate(("s", "p", "o", "g"))]
     return quads.where(F.col("quad").rlike(LINE)).select("doc_id", *parts).distinct()
 
 
@@ -155,11 +155,13 @@ def name_nodes(rows: DataFrame, most_nodes: int = MOST_NODES, most_steps: int =
 def canonicalise(quads: DataFrame, most_nodes: int = MOST_NODES, most_steps: int = MOST_STEPS) -> DataFrame:
     """doc_id, text, error: canonical N-Quads of every document of ``(doc_id, quad)`` lines.
 
-    Lines are sorted and each ends with a line feed. A document above a limit has the error and no text.
+    Lines are sorted and each ends with a line feed. A document above a limit, or with a line that is no
+    statement, has the error and no text.
     """
     rows = cut(tokens(quads))
     names = name_nodes(rows, most_nodes, most_steps)
-    failed = names.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))
+    broken = malformed(quads).select("doc_id", F.lit("malformed statement").alias("error"))
+    failed = names.where("error is not null").select("doc_id", "error").unionByName(broken).groupBy("doc_id").agg(F.min("error").alias("error"))
     known = names.where("error is null").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "name"))).alias("names"))
 
     def shown(c: str) -> Column:
@@ -167,4 +169,4 @@ def canonicalise(quads: DataFrame, most_nodes: int = MOST_NODES, most_steps: int
 
     told = rows.join(known, "doc_id", "left").select("doc_id", _line(shown("s"), F.col("p"), shown("o"), shown("g")).alias("line"))
     texts = told.groupBy("doc_id").agg(F.concat(F.array_join(F.array_sort(F.collect_set("line")), "\n"), F.lit("\n")).alias("text"))
-    return texts.join(failed, "doc_id", "left").select("doc_id", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")
+    return texts.join(failed, "doc_id", "full").select("doc_id", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error")

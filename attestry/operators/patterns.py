@@ -3,11 +3,17 @@
 A query is written with these functions, not parsed from text. Solutions are DataFrames with a term
 column for each variable. Patterns become filters and equi-joins, so pruning, join order and join
 strategy are left to the optimiser.
+
+A variable that optional parts, unions or inline data leave unbound in some solutions is marked so in
+its column's metadata. Solutions are compatible where such a variable is unbound on either side; each
+side is then split by which of these are bound, and each pair of parts is joined on what both bind, so
+no join compares all solutions with all others unless they share nothing.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,28 +66,79 @@ def shared(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
 
 
+_UNBOUND = "unbound"
+
+
+def may_be_unbound(a: DataFrame, name: str) -> bool:
+    """Whether a variable is unbound in some solutions, as far as the operators here know."""
+    return bool(a.schema[name].metadata.get(_UNBOUND))
+
+
+def mark_unbound(a: DataFrame, *names: str) -> DataFrame:
+    """Says that the variables may be unbound, for solutions that come from elsewhere."""
+    return a.select(*[F.col(c).alias(c, metadata={**a.schema[c].metadata, _UNBOUND: True}) if c in names else F.col(c) for c in a.columns])
+
+
+def _parts(a: DataFrame, loose: list[str]) -> list[tuple[frozenset[str], DataFrame]]:
+    """The solutions by which of the loose variables they bind; the parts are disjoint and leave none out."""
+    out = []
+    for bound in product((True, False), repeat=len(loose)):
+        tests = [F.col(v).isNotNull() if b else F.col(v).isNull() for v, b in zip(loose, bound)]
+        out.append((frozenset(v for v, b in zip(loose, bound) if b), a.where(reduce(lambda x, y: x & y, tests)) if tests else a))
+    return out
+
+
+def _pairs(a: DataFrame, b: DataFrame, maybe: tuple[str, ...] | None) -> list[tuple[DataFrame, list[tuple[DataFrame, list[str]]]]]:
+    """Each part of a, with the parts of b and the variables that both bind."""
+    both = shared(a, b)
+    loose_a = [v for v in both if may_be_unbound(a, v) or v in (maybe or ())]
+    loose_b = [v for v in both if may_be_unbound(b, v) or v in (maybe or ())]
+    out = []
+    for bound_a, x in _parts(a, loose_a):
+        sure_a = {v for v in both if v not in loose_a} | bound_a
+        parts = [(y, [v for v in both if v in sure_a and (v not in loose_b or v in bound_b)]) for bound_b, y in _parts(b, loose_b)]
+        out.append((x, parts))
+    return out
+
+
 def join(a: DataFrame, b: DataFrame, maybe: tuple[str, ...] = ()) -> DataFrame:
-    """Compatible solutions joined; ``maybe`` names shared variables that may be unbound."""
-    return _match(a, b, "inner", maybe)
+    """Compatible solutions joined; ``maybe`` names shared variables that may be unbound, beside the marked ones."""
+    return reduce(DataFrame.unionByName, [_linked(x, y, keys, None) for x, parts in _pairs(a, b, maybe) for y, keys in parts])
 
 
 def optional(a: DataFrame, b: DataFrame, maybe: tuple[str, ...] = (), on: Column | None = None) -> DataFrame:
-    """All of a, with b where it is compatible (and where ``on`` holds)."""
-    return _match(a, b, "left", maybe, on)
+    """All of a, with b where it is compatible (and where ``on`` holds).
 
-
-def _match(a: DataFrame, b: DataFrame, how: str, maybe: tuple[str, ...], on: Column | None = None) -> DataFrame:
+    ``on`` names variables of a, and of b those that a lacks.
+    """
+    out = []
+    fresh = {c: b.schema[c].dataType for c in b.columns if c not in a.columns}
+    for x, parts in _pairs(a, b, maybe):
+        if len(parts) == 1:
+            out.append(_linked(x, *parts[0], on, "left"))
+            continue
+        out += [_linked(x, y, keys, on) for y, keys in parts]
+        rest = reduce(lambda left, part: _linked(left, *part, on, "left_anti"), parts, x)
+        out.append(rest.select("*", *[F.lit(None).cast(t).alias(c) for c, t in fresh.items()]))
+    return mark_unbound(reduce(DataFrame.unionByName, out), *fresh)
+
+
+def _linked(a: DataFrame, b: DataFrame, keys: list[str], on: Column | None, how: str = "inner") -> DataFrame:
+    """a and b joined on ``keys``; of other shared variables, the side that binds it has the term."""
     both = shared(a, b)
-    loose = [v for v in both if v in maybe]
-    sure = [v for v in both if v not in loose]
-    if not both and how == "inner" and on is None:
-        return a.crossJoin(b)
     right = b.toDF(*[f"{c}__r" if c in both else c for c in b.columns])
-    tests = [a[v] == right[f"{v}__r"] for v in sure] + [(a[v] == right[f"{v}__r"]) | a[v].isNull() | right[f"{v}__r"].isNull() for v in loose]
-    tests += [] if on is None else [on]
-    out = a.join(right, reduce(lambda x, y: x & y, tests, F.lit(True)), how)
-    kept = [(F.coalesce(a[v], right[f"{v}__r"]) if v in loose else a[v]).alias(v) if v in both else a[v] for v in a.columns]
-    return out.select(*kept, *[right[c] for c in b.columns if c not in both])
+    tests = [F.col(v) == F.col(f"{v}__r") for v in keys] + ([] if on is None else [on])
+    if how in ("left_anti", "left_semi"):
+        return a.join(right if tests else right.limit(1), reduce(lambda x, y: x & y, tests, F.lit(True)), how)
+    out = a.join(right, reduce(lambda x, y: x & y, tests), how) if tests else a.crossJoin(right) if how == "inner" else a.join(right, F.lit(True), how)
+
+    def term(v: str) -> Column:
+        if v not in both or v in keys:
+            return F.col(v)
+        unbound = may_be_unbound(a, v) and may_be_unbound(b, v)
+        return F.coalesce(v, f"{v}__r").alias(v, metadata={_UNBOUND: True} if unbound else {})
+
+    return out.select(*[term(v) for v in a.columns], *[c for c in b.columns if c not in both])
 
 
 def bgp(quads: DataFrame, triples: list[tuple]) -> DataFrame:
@@ -102,23 +159,44 @@ def bgp(quads: DataFrame, triples: list[tuple]) -> DataFrame:
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """All solutions of both; variables that one lacks are unbound there."""
-    return a.unionByName(b, allowMissingColumns=True)
+    loose = {c for c in {*a.columns, *b.columns} if any(c not in x.columns or may_be_unbound(x, c) for x in (a, b))}
+    return mark_unbound(a.unionByName(b, allowMissingColumns=True), *loose)
 
 
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Solutions of a compatible with none of b; without shared variables, all of a."""
-    both = shared(a, b)
-    return a.join(b, both, "left_anti") if both else a
+    """Solutions of a compatible with none of b that binds a variable which they bind too."""
+    if not shared(a, b):
+        return a
+    out = [reduce(lambda left, part: _linked(left, *part, None, "left_anti") if part[1] else left, parts, x) for x, parts in _pairs(a, b, None)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def exists(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = shared(a, b)
-    return a.join(b, both, "left_semi") if both else a.join(b.limit(1).select(F.lit(1).alias("__one")), F.lit(True), "left_semi")
+    """Solutions of a that are compatible with one of b."""
+    out = []
+    for x, parts in _pairs(a, b, None):
+        for y, keys in parts:  # each solution once: what a part of b has is not asked of the next
+            out.append(_linked(x, y, keys, None, "left_semi"))
+            x = _linked(x, y, keys, None, "left_anti")
+    return reduce(DataFrame.unionByName, out)
 
 
 def not_exists(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = shared(a, b)
-    return a.join(b, both, "left_anti") if both else a.join(b.limit(1).select(F.lit(1).alias("__one")), F.lit(True), "left_anti")
+    """Solutions of a that are compatible with none of b."""
+    return reduce(DataFrame.unionByName, [reduce(lambda left, part: _linked(left, *part, None, "left_anti"), parts, x) for x, parts in _pairs(a, b, None)])
+
+
+def dataset(quads: DataFrame, default: list[str] | None = None, named: list[str] | None = None) -> DataFrame:
+    """The statements that a query asks where it names its graphs.
+
+    The graphs of ``default`` are merged into the default graph, each statement once, and only those of
+    ``named`` stay named; without either the statements stay as they are.
+    """
+    if default is None and named is None:
+        return quads
+    plain = quads.where(F.col("graph").isin(default or [])).withColumn("graph", F.lit(None).cast("string"))
+    plain = plain.dropDuplicates([c for c in quads.columns if c not in ("graph", "doc_id")])
+    return plain.unionByName(quads.where(F.col("graph").isin(named or [])))
 
 
 def values(a: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
@@ -132,8 +210,8 @@ def values(a: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
         return None if x is None else ("literal", x.value, x.datatype, x.language) if isinstance(x, Literal) else ("uri", x, None, None)
 
     data = a.sparkSession.createDataFrame([tuple(map(one, r)) for r in rows], kind)
-    open_ = tuple(n for k, n in enumerate(names) if any(r[k] is None for r in rows))
-    return join(a, F.broadcast(data), open_)
+    open_ = [n for k, n in enumerate(names) if any(r[k] is None for r in rows)]
+    return join(a, F.broadcast(mark_unbound(data, *open_) if open_ else data))
 
 
 def order_by(a: DataFrame, *keys: tuple[str, bool]) -> DataFrame:
@@ -173,6 +251,23 @@ def one_or_more(pairs: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError(f"no closure after {most} rounds")
 
 
+def reached(pairs: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
+    """The pairs of the transitive closure that begin at the terms of ``starts`` (column x), each once.
+
+    Only what the starts reach is worked on: in each round the pairs found last take one step more. For a
+    path whose end is bound instead, give the inverse pairs. Raises where ``most`` rounds do not suffice.
+    """
+    pairs = cut(pairs.distinct())
+    last = cut(pairs.join(starts.select("x").distinct(), "x", "left_semi"))
+    known = last
+    for _ in range(most):
+        if last.isEmpty():
+            return known
+        last = cut(sequence(last, pairs).distinct().join(known, ["x", "y"], "left_anti"))
+        known = cut(known.unionByName(last))
+    raise RuntimeError(f"no closure after {most} rounds")
+
+
 def zero_or_more(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The reflexive closure over the terms of ``nodes`` (column x)."""
     return one_or_more(pairs).unionByName(nodes.select("x", F.col("x").alias("y"))).distinct()

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from attestry.functions.terms import XSD
 
 SCHEMA = "graph string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string, doc_id string"
-#: Fixed value: one line of N-Quads; subject, predicate, object, graph.
-LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*$'
+#: An address and one line of N-Quads; subject, predicate, object, graph.
+_CODE = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
+ADDRESS = r"<(?:[^\x00-\x20<>\"{}|^`\\]|" + _CODE + r")*+>"
+LITERAL = r'"(?:[^"\\\n\r]|\\[tbnrf"\'\\]|' + _CODE + r')*+"'
+NODE = r'_:[^\s<>"]+'
+LINE = rf"^\s*({ADDRESS}|{NODE})\s*({ADDRESS})\s*({ADDRESS}|{NODE}|{LITERAL}(?:\^\^{ADDRESS}|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?)\s*({ADDRESS}|{NODE})?\s*\.\s*(?:#.*)?$"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
 
@@ -33,22 +41,64 @@ def _node(x: Column) -> tuple[Column, Column]:
     return F.regexp_replace(x, r"^<|>$|^_:", ""), F.when(F.startswith(x, F.lit("<")), "uri").when(F.startswith(x, F.lit("_:")), "bnode").otherwise("literal")
 
 
+@F.arrow_udf(StringType())
+def _decoded(text: pa.Array) -> pa.Array:
+    """Escapes of all kinds, those of code points included."""
+    plain = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+
+    def one(m: re.Match) -> str:
+        return chr(int(m[1][1:], 16)) if len(m[1]) > 1 else plain.get(m[1], m[1])
+
+    told = (x.as_py() for x in text)
+    return pa.array([None if x is None else re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", one, x) for x in told], pa.string())
+
+
 def _unescape(x: Column) -> Column:
-    for mark, plain in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
-        x = F.replace(x, F.lit(mark), F.lit(plain))
-    return x
+    """The characters that an escaped text stands for; only texts with code points leave the built-in way."""
+    coded, out = F.contains(x, F.lit("\\u")) | F.contains(x, F.lit("\\U")), x
+    for mark, plain in (("\\\\", "\x00"), ('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ("\x00", "\\")):
+        out = F.replace(out, F.lit(mark), F.lit(plain))
+    return F.when(coded, _decoded(F.when(coded, x))).otherwise(out)
+
+
+def normal(token: Column) -> Column:
+    """A part of a statement as canonical text has it: one way to escape each character, no xsd:string."""
+    body = F.regexp_extract(token, rf"^({LITERAL})", 1)
+    inner = _unescape(F.substring(body, F.lit(2), F.length(body) - 2))
+    for plain, mark in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        inner = F.replace(inner, F.lit(plain), F.lit(mark))
+    kind = F.substring(token, F.length(body) + 1, F.lit(2**31 - 1))
+    kind = F.when(kind == f"^^<{XSD}string>", "").when(F.contains(kind, F.lit("\\")), _unescape(kind)).otherwise(kind)
+    literal = F.when(F.contains(token, F.lit("\\")) | F.endswith(token, F.lit(f"{XSD}string>")), F.concat(F.lit('"'), inner, F.lit('"'), kind)).otherwise(token)
+    return F.when(F.startswith(token, F.lit('"')), literal).when(F.contains(token, F.lit("\\")), _unescape(token)).otherwise(token)
 
 
-def parse(quads: DataFrame) -> DataFrame:
-    """The statements of ``(doc_id, quad)`` lines; malformed lines give none."""
+def malformed(quads: DataFrame) -> DataFrame:
+    """doc_id, quad: the lines that are no statement."""
+    return quads.where(~F.col("quad").rlike(LINE)).select("doc_id", "quad")
+
+
+def parse(quads: DataFrame, strict: bool = False) -> DataFrame:
+    """The statements of ``(doc_id, quad)`` lines.
+
+    A malformed line raises with ``strict``; else it gives none, and ``malformed`` names it.
+    """
     part = [F.regexp_extract("quad", LINE, k) for k in range(1, 5)]
     s, p, o, g = part
-    body = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
+    body = F.regexp_extract(o, rf"^({LITERAL})", 1)
+    body = F.substring(body, F.lit(2), F.length(body) - 2)
     kind = _node(o)[1]
     dt = F.nullif(F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1), F.lit(""))
-    return quads.where(F.col("quad").rlike(LINE)).select(
-        F.nullif(_node(g)[0], F.lit("")).alias("graph"), _node(s)[0].alias("s"), _node(s)[1].alias("s_kind"), _node(p)[0].alias("p"),
-        F.when(kind == "literal", _unescape(body)).otherwise(_node(o)[0]).alias("o"), kind.alias("o_kind"),
+    sound = F.col("quad").rlike(LINE)
+    if strict:
+        sound = F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed statement: "), F.col("quad"))).cast("boolean"))
+
+    def address(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit("\\")), _unescape(_node(x)[0])).otherwise(_node(x)[0])
+
+    return quads.where(sound).select(
+        F.nullif(address(g), F.lit("")).alias("graph"), address(s).alias("s"), _node(s)[1].alias("s_kind"), address(p).alias("p"),
+        F.when(kind == "literal", _unescape(body)).otherwise(address(o)).alias("o"), kind.alias("o_kind"),
         F.when(kind == "literal", F.nullif(dt, F.lit(XSD + "string"))).alias("o_dt"),
         F.when(kind == "literal", F.nullif(F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))).alias("o_lang"), F.col("doc_id").cast("string").alias("doc_id"),
     )

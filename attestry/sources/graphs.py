@@ -218,6 +218,9 @@ def load_errors(docs: DataFrame, id_col: str, text_col: str, media: str = "appli
     """doc_id, error: the documents that the table of their media type holds no statement of."""
     if media == "application/ld+json":
         lines = json_ld_lines(docs, id_col, text_col, **options)
+    elif media in ("application/n-quads", "application/n-triples"):
+        broken = quads.malformed(quads.quad_set(docs, text_col, id_col))
+        return broken.groupBy("doc_id").agg(F.concat(F.lit("malformed statement: "), F.min("quad")).alias("error"))
     elif media in ("text/turtle", "application/trig"):
         lines = turtle_lines(docs, id_col, text_col, named_graphs=media == "application/trig", **options)
     else:
@@ -225,9 +228,15 @@ def load_errors(docs: DataFrame, id_col: str, text_col: str, media: str = "appli
     return lines.where("error is not null").select("doc_id", "error")
 
 
-def load_n_quads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The statement table of N-Quads or N-Triples texts."""
-    return scoped(quads.parse(quads.quad_set(docs, text_col, id_col)))
+def load_n_quads(docs: DataFrame, id_col: str, text_col: str, strict: bool = False) -> DataFrame:
+    """The statement table of N-Quads or N-Triples texts.
+
+    A malformed line raises with ``strict``; else its document has no statements, and ``load_errors`` names it.
+    """
+    lines = quads.quad_set(docs, text_col, id_col)
+    if not strict:
+        lines = lines.join(quads.malformed(lines).select("doc_id").distinct(), "doc_id", "left_anti")
+    return scoped(quads.parse(lines, strict))
 
 
 def scoped(table: DataFrame) -> DataFrame:
@@ -245,7 +254,7 @@ def entailment_mode(stated: str | None) -> str:
 def build_graph(docs: DataFrame, id_col: str, text_col: str, media: str = "application/ld+json", mode: str | None = None, **options) -> DataFrame:
     """The statement table of documents of one media type. Entailment modes other than ``none`` raise.
 
-    So does a JSON-LD document with an error, unless ``strict`` is false; one in Turtle or TriG with ``strict``.
+    So does a document in JSON-LD or N-Quads with an error, unless ``strict`` is false; one in Turtle or TriG with ``strict``.
     """
     mode = entailment_mode(mode)
     if mode != "none":
@@ -253,7 +262,7 @@ def build_graph(docs: DataFrame, id_col: str, text_col: str, media: str = "appli
     if media == "application/ld+json":
         return load_json_ld(docs, id_col, text_col, **{"strict": True, **options})
     if media in ("application/n-quads", "application/n-triples"):
-        return load_n_quads(docs, id_col, text_col)
+        return load_n_quads(docs, id_col, text_col, **{"strict": True, **options})
     if media in ("text/turtle", "application/trig"):
         return load_turtle(docs, id_col, text_col, named_graphs=media == "application/trig", **options)
     raise ValueError(f"no reader for {media}")

@@ -19,21 +19,20 @@ REPORT = "id string, manifest_hash string, version long, accepted boolean, reaso
 
 def _judge(key: tuple, arrivals: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     seen = state.get if state.exists else None
-    for part in arrivals:
-        out = []
-        for r in part.sort_values(["version", "manifest_hash"]).itertuples(index=False):
-            depth = 1 if pd.isna(r.depth) else int(r.depth)
-            if seen is None:
-                reason = None if pd.isna(r.previous) or not r.previous else "starts in the middle"
-            elif r.version <= seen[1]:
-                reason = "replayed" if r.manifest_hash == seen[0] else "version"
-            else:
-                reason = "previous hash" if r.previous != seen[0] else "depth" if depth != seen[2] + 1 else None
-            was = None if seen is None or seen[3] == r.mode else seen[3]
-            out.append((key[0], r.manifest_hash, int(r.version), reason is None, reason, was, r.mode))
-            if reason is None or seen is None:
-                seen = (r.manifest_hash, int(r.version), depth, r.mode)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")])
+    told, out = pd.concat(list(arrivals)), []  # one address in one trigger, which may come in several parts
+    for r in told.sort_values(["version", "manifest_hash"]).itertuples(index=False):
+        depth = 1 if pd.isna(r.depth) else int(r.depth)
+        if seen is None:
+            reason = None if pd.isna(r.previous) or not r.previous else "starts in the middle"
+        elif r.version <= seen[1]:
+            reason = "replayed" if r.manifest_hash == seen[0] else "version"
+        else:
+            reason = "previous hash" if r.previous != seen[0] else "depth" if depth != seen[2] + 1 else None
+        was = None if seen is None or seen[3] == r.mode else seen[3]
+        out.append((key[0], r.manifest_hash, int(r.version), reason is None, reason, was, r.mode))
+        if reason is None or seen is None:
+            seen = (r.manifest_hash, int(r.version), depth, r.mode)
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")])
     if seen is not None:
         state.update(seen)
 
