@@ -166,6 +166,12 @@ def _agreement_key(secret: pa.Array, public: pa.Array, salt: pa.Array, info: pa.
     return _rows(pa.binary(), lambda s, p, n, i: hkdf_sha256(x25519_shared(s, p), n, i), secret, public, salt, info)
 
 
+@F.arrow_udf(BinaryType())
+def shared_secret(secret: pa.Array, public: pa.Array) -> pa.Array:
+    """The X25519 function of a secret and a public half; of the base point 9, the secret's own public half."""
+    return _rows(pa.binary(), x25519_shared, secret, public)
+
+
 @F.arrow_udf(BinaryType())
 def _hmac_rows(key: pa.Array, data: pa.Array) -> pa.Array:
     return _rows(pa.binary(), lambda k, d: _hmac.digest(k, d, "sha256"), key, data)

@@ -33,6 +33,11 @@ def put(blobs: DataFrame, fresh: DataFrame) -> DataFrame:
     return without(blobs, fresh).select("hash", "bytes").unionByName(fresh.select("hash", "bytes").dropDuplicates(["hash"]))
 
 
+def emptied(blobs: DataFrame) -> DataFrame:
+    """The store without any blob, its columns kept."""
+    return blobs.limit(0)
+
+
 def intact(blobs: DataFrame) -> DataFrame:
     """Only blobs whose bytes have the address that they are stored under."""
     return blobs.where(hashing.verify(F.col("hash"), F.col("bytes")))

@@ -1,8 +1,9 @@
 """Resolving whole tables of requests: address to verified content, with a typed verdict for each.
 
-Every step adds a column that is null where the step holds; the first that is not is the error. All
-manifests of the store are judged once, each against the manifest before it, and a request's chain is
-the walk over these verdicts, so that requests that share a chain share the work.
+Every step adds a column that is null where the step holds; the first that is not is the error. The
+manifests that requests name or reach are judged once, each against the manifest before it, and a request's
+chain is the walk over these verdicts, so that requests that share a chain share the work. What no request
+reaches is only read for its links.
 """
 
 from __future__ import annotations
@@ -77,20 +78,40 @@ def delta_verdicts(made: DataFrame, blobs: DataFrame) -> DataFrame:
     return told.select("manifest_hash", chains.delta_verdict(applied, F.coalesce(stated & gives, F.lit(False)), fallback).alias("delta_verdict"))
 
 
-def chain_reports(heads: DataFrame, judged: DataFrame, blobs: DataFrame) -> DataFrame:
+def _privacy_reason() -> Column:
+    """Why a link breaks the rules of privacy modes or of addressing, or null: aliases cur and prev."""
+    was, now = privacy.mode_of(F.col("prev.privacy.mode")), privacy.mode_of(F.col("cur.privacy.mode"))
+    return F.when(~privacy.transition_valid(was, now), F.concat(F.lit("privacy mode rises: "), was, F.lit(" to "), now)).when(
+        ~privacy.addressing_consistent(F.col("cur.content.addressing"), F.col("prev.content.addressing")), "addressing changes"
+    )
+
+
+def mode_changes(heads: DataFrame, judged: DataFrame) -> DataFrame:
+    """head, version, from_mode, to_mode: where the privacy mode changes on the way from each head."""
+    known = judged.select("manifest_hash", "version_n", privacy.mode_of(F.col("privacy.mode")).alias("mode"), F.col("chain.previous").alias("previous"))
+    way = chains.walk(heads.select("manifest_hash").distinct(), known.where("previous is not null")).select("head", "manifest_hash")
+    both = way.join(known, "manifest_hash").join(known.select(F.col("manifest_hash").alias("previous"), F.col("mode").alias("from_mode")), "previous")
+    return both.where(F.col("from_mode") != F.col("mode")).select("head", F.col("version_n").alias("version"), "from_mode", F.col("mode").alias("to_mode"))
+
+
+def chain_reports(heads: DataFrame, judged: DataFrame, blobs: DataFrame, private: bool = False) -> DataFrame:
     """head, chain_ok, depth, reason, warnings, for heads (manifest_hash) among judged manifests.
 
     ``judged`` comes from ``signed``. On the way from the head, a manifest fails by its signature or
-    key, then by its link, then by its delta; the failure nearest to the head is the reason.
+    key, then by its link, then by its delta; the failure nearest to the head is the reason. With ``private``
+    the links also follow the rules of privacy modes and addressing, deltas are left alone since content
+    may be sealed, and a link that an attestation is part of gives a warning.
     """
-    links = chains.link_verdicts(judged.withColumn("chain", _chain(F.col("chain"))))
-    deltas = delta_verdicts(judged, blobs)
-    own = judged.select("manifest_hash", "signature_ok", F.col("key.valid").alias("key_ok"), F.col("key.warning").alias("key_warning"))
+    rules = first_error(chains.link_reason(), _privacy_reason()) if private else None
+    links = chains.link_verdicts(judged.withColumn("chain", _chain(F.col("chain"))), rules)
+    deltas = delta_verdicts(judged.where("false") if private else judged, blobs)
+    attested = F.when(privacy.mode_of(F.col("privacy.mode")) == "attestation", "no plaintext to compare: attestation") if private else F.lit(None).cast("string")
+    own = judged.select("manifest_hash", "signature_ok", F.col("key.valid").alias("key_ok"), F.col("key.warning").alias("key_warning"), F.when(F.col("chain").isNotNull(), attested).alias("mode_warning"))
     told = own.join(links, "manifest_hash", "left").join(deltas, "manifest_hash", "left")
     failure = first_error(
         F.when(~F.col("key_ok"), "key"), F.when(~F.col("signature_ok"), "signature"), F.col("reason"), F.when(F.col("delta_verdict") == "invalid", "delta and content"),
     )
-    warned = F.filter(F.array(F.col("key_warning"), F.when(F.col("delta_verdict") == "warning", "delta failed, content holds")), lambda w: w.isNotNull())
+    warned = F.filter(F.array(F.col("key_warning"), F.col("mode_warning"), F.when(F.col("delta_verdict") == "warning", "delta failed, content holds")), lambda w: w.isNotNull())
     told = cut(told.select("manifest_hash", "previous", failure.alias("failure"), warned.alias("warned")))
     way = chains.walk(heads.select("manifest_hash").distinct(), told.where("previous is not null")).join(told.select("manifest_hash", "failure", "warned"), "manifest_hash")
     out = way.groupBy("head").agg(
@@ -104,8 +125,23 @@ def _chain(c: Column) -> Column:
     return F.when(c.isNotNull(), F.struct(c["previous"].alias("previous"), c["previousBranch"].alias("previous_branch"), c["genesisHash"].alias("genesis_hash"), c["depth"].alias("depth")))
 
 
-def _judged(blobs: DataFrame, key_table: DataFrame | None, at: Column | None, canonical: DataFrame | None, prefix: str, scheme: str) -> DataFrame:
-    sound = blobs.where(hashing.sha256(F.col("bytes")) == F.col("hash"))
+def reachable(requests: DataFrame, blobs: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """hash, bytes: the blobs that the requests (manifest_hash) name, those on the way to their genesis, and those that attestations among them are about.
+
+    Only addresses travel: manifests are read for their links, no signature is looked at.
+    """
+    links = manifests.read(blobs, prefix).select("manifest_hash", F.col("chain.previous").alias("previous"), F.col("attestation.subject.manifestHash").alias("subject"))
+    links = cut(links.where("previous is not null or subject is not null"))
+    asked = requests.select("manifest_hash").where("manifest_hash is not null").distinct()
+    way = chains.walk(asked, links.select("manifest_hash", "previous").where("previous is not null")).select("manifest_hash").distinct()
+    about = links.where("subject is not null").join(way, "manifest_hash", "left_semi").select(F.col("subject").alias("manifest_hash"))
+    wanted = cut(way.unionByName(about).distinct())
+    return blobs.join(wanted, F.col("hash") == F.col("manifest_hash"), "left_semi")
+
+
+def _judged(requests: DataFrame, blobs: DataFrame, key_table: DataFrame | None, at: Column | None, canonical: DataFrame | None, prefix: str, scheme: str) -> DataFrame:
+    """The manifests that the requests need, each verified once: the store's size does not count."""
+    sound = reachable(requests, blobs, prefix).where(hashing.sha256(F.col("bytes")) == F.col("hash"))
     return cut(signed(manifests.read(sound, prefix), key_table, at, canonical, prefix, scheme))
 
 
@@ -124,7 +160,7 @@ def resolve(requests: DataFrame, blobs: DataFrame, key_documents: DataFrame | No
     hand. Chains are only looked at where a manifest has one.
     """
     table = keys.flatten(key_documents) if key_documents is not None and at is not None else None
-    judged = _judged(blobs, table, at, canonical, prefix, scheme)
+    judged = _judged(requests, blobs, table, at, canonical, prefix, scheme)
     told = _asked(requests, blobs, judged, scheme)
     reports = chain_reports(told.where("chain is not null"), judged, blobs)
     told = told.join(reports, F.col("manifest_hash") == F.col("head"), "left")
@@ -164,9 +200,9 @@ def resolve_private(requests: DataFrame, blobs: DataFrame, subjects: DataFrame |
     named as unsupported. Possession never touches content. ``subjects`` (authority, public_key) are
     the keys that attestations' subjects are checked with.
     """
-    judged = _judged(blobs, None, None, canonical, prefix, scheme)
+    judged = _judged(requests, blobs, None, None, canonical, prefix, scheme)
     told = _asked(requests, blobs, judged, scheme)
-    reports = chain_reports(told.where("chain is not null"), judged, blobs)
+    reports = chain_reports(told.where("chain is not null"), judged, blobs, True)
     told = told.join(reports, F.col("manifest_hash") == F.col("head"), "left")
     told = told.withColumn("mode", privacy.mode_of(F.col("privacy.mode"))).withColumn("pp", F.from_json("privacy.parameters", _PARAMETERS))
     shown = F.coalesce("pp.contentVisibility", F.lit("public"))
@@ -184,7 +220,7 @@ def resolve_private(requests: DataFrame, blobs: DataFrame, subjects: DataFrame |
     told = told.withColumn("failure", first_error(base, public, held))
     told = _opened(told, labels)
     told = _disclosed(told, labels)
-    told = _attested(told, judged, subjects, at)
+    told = _attested(told, judged, subjects, at, prefix, scheme)
     created = temporal.parse_stamp(F.col("timing.created"))
     stale = (F.col("way") == "proof-of-possession") & temporal.custody_stale(created, F.col("pp.refreshPolicy"), created if at is None else at)
     status = (
@@ -251,13 +287,21 @@ def _disclosed(told: DataFrame, labels: tuple[str, str]) -> DataFrame:
     return told.withColumn("index_warnings", F.concat(F.coalesce("index_warnings", none), F.coalesce("bad_tags", none), F.when(F.col("hmac_asked") & F.col("hmac_key").isNull(), F.array(F.lit("HMAC key decryption failed"))).otherwise(none)))
 
 
-def _attested(told: DataFrame, judged: DataFrame, subjects: DataFrame | None, at: Column | None) -> DataFrame:
-    """Adds trust and claim_warnings: attestations against the manifests that they are about."""
-    about = judged.select(F.col("manifest_hash").alias("subject_hash"), F.col("signature_ok").alias("subject_ok"), F.col("id").alias("subject_id"))
-    told = told.join(about, F.col("attestation.subject.manifestHash") == F.col("subject_hash"), "left")
+def _attested(told: DataFrame, judged: DataFrame, subjects: DataFrame | None, at: Column | None, prefix: str, scheme: str) -> DataFrame:
+    """Adds trust and claim_warnings: attestations against the manifests that they are about.
+
+    With ``subjects`` a manifest's signature must hold under a key that is given for its authority; without,
+    under the key that its authority names.
+    """
+    about = judged.select(F.col("manifest_hash").alias("subject_hash"), F.col("signature_ok").alias("subject_ok"))
     if subjects is not None:
-        known = subjects.select(F.col("authority").alias("known")).distinct()
-        told = told.join(known, F.substring_index(F.substring_index("subject_id", "://", -1), "/", 1) == F.col("known"), "left").withColumn("subject_ok", F.col("subject_ok") & F.col("known").isNotNull())
+        wanted = told.select(F.col("attestation.subject.manifestHash").alias("manifest_hash")).where("manifest_hash is not null").distinct()
+        known = subjects.select(F.col("authority").alias("known"), F.col("public_key").alias("known_key")).distinct()
+        asked = judged.join(wanted, "manifest_hash", "left_semi").join(known, text.authority_of(F.col("id"), scheme) == F.col("known"), "left")
+        profile = F.when(F.col("content").isNotNull(), F.col("content.canonicalization")).otherwise(F.col("signature.canonicalization"))
+        ok = manifests.signature_valid(F.col("doc"), F.col("signature"), F.col("known_key"), profile, F.col("canonical") if "canonical" in judged.columns else None, prefix)
+        about = asked.select(F.col("manifest_hash").alias("subject_hash"), ok.alias("ok")).groupBy("subject_hash").agg(F.max("ok").alias("subject_ok"))
+    told = told.join(about, F.col("attestation.subject.manifestHash") == F.col("subject_hash"), "left")
     now = F.col("timing.created") if at is None else temporal.format_stamp(at)
     stale = privacy.attestation_stale(F.col("attestation.claim.validUntil"), now)
     mine = F.col("way") == "attestation"

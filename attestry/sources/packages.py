@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import hashing, text
+from attestry.operators import manifests
+from attestry.operators.manifests import PREFIX
 
 ENTRY = "struct<hash:string,data:string>"
 PACKAGE = f"struct<version:int,authority:string,uri:string,publicKey:string,entries:array<{ENTRY}>>"
@@ -56,3 +63,42 @@ def scan_files(spark, path: str) -> DataFrame:
 
 def file_name(base: str, address: Column) -> Column:
     return F.concat(F.lit(f"{base}/"), F.translate(address, ":", "-"))
+
+
+def write_files(blobs: DataFrame, path: str) -> int:
+    """Writes each blob to a file that is named by its address, as ``scan_files`` reads them; gives their number.
+
+    ``path`` is an address of a store that every executor reaches. Tasks write their rows one by one, each under a
+    name of its own first, so that a task that runs twice leaves whole files only.
+    """
+    named = blobs.select(F.regexp_replace(file_name("", F.col("hash")), "^/", "").alias("name"), "bytes").dropDuplicates(["name"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, data in zip(batch["name"].to_pylist(), batch["bytes"].to_pylist()):
+                passing = f"{root}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(passing) as f:
+                    f.write(data)
+                store.move(passing, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return named.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def published(heads: DataFrame, blobs: DataFrame, scheme_prefix: str = PREFIX) -> DataFrame:
+    """uri, hash, bytes: what the package of each head (uri, manifest_hash) holds, by the head's own records.
+
+    That is the manifest and its content, if the store has it (sealed content stays sealed; custody
+    has none), and of an attestation the manifest that it is about and that one's content.
+    """
+    wanted = heads.select("uri", F.col("manifest_hash").alias("hash"))
+    have = blobs.select("hash", "bytes")
+    first = wanted.join(have, "hash")
+    told = first.join(manifests.read(first.select("hash", "bytes").dropDuplicates(["hash"]), scheme_prefix).withColumnRenamed("manifest_hash", "hash"), "hash")
+    content = told.select("uri", F.col("content.hash").alias("hash"))
+    subject = told.select("uri", F.col("attestation.subject.manifestHash").alias("hash")).where("hash is not null").join(have, "hash")
+    about = subject.join(manifests.read(subject.select("hash", "bytes").dropDuplicates(["hash"]), scheme_prefix).withColumnRenamed("manifest_hash", "hash"), "hash").select("uri", F.col("content.hash").alias("hash"))
+    rest = content.unionByName(about).where("hash is not null").distinct().join(have, "hash")
+    return first.unionByName(rest).unionByName(subject).dropDuplicates(["uri", "hash"]).select("uri", "hash", "bytes")

@@ -10,8 +10,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.functions import crypto, text
-from attestry.operators import blobs, canonical, manifests, patterns, quads, resolve
+from attestry.functions import crypto, terms, text
+from attestry.operators import blobs, canonical, manifests, patterns, publish, quads, resolve
 from attestry.operators.patterns import Literal, Var
 from attestry.sources import graphs, packages
 
@@ -386,3 +386,209 @@ def test_attestation(spark):
     assert list(ask_private(spark, doc, store(spark, doc, about), at=at("2025-07-01")).warnings) == ["attestation expired"]
     forged = manifest(1, None, seed=OTHER, **private("attestation"), **{"vk:attestation": block})
     assert ask_private(spark, forged, store(spark, forged, about)).trust == "unverifiable"
+
+
+def test_attestation_subjects_are_checked_with_the_given_keys(spark):
+    about = manifest(1, jcs({"n": 1}))
+    block = {"subject": {"authority": AUTHORITY, "manifestHash": address(about)}, "claim": {"property": "p", "value": True}, "evidence": {}}
+    doc = manifest(1, None, **private("attestation"), **{"vk:attestation": block})
+    for keys, want in (([PK], "full"), ([crypto.ed25519_public(OTHER)], "partial"), ([crypto.ed25519_public(OTHER), PK], "full"), ([], "partial")):
+        subjects = spark.createDataFrame([(AUTHORITY, k) for k in keys], "authority string, public_key binary")
+        got = ask_private(spark, doc, store(spark, doc, about), subjects=subjects)
+        assert got.trust == want and (want == "full") == (list(got.warnings) == [])
+
+
+def test_private_walks_follow_modes_and_addressing(spark):
+    def chain(first, second, **content):
+        one = manifest(1, "a", **(private(first) if first else {}))
+        two = manifest(2, "b", {"previous": address(one), "previousBranch": "main", "genesisHash": address(one), "depth": 2}, **private(second))
+        return one, two
+
+    for first, second, ok in (("proof-of-possession", "public", True), ("public", "proof-of-possession", False), (None, "encrypted", False), ("proof-of-possession", "sealed-by-wax", True)):
+        one, two = chain(first, second)
+        got = ask_private(spark, two, store(spark, one, two, "b", "a"))
+        assert any("privacy mode rises" in w for w in got.warnings) is not ok
+        judged = resolve.signed(manifests.read(store(spark, one, two)))
+        heads = spark.createDataFrame([(address(two),)], "manifest_hash string")
+        assert [tuple(r)[1:] for r in resolve.mode_changes(heads, judged).collect()] == [(2, first or "public", second)]
+
+
+def test_only_what_requests_reach_is_verified(spark):
+    one = manifest(1, "a")
+    two = manifest(2, "b", {"previous": address(one), "previousBranch": "main", "genesisHash": address(one), "depth": 2})
+    other = manifest(1, "c")
+    requests = spark.createDataFrame([(address(two),), ("sha256:none",), (None,)], "manifest_hash string")
+    assert {r.hash for r in resolve.reachable(requests, store(spark, one, two, other, "a", "b")).collect()} == {address(one), address(two)}
+
+
+def test_broken_statements_are_errors(spark):
+    good = '<urn:a> <urn:p> "x" .'
+    docs = spark.createDataFrame([(1, good), (2, good + "\n<urn:a> <urn:p> broken ."), (3, '<urn:a> <urn:p> "\\q" .'), (4, "# nothing"), (5, '<urn:a><urn:p>"' + "y" * 100_000 + '\\n".# said')], "doc_id long, text string")
+    lines = quads.quad_set(docs, "text", "doc_id")
+    got = {r.doc_id: (r.text, r.error) for r in canonical.canonicalise(lines).collect()}
+    assert got[1] == (good + "\n", None) and got[2] == got[3] == (None, "malformed statement") and got[5][1] is None and set(got) == {1, 2, 3, 5}
+    assert {r.doc_id for r in graphs.load_n_quads(docs, "doc_id", "text").select("doc_id").collect()} == {"1", "5"}
+    assert {r.doc_id for r in graphs.load_errors(docs, "doc_id", "text", "application/n-quads").collect()} == {2, 3}
+    with pytest.raises(Exception, match="malformed statement"):
+        graphs.build_graph(docs, "doc_id", "text", "application/n-quads").count()
+
+
+def test_one_literal_has_one_canonical_text(spark):
+    same = ['"\\u00e9\\t\\"\\\\u"', '"é\t\\"\\\\u"', '"\\U000000E9\\u0009\\u0022\\u005Cu"^^<http://www.w3.org/2001/XMLSchema#string>']
+    docs = spark.createDataFrame([(i, f"<urn:\\u00e9> <urn:p> {x} .") for i, x in enumerate(same)], "doc_id long, text string")
+    lines = quads.quad_set(docs, "text", "doc_id")
+    assert {r.text for r in canonical.canonicalise(lines).collect()} == {'<urn:é> <urn:p> "é\t\\"\\\\u" .\n'}
+    assert {(r.s, r.o, r.o_dt) for r in quads.parse(lines).collect()} == {("urn:é", 'é\t"\\u', None)}
+
+
+def test_file_sink_and_empty_store(spark, tmp_path):
+    made = store(spark, "x", "y")
+    assert packages.write_files(made, tmp_path.as_uri()) == 2 == packages.write_files(made, tmp_path.as_uri())
+    assert {(r.hash, bytes(r.bytes)) for r in packages.scan_files(spark, str(tmp_path)).collect()} == {(address("x"), b"x"), (address("y"), b"y")}
+    assert blobs.emptied(made).count() == 0 and blobs.emptied(made).columns == made.columns
+
+
+def test_packages_hold_what_the_mode_needs(spark):
+    c = jcs({"n": 1})
+    about = manifest(1, c)
+    block = {"subject": {"authority": AUTHORITY, "manifestHash": address(about)}, "claim": {"property": "p", "value": True}, "evidence": {}}
+    doc, kept = manifest(1, None, **private("attestation"), **{"vk:attestation": block}), manifest(1, "never stored", **private("proof-of-possession"))
+    heads = spark.createDataFrame([("a", address(doc)), ("p", address(kept)), ("m", address(about))], "uri string, manifest_hash string")
+    got = {(r.uri, r.hash) for r in packages.published(heads, store(spark, doc, about, kept, c)).collect()}
+    assert got == {("a", address(doc)), ("a", address(about)), ("a", address(c)), ("p", address(kept)), ("m", address(about)), ("m", address(c))}
+
+
+# --- publishing ----------------------------------------------------------------------------------
+
+
+def agreement_public(secret):
+    return crypto.x25519_shared(secret, BASE)
+
+
+def test_sealed_content_for_many_recipients(spark):
+    plain = jcs({"n": 1}).encode()
+    contents = spark.createDataFrame([(1, plain, b"c" * 32, NONCE, SENDER)], "id long, plain binary, key binary, nonce binary, sender binary")
+    readers = {"me": READER, "you": b"\x08" * 32}
+    recipients = spark.createDataFrame([(1, n, agreement_public(s)) for n, s in readers.items()], "id long, recipient string, public_key binary")
+    sealed_rows = publish.encrypt(contents, recipients)
+    built = publish.build_encrypted(F.lit(URI), F.lit(1), F.lit("2025-01-01T00:00:00Z"), F.lit("application/json"))
+    row = sealed_rows.select("*", manifests.sign(built, F.lit(SEED), F.lit("key-1"), F.lit("2025-01-01T00:00:00Z")).alias("doc")).first()
+    assert row.plaintext_hash == address(plain.decode()) and [r.id for r in row.recipients] == ["me", "you"]
+    blob_table = spark.createDataFrame([(address(row.doc), row.doc.encode()), (row.ciphertext_hash, bytes(row.ciphertext))], "hash string, bytes binary")
+    for name, secret in readers.items():
+        got = ask_private(spark, row.doc, blob_table, name, secret)
+        assert (got.content_status, bytes(got.content)) == ("decrypted-verified", plain)
+    with pytest.raises(Exception, match="without a recipient"):
+        publish.encrypt(contents, recipients.where("false")).collect()
+
+
+def test_disclosure_manifests_and_their_shares(spark):
+    keys_of = spark.createDataFrame([(1, b"h" * 32, NONCE, SENDER)], "id long, hmac_key binary, nonce binary, sender binary")
+    recipients = spark.createDataFrame([(1, "me", agreement_public(READER), None), (1, "you", agreement_public(OTHER), [0, 2])], "id long, recipient string, public_key binary, statements array<int>")
+    shares = publish.share_index_key(keys_of, recipients)
+    made = publish.build_disclosure(F.lit(URI), F.lit(1), F.lit("t"), F.lit("blob"), F.lit(4), F.lit(b"s" * 32), F.lit("00"), F.array(F.lit(0)))
+    doc = json.loads(shares.select(made.alias("d")).first().d)
+    told = doc["vk:privacy"]["parameters"]
+    assert doc["vk:content"]["availability"] == "partial" and doc["vk:content"]["canonicalization"] == "URDNA2015"
+    assert [(r["id"], r["disclosedStatements"]) for r in told["hmacKeyRecipients"]["recipients"]] == [("me", "all"), ("you", "[0,2]")]
+    with pytest.raises(ValueError, match="graph profile"):
+        publish.build_disclosure(F.lit(URI), F.lit(1), F.lit("t"), F.lit("b"), F.lit(4), F.lit(b"s"), F.lit("00"), F.array(F.lit(0)), "JCS")
+
+
+def test_attestation_and_key_document_builders(spark):
+    subject, claim = F.struct(F.lit("vk://a").alias("authority"), F.lit("sha256:x").alias("manifestHash")), F.struct(F.lit("p").alias("property"), F.lit(True).alias("value"))
+    made = publish.build_attestation(F.lit(AUTHORITY), F.lit("one"), F.lit(1), F.lit("t"), subject, claim, F.struct(F.lit("seen").alias("method")))
+    whole = spark.range(1).select(manifests.sign(made, F.lit(SEED), F.lit("key-1"), F.lit("t")).alias("d")).first().d
+    doc = json.loads(whole)
+    assert doc["@id"] == f"vk://{AUTHORITY}/attestation/one" and "vk:content" not in doc and doc["@type"] == "vk:AttestationManifest"
+    assert resolve.signed(manifests.read(store(spark, whole))).first().signature_ok
+    active = F.array(F.struct(F.lit("key-1").alias("@id")))
+    made = publish.key_document(F.lit(AUTHORITY), F.lit(2), active, F.struct(F.lit("P30D").alias("gracePeriodAfterRotation")))
+    doc = json.loads(spark.range(1).select(made.alias("d")).first().d)
+    assert doc["@id"] == f"vk://{AUTHORITY}/key/main" and doc["vk:activeKeys"] == [{"@id": "key-1"}] and doc["vk:rotatedKeys"] == doc["vk:revokedKeys"] == []
+    signed_doc = spark.range(1).select(manifests.sign(made, F.lit(SEED), F.lit("key-1"), F.lit("t")).alias("d"))
+    block = "struct<type:string,canonicalization:string,created:string,verificationMethod:string,proofPurpose:string,proofValue:string>"
+    read = signed_doc.select("d", F.from_json("d", f"`vk:signature` {block}")["vk:signature"].alias("s"))
+    assert read.select(manifests.signature_valid(F.col("d"), F.col("s"), F.lit(PK)).alias("v")).first().v
+
+
+def test_ephemeral_authorities_are_their_own(spark):
+    got = publish.ephemeral(spark.range(3)).select("authority", "public_key", "seed").collect()
+    assert len({r.authority for r in got}) == 3 and all(crypto.ed25519_public(bytes(r.seed)) == bytes(r.public_key) for r in got)
+
+
+def test_opaque_deltas(spark):
+    share = bytes.fromhex(wrapped(spark, b"c" * 32, resolve.CONTENT_LABEL))
+    sealed_delta = publish.seal_delta(F.lit("sha256:x"), F.lit('[{"op":"remove","path":"/a"}]'), F.lit(b"c" * 32), F.lit(NONCE))
+
+    def opened(delta, share, secret):
+        public = F.lit(agreement_public(SENDER))
+        return tuple(spark.range(1).select(publish.open_delta(delta, F.lit(share), F.lit(secret), public, F.lit(NONCE), F.lit("me")).alias("x")).first().x)
+
+    assert opened(sealed_delta, share, READER) == ("sha256:x", '[{"op":"remove","path":"/a"}]', None)
+    assert opened(sealed_delta, share, OTHER) == (None, None, "decryption failed")
+    assert opened(sealed_delta, None, READER) == (None, None, "not a recipient")
+    assert opened(crypto.seal(F.lit(b"c" * 32), F.lit(NONCE), F.lit('{"operations":[]}')), share, READER)[2] == "appliesTo missing"
+
+
+# --- solutions with unbound variables ------------------------------------------------------------
+
+
+def solutions(spark, names, rows):
+    def term(x):
+        return None if x is None else ("uri", x, None, None)
+
+    made = spark.createDataFrame([tuple(map(term, r)) for r in rows], ", ".join(f"{n} {terms.TERM}" for n in names))
+    return patterns.mark_unbound(made, *[n for k, n in enumerate(names) if any(r[k] is None for r in rows)])
+
+
+def told(df):
+    return sorted(tuple("" if x is None else x.value for x in r) for r in df.select(*sorted(df.columns)).collect())
+
+
+def compatible(a, b):
+    return all(a.get(k) is None or b.get(k) is None or a[k] == b[k] for k in {*a} & {*b})
+
+
+def test_unbound_variables_by_brute_force(spark):
+    rng = random.Random(4)
+    pick = lambda n, k: [tuple(rng.choice([None, "1", "2"]) for _ in range(k)) for _ in range(n)]
+    names_a, names_b = ("x", "y", "z"), ("w", "x", "y")
+    a, b = pick(9, 3), pick(6, 3)
+    da, db = solutions(spark, names_a, a), solutions(spark, names_b, b)
+    ra, rb = [dict(zip(names_a, r)) for r in a], [dict(zip(names_b, r)) for r in b]
+
+    def merged(p, q):
+        return tuple((p.get(n) or q.get(n) or "") for n in ("w", "x", "y", "z"))
+
+    both = [merged(p, q) for p in ra for q in rb if compatible(p, q)]
+    assert told(patterns.join(da, db)) == sorted(both)
+    alone = [merged(p, {}) for p in ra if not any(compatible(p, q) for q in rb)]
+    assert told(patterns.optional(da, db)) == sorted(both + alone)
+    flat = lambda p: tuple(p[n] or "" for n in names_a)
+    assert told(patterns.exists(da, db)) == sorted(flat(p) for p in ra if any(compatible(p, q) for q in rb))
+    assert told(patterns.not_exists(da, db)) == sorted(flat(p) for p in ra if not any(compatible(p, q) for q in rb))
+    shares = lambda p, q: any(p.get(n) is not None and q.get(n) is not None for n in ("x", "y"))
+    assert told(patterns.minus(da, db)) == sorted(flat(p) for p in ra if not any(compatible(p, q) and shares(p, q) for q in rb))
+
+
+def test_no_join_of_everything_where_a_variable_is_shared(spark):
+    a, b = solutions(spark, ("x", "y"), [("1", "2"), ("1", None)]), solutions(spark, ("x", "y"), [("1", "3"), ("2", None)])
+    for made in (patterns.join(a, b), patterns.optional(a, b), patterns.minus(a, b), patterns.exists(a, b)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Cross" not in plan and "Join Inner\n" not in plan
+
+
+def test_named_data_sets(spark):
+    rows = [(None, "d", "uri", "p", "1", "literal", None, None, "x"), ("g", "a", "uri", "p", "1", "literal", None, None, "x"), ("h", "a", "uri", "p", "1", "literal", None, None, "y"), ("i", "b", "uri", "p", "1", "literal", None, None, "y")]
+    table = spark.createDataFrame(rows, quads.SCHEMA)
+    got = {(r.graph, r.s) for r in patterns.dataset(table, ["g", "h"], ["i"]).collect()}
+    assert got == {(None, "a"), ("i", "b")} and patterns.dataset(table, ["g", "h"]).count() == 1 and patterns.dataset(table).count() == 4
+
+
+def test_reached_is_the_closure_of_its_starts(spark):
+    rng = random.Random(3)
+    links = [(f"n{rng.randint(0, 30)}", f"n{rng.randint(0, 30)}") for _ in range(40)] + [("loop", "loop")]
+    pairs, starts = solutions(spark, ("x", "y"), links), solutions(spark, ("x",), [("n1",), ("n5",), ("loop",), ("none",)])
+    whole = [r for r in told(patterns.one_or_more(pairs)) if r[0] in ("n1", "n5", "loop")]
+    assert told(patterns.reached(pairs, starts)) == whole
