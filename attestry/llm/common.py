@@ -121,3 +121,20 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         held.append(t.slice(at))
     if held:
         yield pa.concat_tables(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Joins batches that arrive sorted by a key without nulls into tables of about ``rows`` rows that cut no group."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < rows:
+            continue
+        t = pa.concat_tables(held).combine_chunks()
+        v = t[key].to_numpy()
+        cut = int(np.searchsorted(v, v[-1])) if v[-1] >= v[0] else int(np.flatnonzero(v != v[-1])[-1]) + 1
+        if cut:
+            yield t.slice(0, cut)
+        held = [t.slice(cut)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()

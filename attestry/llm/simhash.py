@@ -14,6 +14,7 @@ each row that is not the first of its component.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -24,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import sketch
-from attestry.llm.common import checkpoint, mix, sorted_groups, text_buffer
+from attestry.llm.common import checkpoint, mix, sorted_groups, table, text_buffer, whole_groups
 from attestry.llm.components import connected_components
-from attestry.llm.tiles import link, link_sets, link_wide
+from attestry.llm.tiles import Forest, link, link_sets, link_wide
 
 #: Fixed values of the contract: words of a shingle, seed of XXH64, differing bits of a link.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -135,9 +136,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of the near-duplicate stage: sets of fewer shingles are joined on their members, larger ones by
-#: fingerprints within the expected distance and so many deviations.
-FEWEST, DEVIATIONS = 12, 5
+#: Of the near-duplicate stage: sets of fewer shingles are always candidates where they share a leading member, larger
+#: ones by fingerprints within the expected distance and so many deviations. Shingles that so many sets lead with count as frequent.
+FEWEST, DEVIATIONS, FREQUENT = 12, 5, 64
 
 
 def wide_print(hashes: np.ndarray) -> np.ndarray:
@@ -162,17 +163,13 @@ def set_name(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-def wide_prints(text: Column, words: int, most: int = 0) -> Column:
-    """A struct of the number of different shingles, the fingerprint's 32 bytes and the set's name; null: as empty.
+def wide_prints(text: Column, words: int) -> Column:
+    """A struct of the number of different shingles, the fingerprint's 32 bytes, the set's name and its members; null: as empty."""
 
-    ``few`` is the set itself, if it has ``most`` members or less.
-    """
-
-    @F.arrow_udf("n long, wide binary, name long, few array<long>")
+    @F.arrow_udf("n long, wide binary, name long, members binary")
     def of(column: pa.Array) -> pa.Array:
         sets = sets_of(column, words)
-        few = pa.array([s.view(np.int64) if len(s) <= most else None for s in sets], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary()), pa.array([set_name(s) for s in sets], pa.int64()), few], ["n", "wide", "name", "few"])
+        return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary()), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "wide", "name", "members"])
 
     return of(text)
 
@@ -193,92 +190,134 @@ def bit_share(x: int, y: int, similarity: float) -> float:
     return float(sum(p * (a * (1 - b) + b * (1 - a)) for p, (a, b) in zip(ones(both), told)))
 
 
-def small_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)``: links of rows (name, few) that connect all similar sets of which one has less than ``FEWEST`` shingles.
+def leading(column: pa.Array, similarity: float, frequent: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Members that each set of a column (its members' bytes) leads with, and the row of each.
 
-    Such sets share one of the least members of each, as many as may differ and one more. Each set is
-    linked to one that holds such a member too, so a group has one link for each of its sets.
+    Members are in order of their hashes, frequent ones last: the same order for all sets. Sets that are similar
+    share one of those that they lead with, as many as may be missing in the other and one more.
     """
-    short = F.size("few") - F.ceil(F.size("few") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
-    rows = checkpoint(prints.where(F.size("few") > 0).select("name", F.explode(F.slice("few", F.lit(1), short)).alias("key")))
-    heads = rows.groupBy("key").agg(F.min("name").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(heads, "key").where("name <> b").select(F.col("name").alias("a"), "b")
-
-
-def similar_links(prints: DataFrame, similarity: float, tile: int = 8192) -> DataFrame:
-    """``(a, b)``: links between rows (name, n, wide) that connect all with the similarity or more.
-
-    Two sets this similar differ in a share of bits that follows from their sizes (``bit_share``); the
-    radius is that of the worst sizes from ``FEWEST`` shingles on, plus ``DEVIATIONS``. Sets this similar
-    have sizes in the ratio s or more, so rows are laid out in classes of size, and tiles only meet
-    those of their own and the neighbouring classes. This compares all rows of like size: the square of
-    a class. Smaller sets take no part: ``small_links`` has theirs.
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) // 8 if len(column) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint64, int(at[-1])) if data is not None and at[-1] else np.zeros(0, np.uint64)
+    flat, at = flat[at[0] :], at - at[0]
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    if frequent is not None and len(flat):
+        flat = flat[np.lexsort((frequent(flat), row))]
+    short = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    kept = np.arange(len(flat)) - at[row] < short[row]
+    return flat[kept], row[kept]
+
+
+def near_pairs(key: np.ndarray, wide: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of equal key, which arrive together, that may be similar: by bits, or because both sets are small."""
+    small, found = n <= FEWEST / similarity, []
+    for apart in range(1, len(key)):
+        same = np.flatnonzero(key[apart:] == key[:-apart])
+        if not len(same):
+            break
+        x, y = same, same + apart
+        fits = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
+        x, y = x[fits], y[fits]
+        bits = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=int)
+        near = (bits <= radius) | (small[x] & small[y])
+        found.append((x[near], y[near]))
+    return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def similar_links(sets: DataFrame, similarity: float, tile: int = 4096) -> DataFrame:
+    """``(a, b)``: links between sets (name, n, wide, members) that connect all with the similarity or more.
+
+    Sets this similar share a member that both lead with (``leading``); only rows that share one are compared, as
+    tiles of fingerprints. A first pass counts what sets lead with in a sketch, so that frequent members come last;
+    a second one sketches what they then lead with, and only members estimated to lead two sets are written
+    down. A member that more than ``tile`` sets lead with is cut into tiles by name, each pair of them a group of its own.
+
+    Fingerprints differ in a share of bits that follows from the sets' sizes (``bit_share``); the radius is that of the worst sizes from
+    ``FEWEST`` shingles on, plus ``DEVIATIONS``. Smaller sets that share a leading member are linked whatever their bits.
     """
+    spark = sets.sparkSession
     share = max(bit_share(x, y, similarity) for x in range(FEWEST, 4 * FEWEST) for y in range(x, int(x / similarity + 1e-9) + 1))
     share = max(share, math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    radius, second, first = (math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))) for bits in (256, 128, 64))
-    size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-math.log(similarity))).cast("int")
-    rows = prints.where(F.col("n") >= FEWEST).select("name", "n", "wide", size_class.alias("c"))
-    salts = {c: -(-n // tile) for c, n in rows.groupBy("c").count().collect()}  # some tens of classes
-    if not salts:
-        return prints.sparkSession.createDataFrame([], "a long, b long")
-    known = F.create_map(*[F.lit(x) for c, n in salts.items() for x in (c, n)])
-    salt = F.pmod(F.xxhash64("name"), F.element_at(known, F.col("c"))).cast("int")
-    mine = rows.withColumn("mine", F.struct(F.col("c").alias("c"), salt.alias("s")))
-    tiles = F.transform(F.array(*[F.col("c") + d for d in (-1, 0, 1)]), lambda c: F.struct(c.alias("c"), F.try_element_at(known, c).alias("salts")))
-    others = F.flatten(F.transform(F.filter(tiles, lambda t: t["salts"].isNotNull()), lambda t: F.transform(F.sequence(F.lit(0), t["salts"] - 1), lambda k: F.struct(t["c"].alias("c"), k.alias("s")))))
-    spread = mine.select("name", "n", "wide", "mine", F.explode(others).alias("other"))
-    placed = spread.select(F.struct(F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).alias("pair"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "name", "n", "wide")
-    placed = placed.select(F.xxhash64("pair").alias("pair"), "side", "name", "n", "wide")
+    radii = tuple(math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))) for bits in (64, 128, 256))
+    told = sets.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
+    bits = sketch.bits_for(int(told))
+    often = spark.sparkContext.broadcast(sketch.build(sets.select("members"), lambda b: iter([leading(b["members"], similarity)[0]]), FREQUENT, bits))
+    twice = spark.sparkContext.broadcast(sketch.build(sets.select("members"), lambda b: iter([leading(b["members"], similarity, often.value.passes)[0]]), 2, bits))
+
+    def lead(batches):
+        for batch in batches:
+            key, row = leading(batch["members"], similarity, often.value.passes)
+            kept = twice.value.passes(key)
+            take = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), *(batch[c].take(take) for c in ("name", "n", "wide"))], ["key", "name", "n", "wide"])
+
+    keyed = sets.select("name", "n", "wide", "members").mapInArrow(lead, "key long, name long, n long, wide binary")
+    keyed = checkpoint(keyed.groupBy("key", "name").agg(F.min("n").alias("n"), F.min("wide").alias("wide")))
+    sizes = checkpoint(keyed.groupBy("key").count().where("count > 1"))
+    crowded = sizes.where(F.col("count") > tile)
 
     def compare(batches):
-        for group in sorted_groups(batches, ["pair"]):
-            side = group["side"].to_numpy()
+        for t in whole_groups(batches, "key"):
+            name, n = t["name"].to_numpy(), t["n"].to_numpy()
+            wide = np.frombuffer(b"".join(t["wide"].to_pylist()), "<u8").reshape(-1, 4)
+            x, y = near_pairs(t["key"].to_numpy(), wide, n, radii[2], similarity)
+            names, at = np.unique(name, return_inverse=True)
+            some = Forest(len(names)).join(at[x], at[y])
+            yield pa.RecordBatch.from_arrays([pa.array(name[x[some]]), pa.array(name[y[some]])], ["a", "b"])
+
+    def compare_tiles(batches):
+        for group in sorted_groups(batches, ["key", "pair"]):
             wide = np.frombuffer(b"".join(group["wide"].to_pylist()), "<u8").reshape(-1, 4)
-            a, b = link_wide(wide, group["n"].to_numpy(), side, (first, second, radius), similarity)
+            n, names = group["n"].to_numpy(), group["name"].to_numpy()
+            a, b = link_wide(wide, n, group["side"].to_numpy(), radii, similarity)
+            small = np.flatnonzero(n <= FEWEST / similarity)
+            a, b = np.concatenate((a, small[1:])), np.concatenate((b, small[:1].repeat(max(0, len(small) - 1))))
             if len(a):
-                names = group["name"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
 
-    return placed.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a long, b long")
+    usual = keyed.join(sizes.where(F.col("count") <= tile).select("key"), "key", "left_semi")
+    links = usual.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    if crowded.isEmpty():
+        return links
+    parts = F.ceil(F.col("count") / tile)
+    cut = keyed.join(crowded, "key").select("key", "name", "n", "wide", F.pmod("name", parts).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    placed = cut.select("key", F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "name", "n", "wide")
+    return links.unionByName(placed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(compare_tiles, "a long, b long"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each input row: doc_id, name (of the set of shingles), component_id.
 
-    Documents are linked at ``similarity`` of their word shingles or more. Links by 256 bits, or by
-    members of small sets, make up groups of what may be similar; inside a group, sets of shingles are compared exactly.
+    Documents are linked at ``similarity`` of their word shingles or more. Links by 256 bits between sets that share a
+    leading member make up groups of what may be similar; inside a group, sets of shingles are compared exactly.
     Null and empty texts are alike. Equal sets are one component; nulls as in
     ``near_duplicates``.
     """
-    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words, int(FEWEST / similarity)).alias("p")).select("doc_id", "p.*"))
-    prints = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("wide").alias("wide"), F.min("few").alias("few")))
-    texts = docs.select(F.col(text_col).alias("text"))
-    near = similar_links(prints.select("name", "n", "wide"), similarity).unionByName(small_links(prints, similarity))
-    groups = connected_components(near)
-    links = _verified(texts, prints.select("name", "n"), checkpoint(groups), words, similarity)
-    return _classes(rows, prints, "name", connected_components(links))
+    rows = table(docs.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words).alias("p")).select("doc_id", "p.*"), "similar-sets")
+    prints = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n").alias("n")))
+    groups = connected_components(similar_links(rows.drop("doc_id"), similarity))
+    links = _verified(rows.select("name", "members"), prints.select("name", "n"), checkpoint(groups), similarity)
+    return _classes(rows.select("doc_id", "name"), prints, "name", connected_components(links))
 
 
-def _verified(docs: DataFrame, prints: DataFrame, groups: DataFrame, words: int, similarity: float, tile: int = 1024, most: int = 1 << 20) -> DataFrame:
+def _verified(rows: DataFrame, prints: DataFrame, groups: DataFrame, similarity: float, tile: int = 1024, most: int = 1 << 20) -> DataFrame:
     """``(a, b)``: links that connect all sets of a group with the similarity or more.
 
     Only sets in a group travel: a sketch of their names picks them before the join. A group above
     ``tile`` sets or ``most`` shingles is cut by name, and each pair of tiles is a task's group of its own.
     """
     members = checkpoint(prints.join(groups.select(F.col("node").alias("name"), "component"), "name"))
-    spark = docs.sparkSession
-    maybe = spark.sparkContext.broadcast(sketch.of_longs(members, "name"))
+    maybe = rows.sparkSession.sparkContext.broadcast(sketch.of_longs(members, "name", sketch.bits_for(members.count())))
 
     def pick(batches):
         for batch in batches:
-            sets = sets_of(batch["text"], words)
-            names = np.array([set_name(s) for s in sets], np.int64)
-            kept = np.flatnonzero(maybe.value.passes(names.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[kept]), pa.array([sets[k].tobytes() for k in kept], pa.binary())], ["name", "set"])
+            kept = pa.array(np.flatnonzero(maybe.value.passes(batch["name"].to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([batch["name"].take(kept), batch["members"].take(kept)], ["name", "set"])
 
-    found = docs.mapInArrow(pick, "name long, set binary")
-    sets = found.groupBy("name").agg(F.min("set").alias("set"))
+    sets = rows.mapInArrow(pick, "name long, set binary").groupBy("name").agg(F.min("set").alias("set"))
     parts = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / most)).alias("parts")).where("parts > 1")
     cut = members.join(parts, "component", "left").select("name", "component", F.coalesce("parts", F.lit(1)).alias("parts"))
     cut = cut.select("name", "component", F.expr("pmod(name, parts)").alias("mine"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
