@@ -130,30 +130,39 @@ def best_of(ids: np.ndarray, scores: np.ndarray, query: np.ndarray, k: int) -> t
     return query[place < k], ids[place < k], scores[place < k]
 
 
-def search_shard(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, query_rows: np.ndarray, q: np.ndarray, to: np.ndarray, radius: np.ndarray, k: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kth_of(told: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest of each row, cut to 64 bits."""
+    kth = np.partition(told, told.shape[1] - k, axis=1)[:, told.shape[1] - k]
+    return kth if kth.dtype == np.int64 else np.array([max(-(2**63), min(2**63 - 1, z)) for z in kth], np.int64)
+
+
+def search_shard(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, query_rows: np.ndarray, q: np.ndarray, to: np.ndarray, radius: np.ndarray, least: np.ndarray, k: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query places, ids and products of the k best for each query, among rows sorted by ``far``.
 
-    ``to`` is each query's distance to the pivot, ``radius`` how far its candidates can be at most.
+    ``to`` is each query's distance to the pivot, ``radius`` how far its candidates can be at most, ``least`` the
+    product that they have at least.
     """
     low, high = np.searchsorted(far, to - radius, side="left"), np.searchsorted(far, to + radius, side="right")
-    best = (np.zeros(0, np.int64),) * 3
+    best, least, none = (np.zeros(0, np.int64),) * 3, least.copy(), np.iinfo(np.int64).min
     for at in range(int(low.min(initial=len(far))), int(high.max(initial=0)), step):
         end = min(at + step, len(far))
         open_ = np.flatnonzero((low < end) & (high > at))
         if not len(open_):
             continue
         told = products(q[open_], x[at:end])
-        if len(best[0]):  # of those that have k already, only what is as good counts
-            starts, ends = np.searchsorted(best[0], open_), np.searchsorted(best[0], open_, side="right")
-            least = np.where(ends - starts >= k, best[2][np.minimum(ends - 1, len(best[2]) - 1)], np.iinfo(np.int64).min)
-        else:
-            least = np.full(len(open_), np.iinfo(np.int64).min)
-        i, j = np.nonzero((told >= least[:, None]) & (rows[None, at:end] != query_rows[open_, None]))
+        own = rows[None, at:end] == query_rows[open_, None]
+        told[own] = none
+        if end - at >= k:  # of a query's own k best here, none that is less can count
+            least[open_] = np.maximum(least[open_], kth_of(told, k))
+        i, j = np.nonzero((told >= least[open_, None]) & ~own)
         new = told[i, j]
         if new.dtype == object and any(abs(z) >= 2**63 for z in new):
             raise OverflowError("an inner product has no 64-bit integer")
         query, found, score = (np.concatenate(z) for z in zip(best, (open_[i], ids[at + j], new.astype(np.int64))))
         best = best_of(found, score, query, k)
+        full, n = np.unique(best[0], return_counts=True)
+        last = np.cumsum(n) - 1
+        least[full[n >= k]] = np.maximum(least[full[n >= k]], best[2][last[n >= k]])
     return best
 
 
@@ -175,7 +184,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return reduce(DataFrame.unionByName, parts)
 
 
-NAMES = ["shard", "part", "row", "vec_id", "v", "far", "radius"]
+NAMES = ["shard", "part", "row", "vec_id", "v", "far", "radius", "least"]
 
 
 def _answering(width: int, k: int, block: int):
@@ -194,7 +203,7 @@ def _answering(width: int, k: int, block: int):
             for at in range(0, group.num_rows, block):
                 some = group.slice(at, block)
                 rows, ids = some["row"].to_numpy(), some["vec_id"].to_numpy()
-                i, found, score = search_shard(*here, rows, unpack(some["v"], width), some["far"].to_numpy(), some["radius"].to_numpy(), k)
+                i, found, score = search_shard(*here, rows, unpack(some["v"], width), some["far"].to_numpy(), some["radius"].to_numpy(), some["least"].to_numpy(), k)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[i]), pa.array(ids[i]), pa.array(found), pa.array(score)], ["query", "query_id", "vec_id", "score"])
 
     return answer
@@ -242,7 +251,7 @@ def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivot
             c, b = batch["cell"].to_numpy(), batch["bin"].to_numpy()
             shard = plan.value[0][c, b] + batch["row"].to_numpy() % plan.value[1][c, b]
             none = pa.nulls(batch.num_rows, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(c), -1)), *(batch[x] for x in ("row", "vec_id", "v", "far")), none], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(c), -1)), *(batch[x] for x in ("row", "vec_id", "v", "far")), none, none.cast(pa.int64())], NAMES)
 
     def asked(late: bool):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,11 +269,11 @@ def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivot
                     radius = batch["radius"].to_numpy(zero_copy_only=False)
                     i, shard = np.nonzero(~near & (bound <= radius[:, None]) if late else near)
                     take = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(batch["row"].to_numpy()[i] // 7 % 1024), *(batch[x].take(take) for x in ("row", "vec_id", "v")), pa.array(to[i, shard]), pa.array(radius[i])], NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(batch["row"].to_numpy()[i] // 7 % 1024), *(batch[x].take(take) for x in ("row", "vec_id", "v")), pa.array(to[i, shard]), pa.array(radius[i]), batch["least"].take(take)], NAMES)
 
         return send
 
-    names = "shard long, part long, row long, vec_id long, v binary, far double, radius double"
+    names = "shard long, part long, row long, vec_id long, v binary, far double, radius double, least long"
     questions = rows.where(F.col("vec_id") % every == 0)
 
     def round_of(asking: DataFrame) -> DataFrame:
@@ -275,7 +284,7 @@ def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivot
         dealt = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "part", "far")
         return dealt.mapInArrow(_answering(width, k, block), "query long, query_id long, vec_id long, score long")
 
-    near = checkpoint(round_of(questions.withColumn("radius", F.lit(float("inf"))).mapInArrow(asked(False), names)))
+    near = checkpoint(round_of(questions.withColumns({"radius": F.lit(float("inf")), "least": F.lit(-(2**63))}).mapInArrow(asked(False), names)))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("kth"))
 
@@ -285,9 +294,9 @@ def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivot
             most = (q * q).sum(axis=1) + top  # distance^2 = most - 2 * product
             least = batch["kth"].to_numpy(zero_copy_only=False).astype(float)
             radius = np.sqrt(np.maximum(0.0, most - 2.0 * least + SLACK * np.maximum(most, 1.0))) + 1e-9
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "vec_id", "v")), pa.array(np.where(np.isnan(least), np.inf, radius))], ["row", "vec_id", "v", "radius"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("row", "vec_id", "v")), pa.array(np.where(np.isnan(least), np.inf, radius)), batch["kth"].fill_null(-(2**63))], ["row", "vec_id", "v", "radius", "least"])
 
-    bounded = questions.join(kth, "row", "left").select("row", "vec_id", "v", "kth").mapInArrow(reach, "row long, vec_id long, v binary, radius double")
+    bounded = questions.join(kth, "row", "left").select("row", "vec_id", "v", "kth").mapInArrow(reach, "row long, vec_id long, v binary, radius double, least long")
     found = near.unionByName(round_of(bounded.mapInArrow(asked(True), names)))
     told = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return told.select("query_id", "rank", "vec_id", "score")
