@@ -1,4 +1,4 @@
-"""Loading graphs: JSON-LD, Turtle and TriG documents, N-Quads or N-Triples text as statement tables.
+"""Loading graphs: JSON-LD, Turtle, TriG and RDF/XML documents, N-Quads or N-Triples text as statement tables.
 
 Contexts come from the document or from a registry that the caller hands over; nothing is fetched.
 """
@@ -16,7 +16,7 @@ from attestry.functions.jsondoc import number_text
 from attestry.functions.terms import XSD
 from attestry.operators import quads
 from attestry.operators.quads import RDF_TYPE
-from attestry.sources import turtle
+from attestry.sources import rdfxml, turtle
 
 #: The list vocabulary and the entailment modes.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -65,6 +65,34 @@ class Context:
         return self.base + name if self.base else name
 
 
+def held_in(value: object, told: dict, at: Context, blank: Callable[[], str]) -> list:
+    """The values of a property, taken out of the container that its term stands for."""
+    kinds = told.get("@container") or []
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    if "@list" in kinds:
+        return [value] if isinstance(value, dict) and "@list" in value else [{"@list": value if isinstance(value, list) else [value]}]
+    by = next((k for k in ("@language", "@index", "@id", "@type") if k in kinds), None)
+    if by and isinstance(value, dict):
+        out = []
+        for name, items in value.items():
+            for x in items if isinstance(items, list) else [items]:
+                none = at.iri(name, True) == "@none"
+                if by == "@language":
+                    x = {"@value": x, **({} if none else {"@language": name})}
+                elif by == "@id" and not none:
+                    x = {"@id": at.iri(name), "@graph": x} if "@graph" in kinds else {"@id": name, **x}
+                elif by == "@type" and not none:
+                    x = {"@id": x} if isinstance(x, str) else x
+                    own = x.get("@type", [])
+                    x = {**x, "@type": [name, *(own if isinstance(own, list) else [own])]}
+                elif "@graph" in kinds:
+                    x = {"@id": blank(), "@graph": x}
+                out.append(x)
+        return out
+    items = value if isinstance(value, list) else [value]
+    return [{"@id": blank(), "@graph": x} for x in items] if "@graph" in kinds else items
+
+
 class Statements:
     """The statement lines of one JSON-LD document."""
 
@@ -93,22 +121,35 @@ class Statements:
                 inner = graph if name is None else me
                 for x in value if isinstance(value, list) else [value]:
                     self.node(x, at, inner)
+            elif p == "@included":
+                for x in value if isinstance(value, list) else [value]:
+                    self.node(x, at, graph)
+            elif p == "@reverse":
+                for k, x in value.items():
+                    self.backwards(me, at.iri(k, True), x, at, graph)
+            elif "@reverse" in at.terms.get(key, {}):
+                self.backwards(me, at.iri(at.terms[key]["@reverse"], True), value, at, graph)
             elif p and not p.startswith("@") and ":" in p:
                 told = at.terms.get(key, {})
-                if told.get("@container") == "@list":
-                    value = {"@list": value if isinstance(value, list) else [value]}
-                for x in value if isinstance(value, list) else [value]:
-                    o = self.value(x, told, at, graph)
+                inner = at.extended(told["@context"]) if "@context" in told else at
+                for x in held_in(value, told, inner, self.blank):
+                    o = self.value(x, told, inner, graph)
                     if o is not None:
                         self.say(me, p, o, graph)
         return me
 
+    def backwards(self, me: str, p: str | None, items: object, at: Context, graph: str | None) -> None:
+        """Statements about ``me`` as the object, of the nodes that a reverse property holds."""
+        for x in items if isinstance(items, list) else [items]:
+            if p and ":" in p:
+                self.say(self.node(x, at, graph) if isinstance(x, dict) else at.iri(x), p, me, graph)
+
     def value(self, x: object, told: dict, at: Context, graph: str | None) -> str | None:
         if x is None:
             return None
         if isinstance(x, dict):
             if "@list" in x:
-                return self.chain(x["@list"], told, at, graph)
+                return self.chain(x["@list"] if isinstance(x["@list"], list) else [x["@list"]], told, at, graph)
             if "@value" not in x:
                 return self.node(x, at, graph)
             if x["@value"] is None:
@@ -177,6 +218,11 @@ def turtle_lines(docs: DataFrame, id_col: str, text_col: str, base: str | None =
     return _each(docs, id_col, text_col, lambda text: turtle.lines_of(text, base, named_graphs), strict)
 
 
+def rdf_xml_lines(docs: DataFrame, id_col: str, text_col: str, base: str | None = None, strict: bool = False) -> DataFrame:
+    """doc_id, quad, error: the statement lines of RDF/XML documents. Errors and nulls as in ``turtle_lines``."""
+    return _each(docs, id_col, text_col, lambda text: list(rdfxml.lines_of(text, base)), strict)
+
+
 def _each(docs: DataFrame, id_col: str, text_col: str, lines: Callable[[str], list[str]], strict: bool) -> DataFrame:
     """The lines that a function gives for each document, or its error."""
 
@@ -214,10 +260,17 @@ def load_turtle(docs: DataFrame, id_col: str, text_col: str, **options) -> DataF
     return scoped(quads.parse(turtle_lines(docs, id_col, text_col, **options).where("error is null")))
 
 
+def load_rdf_xml(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """The statement table of RDF/XML documents; blank nodes are told apart by document. Errors as in ``load_json_ld``."""
+    return scoped(quads.parse(rdf_xml_lines(docs, id_col, text_col, **options).where("error is null")))
+
+
 def load_errors(docs: DataFrame, id_col: str, text_col: str, media: str = "application/ld+json", **options) -> DataFrame:
     """doc_id, error: the documents that the table of their media type holds no statement of."""
     if media == "application/ld+json":
         lines = json_ld_lines(docs, id_col, text_col, **options)
+    elif media == "application/rdf+xml":
+        lines = rdf_xml_lines(docs, id_col, text_col, **options)
     elif media in ("application/n-quads", "application/n-triples"):
         broken = quads.malformed(quads.quad_set(docs, text_col, id_col))
         return broken.groupBy("doc_id").agg(F.concat(F.lit("malformed statement: "), F.min("quad")).alias("error"))
@@ -254,7 +307,7 @@ def entailment_mode(stated: str | None) -> str:
 def build_graph(docs: DataFrame, id_col: str, text_col: str, media: str = "application/ld+json", mode: str | None = None, **options) -> DataFrame:
     """The statement table of documents of one media type. Entailment modes other than ``none`` raise.
 
-    So does a document in JSON-LD or N-Quads with an error, unless ``strict`` is false; one in Turtle or TriG with ``strict``.
+    So does a document in JSON-LD, RDF/XML or N-Quads with an error, unless ``strict`` is false; one in Turtle or TriG with ``strict``.
     """
     mode = entailment_mode(mode)
     if mode != "none":
@@ -263,6 +316,8 @@ def build_graph(docs: DataFrame, id_col: str, text_col: str, media: str = "appli
         return load_json_ld(docs, id_col, text_col, **{"strict": True, **options})
     if media in ("application/n-quads", "application/n-triples"):
         return load_n_quads(docs, id_col, text_col, **{"strict": True, **options})
+    if media == "application/rdf+xml":
+        return load_rdf_xml(docs, id_col, text_col, **{"strict": True, **options})
     if media in ("text/turtle", "application/trig"):
         return load_turtle(docs, id_col, text_col, named_graphs=media == "application/trig", **options)
     raise ValueError(f"no reader for {media}")
