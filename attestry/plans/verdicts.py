@@ -378,3 +378,36 @@ def rdf_constructors(spark, d):
         terms.datatype(terms.strdt(t, BASE + "kind")).alias("kind"), terms.same_term(terms.bnode(t), terms.bnode(t)).alias("same"), (terms.is_blank(terms.bnode()) & terms.is_uri(terms.uuid()) & terms.is_literal(terms.struuid())).alias("blank"),
         terms.if_(F.col("c_acctbal") > 0, terms.literal("owed"), terms.coalesce(F.lit(None).cast(terms.TERM), t))["value"].alias("said"),
     )
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
+def multibase_roundtrip(spark, d):
+    """Digests told in base 58 with its mark, and read again."""
+    told = F.concat(F.lit("z"), text.to_base58(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))))
+    return read(spark, d, "documents").select("doc_id", text.to_hex(text.multibase(told)).alias("digest"))
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 + 1 > 2 THEN 'too many blank nodes' END AS error, n_nationkey % 4 + 1 <= 2 AS named FROM nation")
+def canonical_limits(spark, d):
+    """Graphs of one to four blank nodes under a limit of two."""
+    n = read(spark, d, "nation")
+    line = lambda i: F.concat(F.lit(f"_:b{i} <{BASE}n> "), F.lit(f'"{i}" .'))
+    lines = F.slice(F.array(*[line(i) for i in range(4)]), F.lit(1), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    told = canonical.canonicalise(n.select(F.col("n_nationkey").alias("doc_id"), F.explode(lines).alias("quad")), most_nodes=2)
+    return told.select(F.col("doc_id").alias("k"), "error", F.col("text").isNotNull().alias("named"))
+
+
+@query("SELECT s_suppkey AS k, list_extract([2, 1, 3], s_suppkey::INTEGER % 3 + 1) AS entries FROM supplier")
+def published_entries(spark, d):
+    """What a package of each mode holds: manifest and content, the manifest alone, or an attestation with its subject and that one's content."""
+    case = K % 3
+    rows = suppliers(spark, d).withColumn("content", jsondoc.canonical_json(body_of("published")))
+    custody = F.struct(F.lit("proof-of-possession").alias("mode"))
+    first = durable.cut(rows.withColumn("doc", F.when(case == 1, sealed_by(plain(F.col("content"), privacy_record=custody))).otherwise(sealed_by(plain(F.col("content"))))))
+    subject = F.struct(F.substring_index("uri", "/data", 1).alias("authority"), hashing.sha256(F.col("doc")).alias("manifestHash"))
+    claim = F.struct(F.lit("good").alias("property"), F.lit(True).alias("value"))
+    about = sealed_by(publish.build_attestation(F.col("authority"), K.cast("string"), F.lit(1), F.lit(STAMP), subject, claim, F.struct(F.lit("seen").alias("method"))))
+    made = durable.cut(first.withColumn("head", F.when(case == 2, about).otherwise(F.col("doc"))))
+    held = blobs_of((made, F.col("doc")), (made, F.col("head")), (made.where(case != 1), F.col("content")))
+    heads = made.select(K.cast("string").alias("uri"), hashing.sha256(F.col("head")).alias("manifest_hash"))
+    return packages.published(heads, held).groupBy(F.col("uri").cast("long").alias("k")).agg(F.count("*").cast("int").alias("entries"))
