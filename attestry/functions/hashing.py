@@ -24,8 +24,8 @@ def _cbor_head(major: int, length: Column) -> Column:
     return F.when(length < 24, F.lpad(F.hex(length + major), 2, "0")).when(length < 256, wide(24, 2)).when(length < 65536, wide(25, 4)).otherwise(wide(26, 8))
 
 
-def cid(data: Column, kind: str, profile: str, prefix: str) -> Column:
-    """The CIDv1 of content in its envelope of type, content and canonicalisation.
+def envelope(data: Column, kind: str, profile: str, prefix: str) -> Column:
+    """Content in its CBOR envelope of type, content and canonicalisation, as bytes.
 
     ``prefix`` is the vocabulary prefix that the envelope's last two keys carry.
     """
@@ -36,7 +36,12 @@ def cid(data: Column, kind: str, profile: str, prefix: str) -> Column:
 
     head = F.lit("A3" + text("@type") + text(kind) + text(f"{prefix}:content"))
     body = F.concat(head, _cbor_head(0x40, F.octet_length(data).cast("long")), F.hex(data), F.lit(text(f"{prefix}:canonicalization") + text(profile)))
-    return F.concat(F.lit("b"), to_base32(F.unhex(F.concat(F.lit(CID_HEAD), F.sha2(F.unhex(body), 256)))))
+    return F.unhex(body)
+
+
+def cid(data: Column, kind: str, profile: str, prefix: str) -> Column:
+    """The CIDv1 of content in its ``envelope``."""
+    return F.concat(F.lit("b"), to_base32(F.unhex(F.concat(F.lit(CID_HEAD), F.sha2(envelope(data, kind, profile, prefix), 256)))))
 
 
 def algorithm_of(address: Column) -> Column:

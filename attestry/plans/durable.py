@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes a table once. Uses ``spark.checkpoint.dir``; a temporary folder in local mode only."""
-    spark = df.sparkSession
+def _settle(spark: SparkSession) -> None:
+    """Has Spark use ``spark.checkpoint.dir``; a temporary folder in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestry-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes a table once and cuts its lineage."""
+    _settle(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder's address in the shared folder."""
+    _settle(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+

@@ -14,7 +14,7 @@ from attestry.operators import canonical, manifests, patterns, privacy, publish,
 from attestry.operators.patterns import Literal, Var
 from attestry.plans import durable
 from attestry.plans.catalogue import BASE, C, O, graph, p, query, read
-from attestry.sources import packages
+from attestry.sources import graphs, packages
 
 STAMP = "2025-01-01T00:00:00Z"
 K = F.col("k")
@@ -411,3 +411,46 @@ def published_entries(spark, d):
     held = blobs_of((made, F.col("doc")), (made, F.col("head")), (made.where(case != 1), F.col("content")))
     heads = made.select(K.cast("string").alias("uri"), hashing.sha256(F.col("head")).alias("manifest_hash"))
     return packages.published(heads, held).groupBy(F.col("uri").cast("long").alias("k")).agg(F.count("*").cast("int").alias("entries"))
+
+
+@query("""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT doc_id, sha256(unhex('A3' || '65' || hex('@type'::BLOB) || '67' || hex('Content'::BLOB) || '6A' || hex('vk:content'::BLOB)
+  || CASE WHEN n < 24 THEN printf('%02X', n + 64) WHEN n < 256 THEN '58' || printf('%02X', n) WHEN n < 65536 THEN '59' || printf('%04X', n) ELSE '5A' || printf('%08X', n) END
+  || h || '73' || hex('vk:canonicalization'::BLOB) || '63' || hex('JCS'::BLOB))) AS digest FROM d""")
+def cbor_envelope(spark, d):
+    """The digest over each document's CBOR envelope, which its content identifier is made of."""
+    wrapped = hashing.envelope(F.coalesce("text", F.lit("")).cast("binary"), "Content", "JCS", "vk")
+    return read(spark, d, "documents").select("doc_id", F.sha2(wrapped, 256).alias("digest"))
+
+
+@query("SELECT count(*) AS files, true AS intact, count(*) AS found FROM supplier")
+def files_roundtrip(spark, d):
+    """A file for each supplier under its address, in the folder that all executors share, read and looked for again."""
+    rows = read(spark, d, "supplier").select(F.to_json(F.struct("*")).alias("body"))
+    held = blobs_of((rows, F.col("body")))
+    path = durable.fresh_path(spark, "files")
+    packages.write_files(held, path)
+    told = packages.scan_files(spark, path)
+    found = told.join(held.select("hash"), "hash", "left_semi").agg(F.count("*").alias("found"))
+    return told.agg(F.count("*").alias("files"), F.every(hashing.sha256(F.col("bytes")) == F.col("hash")).alias("intact")).crossJoin(found)
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, n_nationkey % 4 AS form FROM nation")
+def graph_factory(spark, d):
+    """Nations told as JSON-LD under a context from a registry, as N-Quads, Turtle and RDF/XML, each loaded by its media type."""
+    n = read(spark, d, "nation")
+    me, name = F.concat(F.lit(BASE + "nation/"), "n_nationkey"), F.col("n_name")
+    forms = [
+        ("application/ld+json", F.concat(F.lit('{"@context":"urn:c","@id":"'), me, F.lit('","name":"'), name, F.lit('"}'))),
+        ("application/n-quads", F.concat(F.lit("<"), me, F.lit(f'> <{BASE}name> "'), name, F.lit('" .'))),
+        ("text/turtle", F.concat(F.lit(f"@prefix v: <{BASE}> . <"), me, F.lit('> v:name "'), name, F.lit('" .'))),
+        ("application/rdf+xml", F.concat(F.lit(f'<rdf:RDF xmlns:rdf="{graphs.RDF}" xmlns:v="{BASE}"><rdf:Description rdf:about="'), me, F.lit('"><v:name>'), name, F.lit("</v:name></rdf:Description></rdf:RDF>"))),
+    ]
+    out = None
+    for k, (media, doc) in enumerate(forms):
+        options = {"registry": {"urn:c": {"@context": {"@vocab": BASE}}}} if k == 0 else {}
+        docs = n.where(F.col("n_nationkey") % 4 == k).select(F.col("n_nationkey").alias("doc_id"), doc.alias("text"))
+        told = patterns.pattern(graphs.build_graph(docs, "doc_id", "text", media, **options), C, p("name"), Var("name"))
+        told = told.select(F.substring_index("c.value", "/", -1).cast("int").alias("k"), F.col("name.value").alias("name"), F.lit(k).alias("form"))
+        out = told if out is None else out.unionByName(told)
+    return out
