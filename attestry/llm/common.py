@@ -34,19 +34,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Computes a thin table once and cuts its lineage; Spark's cleaner removes the files."""
+    """Computes a thin table once and cuts its lineage.
+
+    Spark's cleaner removes the files once nothing refers to them, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, which it is not by default.
+    """
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
+#: Paths of the tables that ``table`` has stored and ``release`` has not yet removed.
+_stored: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Computes a wider table once, as Parquet in the shared folder, and reads it again."""
+    """Computes a wider table once, as Parquet in the shared folder, and reads it again; see ``release``."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> int:
+    """Removes the stored tables, from the one of number ``since`` on and but for the ``last`` ones; gives how many.
+
+    For callers whose results are written: what is not yet computed may read them still.
+    """
+    gone = _stored[since : len(_stored) - last]
+    _stored[since : len(_stored) - last] = []
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
+
+
+def stored() -> int:
+    """How many tables are stored: what ``release`` takes to leave these alone."""
+    return len(_stored)
+
+
 def bucket_of(doc_id: Column, parts: int) -> Column:
     """The remainder of crc32 of the id as text, that decides what is held out; null counts as empty."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -33,14 +33,14 @@ def random_key(doc_id: Column, seed: str) -> Column:
 def _ranked(sources: DataFrame) -> DataFrame:
     """Adds ``rank``, from 0, in code-point order with null last, without one task for all sources.
 
-    Sources are counted by their first byte pairs; the running count over these few prefixes is the
-    rank at which each prefix starts.
+    Sources are dealt by ranges of their order; the running count over these few ranges is the rank at
+    which each begins.
     """
-    prefix = F.coalesce(F.hex(F.substring(F.col("source").cast("binary"), 1, 2)), F.lit("~"))
-    marked = sources.withColumn("prefix", prefix)
-    starts = marked.groupBy("prefix").count().withColumn("start", F.sum("count").over(Window.orderBy("prefix")) - F.col("count")).drop("count")
-    inside = F.row_number().over(Window.partitionBy("prefix").orderBy(F.col("source").asc_nulls_last()))
-    return marked.withColumn("inside", inside).join(starts, "prefix").withColumn("rank", F.col("start") + F.col("inside") - 1).drop("prefix", "start", "inside")
+    order = F.col("source").asc_nulls_last()
+    dealt = checkpoint(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    starts = dealt.groupBy("part").count().withColumn("start", F.sum("count").over(Window.orderBy("part")) - F.col("count")).drop("count")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return dealt.withColumn("inside", inside).join(starts, "part").withColumn("rank", F.col("start") + F.col("inside") - 1).drop("part", "start", "inside")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, rounds: int = 1000) -> DataFrame:
