@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from attestry.llm import exact_dedup, mixing, packing, quality, simhash
-from attestry.llm.common import table
+from attestry.llm.common import release, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's rows stored as Parquet for the next."""
+    """All stages over ``documents``, each one's rows stored as Parquet for the next.
+
+    What a stage has stored for itself goes once its rows are; the stages' rows stay until ``release``.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        own = stored()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = table(docs, f"pipeline-{k}")
+            release(spark, own, 1)
     return docs
