@@ -17,31 +17,39 @@ from attestry.plans.catalogue import BASE, C, O, graph, p, query, read
 from attestry.sources import graphs, packages
 
 STAMP = "2025-01-01T00:00:00Z"
-K = F.col("k")
 POINT = (9).to_bytes(32, "little")  # the base point of key agreement
 
 
+def row_key() -> Column:
+    return F.col("k")
+
+
 def digest(*parts: object) -> Column:
     """32 bytes that follow from the parts."""
     return F.unhex(F.sha2(F.concat_ws("|", *[x if isinstance(x, Column) else F.lit(str(x)) for x in parts]), 256))
 
 
-SEED, OTHER = digest("verdicts"), digest("another")
+def own_seed() -> Column:
+    return digest("verdicts")
+
+
+def other_seed() -> Column:
+    return digest("another")
 
 
 def suppliers(spark, d) -> DataFrame:
     """k, uri and key of each supplier, all under one authority."""
-    authority = text.derive_authority(crypto.public_key(SEED))
-    told = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), authority.alias("authority"), crypto.public_key(SEED).alias("public_key"))
-    return durable.cut(told.withColumn("uri", F.concat(F.lit("vk://"), "authority", F.lit("/data/"), K)))
+    authority = text.derive_authority(crypto.public_key(own_seed()))
+    told = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), authority.alias("authority"), crypto.public_key(own_seed()).alias("public_key"))
+    return durable.cut(told.withColumn("uri", F.concat(F.lit("vk://"), "authority", F.lit("/data/"), row_key())))
 
 
 def body_of(*parts: object) -> Column:
-    return F.concat(F.lit('{"n":'), K, F.lit(',"of":"'), *[x if isinstance(x, Column) else F.lit(str(x)) for x in parts], F.lit('"}'))
+    return F.concat(F.lit('{"n":'), row_key(), F.lit(',"of":"'), *[x if isinstance(x, Column) else F.lit(str(x)) for x in parts], F.lit('"}'))
 
 
-def sealed_by(doc: Column, seed: Column = SEED, **options) -> Column:
-    return manifests.sign(doc, seed, F.lit("key-1"), F.lit(STAMP), **options)
+def sealed_by(doc: Column, seed: Column | None = None, **options) -> Column:
+    return manifests.sign(doc, own_seed() if seed is None else seed, F.lit("key-1"), F.lit(STAMP), **options)
 
 
 def plain(content: Column, version: int = 1, chain: Column | None = None, privacy_record: Column | None = None, addressing: str = "raw-sha256", **more: Column) -> Column:
@@ -69,18 +77,18 @@ _CODES = ["", "PARSE_ERROR", "AUTHORITY_NOT_FOUND", "MANIFEST_NOT_FOUND", "STORA
 @query(f"SELECT s_suppkey AS k, s_suppkey % 11 = 0 AS ok, nullif(list_extract({_CODES!r}, s_suppkey::INTEGER % 11 + 1), '') AS error_code FROM supplier")
 def resolve_codes(spark, d):
     """One manifest for each supplier, every eleventh sound and the others with one fault each."""
-    case = K % 11
+    case = row_key() % 11
     rows = suppliers(spark, d).withColumn("content", jsondoc.canonical_json(body_of("codes")))
     first = durable.cut(rows.withColumn("doc", sealed_by(plain(F.col("content")))).withColumn("h", hashing.sha256(F.col("doc"))))
     later = first.where(case == 8).withColumn("second", sealed_by(plain(F.col("content"), 2, link(F.col("h"), F.col("h"), 7))))
-    forged = first.where(case == 7).withColumn("second", sealed_by(plain(F.col("content")), OTHER))
+    forged = first.where(case == 7).withColumn("second", sealed_by(plain(F.col("content")), other_seed()))
     moved = first.where(case == 6).withColumn("uri", F.concat("uri", F.lit("-moved"))).withColumn("second", sealed_by(plain(F.col("content")))).withColumn("uri", F.regexp_replace("uri", "-moved$", ""))
     made = durable.cut(first.where(~case.isin(6, 7, 8)).withColumn("second", F.col("doc")).unionByName(later).unionByName(forged).unionByName(moved))
     held = blobs_of((made, F.col("doc")), (made, F.col("second")), (made.where(case != 9), F.when(case != 10, F.col("content"))), (made, F.lit("no manifest")))
-    spoiled = made.where(case == 4).select(F.concat(F.lit("sha256:spoiled"), K).alias("hash"), F.col("second").cast("binary").alias("bytes"))
+    spoiled = made.where(case == 4).select(F.concat(F.lit("sha256:spoiled"), row_key()).alias("hash"), F.col("second").cast("binary").alias("bytes"))
     spoiled = spoiled.unionByName(made.where(case == 10).select(hashing.sha256(F.col("content")).alias("hash"), F.lit("altered").cast("binary").alias("bytes")))
-    wrong = F.when(case == 3, F.concat(F.lit("sha256:none"), K)).when(case == 4, F.concat(F.lit("sha256:spoiled"), K)).when(case == 5, hashing.sha256(F.lit("no manifest"))).otherwise(hashing.sha256(F.col("second")))
-    asked = made.select("k", F.when(case == 1, F.concat(F.lit("no address "), K)).otherwise(F.col("uri")).alias("uri"), wrong.alias("manifest_hash"), F.when(case == 2, crypto.public_key(OTHER)).otherwise(F.col("public_key")).alias("public_key"))
+    wrong = F.when(case == 3, F.concat(F.lit("sha256:none"), row_key())).when(case == 4, F.concat(F.lit("sha256:spoiled"), row_key())).when(case == 5, hashing.sha256(F.lit("no manifest"))).otherwise(hashing.sha256(F.col("second")))
+    asked = made.select("k", F.when(case == 1, F.concat(F.lit("no address "), row_key())).otherwise(F.col("uri")).alias("uri"), wrong.alias("manifest_hash"), F.when(case == 2, crypto.public_key(other_seed())).otherwise(F.col("public_key")).alias("public_key"))
     told = resolve.resolve(asked.drop("k"), held.unionByName(spoiled))
     return told.join(asked, ["uri", "manifest_hash"]).select("k", "ok", "error_code")
 
@@ -91,10 +99,10 @@ _KEYS = ["KEY_UNKNOWN", "", "", "KEY_EXPIRED", "KEY_REVOKED", ""]
 @query(f"SELECT s_suppkey AS k, nullif(list_extract({_KEYS!r}, s_suppkey::INTEGER % 6 + 1), '') AS error_code, s_suppkey % 6 IN (2, 5) AS warned FROM supplier")
 def resolve_key_life(spark, d):
     """Manifests whose key document knows the key as active, rotated, expired, revoked before or after, or not at all."""
-    case = K % 6
-    rows = suppliers(spark, d).drop("authority", "public_key").withColumn("seed", digest("life", K))
+    case = row_key() % 6
+    rows = suppliers(spark, d).drop("authority", "public_key").withColumn("seed", digest("life", row_key()))
     rows = rows.withColumn("public_key", crypto.public_key(F.col("seed"))).withColumn("authority", text.derive_authority(F.col("public_key")))
-    rows = rows.withColumn("uri", F.concat(F.lit("vk://"), "authority", F.lit("/data/"), K)).withColumn("content", jsondoc.canonical_json(body_of("life")))
+    rows = rows.withColumn("uri", F.concat(F.lit("vk://"), "authority", F.lit("/data/"), row_key())).withColumn("content", jsondoc.canonical_json(body_of("life")))
     made = durable.cut(rows.withColumn("doc", manifests.sign(plain(F.col("content")), F.col("seed"), F.lit("key-1"), F.lit(STAMP))))
     day = lambda s: F.lit(s).cast("timestamp")
     entry = F.struct(F.lit("vk://a#key-1").alias("id"), F.col("public_key"), day("2025-02-01").alias("rotated_at"), F.when(case == 2, day("2025-12-31")).otherwise(day("2025-02-15")).alias("verify_until"), F.when(case == 4, day("2024-12-01")).otherwise(day("2025-06-01")).alias("invalid_after"))
@@ -109,7 +117,7 @@ def resolve_key_life(spark, d):
   CASE WHEN s_suppkey % 4 = 2 THEN 0 WHEN s_suppkey % 4 = 1 THEN 1 WHEN s_suppkey % 4 = 0 THEN 2 ELSE 0 END::BIGINT AS changes FROM supplier""")
 def private_chain_walk(spark, d):
     """Chains of three manifests whose modes fall or rise, whose addressing changes, or where all stays."""
-    case = K % 4
+    case = row_key() % 4
     rows = suppliers(spark, d).withColumn("content", jsondoc.canonical_json(body_of("walk")))
     modes = [F.when(case == 0, "proof-of-possession").otherwise("public"), F.when(case == 0, "encrypted").otherwise("public"), F.when(case == 1, "encrypted").otherwise("public")]
     record = [F.struct(m.alias("mode")) for m in modes]
@@ -137,8 +145,8 @@ SELECT s_suppkey AS k, s_suppkey % 10 <> 1 AS verified,
 @query(_PRIVATE)
 def private_modes(spark, d):
     """A manifest of each mode for the suppliers: sound ones, altered content, stale custody, wrong secrets, wrong tags, lost subjects."""
-    case = K % 10
-    rows = suppliers(spark, d).withColumns({"content": jsondoc.canonical_json(body_of("modes")), "id": K, "nonce": F.substring(digest("nonce", K), 1, 12), "sender": digest("sender", K), "reader": digest("reader", K)})
+    case = row_key() % 10
+    rows = suppliers(spark, d).withColumns({"content": jsondoc.canonical_json(body_of("modes")), "id": row_key(), "nonce": F.substring(digest("nonce", row_key()), 1, 12), "sender": digest("sender", row_key()), "reader": digest("reader", row_key())})
     rows = durable.cut(rows)
     readers = rows.select("id", F.lit("me").alias("recipient"), crypto.shared_secret(F.col("reader"), F.lit(POINT)).alias("public_key"))
     made = []
@@ -151,11 +159,11 @@ def private_modes(spark, d):
     add(rows.where(case.isin(0, 1)), sealed_by(plain(content)), F.when(case == 0, content))
     custody = F.struct(F.lit("proof-of-possession").alias("mode"), F.struct(F.lit("P30D").alias("refreshPolicy")).alias("parameters"))
     add(rows.where(case == 2), sealed_by(plain(content, privacy_record=custody)), None)
-    box = publish.encrypt(rows.where(case.isin(3, 4)).select("id", content.cast("binary").alias("plain"), digest("key", K).alias("key"), "nonce", "sender"), readers)
+    box = publish.encrypt(rows.where(case.isin(3, 4)).select("id", content.cast("binary").alias("plain"), digest("key", row_key()).alias("key"), "nonce", "sender"), readers)
     shut = rows.join(box, "id")
     add(shut, sealed_by(publish.build_encrypted(F.col("uri"), F.lit(1), F.lit(STAMP), F.lit("application/json"))), F.col("ciphertext"))
-    salt, index_key = digest("salt", K), digest("tags", K)
-    said = [F.concat(F.lit(f"<{BASE}supplier/"), K, F.lit(f'> <{BASE}told> "{i}" .')) for i in range(3)]
+    salt, index_key = digest("salt", row_key()), digest("tags", row_key())
+    said = [F.concat(F.lit(f"<{BASE}supplier/"), row_key(), F.lit(f'> <{BASE}told> "{i}" .')) for i in range(3)]
     hashes = [hashing.salted(salt, s) for s in said]
     tags = [text.to_hex(crypto.hmac_of(index_key, F.concat(salt, F.when(case == 6, F.lit("other")).otherwise(s).cast("binary")))) for s in said]
     blob = F.to_json(F.struct(F.array(said[0]).alias("mandatoryNQuads"), F.array(*map(text.to_hex, hashes)).alias("statementIndex"), F.array(*tags).alias("hmacTags")))
@@ -171,12 +179,12 @@ def private_modes(spark, d):
     subject = F.struct(F.substring_index("uri", "/data", 1).alias("authority"), hashing.sha256(F.col("about")).alias("manifestHash"))
     claim = F.struct(F.lit("good").alias("property"), F.lit(True).alias("value"), F.lit("2030-01-01T00:00:00Z").alias("validUntil"))
     authority = F.regexp_extract("uri", "^vk://([^/]+)/", 1)
-    add(about, sealed_by(publish.build_attestation(authority, K.cast("string"), F.lit(1), F.lit(STAMP), subject, claim, F.struct(F.lit("seen").alias("method")))), None)
+    add(about, sealed_by(publish.build_attestation(authority, row_key().cast("string"), F.lit(1), F.lit(STAMP), subject, claim, F.struct(F.lit("seen").alias("method")))), None)
     every = made[0]
     for m in made[1:]:
         every = every.unionByName(m)
     every = durable.cut(every.withColumn("manifest_hash", hashing.sha256(F.col("doc"))))
-    held = blobs_of((every, F.col("doc")), (every, F.col("body")), (about.where(K % 20 == 9), F.col("about")))
+    held = blobs_of((every, F.col("doc")), (every, F.col("body")), (about.where(row_key() % 20 == 9), F.col("about")))
     asked = every.select("uri", "manifest_hash", "public_key", F.lit("me").alias("recipient"), F.when(case == 4, digest("wrong")).otherwise(F.col("reader")).alias("secret"))
     forms = every.where("canonical is not null").select("manifest_hash", "canonical")
     got = resolve.resolve_private(asked, held, None, F.lit("2025-03-01").cast("timestamp"), forms)
@@ -188,10 +196,10 @@ def private_modes(spark, d):
 @query("SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'sha256:' || s_suppkey END AS applies_to, CASE s_suppkey % 3 WHEN 1 THEN 'decryption failed' WHEN 2 THEN 'not a recipient' END AS error FROM supplier")
 def opaque_deltas(spark, d):
     """Sealed deltas opened by their recipient, with a wrong secret, and by one who is no recipient."""
-    case = K % 3
-    nonce, key, sender, reader = F.substring(digest("n", K), 1, 12), digest("c", K), digest("s", K), digest("r", K)
+    case = row_key() % 3
+    nonce, key, sender, reader = F.substring(digest("n", row_key()), 1, 12), digest("c", row_key()), digest("s", row_key()), digest("r", row_key())
     wrapped = crypto.wrap(key, sender, crypto.shared_secret(reader, F.lit(POINT)), nonce, resolve.CONTENT_LABEL, F.lit("me"))
-    sealed = publish.seal_delta(F.concat(F.lit("sha256:"), K), F.lit('[{"op":"remove","path":"/n"}]'), key, nonce)
+    sealed = publish.seal_delta(F.concat(F.lit("sha256:"), row_key()), F.lit('[{"op":"remove","path":"/n"}]'), key, nonce)
     told = durable.cut(suppliers(spark, d).select("k", sealed.alias("sealed"), F.when(case != 2, wrapped).alias("share"), F.when(case == 1, digest("x")).otherwise(reader).alias("secret"), crypto.shared_secret(sender, F.lit(POINT)).alias("sent"), nonce.alias("nonce")))
     got = publish.open_delta(F.col("sealed"), F.col("share"), F.col("secret"), F.col("sent"), F.col("nonce"), F.lit("me"))
     return told.select("k", got.alias("x")).select("k", "x.applies_to", "x.error")
@@ -203,19 +211,19 @@ def opaque_deltas(spark, d):
 @query("SELECT p_partkey AS k, list_extract(['valid', 'warning', 'invalid'], p_partkey::INTEGER % 3 + 1) AS verdict FROM part")
 def delta_kinds(spark, d):
     """Patches of JSON and of graphs for each part: right ones, wrong ones with sound content, wrong ones without."""
-    case, graph_ = K % 3, K % 2 == 1
+    case, graph_ = row_key() % 3, row_key() % 2 == 1
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("k"))
-    line = lambda n: F.concat(F.lit(f"<{BASE}part/"), K, F.lit(f'> <{BASE}n> "{n}" .\n'))
-    own = lambda n: F.concat(F.lit('{"k":'), K, F.lit(f',"n":{n}}}'))
+    line = lambda n: F.concat(F.lit(f"<{BASE}part/"), row_key(), F.lit(f'> <{BASE}n> "{n}" .\n'))
+    own = lambda n: F.concat(F.lit('{"k":'), row_key(), F.lit(f',"n":{n}}}'))
     before, now = F.when(graph_, line(1)).otherwise(own(1)), F.when(graph_, line(2)).otherwise(own(2))
-    part = lambda op, n: F.struct(F.lit(op).alias("op"), F.concat(F.lit(f"<{BASE}part/"), K, F.lit(">")).alias("subject"), F.lit(f"<{BASE}n>").alias("predicate"), F.lit(f'"{n}"').alias("object"))
+    part = lambda op, n: F.struct(F.lit(op).alias("op"), F.concat(F.lit(f"<{BASE}part/"), row_key(), F.lit(">")).alias("subject"), F.lit(f"<{BASE}n>").alias("predicate"), F.lit(f'"{n}"').alias("object"))
     good = F.when(graph_, F.to_json(F.array(part("remove", 1), part("add", 2)))).otherwise(F.lit('[{"op":"replace","path":"/n","value":2}]'))
     bad = F.when(graph_, F.to_json(F.array(part("add", 3)))).otherwise(F.lit('[{"op":"replace","path":"/n","value":3}]'))
     ops = jsondoc.canonical_json(F.when(case == 0, good).otherwise(bad))
     told = durable.cut(rows.select("k", before.alias("before"), now.alias("now"), ops.alias("ops")))
     record = lambda c: F.when(graph_, manifests.content_record(c, "application/n-quads", "URDNA2015")).otherwise(manifests.content_record(c, "application/json"))
     delta = F.when(graph_, manifests.delta_record(F.col("ops"), hashing.sha256(F.col("before")), "application/rdf-patch")).otherwise(manifests.delta_record(F.col("ops"), hashing.sha256(F.col("before"))))
-    name = lambda n: F.concat(F.lit(f"m{n}-"), K)
+    name = lambda n: F.concat(F.lit(f"m{n}-"), row_key())
     chain = F.struct(name(1).alias("previous"))
     first = told.select(name(1).alias("manifest_hash"), record(F.col("before")).alias("content"))
     second = told.select(name(2).alias("manifest_hash"), record(F.col("now")).alias("content"), chain.alias("chain"), delta.alias("delta"))
@@ -228,7 +236,7 @@ def delta_kinds(spark, d):
 @query("SELECT s_suppkey AS k, s_suppkey % 3 = 0 AS valid FROM supplier")
 def rotation_proofs(spark, d):
     """Rotations that both keys signed, with another reason told, and with one proof only."""
-    case, old, new = K % 3, digest("old", K), digest("new", K)
+    case, old, new = row_key() % 3, digest("old", row_key()), digest("new", row_key())
     claim = F.concat(F.lit('{"newKeyId":"key-2","oldKeyId":"key-1","reason":"scheduled","rotatedAt":"'), F.lit(STAMP), F.lit('"}'))
     proof = lambda purpose, seed: F.struct(F.lit(purpose).alias("purpose"), F.concat(F.lit("z"), text.to_base58(crypto.sign(claim, seed))).alias("proofValue"))
     both = F.array(proof("old-key-authorizes-rotation", old), proof("new-key-confirms-rotation", new))
@@ -240,11 +248,11 @@ def rotation_proofs(spark, d):
 @query("SELECT s_suppkey AS k, s_suppkey % 4 <> 0 AS valid, 1 + (s_suppkey % 2)::INTEGER AS keys FROM supplier")
 def key_documents_signed(spark, d):
     """A signed key document for each supplier, every fourth one altered afterwards."""
-    key = lambda n: F.struct(F.lit(n).alias("@id"), text.to_hex(digest(n, K)).alias("publicKey"))
-    active = F.when(K % 2 == 1, F.array(key("key-1"), key("key-2"))).otherwise(F.array(key("key-1")))
+    key = lambda n: F.struct(F.lit(n).alias("@id"), text.to_hex(digest(n, row_key())).alias("publicKey"))
+    active = F.when(row_key() % 2 == 1, F.array(key("key-1"), key("key-2"))).otherwise(F.array(key("key-1")))
     built = publish.key_document(F.col("authority"), F.lit(1), active, F.struct(F.lit("P30D").alias("gracePeriodAfterRotation")))
     told = durable.cut(suppliers(spark, d).select("k", "public_key", sealed_by(built).alias("doc")))
-    told = told.withColumn("doc", F.when(K % 4 == 0, F.replace("doc", F.lit("P30D"), F.lit("P99D"))).otherwise(F.col("doc")))
+    told = told.withColumn("doc", F.when(row_key() % 4 == 0, F.replace("doc", F.lit("P30D"), F.lit("P99D"))).otherwise(F.col("doc")))
     block = "struct<canonicalization:string,proofValue:string>"
     read_ = F.from_json("doc", f"`vk:signature` {block}, `vk:activeKeys` array<struct<`@id`:string>>")
     told = told.withColumn("m", read_)
@@ -269,7 +277,7 @@ def json_delta_records(spark, d):
 @query("SELECT s_suppkey AS k, 'anonymous' AS mode, CASE WHEN s_suppkey % 2 = 0 THEN 'ephemeral' ELSE 'pseudonymous' END AS identity, CASE WHEN s_suppkey % 2 = 0 THEN 'an ephemeral authority refers to a key document' END AS reason FROM supplier")
 def anonymous_records(spark, d):
     """The privacy record of anonymous manifests, and why a lasting key does not go with an ephemeral authority."""
-    identity = F.when(K % 2 == 0, "ephemeral").otherwise("pseudonymous")
+    identity = F.when(row_key() % 2 == 0, "ephemeral").otherwise("pseudonymous")
     record = F.to_json(manifests.anonymous_record(identity, F.lit("public"), F.lit(False)))
     told = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).select("k", F.from_json(record, "mode string, parameters struct<authorityType:string>").alias("r"))
     return told.select("k", "r.mode", F.col("r.parameters.authorityType").alias("identity"), privacy.anonymous_reason(F.col("r.parameters.authorityType"), F.lit("vk://a/key/main#key-1")).alias("reason"))
@@ -400,16 +408,16 @@ def canonical_limits(spark, d):
 @query("SELECT s_suppkey AS k, list_extract([2, 1, 3], s_suppkey::INTEGER % 3 + 1) AS entries FROM supplier")
 def published_entries(spark, d):
     """What a package of each mode holds: manifest and content, the manifest alone, or an attestation with its subject and that one's content."""
-    case = K % 3
+    case = row_key() % 3
     rows = suppliers(spark, d).withColumn("content", jsondoc.canonical_json(body_of("published")))
     custody = F.struct(F.lit("proof-of-possession").alias("mode"))
     first = durable.cut(rows.withColumn("doc", F.when(case == 1, sealed_by(plain(F.col("content"), privacy_record=custody))).otherwise(sealed_by(plain(F.col("content"))))))
     subject = F.struct(F.substring_index("uri", "/data", 1).alias("authority"), hashing.sha256(F.col("doc")).alias("manifestHash"))
     claim = F.struct(F.lit("good").alias("property"), F.lit(True).alias("value"))
-    about = sealed_by(publish.build_attestation(F.col("authority"), K.cast("string"), F.lit(1), F.lit(STAMP), subject, claim, F.struct(F.lit("seen").alias("method"))))
+    about = sealed_by(publish.build_attestation(F.col("authority"), row_key().cast("string"), F.lit(1), F.lit(STAMP), subject, claim, F.struct(F.lit("seen").alias("method"))))
     made = durable.cut(first.withColumn("head", F.when(case == 2, about).otherwise(F.col("doc"))))
     held = blobs_of((made, F.col("doc")), (made, F.col("head")), (made.where(case != 1), F.col("content")))
-    heads = made.select(K.cast("string").alias("uri"), hashing.sha256(F.col("head")).alias("manifest_hash"))
+    heads = made.select(row_key().cast("string").alias("uri"), hashing.sha256(F.col("head")).alias("manifest_hash"))
     return packages.published(heads, held).groupBy(F.col("uri").cast("long").alias("k")).agg(F.count("*").cast("int").alias("entries"))
 
 
