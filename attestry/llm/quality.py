@@ -8,7 +8,8 @@ at most about ``sample`` labelled documents, drawn by a hash of the id; every te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import bucket_of, mix, runs, text_buffer
+from attestry.llm.common import bucket_of, distinct, mix, runs, text_buffer
 from attestry.llm.ngrams import char_ngrams, code_points
 
 ORDERS, BITS = (1, 2, 3), 18
@@ -40,7 +41,7 @@ def indicators(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             held, times = held[times >= t], times[times >= t]
             named = mix((held & low).astype(np.uint64) + np.uint64(t << 32)) >> np.uint64(64 - BITS) if t > 1 else (held & low).astype(np.uint64)
             keys.append((held & ~low) | named.astype(np.int64))
-    every = np.unique(np.concatenate(keys))
+    every = distinct(np.concatenate(keys))
     return every >> BITS, every & low
 
 
@@ -65,16 +66,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(raw, at) + self.shift, -500, 500)))
 
 
-def descend(rows: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, most: np.ndarray, use: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray]:
+def descend(rows: list[np.ndarray], x: Callable[[int], np.ndarray], y: np.ndarray, most: np.ndarray, use: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and dual variables of the hinge loss, by coordinate descent over the rows ``use``.
 
-    ``x`` holds the values of each row's buckets, ``y`` labels of -1 and 1, ``most`` each dual variable's upper
+    ``x`` gives the values of a row's buckets, ``y`` holds labels of -1 and 1, ``most`` each dual variable's upper
     bound. The bias is one more feature of value one.
     """
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     for _ in range(epochs):
         for i in rng.permutation(use):
-            at, xi = rows[i], x[i]
+            at, xi = rows[i], x(i)
             slope = y[i] * (float(w[at] @ xi) + bias) - 1
             new = min(max(alpha[i] - slope / (float(xi @ xi) + 1), 0.0), most[i])
             if new != alpha[i]:
@@ -102,11 +103,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     ratio = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
     y = np.where(labels == 1, 1.0, -1.0)
     most = {k: cost * len(use) / 2 / max(1, (y[use] == k).sum()) for k in (1.0, -1.0)}  # each class weighs the same
-    x = [ratio[rows[i]] / max(1e-12, float(np.linalg.norm(ratio[rows[i]]))) for i in range(len(rows))]
+    norm = [max(1e-12, float(np.linalg.norm(ratio[r]))) for r in rows]
+    x = lambda i: ratio[rows[i]] / norm[i]  # noqa: E731  not held: there are as many values as indicators
     w, bias, _ = descend(rows, x, y, np.array([most[k] for k in y]), use, epochs, rng)
     # a logistic curve over margins, by Newton's method, with softened targets
     part = np.flatnonzero(held) if held.any() else use
-    m = np.array([float(w[rows[i]] @ x[i]) + bias for i in part])
+    m = np.array([float(w[rows[i]] @ x(i)) + bias for i in part])
     good = labels[part].sum()
     goal = np.where(labels[part] == 1, (good + 1) / (good + 2), 1 / (len(part) - good + 2))
     a, b = 1.0, 0.0
@@ -143,8 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = texts.select("i", "y", "text").mapInArrow(featurise, f"i {kind}, y int, buckets binary").toArrow()
-    rows = sorted(zip(got["i"].to_pylist(), got["buckets"].to_pylist(), got["y"].to_pylist()))  # any order of arrival
-    return fit([np.frombuffer(b, "<i4") for _, b, _ in rows], np.array([y for _, _, y in rows], np.int64), **options)
+    ids, y = got["i"].to_pylist(), got["y"].to_pylist()
+    sets = [np.frombuffer(b.as_buffer(), "<i4") for b in got["buckets"]]  # as they arrived, not copied
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], zlib.crc32(sets[k]), y[k]))  # whatever the order of arrival
+    return fit([sets[k] for k in order], np.array([y[k] for k in order], np.int64), **options)
 
 
 def quality(text: Column, model: Model, spark) -> Column:
