@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import sketch
-from attestry.llm.common import checkpoint, mix, sorted_groups, table, text_buffer, whole_groups
+from attestry.llm.common import checkpoint, distinct, mix, sorted_groups, table, text_buffer, whole_groups
 from attestry.llm.components import connected_components
 from attestry.llm.tiles import Forest, link, link_sets, link_wide
 
@@ -75,7 +75,11 @@ def fingerprints(text: Column, words: int = SHINGLE, seed: int = SEED) -> Column
 
 
 def _blocks(rows: int, radius: int, tile: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """The masks to compare under, as lists of (shift, width); more blocks for more rows."""
+    """The masks to compare under, as lists of (shift, width); more blocks for more rows.
+
+    At most four blocks are kept, of eight at the contract's radius: 70 masks of 32 bits, under which a group is a tile or less up to some
+    2 ** 44 fingerprints. More would only make larger groups, which are cut into tiles like any other.
+    """
     kept = 1
     while rows / 2 ** (64 * kept // (radius + kept)) > tile and kept < 4:
         kept += 1
@@ -148,7 +152,7 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
     """The different shingle hashes of a text, in order."""
-    return np.unique(shingle_hashes(text, words, seed))
+    return distinct(shingle_hashes(text, words, seed))
 
 
 def sets_of(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -164,12 +168,12 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def wide_prints(text: Column, words: int) -> Column:
-    """A struct of the number of different shingles, the fingerprint's 32 bytes, the set's name and its members; null: as empty."""
+    """A struct of the number of different shingles, the fingerprint's 32 bytes, the set's name and the upper halves of its members; null: as empty."""
 
     @F.arrow_udf("n long, wide binary, name long, members binary")
     def of(column: pa.Array) -> pa.Array:
         sets = sets_of(column, words)
-        return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary()), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "wide", "name", "members"])
+        return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary()), pa.array([set_name(s) for s in sets], pa.int64()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())], ["n", "wide", "name", "members"])
 
     return of(text)
 
@@ -191,17 +195,18 @@ def bit_share(x: int, y: int, similarity: float) -> float:
 
 
 def leading(column: pa.Array, similarity: float, frequent: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Members that each set of a column (its members' bytes) leads with, and the row of each.
+    """Members (upper halves) that each set of a column leads with, and the row of each.
 
     Members are in order of their hashes, frequent ones last: the same order for all sets. Sets that are similar
-    share one of those that they lead with, as many as may be missing in the other and one more.
+    share one of those that they lead with, as many as may be missing in the other and one more; halves of
+    different members may be equal, which only adds candidates.
     """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) // 8 if len(column) else np.zeros(1, np.int64)
-    flat = np.frombuffer(data, np.uint64, int(at[-1])) if data is not None and at[-1] else np.zeros(0, np.uint64)
-    flat, at = flat[at[0] :], at - at[0]
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) // 4 if len(column) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, "<u4", int(at[-1])) if data is not None and at[-1] else np.zeros(0, np.uint32)
+    flat, at = flat[at[0] :].astype(np.uint64), at - at[0]
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     if frequent is not None and len(flat):
@@ -227,13 +232,23 @@ def near_pairs(key: np.ndarray, wide: np.ndarray, n: np.ndarray, radius: int, si
     return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
 
+def _stars(name: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Links from each name that pairs of places connect to the least name that it is connected with: components then need few rounds."""
+    names, at = np.unique(name, return_inverse=True)
+    forest = Forest(len(names))
+    forest.join(at[x], at[y])
+    top = forest.roots(np.arange(len(names)))
+    moved = np.flatnonzero(top != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[top[moved]])], ["a", "b"])
+
+
 def similar_links(sets: DataFrame, similarity: float, tile: int = 4096) -> DataFrame:
     """``(a, b)``: links between sets (name, n, wide, members) that connect all with the similarity or more.
 
     Sets this similar share a member that both lead with (``leading``); only rows that share one are compared, as
     tiles of fingerprints. A first pass counts what sets lead with in a sketch, so that frequent members come last;
     a second one sketches what they then lead with, and only members estimated to lead two sets are written
-    down. A member that more than ``tile`` sets lead with is cut into tiles by name, each pair of them a group of its own.
+    down. Where ``tile`` sets or more are estimated, they are counted and cut into tiles by name, each pair of them a group of its own.
 
     Fingerprints differ in a share of bits that follows from the sets' sizes (``bit_share``); the radius is that of the worst sizes from
     ``FEWEST`` shingles on, plus ``DEVIATIONS``. Smaller sets that share a leading member are linked whatever their bits.
@@ -242,31 +257,34 @@ def similar_links(sets: DataFrame, similarity: float, tile: int = 4096) -> DataF
     share = max(bit_share(x, y, similarity) for x in range(FEWEST, 4 * FEWEST) for y in range(x, int(x / similarity + 1e-9) + 1))
     share = max(share, math.acos(2 * similarity / (1 + similarity)) / math.pi)
     radii = tuple(math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))) for bits in (64, 128, 256))
-    told = sets.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
-    bits = sketch.bits_for(int(told))
-    often = spark.sparkContext.broadcast(sketch.build(sets.select("members"), lambda b: iter([leading(b["members"], similarity)[0]]), FREQUENT, bits))
-    twice = spark.sparkContext.broadcast(sketch.build(sets.select("members"), lambda b: iter([leading(b["members"], similarity, often.value.passes)[0]]), 2, bits))
-
-    def lead(batches):
-        for batch in batches:
-            key, row = leading(batch["members"], similarity, often.value.passes)
-            kept = twice.value.passes(key)
-            take = pa.array(row[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), *(batch[c].take(take) for c in ("name", "n", "wide"))], ["key", "name", "n", "wide"])
-
-    keyed = sets.select("name", "n", "wide", "members").mapInArrow(lead, "key long, name long, n long, wide binary")
-    keyed = checkpoint(keyed.groupBy("key", "name").agg(F.min("n").alias("n"), F.min("wide").alias("wide")))
-    sizes = checkpoint(keyed.groupBy("key").count().where("count > 1"))
-    crowded = sizes.where(F.col("count") > tile)
+    told = int(sets.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0)
+    leads = lambda often: lambda b: iter([leading(b["members"], similarity, often)[0]])
+    often = spark.sparkContext.broadcast(sketch.build(sets.select("members"), leads(None), FREQUENT, sketch.bits_for(told // 64), 1))
+    twice, crowds = sketch.build_each(sets.select("members"), lambda b: leads(often.value.passes)(b), (2, tile), sketch.bits_for(told // 2))
+    crowded = bool(crowds.held.any())
+    seen = spark.sparkContext.broadcast((twice, crowds))
+
+    def lead(crowd: bool):
+        def tell(batches):
+            for batch in batches:
+                key, row = leading(batch["members"], similarity, often.value.passes)
+                twice, crowds = seen.value
+                kept = twice.passes(key)
+                key, row = key[kept], row[kept]
+                if crowded:
+                    mine = crowds.passes(key) == crowd
+                    key, row = key[mine], row[mine]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch[c].take(take) for c in ("name", "n", "wide"))], ["key", "name", "n", "wide"])
+
+        return sets.select("name", "n", "wide", "members").mapInArrow(tell, "key long, name long, n long, wide binary")
 
     def compare(batches):
         for t in whole_groups(batches, "key"):
             name, n = t["name"].to_numpy(), t["n"].to_numpy()
             wide = np.frombuffer(b"".join(t["wide"].to_pylist()), "<u8").reshape(-1, 4)
             x, y = near_pairs(t["key"].to_numpy(), wide, n, radii[2], similarity)
-            names, at = np.unique(name, return_inverse=True)
-            some = Forest(len(names)).join(at[x], at[y])
-            yield pa.RecordBatch.from_arrays([pa.array(name[x[some]]), pa.array(name[y[some]])], ["a", "b"])
+            yield _stars(name, x, y)
 
     def compare_tiles(batches):
         for group in sorted_groups(batches, ["key", "pair"]):
@@ -274,16 +292,14 @@ def similar_links(sets: DataFrame, similarity: float, tile: int = 4096) -> DataF
             n, names = group["n"].to_numpy(), group["name"].to_numpy()
             a, b = link_wide(wide, n, group["side"].to_numpy(), radii, similarity)
             small = np.flatnonzero(n <= FEWEST / similarity)
-            a, b = np.concatenate((a, small[1:])), np.concatenate((b, small[:1].repeat(max(0, len(small) - 1))))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+            yield _stars(names, np.concatenate((a, small[1:])), np.concatenate((b, small[:1].repeat(max(0, len(small) - 1)))))
 
-    usual = keyed.join(sizes.where(F.col("count") <= tile).select("key"), "key", "left_semi")
-    links = usual.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
-    if crowded.isEmpty():
+    links = lead(False).repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    if not crowded:
         return links
-    parts = F.ceil(F.col("count") / tile)
-    cut = keyed.join(crowded, "key").select("key", "name", "n", "wide", F.pmod("name", parts).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    keyed = checkpoint(lead(True).groupBy("key", "name").agg(F.min("n").alias("n"), F.min("wide").alias("wide")))
+    parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    cut = keyed.join(parts, "key").select("key", "name", "n", "wide", F.pmod("name", F.col("parts")).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     placed = cut.select("key", F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("pair"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "name", "n", "wide")
     return links.unionByName(placed.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(compare_tiles, "a long, b long"))
 
@@ -296,28 +312,30 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and empty texts are alike. Equal sets are one component; nulls as in
     ``near_duplicates``.
     """
-    rows = table(docs.select(F.col(id_col).alias("doc_id"), wide_prints(F.col(text_col), words).alias("p")).select("doc_id", "p.*"), "similar-sets")
-    prints = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n").alias("n")))
-    groups = connected_components(similar_links(rows.drop("doc_id"), similarity))
-    links = _verified(rows.select("name", "members"), prints.select("name", "n"), checkpoint(groups), similarity)
+    text = F.col(text_col)
+    rows = table(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text"), wide_prints(text, words).alias("p")).select("doc_id", "text", "p.*"), "similar-sets")
+    prints = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("text").alias("text")))
+    groups = connected_components(similar_links(rows.drop("doc_id", "text"), similarity))
+    links = _verified(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), prints, checkpoint(groups), words, similarity)
     return _classes(rows.select("doc_id", "name"), prints, "name", connected_components(links))
 
 
-def _verified(rows: DataFrame, prints: DataFrame, groups: DataFrame, similarity: float, tile: int = 1024, most: int = 1 << 20) -> DataFrame:
+def _verified(docs: DataFrame, prints: DataFrame, groups: DataFrame, words: int, similarity: float, tile: int = 1024, most: int = 1 << 20) -> DataFrame:
     """``(a, b)``: links that connect all sets of a group with the similarity or more.
 
-    Only sets in a group travel: a sketch of their names picks them before the join. A group above
+    Only sets in a group are made again and travel: a sketch of their texts' keys picks them. A group above
     ``tile`` sets or ``most`` shingles is cut by name, and each pair of tiles is a task's group of its own.
     """
     members = checkpoint(prints.join(groups.select(F.col("node").alias("name"), "component"), "name"))
-    maybe = rows.sparkSession.sparkContext.broadcast(sketch.of_longs(members, "name", sketch.bits_for(members.count())))
+    maybe = docs.sparkSession.sparkContext.broadcast(sketch.of_longs(members, "text", sketch.bits_for(members.count())))
 
     def pick(batches):
         for batch in batches:
-            kept = pa.array(np.flatnonzero(maybe.value.passes(batch["name"].to_numpy().view(np.uint64))))
-            yield pa.RecordBatch.from_arrays([batch["name"].take(kept), batch["members"].take(kept)], ["name", "set"])
+            kept = pa.array(np.flatnonzero(maybe.value.passes(batch["key"].to_numpy().view(np.uint64))))
+            sets = sets_of(batch["text"].take(kept), words)
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "set"])
 
-    sets = rows.mapInArrow(pick, "name long, set binary").groupBy("name").agg(F.min("set").alias("set"))
+    sets = docs.mapInArrow(pick, "name long, set binary").groupBy("name").agg(F.min("set").alias("set"))
     parts = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / most)).alias("parts")).where("parts > 1")
     cut = members.join(parts, "component", "left").select("name", "component", F.coalesce("parts", F.lit(1)).alias("parts"))
     cut = cut.select("name", "component", F.expr("pmod(name, parts)").alias("mine"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
@@ -329,9 +347,7 @@ def _verified(rows: DataFrame, prints: DataFrame, groups: DataFrame, similarity:
             if group.num_rows > 1:
                 held = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["set"]]
                 a, b = link_sets(np.concatenate(held), np.array([len(s) for s in held]), group["side"].to_numpy(), similarity)
-                if len(a):
-                    names = group["name"].combine_chunks()
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], ["a", "b"])
+                yield _stars(group["name"].to_numpy(), a, b)
 
     return placed.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a long, b long")
 

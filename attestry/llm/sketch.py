@@ -51,6 +51,13 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], least: int, bits: int = 26, depth: int = 2) -> Sketch:
     """The sketch of all hashes that ``hashes`` draws from the batches of ``df``; counts stop at ``least``."""
+    return build_each(df, hashes, (least,), bits, depth)[0]
+
+
+def build_each(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], leasts: tuple[int, ...], bits: int = 26, depth: int = 2) -> list[Sketch]:
+    """Sketches of the same counts for several least counts; a count stops at the greatest."""
+    kind = "u1" if max(leasts) < 256 else "<u2"
+    assert max(leasts) < 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -59,7 +66,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
             for row in range(depth):
                 cell, n = np.unique(cells(np.concatenate(held), row, bits), return_counts=True)
                 cuts = np.flatnonzero(np.diff(cell >> SEGMENT, prepend=-1))
-                offset, n = (cell & ((1 << SEGMENT) - 1)).astype("<u2"), np.minimum(n, least).astype(np.uint8)
+                offset, n = (cell & ((1 << SEGMENT) - 1)).astype("<u2"), np.minimum(n, max(leasts)).astype(kind)
                 ends = np.append(cuts[1:], len(cell))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((cell[cuts] >> SEGMENT) + (row << (bits - SEGMENT)), pa.int32()), pa.array([offset[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
@@ -80,17 +87,17 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
         for group in sorted_groups(batches, ["segment"]):
             total = np.zeros(1 << SEGMENT, np.int64)
             for offsets, counts in zip(group["offsets"].to_pylist(), group["counts"].to_pylist()):
-                total[np.frombuffer(offsets, "<u2")] += np.frombuffer(counts, np.uint8)
-            bits_ = np.packbits(total >= least, bitorder="little")
-            if bits_.any():
-                yield pa.RecordBatch.from_arrays([group["segment"].combine_chunks()[:1], pa.array([bits_.tobytes()], pa.binary())], ["segment", "bits"])
+                total[np.frombuffer(offsets, "<u2")] += np.frombuffer(counts, kind)
+            for k, least in enumerate(leasts):
+                reached = np.packbits(total >= least, bitorder="little")
+                if reached.any():
+                    yield pa.RecordBatch.from_arrays([group["segment"].combine_chunks()[:1], pa.array([k], pa.int32()), pa.array([reached.tobytes()], pa.binary())], ["segment", "k", "bits"])
 
     pieces = df.mapInArrow(count, "segment int, offsets binary, counts binary")
-    merged = pieces.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bits binary")
-    out = Sketch(bits, depth)
-    flat = out.held.reshape(-1, 1 << (SEGMENT - 3))
-    for segment, held in merged.collect():  # at most depth * 2**(bits - 16) rows of 8 kB
-        flat[segment] = np.frombuffer(held, np.uint8)
+    merged = pieces.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, k int, bits binary")
+    out = [Sketch(bits, depth) for _ in leasts]
+    for segment, k, held in merged.collect():  # at most depth * 2**(bits - 16) rows of 8 kB for each least count
+        out[k].held.reshape(-1, 1 << (SEGMENT - 3))[segment] = np.frombuffer(held, np.uint8)
     return out
 
 
