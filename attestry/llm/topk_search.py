@@ -152,8 +152,9 @@ def search_shard(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarr
         told = products(q[open_], x[at:end])
         own = rows[None, at:end] == query_rows[open_, None]
         told[own] = none
-        if end - at >= k:  # of a query's own k best here, none that is less can count
-            least[open_] = np.maximum(least[open_], kth_of(told, k))
+        fresh = least[open_] == none
+        if fresh.any() and end - at >= k:  # of a query's own k best here, none that is less can count
+            least[open_[fresh]] = kth_of(told[fresh], k)
         i, j = np.nonzero((told >= least[open_, None]) & ~own)
         new = told[i, j]
         if new.dtype == object and any(abs(z) >= 2**63 for z in new):
@@ -188,7 +189,7 @@ NAMES = ["shard", "part", "row", "vec_id", "v", "far", "radius", "least"]
 
 
 def _answering(width: int, k: int, block: int):
-    """Of each shard the stored rows, which come first (part -1), then its queries, in blocks as they arrive."""
+    """Of each shard's copy the stored rows, which come first (part -1), then its queries (part 0, a bounded number), in blocks."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, shard = None, None
@@ -269,7 +270,7 @@ def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivot
                     radius = batch["radius"].to_numpy(zero_copy_only=False)
                     i, shard = np.nonzero(~near & (bound <= radius[:, None]) if late else near)
                     take = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(batch["row"].to_numpy()[i] // 7 % 1024), *(batch[x].take(take) for x in ("row", "vec_id", "v")), pa.array(to[i, shard]), pa.array(radius[i]), batch["least"].take(take)], NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.zeros(len(i), np.int64)), *(batch[x].take(take) for x in ("row", "vec_id", "v")), pa.array(to[i, shard]), pa.array(radius[i]), batch["least"].take(take)], NAMES)
 
         return send
 
