@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.llm import exact_dedup, language_id, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk_search, url_filters
+from attestry.llm import exact_dedup, filter_audit, language_id, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_url_filters": url_filters.op10_url_filters,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix_sources": mixing.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
         "op10_url_filters": url_filters.SQL,
+        "op13_filter_audit": filter_audit.SQL,
     }
