@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.llm import bpe, exact_dedup, filter_audit, language_id, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk_search, url_filters
+from attestry.llm import alignment, bpe, exact_dedup, filter_audit, language_id, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, topk_search, url_filters
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_url_filters": url_filters.op10_url_filters,
+        "op11_token_alignment": alignment.op11_token_alignment,
         "op12_bpe_codec": bpe.op12_bpe_codec,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }

@@ -53,6 +53,13 @@ class Encoder:
         else:
             self.ids = self.general_ids
 
+    def entries(self) -> list[bytes]:
+        """The bytes of each id; those of an added token are its string's, those of an id without a token are none."""
+        told, byte = json.loads(self.spec), _visible()
+        out = {k: bytes(byte[c] for c in token) if set(token) <= byte.keys() else token.encode() for token, k in told["model"]["vocab"].items()}
+        out |= {t["id"]: t["content"].encode() for t in told["added_tokens"]}
+        return [out.get(k, b"") for k in range(max(out) + 1)]
+
     def general_ids(self, text: str) -> list[int]:
         """The ids by ``tokenizers`` itself."""
         if self.general is None:
