@@ -1,7 +1,8 @@
 """Signatures, key agreement and sealed bytes, as column expressions.
 
 Sealing runs on Spark's own AES. Ed25519 (RFC 8032), X25519 (RFC 7748) and keyed derivation have no
-built-in expression; they are Arrow functions around a few lines of curve arithmetic. Rows with a null
+built-in expression; they are Arrow functions. Those with a curve in them work on whole batches (see
+``curve``), and row by row on the few lines below where a batch has only some rows. Rows with a null
 argument cost nothing, so callers pass null for rows that a cheaper test has already turned down.
 """
 
@@ -11,16 +12,20 @@ import hashlib
 import hmac as _hmac
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
-#: Fixed values of the curve: field, order of the base point, the constant d, a root of -1.
-FIELD = 2**255 - 19
+from attestry.functions import curve
+from attestry.functions.curve import FIELD, ROOT, D
+
+#: Fixed value of the curve: the order of the base point.
 ORDER = 2**252 + 27742317777372353535851937790883648493
-D = -121665 * pow(121666, -1, FIELD) % FIELD
-ROOT = pow(2, (FIELD - 1) // 4, FIELD)
+
+#: From so many rows on, a batch is worked on as a whole.
+WHOLE = 48
 
 Point = tuple[int, int, int, int]  # extended coordinates: x = X/Z, y = Y/Z, T = XY/Z
 
@@ -146,30 +151,94 @@ def _rows(kind: pa.DataType, work: Callable, *columns: pa.Array) -> pa.Array:
     return pa.array([None if any(x is None for x in row) else work(*row) for row in zip(*lists)], kind)
 
 
+def _bytes(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 32)
+
+
+def _little(x: int) -> bytes:
+    return x.to_bytes(32, "little")
+
+
+def _batch(kind: pa.DataType, one: Callable, many: Callable, fits: Callable, *columns: pa.Array) -> pa.Array:
+    """Rows without nulls through ``many``, which takes and gives lists; few rows, and those that do not fit it, through ``one``."""
+    lists = [c.to_pylist() for c in columns]
+    rows = [row if all(x is not None for x in row) else None for row in zip(*lists)]
+    whole = [k for k, row in enumerate(rows) if row is not None and fits(*row)]
+    out = [None] * len(rows)
+    if len(whole) < WHOLE:
+        whole = []
+    else:
+        for k, told in zip(whole, many(*zip(*(rows[k] for k in whole)))):
+            out[k] = told
+    done = set(whole)
+    for k, row in enumerate(rows):
+        if row is not None and k not in done:
+            out[k] = one(*row)
+    return pa.array(out, kind)
+
+
+def ed25519_publics(seeds: list[bytes]) -> list[bytes]:
+    found: dict[bytes, bytes] = {}
+    held = list(dict.fromkeys(seeds))
+    scalars = _bytes([_little(_clamped(hashlib.sha512(s).digest()[:32])) for s in held])
+    found.update(zip(held, (bytes(x) for x in curve.base_multiples(scalars))))
+    return [found[s] for s in seeds]
+
+
+def ed25519_signatures(messages: list[bytes], seeds: list[bytes]) -> list[bytes]:
+    publics = ed25519_publics(seeds)
+    held = [hashlib.sha512(s).digest() for s in seeds]
+    once = [_challenge(h[32:], m) for h, m in zip(held, messages)]
+    firsts = [bytes(x) for x in curve.base_multiples(_bytes([_little(r) for r in once]))]
+    told = ((r + _challenge(f, p, m) * _clamped(h[:32])) % ORDER for r, f, p, m, h in zip(once, firsts, publics, messages, held))
+    return [f + _little(s) for f, s in zip(firsts, told)]
+
+
+def ed25519_verdicts(messages: list[bytes], signatures: list[bytes], publics: list[bytes]) -> list[bool]:
+    """A signature's first half is a point's only form or none, so it is compared as bytes."""
+    keys = {k: i for i, k in enumerate(dict.fromkeys(publics))}
+    low = np.array([int.from_bytes(s[32:], "little") < ORDER for s in signatures])
+    scalars = _bytes([_little(_challenge(s[:32], p, m)) for m, s, p in zip(messages, signatures, publics)])
+    base = _bytes([s[32:] if fine else bytes(32) for s, fine in zip(signatures, low)])
+    got, points = curve.combined(_bytes(list(keys)), np.array([keys[p] for p in publics]), scalars, base)
+    return (low & points & (got == _bytes([s[:32] for s in signatures])).all(1)).tolist()
+
+
+def x25519_secrets(secrets: list[bytes], publics: list[bytes]) -> list[bytes]:
+    return [bytes(x) for x in curve.ladder(_bytes([_little(_clamped(s)) for s in secrets]), _bytes(list(publics)))]
+
+
+def montgomery_publics(keys: list[bytes]) -> list[bytes]:
+    return [bytes(x) for x in curve.to_montgomery(_bytes(list(keys)))]
+
+
 @F.arrow_udf(BooleanType())
 def _verify(message: pa.Array, signature: pa.Array, public: pa.Array) -> pa.Array:
-    return _rows(pa.bool_(), ed25519_verify, message, signature, public)
+    return _batch(pa.bool_(), ed25519_verify, ed25519_verdicts, lambda m, s, p: len(s) == 64 and len(p) == 32, message, signature, public)
 
 
 @F.arrow_udf(BinaryType())
 def _sign(message: pa.Array, seed: pa.Array) -> pa.Array:
-    return _rows(pa.binary(), ed25519_sign, message, seed)
+    return _batch(pa.binary(), ed25519_sign, ed25519_signatures, lambda m, s: True, message, seed)
 
 
 @F.arrow_udf(BinaryType())
 def _public(seed: pa.Array) -> pa.Array:
-    return _rows(pa.binary(), ed25519_public, seed)
+    return _batch(pa.binary(), ed25519_public, ed25519_publics, lambda s: True, seed)
 
 
 @F.arrow_udf(BinaryType())
 def _agreement_key(secret: pa.Array, public: pa.Array, salt: pa.Array, info: pa.Array) -> pa.Array:
-    return _rows(pa.binary(), lambda s, p, n, i: hkdf_sha256(x25519_shared(s, p), n, i), secret, public, salt, info)
+    def many(secrets: list[bytes], publics: list[bytes], salts: list[bytes], infos: list[bytes]) -> list[bytes]:
+        return [hkdf_sha256(*row) for row in zip(x25519_secrets(secrets, publics), salts, infos)]
+
+    return _batch(pa.binary(), lambda s, p, n, i: hkdf_sha256(x25519_shared(s, p), n, i), many, lambda s, p, n, i: len(s) == len(p) == 32, secret, public, salt, info)
 
 
 @F.arrow_udf(BinaryType())
 def shared_secret(secret: pa.Array, public: pa.Array) -> pa.Array:
     """The X25519 function of a secret and a public half; of the base point 9, the secret's own public half."""
-    return _rows(pa.binary(), x25519_shared, secret, public)
+    return _batch(pa.binary(), x25519_shared, x25519_secrets, lambda s, p: len(s) == len(p) == 32, secret, public)
 
 
 @F.arrow_udf(BinaryType())
@@ -179,7 +248,7 @@ def _hmac_rows(key: pa.Array, data: pa.Array) -> pa.Array:
 
 @F.arrow_udf(BinaryType())
 def to_agreement_public(signing: pa.Array) -> pa.Array:
-    return _rows(pa.binary(), montgomery_public, signing)
+    return _batch(pa.binary(), montgomery_public, montgomery_publics, lambda k: len(k) == 32, signing)
 
 
 @F.arrow_udf(BinaryType())

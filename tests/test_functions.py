@@ -7,10 +7,11 @@ import hashlib
 import hmac
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.functions import crypto, hashing, jsondoc, temporal, terms, text
+from attestry.functions import crypto, curve, hashing, jsondoc, temporal, terms, text
 
 
 def one(spark, column, **columns):
@@ -211,3 +212,58 @@ def test_term_functions(spark):
     assert [one(spark, terms.round_half_up(F.lit(x))) for x in (2.5, -2.5, 2.4)] == [3, -2, 2]
     assert one(spark, terms.datatype(terms.literal("x", language="en"))).endswith("langString")
     assert one(spark, terms.string_before(F.lit("abc"), "b")) == "a" and one(spark, terms.string_after(F.lit("abc"), "z")) == ""
+
+
+# --- curve arithmetic on whole batches ------------------------------------------------------------
+
+
+def _little(x: int) -> bytes:
+    return x.to_bytes(32, "little")
+
+
+def test_field_elements_of_a_batch():
+    rng = np.random.default_rng(3)
+    low = [0, 1, 2, 19, crypto.FIELD - 1, crypto.FIELD, crypto.FIELD + 1, 2**255 - 1]
+    a = np.concatenate([np.frombuffer(b"".join(map(_little, low)), np.uint8).reshape(-1, 32), rng.integers(0, 256, (200, 32), dtype=np.uint8)])
+    b = a[rng.permutation(len(a))]
+    x, y = ([int.from_bytes(bytes(r), "little") % 2**255 for r in v] for v in (a, b))
+
+    def told(h):
+        return [int.from_bytes(bytes(r), "little") for r in curve.canonical(h)]
+
+    f, g = curve.limbs(a), curve.limbs(b)
+    assert told(f) == [v % crypto.FIELD for v in x]
+    assert told(curve.product(f, g)) == [v * w % crypto.FIELD for v, w in zip(x, y)]
+    assert told(f - g) == [(v - w) % crypto.FIELD for v, w in zip(x, y)]
+    assert told(curve.inverse(f)) == [pow(v, crypto.FIELD - 2, crypto.FIELD) for v in x]
+    near, far = curve.carried(f.copy()), curve.carried(g.copy())  # sums of three are the widest that a product allows
+    assert told(curve.product(near - 2 * far, far - 2 * near)) == [(v - 2 * w) * (w - 2 * v) % crypto.FIELD for v, w in zip(x, y)]
+
+
+def test_batches_agree_with_rows():
+    """Every verdict, signature and secret of a batch is that of its row alone, odd keys and signatures included."""
+    seeds = [bytes([k]) * 32 for k in range(70)] + [b"short", b""]
+    messages = [bytes([k]) * (k % 40) for k in range(72)]
+    publics = crypto.ed25519_publics(seeds)
+    assert publics == [crypto.ed25519_public(s) for s in seeds]
+    signed = crypto.ed25519_signatures(messages, seeds)
+    assert signed == [crypto.ed25519_sign(m, s) for m, s in zip(messages, seeds)]
+    rows = list(zip(messages, signed, publics))
+    rows += [(m + b"!", s, p) for m, s, p in rows[:5]] + [(m, s[:32] + _little(int.from_bytes(s[32:], "little") + crypto.ORDER), p) for m, s, p in rows[:5]]
+    odd = [_little(v) for v in (0, 1, 2, crypto.FIELD - 1, crypto.FIELD, crypto.FIELD + 1, 2**255 - 1, 1 + 2**255, crypto.FIELD - 1 + 2**255)]
+    rows += [(b"m", first + _little(s), key) for key in odd for first in odd for s in (0, 1)]
+    assert crypto.ed25519_verdicts(*zip(*rows)) == [crypto.ed25519_verify(*r) for r in rows]
+    assert sum(crypto.ed25519_verdicts(*zip(*rows))) > 72  # small points verify, as row by row
+    secrets = [bytes([255 - k]) * 32 for k in range(60)]
+    points = [crypto.montgomery_public(p) for p in publics[:50]] + odd + [b"\xff" * 32]
+    assert crypto.x25519_secrets(secrets, points) == [crypto.x25519_shared(s, p) for s, p in zip(secrets, points)]
+    assert crypto.montgomery_publics(odd + publics) == [crypto.montgomery_public(p) for p in odd + publics]
+
+
+def test_signatures_of_a_column(spark):
+    rows = [(k, f"text {k}", None if k == 7 else bytes([k]) * 32) for k in range(120)] + [(200, "x", b"\1\2")]
+    df = spark.createDataFrame(rows, "k long, text string, seed binary").coalesce(1)
+    made = df.select("k", "text", crypto.sign(F.col("text"), F.col("seed")).alias("s"), crypto.public_key(F.col("seed")).alias("p"))
+    wrong = F.when(F.col("k") % 3 == 0, F.substring("s", 1, 63)).otherwise(F.col("s"))
+    told = {r.k: (r.ok, r.cut) for r in made.select("k", crypto.verify_signature(F.col("text"), F.col("s"), F.col("p")).alias("ok"), crypto.verify_signature(F.col("text"), wrong, F.col("p")).alias("cut")).collect()}
+    assert told == {k: (s is not None, s is not None and k % 3 != 0) for k, _, s in rows}
