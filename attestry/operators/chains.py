@@ -1,8 +1,10 @@
 """Version chains: verdicts on links, walks from head to genesis, and what is found along them.
 
 A manifest is a row with manifest_hash, id, version_n, branch and a nullable struct ``chain`` of
-previous, previous_branch, genesis_hash and depth. Every link is judged once, by a self-join; walks
-then only follow addresses.
+previous, previous_branch, genesis_hash and depth. Every link is judged once, by a self-join. What holds
+along a chain is folded into each of its manifests by pointer jumping: a round joins every manifest that is not
+yet done with the one that its pointer leads to, and takes over what that one knows, so that a chain of
+a million links takes twenty rounds and no round has more rows than there are manifests.
 """
 
 from __future__ import annotations
@@ -49,42 +51,104 @@ def heads(manifests: DataFrame) -> DataFrame:
     return manifests.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
 
 
-def walk(starts: DataFrame, links: DataFrame, most: int = 40) -> DataFrame:
-    """head, manifest_hash, depth: every manifest on the way from each start to its genesis.
+def fold(nodes: DataFrame, most: int = 40) -> DataFrame:
+    """manifest_hash, depth, first, marks: what each manifest's way to its genesis holds.
 
-    ``links`` has manifest_hash and previous. Pointers double in every round: what n steps reach is
-    joined with where n steps lead, so a chain of a million links takes twenty rounds. A circle would
-    not end; that raises after ``most`` rounds.
+    ``nodes`` has manifest_hash, previous, failure (string, null where it holds) and marks (array of
+    strings). depth counts the manifests on the way, ``first`` is (depth, failure) of the failure nearest to
+    the manifest, ``marks`` (depth, mark, n) of each different mark, the nearest first: its size follows from the kinds
+    of marks, not from the chain. A previous manifest that is not among the nodes ends the way. A circle
+    would not end; that raises after ``most`` rounds.
+    """
+    first = F.when(F.col("failure").isNotNull(), F.struct(F.lit(1).cast("long").alias("depth"), "failure"))
+    own = F.filter(F.coalesce("marks", F.array().cast("array<string>")), lambda m: m.isNotNull())
+    marks = F.transform(F.array_distinct(own), lambda m: F.struct(F.lit(1).cast("long").alias("depth"), m.alias("mark"), F.size(F.filter(own, lambda x: x == m)).cast("long").alias("n")))
+    told = nodes.dropDuplicates(["manifest_hash"]).select("manifest_hash", "previous", F.lit(1).cast("long").alias("depth"), first.alias("first"), marks.alias("marks"))
+    known = told.select(F.col("manifest_hash").alias("next"))
+    state = cut(told.join(known, F.col("previous") == F.col("next"), "left").drop("previous"))
+    for _ in range(most):
+        ahead = state.where("next is not null")
+        if ahead.isEmpty():
+            return state.drop("next")
+        mine, on = ahead.alias("mine"), state.alias("on")
+        both = mine.join(on, F.col("mine.next") == F.col("on.manifest_hash"))
+        way = F.col("mine.depth")
+        later = F.when(F.col("on.first").isNotNull(), F.struct((F.col("on.first.depth") + way).alias("depth"), F.col("on.first.failure").alias("failure")))
+        joined = both.select(
+            "mine.manifest_hash", (way + F.col("on.depth")).alias("depth"), F.coalesce(F.col("mine.first"), later).alias("first"),
+            F.when(F.size("on.marks") == 0, F.col("mine.marks")).otherwise(_together(F.col("mine.marks"), F.col("on.marks"), way)).alias("marks"), F.col("on.next").alias("next"),
+        )
+        state = cut(state.where("next is null").unionByName(joined))
+    raise RuntimeError(f"a chain does not end within {most} rounds")
+
+
+def _together(near: Column, far: Column, way: Column) -> Column:
+    """The marks of a stretch of ``way`` manifests and of what comes behind it."""
+    kept = F.transform(near, lambda m: F.struct(m["depth"].alias("depth"), m["mark"].alias("mark"), (m["n"] + F.aggregate(far, F.lit(0).cast("long"), lambda n, x: n + F.when(x["mark"] == m["mark"], x["n"]).otherwise(0))).alias("n")))
+    new = F.filter(far, lambda x: ~F.exists(near, lambda m: m["mark"] == x["mark"]))
+    return F.concat(kept, F.transform(new, lambda x: F.struct((x["depth"] + way).alias("depth"), x["mark"].alias("mark"), x["n"].alias("n"))))
+
+
+def reach(starts: DataFrame, links: DataFrame, most: int = 40) -> DataFrame:
+    """manifest_hash: the starts and all manifests on their ways, each once.
+
+    ``links`` has manifest_hash and previous. In every round what is reached takes a step of double length;
+    only as many rows as there are manifests are ever held, however many starts share a way, and of
+    the links only those that still lead somewhere.
     """
     jump = cut(links.where("previous is not null").select(F.col("manifest_hash").alias("a"), F.col("previous").alias("b")).distinct())
-    seen = cut(starts.select(F.col("manifest_hash").alias("head"), "manifest_hash", F.lit(1).cast("long").alias("depth")))
-    step = 1
+    seen = cut(starts.select("manifest_hash").distinct())
     for _ in range(most):
         if jump.isEmpty():
             return seen
-        further = seen.join(jump, F.col("manifest_hash") == F.col("a")).select("head", F.col("b").alias("manifest_hash"), (F.col("depth") + step).alias("depth"))
-        seen = cut(seen.unionByName(further))
-        far = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        jump, step = cut(far), step * 2
+        further = seen.join(jump, F.col("manifest_hash") == F.col("a")).select(F.col("b").alias("manifest_hash"))
+        seen = cut(seen.unionByName(further).distinct())
+        jump = cut(jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b"))
     raise RuntimeError(f"a chain does not end within {most} rounds")
 
 
+def passed(starts: DataFrame, nodes: DataFrame, mark: str, most: int = 40) -> DataFrame:
+    """head and the ``manifest_hash`` of every marked manifest on the way from each start: as many rows as the answer has.
+
+    ``nodes`` has manifest_hash, previous and a boolean ``mark``. Pointers first jump over all that is not
+    marked; then each start steps from one marked manifest to the next.
+    """
+    told = nodes.select("manifest_hash", "previous", F.coalesce(F.col(mark), F.lit(False)).alias("marked")).dropDuplicates(["manifest_hash"])
+    known = told.select(F.col("manifest_hash").alias("next"))
+    # ``next``: where the way goes on, as long as no marked manifest is found; ``found``: the nearest marked one, oneself included.
+    base = cut(told.join(known, F.col("previous") == F.col("next"), "left").drop("previous"))
+    state = cut(base.select("manifest_hash", F.when(F.col("marked"), F.col("manifest_hash")).alias("found"), F.when(~F.col("marked"), F.col("next")).alias("next")))
+    for _ in range(most):
+        ahead = state.where("next is not null")
+        if ahead.isEmpty():
+            break
+        both = ahead.alias("mine").join(state.alias("on"), F.col("mine.next") == F.col("on.manifest_hash"))
+        state = cut(state.where("next is null").unionByName(both.select("mine.manifest_hash", "on.found", "on.next")))
+    else:
+        raise RuntimeError(f"a chain does not end within {most} rounds")
+    found = state.where("found is not null").select(F.col("manifest_hash").alias("at"), "found")
+    behind = cut(base.where("marked and next is not null").join(found, F.col("next") == F.col("at")).select(F.col("manifest_hash").alias("a"), F.col("found").alias("b")))
+    step = cut(starts.select(F.col("manifest_hash").alias("head")).distinct().join(found, F.col("head") == F.col("at")).select("head", F.col("found").alias("manifest_hash")))
+    out = step
+    for _ in range(behind.count() + 2):
+        if step.isEmpty():
+            return out
+        step = cut(step.join(behind, F.col("manifest_hash") == F.col("a")).select("head", F.col("b").alias("manifest_hash")))
+        out = out.unionByName(step)
+    raise RuntimeError("marked manifests make a circle")
+
+
 def report(manifests: DataFrame, verdicts: DataFrame, key_verdicts: DataFrame | None = None) -> DataFrame:
     """head, valid, depth, reason, failures: one row for each head.
 
     A structural failure ends a walk: the one nearest to the head is the reason. Key failures
-    (manifest_hash, failure) are gathered along the whole way.
+    (manifest_hash, failure) count along the whole way, each kind as (depth, mark, n).
     """
-    way = walk(heads(manifests), verdicts.select("manifest_hash", "previous")).join(verdicts.select("manifest_hash", "reason"), "manifest_hash", "left")
-    way = way.join(key_verdicts, "manifest_hash", "left") if key_verdicts is not None else way.withColumn("failure", F.lit(None).cast("string"))
-    known = manifests.select("manifest_hash")
-    way = way.join(known, "manifest_hash", "left_semi")
-    told = way.groupBy("head").agg(
-        F.max("depth").alias("depth"),
-        F.min(F.when(F.col("reason").isNotNull(), F.struct("depth", "reason"))).alias("first"),
-        F.array_sort(F.collect_list(F.when(F.col("failure").isNotNull(), F.struct("depth", "failure")))).alias("failures"),
-    )
-    return told.select("head", (F.col("first").isNull() & (F.size("failures") == 0)).alias("valid"), "depth", F.col("first.reason").alias("reason"), "failures")
+    told = manifests.select("manifest_hash").join(verdicts.select("manifest_hash", "previous", F.col("reason").alias("failure")), "manifest_hash", "left")
+    marks = key_verdicts.groupBy("manifest_hash").agg(F.collect_list("failure").alias("marks")) if key_verdicts is not None else None
+    told = told.join(marks, "manifest_hash", "left") if marks is not None else told.withColumn("marks", F.lit(None).cast("array<string>"))
+    way = heads(manifests).select("manifest_hash").join(fold(told), "manifest_hash")
+    return way.select(F.col("manifest_hash").alias("head"), (F.col("first").isNull() & (F.size("marks") == 0)).alias("valid"), "depth", F.col("first.failure").alias("reason"), F.col("marks").alias("failures"))
 
 
 def transitions(manifests: DataFrame, mode: str = "mode") -> DataFrame:

@@ -89,9 +89,9 @@ def _privacy_reason() -> Column:
 def mode_changes(heads: DataFrame, judged: DataFrame) -> DataFrame:
     """head, version, from_mode, to_mode: where the privacy mode changes on the way from each head."""
     known = judged.select("manifest_hash", "version_n", privacy.mode_of(F.col("privacy.mode")).alias("mode"), F.col("chain.previous").alias("previous"))
-    way = chains.walk(heads.select("manifest_hash").distinct(), known.where("previous is not null")).select("head", "manifest_hash")
-    both = way.join(known, "manifest_hash").join(known.select(F.col("manifest_hash").alias("previous"), F.col("mode").alias("from_mode")), "previous")
-    return both.where(F.col("from_mode") != F.col("mode")).select("head", F.col("version_n").alias("version"), "from_mode", F.col("mode").alias("to_mode"))
+    both = known.join(known.select(F.col("manifest_hash").alias("previous"), F.col("mode").alias("from_mode")), "previous", "left")
+    both = cut(both.withColumn("changes", F.col("from_mode") != F.col("mode")))
+    return chains.passed(heads, both, "changes").join(both, "manifest_hash").select("head", F.col("version_n").alias("version"), "from_mode", F.col("mode").alias("to_mode"))
 
 
 def chain_reports(heads: DataFrame, judged: DataFrame, blobs: DataFrame, private: bool = False) -> DataFrame:
@@ -100,7 +100,8 @@ def chain_reports(heads: DataFrame, judged: DataFrame, blobs: DataFrame, private
     ``judged`` comes from ``signed``. On the way from the head, a manifest fails by its signature or
     key, then by its link, then by its delta; the failure nearest to the head is the reason. With ``private``
     the links also follow the rules of privacy modes and addressing, deltas are left alone since content
-    may be sealed, and a link that an attestation is part of gives a warning.
+    may be sealed, and a link that an attestation is part of gives a warning. Each kind of warning is told
+    once, the nearest to the head first.
     """
     rules = first_error(chains.link_reason(), _privacy_reason()) if private else None
     links = chains.link_verdicts(judged.withColumn("chain", _chain(F.col("chain"))), rules)
@@ -112,13 +113,9 @@ def chain_reports(heads: DataFrame, judged: DataFrame, blobs: DataFrame, private
         F.when(~F.col("key_ok"), "key"), F.when(~F.col("signature_ok"), "signature"), F.col("reason"), F.when(F.col("delta_verdict") == "invalid", "delta and content"),
     )
     warned = F.filter(F.array(F.col("key_warning"), F.col("mode_warning"), F.when(F.col("delta_verdict") == "warning", "delta failed, content holds")), lambda w: w.isNotNull())
-    told = cut(told.select("manifest_hash", "previous", failure.alias("failure"), warned.alias("warned")))
-    way = chains.walk(heads.select("manifest_hash").distinct(), told.where("previous is not null")).join(told.select("manifest_hash", "failure", "warned"), "manifest_hash")
-    out = way.groupBy("head").agg(
-        F.max("depth").alias("depth"), F.min(F.when(F.col("failure").isNotNull(), F.struct("depth", "failure"))).alias("first"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("depth", "warned"))), lambda x: x["warned"])).alias("warnings"),
-    )
-    return out.select("head", F.col("first").isNull().alias("chain_ok"), "depth", F.col("first.failure").alias("reason"), "warnings")
+    told = cut(told.select("manifest_hash", "previous", failure.alias("failure"), warned.alias("marks")))
+    way = heads.select("manifest_hash").distinct().join(chains.fold(told), "manifest_hash")
+    return way.select(F.col("manifest_hash").alias("head"), F.col("first").isNull().alias("chain_ok"), "depth", F.col("first.failure").alias("reason"), F.col("marks.mark").alias("warnings"))
 
 
 def _chain(c: Column) -> Column:
@@ -133,7 +130,7 @@ def reachable(requests: DataFrame, blobs: DataFrame, prefix: str = PREFIX) -> Da
     links = manifests.read(blobs, prefix).select("manifest_hash", F.col("chain.previous").alias("previous"), F.col("attestation.subject.manifestHash").alias("subject"))
     links = cut(links.where("previous is not null or subject is not null"))
     asked = requests.select("manifest_hash").where("manifest_hash is not null").distinct()
-    way = chains.walk(asked, links.select("manifest_hash", "previous").where("previous is not null")).select("manifest_hash").distinct()
+    way = chains.reach(asked, links.select("manifest_hash", "previous"))
     about = links.where("subject is not null").join(way, "manifest_hash", "left_semi").select(F.col("subject").alias("manifest_hash"))
     wanted = cut(way.unionByName(about).distinct())
     return blobs.join(wanted, F.col("hash") == F.col("manifest_hash"), "left_semi")

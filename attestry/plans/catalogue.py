@@ -206,9 +206,8 @@ def chain_link_verdict(spark, d):
 @query("SELECT conv_id AS id, count(*) AS depth FROM conversations GROUP BY conv_id")
 def chain_walk_depth(spark, d):
     made = _manifests(spark, d)
-    links = made.where("chain is not null").select("manifest_hash", F.col("chain.previous").alias("previous"))
-    way = chains.walk(chains.heads(made), links).groupBy("head").agg(F.max("depth").alias("depth"))
-    return way.join(made.select(F.col("manifest_hash").alias("head"), "id"), "head").select("id", "depth")
+    links = made.select("manifest_hash", F.col("chain.previous").alias("previous"), F.lit(None).cast("string").alias("failure"), F.lit(None).cast("array<string>").alias("marks"))
+    return chains.heads(made).select("manifest_hash", "id").join(chains.fold(links), "manifest_hash").select("id", "depth")
 
 
 @query(f"""WITH {_CHAIN}, m AS (SELECT conv_id, max(n) AS most FROM t GROUP BY conv_id)

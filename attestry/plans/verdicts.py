@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import crypto, hashing, jsondoc, temporal, terms, text
-from attestry.operators import canonical, manifests, patterns, privacy, publish, quads, resolve
+from attestry.operators import canonical, chains, keys, manifests, patterns, privacy, publish, quads, resolve
 from attestry.operators.patterns import Literal, Var
 from attestry.plans import durable
 from attestry.plans.catalogue import BASE, C, O, graph, p, query, read
@@ -132,6 +132,36 @@ def private_chain_walk(spark, d):
     return heads.join(told.join(changes, "head", "left"), F.col("manifest_hash") == F.col("head")).select("k", "chain_ok", "reason", F.coalesce("changes", F.lit(0)).cast("long").alias("changes"))
 
 
+@query("""SELECT s_suppkey AS k, s_suppkey % 6 IN (0, 1, 3) AS chain_ok, 3::BIGINT AS depth, CASE s_suppkey % 6 WHEN 2 THEN 'key' WHEN 4 THEN 'key' WHEN 5 THEN 'signature' END AS reason,
+  CASE s_suppkey % 6 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END::BIGINT AS warned FROM supplier""")
+def chain_key_life(spark, d):
+    """Chains of three under key documents: earlier versions by a key that is active, rotated in and out of grace, revoked after and before, or by no key that is known to the document."""
+    case = row_key() % 6
+    rows = suppliers(spark, d).drop("authority", "public_key").withColumns({"seed": digest("life", row_key()), "old_seed": digest("old", row_key())})
+    rows = durable.cut(rows.withColumns({"public_key": crypto.public_key(F.col("seed")), "old_key": crypto.public_key(F.col("old_seed"))}).withColumn("authority", text.derive_authority(F.col("public_key"))))
+    rows = rows.withColumn("uri", F.concat(F.lit("vk://"), "authority", F.lit("/data/"), row_key())).withColumn("content", jsondoc.canonical_json(body_of("life chain")))
+
+    def signed_by_old(doc: Column, old: Column) -> Column:
+        forged = F.when(case == 5, other_seed()).otherwise(F.col("seed"))
+        return manifests.sign(doc, F.when(old, F.col("old_seed")).otherwise(forged), F.when(old, F.lit("key-0")).otherwise(F.lit("key-1")), F.lit(STAMP))
+
+    one = durable.cut(rows.withColumn("d1", signed_by_old(plain(F.col("content")), case.isin(1, 2, 3, 4))).withColumn("h1", hashing.sha256(F.col("d1"))))
+    two = durable.cut(one.withColumn("d2", signed_by_old(plain(F.col("content"), 2, link(F.col("h1"), F.col("h1"), 2)), case.isin(1, 2))).withColumn("h2", hashing.sha256(F.col("d2"))))
+    three = durable.cut(two.withColumn("d3", manifests.sign(plain(F.col("content"), 3, link(F.col("h2"), F.col("h1"), 3)), F.col("seed"), F.lit("key-1"), F.lit(STAMP))).withColumn("h3", hashing.sha256(F.col("d3"))))
+    day = lambda s: F.lit(s).cast("timestamp")
+    none = F.array().cast("array<struct<id:string,public_key:binary,rotated_at:timestamp,verify_until:timestamp,invalid_after:timestamp>>")
+    new, old = (
+        F.struct(F.lit(f"vk://a#key-{n}").alias("id"), F.col(key).alias("public_key"), day("2025-02-01").alias("rotated_at"), F.when(case == 1, day("2025-12-31")).otherwise(day("2025-02-15")).alias("verify_until"), F.when(case == 4, day("2024-12-01")).otherwise(day("2025-06-01")).alias("invalid_after"))
+        for n, key in ((1, "public_key"), (0, "old_key"))
+    )
+    documents = three.select("authority", F.array(new).alias("active"), F.when(case.isin(1, 2), F.array(old)).otherwise(none).alias("rotated"), F.when(case.isin(3, 4), F.array(old)).otherwise(none).alias("revoked"), F.struct(F.lit("P365D").alias("grace")).alias("policies"))
+    judged = durable.cut(resolve.signed(manifests.read(blobs_of(*[(three, F.col(c)) for c in ("d1", "d2", "d3")])), keys.flatten(documents), day("2025-07-01")))
+    told = resolve.chain_reports(three.select(F.col("h3").alias("manifest_hash")), judged, blobs_of((three, F.col("content"))))
+    warned = chains.fold(judged.select("manifest_hash", F.col("chain.previous").alias("previous"), F.lit(None).cast("string").alias("failure"), F.array("key.warning").alias("marks")))
+    warned = warned.select(F.col("manifest_hash").alias("head"), F.aggregate("marks", F.lit(0).cast("long"), lambda n, m: n + m["n"]).alias("warned"))
+    return three.select("k", F.col("h3").alias("head")).join(told, "head").join(warned, "head").select("k", "chain_ok", "depth", "reason", "warned")
+
+
 # --- privacy modes -------------------------------------------------------------------------------
 
 _PRIVATE = """

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import crypto, terms, text
-from attestry.operators import blobs, canonical, manifests, patterns, publish, quads, resolve
+from attestry.operators import blobs, canonical, chains, manifests, patterns, publish, quads, resolve
 from attestry.operators.patterns import Literal, Var
 from attestry.sources import graphs, packages
 
@@ -592,3 +592,36 @@ def test_reached_is_the_closure_of_its_starts(spark):
     pairs, starts = solutions(spark, ("x", "y"), links), solutions(spark, ("x",), [("n1",), ("n5",), ("loop",), ("none",)])
     whole = [r for r in told(patterns.one_or_more(pairs)) if r[0] in ("n1", "n5", "loop")]
     assert told(patterns.reached(pairs, starts)) == whole
+
+
+# --- folds along chains ----------------------------------------------------------------------------
+
+
+def test_a_long_chain_of_which_every_version_is_asked(spark):
+    n = 100_000
+    name = lambda c: F.concat(F.lit("h"), c.cast("string"))
+    k = F.col("id")
+    nodes = spark.range(1, n + 1).select(
+        name(k).alias("manifest_hash"), name(k - 1).alias("previous"), F.when(k == 70_000, "key").when(k == 20_000, "signature").alias("failure"),
+        F.when(k % 1000 == 0, F.array(F.lit("old key"), F.lit(None))).when(k == 5, F.array(F.lit("delta"))).otherwise(F.array().cast("array<string>")).alias("marks"), "id",
+    )
+    got = chains.fold(nodes).withColumn("k", F.substring("manifest_hash", 2, 9).cast("long"))
+    assert got.count() == n and got.where("depth <> k").count() == 0
+    told = {r.k: r for r in got.where("k in (3, 999, 1000, 20000, 69999, 70000, 70001, 100000)").collect()}
+    first = {k: None if r["first"] is None else tuple(r["first"]) for k, r in told.items()}
+    assert first == {3: None, 999: None, 1000: None, 20000: (1, "signature"), 69999: (50_000, "signature"), 70000: (1, "key"), 70001: (2, "key"), 100_000: (30_001, "key")}
+    assert [tuple(m) for m in told[100_000].marks] == [(1, "old key", 100), (99_996, "delta", 1)] and told[3].marks == [] and [tuple(m) for m in told[999].marks] == [(995, "delta", 1)]
+    starts = spark.createDataFrame([("h500",), ("h500",), ("h3",), ("else",)], "manifest_hash string")
+    assert chains.reach(starts, nodes).count() == 502  # h500 down to the missing h0, and what is in no store
+    met = chains.passed(starts, nodes.withColumn("hit", k % 100 == 0), "hit")
+    assert sorted(map(tuple, met.collect())) == [("h500", f"h{x}") for x in (100, 200, 300, 400, 500)]
+
+
+def test_folds_of_circles_and_of_nothing(spark):
+    schema = "manifest_hash string, previous string, failure string, marks array<string>"
+    assert chains.fold(spark.createDataFrame([], schema)).count() == 0
+    ring = spark.createDataFrame([("a", "b", None, None), ("b", "a", None, None)], schema)
+    with pytest.raises(RuntimeError):
+        chains.fold(ring, 4)
+    with pytest.raises(RuntimeError):
+        chains.passed(ring.select("manifest_hash"), ring.withColumn("hit", F.lit(True)), "hit")
