@@ -7,20 +7,22 @@ an anchor are consecutive; with the symbols that they span they make up the anch
 one symbol in half a window starts an anchor, so there are far fewer contexts than windows, and each
 is named by two hashes of 64 bits, of its gram and of its whole content.
 
-Grams only choose anchors, so a rolling hash does for them. Names are taken as equal content, so they
-come from a real hash (XXH3) of the bytes, or of the words' hashes, which are sums of mixed pairs of
-byte and place: no string is built from parts whose hashes cancel out.
+Grams only choose anchors, so sums of mixed pairs of byte and place, rolled along, do for them: texts made to
+collide there share anchors and cost time, no more. Names are taken as equal content. They are BLAKE2b of
+the bytes themselves (words: of the words joined by single spaces) under a key that each run draws anew, so whoever
+wrote the texts, two different contexts share a name with a probability of 2 ** -64, and only where their anchors are equal as well.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,19 @@ class Rolling:
         return (self.sums[last] - self.sums[first]) * self.down[first]
 
 
+def keyed_names(key: bytes) -> Callable[[list[tuple[memoryview, int]]], np.ndarray]:
+    """A function that names pairs of bytes and a number by 64 bits."""
+    start = blake2b(digest_size=8, key=key)
+
+    def one(data: memoryview, place: int) -> bytes:
+        h = start.copy()
+        h.update(place.to_bytes(8, "little"))
+        h.update(data)
+        return h.digest()
+
+    return lambda parts: np.frombuffer(b"".join(one(*p) for p in parts), "<u8")
+
+
 @dataclass
 class Contexts:
     """Contexts of many rows; places count symbols from the start of all rows at hand."""
@@ -65,14 +80,20 @@ class Contexts:
     last: np.ndarray  # last window's start
     place: np.ndarray  # anchor's start
     anchor: np.ndarray  # hash of the gram
-    content: np.ndarray  # hash of the context and of the anchor's place in it
-    held: memoryview  # the bytes of all symbols
-    wide: int  # of one symbol, in bytes
+    symbols: Symbols
+    window: int
 
-    def windows(self, k: int, window: int) -> np.ndarray:
+    def content(self, pick: np.ndarray) -> np.ndarray:
+        """The names of some contexts, each with its anchor's place in it."""
+        held, begin, end = self.symbols.held, self.symbols.begin, self.symbols.end
+        first, last = begin(self.first[pick]).tolist(), end(self.last[pick] + self.window - 1).tolist()
+        return self.symbols.names([(held[a:b], k) for a, b, k in zip(first, last, (self.place - self.first)[pick].tolist())])
+
+    def windows(self, k: int) -> np.ndarray:
         """The name of each window of context k."""
-        n, digest, held = self.wide, xxhash.xxh3_64_intdigest, self.held
-        return np.array([digest(held[n * a : n * (a + window)]) for a in range(self.first[k], self.last[k] + 1)], np.uint64)
+        at = np.arange(self.first[k], self.last[k] + 1)
+        first, last = self.symbols.begin(at).tolist(), self.symbols.end(at + self.window - 1).tolist()
+        return self.symbols.names([(self.symbols.held[a:b], 0) for a, b in zip(first, last)])
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -91,8 +112,10 @@ class Symbols:
     raw: np.ndarray
     bounds: np.ndarray  # of rows, in symbols
     values: Callable[[int, int], np.ndarray]  # symbols a to b as hashes
-    held: memoryview  # what names are taken from
-    wide: int  # of one symbol in ``held``, in bytes
+    held: memoryview  # the bytes that names are taken from
+    begin: Callable[[np.ndarray], np.ndarray]  # where symbols start in ``held``
+    end: Callable[[np.ndarray], np.ndarray]  # and where they end
+    names: Callable[[list[tuple[memoryview, int]]], np.ndarray]
 
 
 def contexts(s: Symbols, window: int, gram: int) -> Iterator[Contexts]:
@@ -101,7 +124,7 @@ def contexts(s: Symbols, window: int, gram: int) -> Iterator[Contexts]:
     Long rows are worked on in pieces that overlap by a window less one symbol, so that every window
     is whole in exactly one of them.
     """
-    n, bounds, digest = int(s.bounds[-1]), s.bounds, xxhash.xxh3_64_intdigest
+    n, bounds = int(s.bounds[-1]), s.bounds
     for a in range(0, max(1, n - window + 1), PIECE - window + 1):
         b = min(n, a + PIECE)
         if b - a < window:
@@ -122,9 +145,7 @@ def contexts(s: Symbols, window: int, gram: int) -> Iterator[Contexts]:
         at = np.flatnonzero(new)
         end = np.append(at[1:], len(begin)) - 1
         first, last, spot = begin[at], begin[end], place[at]
-        parts = zip((first * s.wide).tolist(), ((last + window) * s.wide).tolist(), (spot + a - first).tolist())
-        content = np.array([digest(s.held[x:y], k) for x, y, k in parts], np.uint64)
-        yield Contexts(row[at], first, last, spot + a, grams[spot], content, s.held, s.wide)
+        yield Contexts(row[at], first, last, spot + a, grams[spot], s, window)
 
 
 @lru_cache(maxsize=1)
@@ -132,8 +153,13 @@ def _bytes() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def as_bytes(raw: np.ndarray, at: np.ndarray) -> Symbols:
-    return Symbols(raw, at, lambda a, b: _bytes()[raw[a:b]], memoryview(np.ascontiguousarray(raw)), 1)
+def under_key(symbols: Callable) -> Callable:
+    """``as_bytes`` or ``as_words`` with names of this run."""
+    return partial(symbols, secrets.token_bytes(32))
+
+
+def as_bytes(key: bytes, raw: np.ndarray, at: np.ndarray) -> Symbols:
+    return Symbols(raw, at, lambda a, b: _bytes()[raw[a:b]], memoryview(np.ascontiguousarray(raw)), lambda k: k, lambda k: k + 1, keyed_names(key))
 
 
 def _placed(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -141,8 +167,8 @@ def _placed(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mix((place.astype(np.uint64) << np.uint64(8)) + raw + np.uint64(0x9E3779B97F4A7C15))
 
 
-def as_words(raw: np.ndarray, at: np.ndarray) -> Symbols:
-    """Words as symbols. Each is named by the sum of the hashes of its bytes at their places."""
+def as_words(key: bytes, raw: np.ndarray, at: np.ndarray) -> Symbols:
+    """Words as symbols: sums of the hashes of bytes at their places for grams, the words themselves for names."""
     white = (raw == 32) | ((raw >= 9) & (raw <= 13))
     fresh = np.zeros(len(raw) + 1, bool)
     fresh[at] = True
@@ -168,7 +194,12 @@ def as_words(raw: np.ndarray, at: np.ndarray) -> Symbols:
             told = sums[ends[k:j] - a] - sums[starts[k:j] - a]
         hashes[k:j] = mix(told + (ends[k:j] - starts[k:j]).astype(np.uint64))
         k = j
-    return Symbols(raw, np.searchsorted(starts, at), lambda a, b: hashes[a:b], memoryview(hashes.view(np.uint8)), 8)
+    keep = ~white
+    keep[1:] |= ~white[:-1]  # a word and one place behind it
+    spaced = np.where(white, np.uint8(32), raw)[keep]
+    shift = np.cumsum(keep) - 1
+    first, last = shift[starts], shift[ends - 1] + 1
+    return Symbols(raw, np.searchsorted(starts, at), lambda a, b: hashes[a:b], memoryview(spaced), lambda k: first[k], lambda k: last[k], keyed_names(key))
 
 
 def of_batch(column: pa.Array, symbols: Callable, window: int, gram: int) -> Iterator[tuple[int, Symbols, Contexts]]:
@@ -198,7 +229,7 @@ def occurrences(docs: DataFrame, symbols: Callable, window: int, gram: int, want
                 row = c.row[pick]
                 take = pa.array(row + base)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["k1"].take(take), batch["k2"].take(take), pa.array(c.anchor[pick].view(np.int64)), pa.array(c.content[pick].view(np.int64)), pa.array(c.first[pick] - s.bounds[row]), pa.array((c.last - c.first)[pick] + 1)],
+                    [batch["k1"].take(take), batch["k2"].take(take), pa.array(c.anchor[pick].view(np.int64)), pa.array(c.content(pick).view(np.int64)), pa.array(c.first[pick] - s.bounds[row]), pa.array((c.last - c.first)[pick] + 1)],
                     ["k1", "k2", "anchor", "content", "start", "windows"],
                 )
 
@@ -254,10 +285,10 @@ def repeated_windows(docs: DataFrame, thin: DataFrame, anchors: DataFrame, symbo
     """
 
     def pack(_: Symbols, c: Contexts, pick: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
-        names = np.column_stack((c.anchor[pick], c.content[pick]))
-        pick = pick[np.unique(names, axis=0, return_index=True)[1]]
-        held = [c.windows(k, window).tobytes() for k in pick]
-        return pa.RecordBatch.from_arrays([pa.array(c.anchor[pick].view(np.int64)), pa.array(c.content[pick].view(np.int64)), pa.array(held, pa.binary())], ["anchor", "content", "held"])
+        names = np.column_stack((c.anchor[pick], c.content(pick)))
+        names, once = np.unique(names, axis=0, return_index=True)
+        held = [c.windows(k).tobytes() for k in pick[once]]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in names.T), pa.array(held, pa.binary())], ["anchor", "content", "held"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm import sketch
-from attestry.llm.anchors import BROADCAST, as_words, covered, keyed, occurrences, of_batch, repeated_windows, spans_of
+from attestry.llm.anchors import BROADCAST, as_words, covered, keyed, occurrences, of_batch, repeated_windows, spans_of, under_key
 from attestry.llm.common import checkpoint, table
 
 WORDS = 35  # fixed value of the contract
@@ -32,21 +32,21 @@ def repeated_spans(rows: DataFrame, window: int = WORDS, gram: int = GRAM, bits:
     cells; a narrow one lets more windows into the exact pass, no fewer. ``broadcast`` is the most anchors
     that travel as a sketch in that pass.
     """
-    spark = rows.sparkSession
+    spark, words = rows.sparkSession, under_key(as_words)
     if bits is None:
         told = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = sketch.bits_for(told // 3 // (window - gram + 2), least=24)  # a word and a space are six bytes or so
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, c in of_batch(batch["text"], as_words, window, gram):
+        for _, _, c in of_batch(batch["text"], words, window, gram):
             yield c.anchor
 
     maybe = spark.sparkContext.broadcast(sketch.build(rows.select("text"), hashes, 2, bits))
-    thin = table(occurrences(rows, as_words, window, gram, lambda a: maybe.value.passes(a)), "substring-contexts")
+    thin = table(occurrences(rows, words, window, gram, lambda a: maybe.value.passes(a)), "substring-contexts")
     sizes = thin.groupBy("anchor", "content").count()
     several = checkpoint(sizes.groupBy("anchor").count().where("count > 1").select("anchor"))
     whole = sizes.where("count > 1").select("anchor", "content", F.expr("array(struct(0L as low, cast(1e15 as long) as high))").alias("ranges"))
-    parts = repeated_windows(rows, thin, several, as_words, window, gram, lambda df: table(df, "substring-windows"), broadcast)
+    parts = repeated_windows(rows, thin, several, words, window, gram, lambda df: table(df, "substring-windows"), broadcast)
     return spans_of(thin, whole.unionByName(parts), window)
 
 

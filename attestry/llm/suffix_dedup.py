@@ -15,15 +15,15 @@ round, to nothing: then the group is one interval, whatever its size.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.anchors import BROADCAST, Contexts, Symbols, as_bytes, covered, keyed, occurrences, picked, spans_of
+from attestry.llm.anchors import BROADCAST, Contexts, Symbols, as_bytes, covered, keyed, keyed_names, occurrences, picked, spans_of, under_key
 from attestry.llm.common import checkpoint, sorted_groups, table
 from attestry.llm.suffix_repeats import maximal_repeats
 
@@ -67,12 +67,14 @@ def _held(length: int):
 
     def tell(s: Symbols, c: Contexts, pick: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
         spans = {}
-        for k, crowd, a, b in zip(pick.tolist(), crowded.tolist(), c.first[pick].tolist(), (c.last[pick] + length).tolist()):
-            spans.setdefault((c.anchor[k], c.content[k], bytes(s.held[a:b])), [k, crowd, 0])[2] += 1
+        content = c.content(pick)
+        for k, crowd, name, a, b in zip(pick.tolist(), crowded.tolist(), content.tolist(), c.first[pick].tolist(), (c.last[pick] + length).tolist()):
+            spans.setdefault((c.anchor[k], name, bytes(s.held[a:b])), [k, crowd, 0])[2] += 1
         at = np.array([v[0] for v in spans.values()])
+        names = np.array([k[1] for k in spans], np.uint64)
         key = pa.array([None if v[1] else int(c.anchor[v[0]].view(np.int64)) for v in spans.values()], pa.int64())
         return pa.RecordBatch.from_arrays(
-            [key, pa.array(c.anchor[at].view(np.int64)), pa.array(c.content[at].view(np.int64)), pa.array((c.place - c.first)[at]), pa.array([k[2] for k in spans], pa.binary()), pa.array([v[2] for v in spans.values()], pa.int64())],
+            [key, pa.array(c.anchor[at].view(np.int64)), pa.array(names.view(np.int64)), pa.array((c.place - c.first)[at]), pa.array([k[2] for k in spans], pa.binary()), pa.array([v[2] for v in spans.values()], pa.int64())],
             ["key", "anchor", "content", "before", "held", "n"],
         )
 
@@ -112,20 +114,21 @@ def _split(crowded: DataFrame, length: int, gram: int, most: int) -> tuple[DataF
 
     ``crowded`` has one row for each different context of each crowded anchor.
     """
-    name = xxhash.xxh3_64_intdigest
+    key = secrets.token_bytes(32)
 
     def wider(need: int, half: int):
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, keys, shared = [], [], []
+                names = keyed_names(key)
                 for k, (anchor, at, held, left) in enumerate(zip(*(batch[c].to_pylist() for c in ("anchor", "before", "held", "left")))):
                     right = length - need - left
                     for a, b in ((left + half, right), (left, right + half)) if half else ((left, right),):
                         if a <= at and b <= len(held) - at:
                             rows.append(k), shared.append(a)
-                            keys.append(name(held[at - a : at + b] + anchor.to_bytes(8, "little", signed=True), a))
+                            keys.append((held[at - a : at + b] + anchor.to_bytes(8, "little", signed=True), a))
                 taken = batch.select(["anchor", "content", "before", "held", "n"]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *taken.columns, pa.array(shared, pa.int64())], ["key", "anchor", "content", "before", "held", "n", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(names(keys).view(np.int64)), *taken.columns, pa.array(shared, pa.int64())], ["key", "anchor", "content", "before", "held", "n", "left"])
 
         return deal
 
@@ -149,10 +152,11 @@ def _split(crowded: DataFrame, length: int, gram: int, most: int) -> tuple[DataF
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, bits: int | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """k1, k2, spans (a, b): the bytes that repeated windows cover, of ``keyed`` documents."""
-    thin = table(occurrences(rows, as_bytes, length, gram), "suffix-contexts")
+    symbols = under_key(as_bytes)
+    thin = table(occurrences(rows, symbols, length, gram), "suffix-contexts")
     several = thin.groupBy("anchor", "content").count().groupBy("anchor").agg(F.sum("count").alias("n"), F.count("*").alias("contexts")).where("n > 1")
     several = checkpoint(several.select("anchor", (F.col("contexts") > most).alias("mark")))
-    held = picked(rows, thin, several, as_bytes, length, gram, _held(length), HELD, bits, broadcast)
+    held = picked(rows, thin, several, symbols, length, gram, _held(length), HELD, bits, broadcast)
     if several.where("mark").isEmpty():
         return spans_of(thin, _compared(held, length), length)
     held = table(held, "suffix-held")

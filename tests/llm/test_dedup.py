@@ -135,6 +135,18 @@ def test_names_of_words_and_windows_do_not_cancel_out(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == sorted(brute_bytes(pair, 400))
 
 
+def test_words_whose_summed_hashes_agree_are_different_words(spark):
+    """Two words of 64 letters made so that sums over hashes of byte and place are equal, and the same with white space moved."""
+    one, other = "artepznmumdkoybhrqsqswzoxhscuqazzrkspuqfogaoghbisltkwaxtseknoylm", "remwkkryiwnllxxxmyslzhdxuqvpbpdjgvwdwqmzwrtzljlrlvsxkdpzvkmoczpt"
+    told = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join([*told[:20], one, *told[20:]])), (2, " ".join([*told[:20], other, *told[20:]]))]
+    got = substring_dedup.remove(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0)]
+    rows += [(3, "\t \n".join([*told[:20], one, *told[20:]]) + "\n"), (4, "x" + " ".join(told[:36])), (5, " " + "\x0b".join(told[1:37]))]
+    got = substring_dedup.remove(table(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_words(rows, 35))
+
+
 def test_anchors_beyond_the_broadcast_are_joined(spark):
     rows = word_corpus(5, list("abcdefgh"))
     got = substring_dedup.remove(table(spark, rows), window=6, gram=2, broadcast=0).collect()
