@@ -9,7 +9,8 @@ with a rule of their own keep that rule's verdict.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from collections.abc import Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,12 +22,6 @@ from attestry.llm.components import connected_components
 #: Fixed values of the contract: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: What no link is read from: comments and scripts.
-SKIPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
-#: A tag that may be an alias, with what follows it up to the next tag.
-TAG = r"(?i)<(?:link|meta)\b[^<]*+"
-
-
 def _ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -81,47 +76,108 @@ def resolve(url: str, target: str) -> str:
     return f"{scheme}://{host}/{'/'.join(out)}{rest}"
 
 
-class _First(HTMLParser):
-    """The attributes of the first tag of a text; of attributes told twice, the first."""
+#: Fixed values of the format: elements whose content is text, whatever it looks like.
+TEXT_ELEMENTS = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
+WHITE = " \t\n\f\r"
+#: Attributes of a tag: quotes count after an equals sign only, and one that is never closed runs to the end of the page.
+ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?)?+"""
+ATTRIBUTES = re.compile(ATTRIBUTE, re.ASCII)
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{re.sub(r'(?<!\\)\((?!\?)', '(?:', ATTRIBUTE)})*+)>", re.ASCII)
+COMMENT = re.compile(r"(?s)<!--(?:-?>|.*?(?:--!?>|\Z))")
+REFERENCE = re.compile(r"&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*)(;?)(=?))")
 
-    found: tuple[str, dict[str, str]] | None = None
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.found is None:
-            self.found = tag, {k: v or "" for k, v in reversed(attrs)}
+def _referred(m: re.Match) -> str:
+    """What a character reference in an attribute stands for; a name without its semicolon before an equals sign is no reference."""
+    if m[3]:
+        told = html5.get(m[3] + m[4])
+        return m[0] if told is None or (m[5] and not m[4]) else told + m[5]
+    n = int(m[1] or m[2], 10 if m[1] else 16)
+    return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else "\ufffd"
 
 
-def target_of(tag: str) -> str | None:
-    """Where a canonical link or a refresh points to, entities decoded; null for any other tag."""
-    parser = _First()
-    parser.feed(tag)
-    name, attributes = parser.found or ("", {})
+def tags(html: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """The start tags of a page with their attributes, in order; of attributes told twice, the first.
+
+    Comments, the content of text elements and of templates, and a tag that the page's end cuts off give none.
+    """
+    at, inert = html.find("<"), 0
+    while at >= 0:
+        if html.startswith("<!--", at):
+            at = html.find("<", COMMENT.match(html, at).end())
+            continue
+        after = html[at + 1 : at + 2]
+        if after in ("!", "?") or (after == "/" and not re.match("[a-zA-Z]", html[at + 2 : at + 3])):
+            end = html.find(">", at)
+            at = html.find("<", end) if end >= 0 else -1
+            continue
+        if not re.match("[a-zA-Z/]", after):
+            at = html.find("<", at + 1)
+            continue
+        m = TAG.match(html, at)
+        if m is None:
+            return
+        name, at = m[2].lower(), m.end()
+        if name == "template":
+            inert = max(0, inert - 1) if m[1] else inert + 1
+        elif not m[1]:
+            if name == "plaintext":
+                return
+            if not inert and name in ("link", "meta", "base"):
+                told: dict[str, str] = {}
+                for key, value in ATTRIBUTES.findall(m[3]):
+                    told.setdefault(key.lower(), REFERENCE.sub(_referred, value[1:-1] if value[:1] in ("'", '"') else value))
+                yield name, told
+            if name in TEXT_ELEMENTS:
+                end = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE | re.ASCII).search(html, at)
+                if end is None:
+                    return
+                at = end.start()
+        at = html.find("<", at)
+
+
+def target_of(name: str, attributes: dict[str, str]) -> str | None:
+    """Where a canonical link or a refresh points to, as it is told; null for any other tag."""
+    told = None
     if name == "link" and "canonical" in attributes.get("rel", "").lower().split():
-        return attributes.get("href", "").strip() or None
-    if name == "meta" and attributes.get("http-equiv", "").strip().lower() == "refresh":
-        m = re.search(r"(?is)[;,]\s*(?:url\s*=\s*)?(?:'([^']*)'|\"([^\"]*)\"|(\S+))", attributes.get("content", ""))
-        return (m[1] or m[2] or m[3] or None) if m else None
-    return None
+        told = attributes.get("href")
+    elif name == "meta" and attributes.get("http-equiv", "").strip(WHITE).lower() == "refresh":
+        m = re.match(r"(?is)\s*(?:[0-9]|(?=\.))[0-9.]*(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:'([^']*)|\"([^\"]*)|(.*))", attributes.get("content", ""))
+        told = m and (m[1] or m[2] or m[3])
+    told = told and re.sub(r"[\t\n\r]", "", told.strip("".join(map(chr, range(33)))))
+    return told or None
+
+
+def targets_of(url: str, html: str) -> list[str]:
+    """The addresses that a page's canonical links and refreshes lead to; ``url`` holds ``://``.
+
+    The first ``<base href>`` of the page is what all relative targets are taken on.
+    """
+    base, told = None, []
+    for name, attributes in tags(html):
+        if name == "base":
+            if base is None and "href" in attributes:
+                base = resolve(url, attributes["href"].strip())
+        elif (to := target_of(name, attributes)) is not None:
+            told.append(to)
+    on = base if base is not None and "://" in base else url
+    return [resolve(on, to) for to in told]
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(a, b)``: page and the targets of its canonical links and of its refreshes.
 
-    Entities in targets are decoded and relative targets are taken on the page's own address; addresses
-    without ``://``, null pages and null urls give no edge.
+    Relative targets are taken on the page's base, or its own address; addresses without ``://``, null
+    pages and null urls give no edge.
     """
 
-    @F.arrow_udf("string")
-    def resolved(url: pa.Array, tag: pa.Array) -> pa.Array:
-        targets = (target_of(t.as_py()) for t in tag)
-        return pa.array([to and resolve(u.as_py(), to) for u, to in zip(url, targets)], pa.string())
+    @F.arrow_udf("array<string>")
+    def targets(url: pa.Array, html: pa.Array) -> pa.Array:
+        return pa.array([targets_of(u.as_py(), h.as_py()) for u, h in zip(url, html)], pa.list_(pa.string()))
 
     url, html = F.col(url_col), F.col(html_col)
-    says = r"(?i)\bcanonical\b|\brefresh\b"
-    some = pages.where(html.rlike(says) & F.contains(url, F.lit("://")))
-    tags = F.regexp_extract_all(F.regexp_replace(html, SKIPPED, ""), F.lit(TAG), F.lit(0))
-    said = some.select(url.alias("url"), F.explode(F.filter(tags, lambda t: t.rlike(says))).alias("tag"))
-    full = said.select("url", resolved("url", "tag").alias("full"))
+    some = pages.where(html.rlike(r"(?i)<(?:link|meta)[\s/]") & F.contains(url, F.lit("://"))).select(url.alias("url"), html.alias("html"))
+    full = some.select("url", F.explode(targets("url", "html")).alias("full"))
     return full.select(_node(F.col("url")).alias("a"), _node(F.col("full")).alias("b")).where("a is not null and b is not null")
 
 
