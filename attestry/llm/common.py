@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -44,25 +45,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Paths of the tables that ``table`` has stored and ``release`` has not yet removed.
-_stored: list[str] = []
+class _Stored(threading.local):
+    """Paths of the tables that ``table`` has stored and ``release`` has not yet removed: of this thread's calls, not of others at the same time."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_stored = _Stored()
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Computes a wider table once, as Parquet in the shared folder, and reads it again; see ``release``."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _stored.append(path)
+    _stored.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, since: int = 0, last: int = 0) -> int:
-    """Removes the stored tables, from the one of number ``since`` on and but for the ``last`` ones; gives how many.
+    """Removes the tables that this thread has stored, from the one of number ``since`` on and but for the ``last`` ones; gives how many.
 
     For callers whose results are written: what is not yet computed may read them still.
     """
-    gone = _stored[since : len(_stored) - last]
-    _stored[since : len(_stored) - last] = []
+    held = _stored.paths
+    gone = held[since : len(held) - last]
+    held[since : len(held) - last] = []
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -71,7 +79,7 @@ def release(spark: SparkSession, since: int = 0, last: int = 0) -> int:
 
 def stored() -> int:
     """How many tables are stored: what ``release`` takes to leave these alone."""
-    return len(_stored)
+    return len(_stored.paths)
 
 
 def bucket_of(doc_id: Column, parts: int) -> Column:
@@ -79,6 +87,20 @@ def bucket_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: A draw is a number below 2 ** DRAW_BITS, so that shares stay fine in the largest tables.
+DRAW_BITS = 53
+
+
+def draw(*columns: Column | str) -> Column:
+    """A number below 2 ** DRAW_BITS that follows from the columns."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *columns), 64 - DRAW_BITS)
+
+
+def draws_for(wanted: int, n: int) -> int:
+    """Below this number draws take about ``wanted`` of n rows, all if there are no more."""
+    return min(1 << DRAW_BITS, -(-(wanted << DRAW_BITS) // max(1, n)))
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two longs, k1 and k2, that name a row by its id and its text.
 

@@ -2,8 +2,9 @@
 
 Counts by language and bucket are gathered by Spark, combined in each task before the shuffle, from
 at most ``docs_per_language`` documents of each language, drawn by a hash of the id. The log
-probabilities, a matrix of ``languages x buckets`` whose size is bounded, are broadcast, and batches of
-whole texts are scored in numpy: a text's n-grams pick rows of the matrix, which are summed by text.
+probabilities, a matrix of ``languages x buckets``, are broadcast, and batches of whole texts are scored in
+numpy: a text's n-grams pick rows of the matrix, which are summed by text. The matrix keeps its size however many
+languages there are: above ``FULL`` of them, each doubling halves the buckets.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import bucket_of, runs, text_buffer
+from attestry.llm.common import bucket_of, draw, draws_for, runs, text_buffer
 from attestry.llm.ngrams import char_ngrams, code_points, letters, lowered
 
 UNKNOWN = "und"
 ORDERS, BITS = (1, 2, 3), 15
+FULL, LEAST_BITS = 64, 8
 RUN = 1 << 19  # bytes that numpy works on at a time
 
 
@@ -29,9 +31,10 @@ class Model:
     languages: list[str]
     prior: np.ndarray  # by language
     table: np.ndarray  # by bucket and language, log probabilities
+    bits: int = BITS
 
 
-def _features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(raw: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and bucket of every n-gram, and for each row whether it has a letter."""
     points, at = code_points(raw, at)
     is_letter = letters()[points]
@@ -39,23 +42,25 @@ def _features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     has = np.zeros(len(at) - 1, bool)
     has[np.repeat(np.arange(len(at) - 1), np.diff(at))[is_letter]] = True
     parts = [char_ngrams(folded, at, n, BITS) for n in ORDERS]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + (k << BITS) for k, p in enumerate(parts)]), has
+    return np.concatenate([p[0] for p in parts]), np.concatenate([(p[1] >> (BITS - bits)) + (k << bits) for k, p in enumerate(parts)]), has
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 10_000, most_languages: int = 64, smoothing: float = 0.5) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 10_000, smoothing: float = 0.5) -> Model:
     """Learns from rows whose language is not null. Null texts teach nothing.
 
-    A table without such rows gives a model that answers ``und``. More than ``most_languages``
-    languages raise, since the broadcast matrix is to stay bounded.
+    A table without such rows gives a model that answers ``und``. Values of the language column are taken
+    for languages: more than 8,192 of them are no languages, and raise.
     """
-    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)).alias("draw"))
-    counts = sorted((r[0], r[1]) for r in known.groupBy("lang").count().limit(most_languages + 1).collect())
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw(F.col(id_col)).alias("draw"))
+    most = FULL << (BITS - LEAST_BITS)
+    counts = sorted((r[0], r[1]) for r in known.groupBy("lang").count().limit(most + 1).collect())
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
+    bits = BITS - max(0, -(-len(counts) // FULL) - 1).bit_length()
     if not counts:
         return Model([], np.zeros(0), np.zeros((len(ORDERS) << BITS, 0)))
-    limits = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1_000_000, int(docs_per_language / n * 1_000_000) + 1))])
-    sample = known.where(F.col("draw") < F.element_at(limits, F.col("lang"))).select("lang", "text")
+    limits = docs.sparkSession.createDataFrame([(lang, draws_for(docs_per_language, n)) for lang, n in counts], "lang string, below long")
+    sample = known.join(F.broadcast(limits), "lang").where("draw < below").select("lang", "text")  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -63,9 +68,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             langs = np.array(batch["lang"].to_pylist(), object)
             raw, at = text_buffer(batch["text"])
             for first, last in runs(at, RUN):
-                row, bucket, _ = _features(raw[at[first] : at[last]], at[first : last + 1] - at[first])
+                row, bucket, _ = _features(raw[at[first] : at[last]], at[first : last + 1] - at[first], bits)
                 for lang in set(langs[first:last]):
-                    into = seen.setdefault(lang, np.zeros(len(ORDERS) << BITS, np.int64))
+                    into = seen.setdefault(lang, np.zeros(len(ORDERS) << bits, np.int64))
                     into += np.bincount(bucket[(langs[first:last] == lang)[row]], minlength=len(into))
         for lang, n in seen.items():
             at = np.flatnonzero(n)
@@ -73,22 +78,22 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     told = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = [lang for lang, _ in counts]
-    table = np.full((len(ORDERS) << BITS, len(names)), smoothing)
+    table = np.full((len(ORDERS) << bits, len(names)), smoothing)
     place = {lang: k for k, lang in enumerate(names)}
     columns = np.array([place[x] for x in told["lang"].combine_chunks().to_pylist()], np.int64) if told.num_rows else np.zeros(0, np.int64)
     table[told["bucket"].to_numpy(), columns] += told["n"].to_numpy()
     for k in range(len(ORDERS)):  # the n-grams of an order are one draw each
-        part = table[k << BITS : (k + 1) << BITS]
+        part = table[k << bits : (k + 1) << bits]
         part[:] = np.log(part / part.sum(axis=0))
     prior = np.array([n for _, n in counts], float)
-    return Model(names, np.log(prior / prior.sum()), table)
+    return Model(names, np.log(prior / prior.sum()), table, bits)
 
 
 def score(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The language of each row of bytes and its posterior probability."""
     names, best = [], np.zeros(len(at) - 1)
     for first, last in runs(at, RUN):
-        row, bucket, has = _features(raw[at[first] : at[last]], at[first : last + 1] - at[first])
+        row, bucket, has = _features(raw[at[first] : at[last]], at[first : last + 1] - at[first], model.bits)
         if not model.languages:
             names += [UNKNOWN] * (last - first)
             continue

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import bucket_of, distinct, mix, runs, text_buffer
+from attestry.llm.common import bucket_of, distinct, draw, draws_for, mix, runs, text_buffer
 from attestry.llm.ngrams import char_ngrams, code_points
 
 ORDERS, BITS = (1, 2, 3), 18
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
     told = told.where(bucket_of(F.col("i"), folds) != held_out)
     n = max(1, told.count())
-    drawn = told.where(F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1_000_000)) < int(sample / n * 1_000_000) + 1)
+    drawn = told.where(draw("i") < draws_for(sample, n))
     drawn = drawn.groupBy("i").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "i")  # about ``sample`` ids
 

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import checkpoint, sorted_groups
+from attestry.llm.common import checkpoint, draw, draws_for, sorted_groups
 
 SCALE, TOP, EVERY = 64, 20, 20  # fixed values of the contract
 SLACK = 1e-6  # relative, of squared distances: bounds are floating point, products are exact
 BINS = 256  # of the distances to one pivot
-MOST_DIMENSIONS = 64
+INDEXED = 64  # the most frequent dimensions, each with an index of its own
 
 
 def digitise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -167,19 +167,20 @@ def search_shard(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarr
     return best
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, every: int = EVERY, pivots: int = 64, sample: int = 4_000, rows_per_shard: int = 25_000, block: int = 512, queries_per_task: int = 1 << 16) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, every: int = EVERY, pivots: int = 64, sample: int = 4_000, rows_per_shard: int = 25_000, block: int = 512, queries_per_task: int = 1 << 16, indexed: int = INDEXED) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query, ties to the smaller id.
 
     Queries are the rows whose id ``every`` divides, candidates all rows but the query's own: rows that share
     an id are queries and candidates of their own. Vectors take part as ``digitise`` says; each is searched
-    among those of its own dimension, of which there are ``MOST_DIMENSIONS`` at most, else the search raises. Fewer
-    than k candidates give as many rows; a product that has no 64-bit integer raises; no query or an empty table gives none. Other columns are not read.
+    among those of its own dimension. The ``indexed`` most frequent dimensions have an index each; vectors of any others
+    meet in blocks of their dimension, unpruned. Fewer than k candidates give as many rows; a product that has no 64-bit integer raises; no query or an empty table gives none. Other columns are not read.
     """
     rows = checkpoint(digitise(vectors, id_col, vector_col))
-    sizes = sorted(rows.groupBy("n").count().limit(MOST_DIMENSIONS + 1).collect())
-    if len(sizes) > MOST_DIMENSIONS:
-        raise ValueError(f"vectors of more than {MOST_DIMENSIONS} dimensions")
-    parts = [_of_dimension(rows.where(F.col("n") == width), width, n, k, every, pivots, sample, rows_per_shard, block, queries_per_task) for width, n in sizes]
+    sizes = rows.groupBy("n").count().orderBy(F.desc("count"), "n").limit(indexed + 1).collect()
+    often = sizes[:indexed]
+    parts = [_of_dimension(rows.where(F.col("n") == width), width, n, k, every, pivots, sample, rows_per_shard, block, queries_per_task) for width, n in often]
+    if len(sizes) > indexed:
+        parts.append(_of_others(rows.where(~F.col("n").isin([width for width, _ in often])), k, every, rows_per_shard, block, queries_per_task))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return reduce(DataFrame.unionByName, parts)
@@ -188,13 +189,14 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 NAMES = ["shard", "part", "row", "vec_id", "v", "far", "radius", "least"]
 
 
-def _answering(width: int, k: int, block: int):
-    """Of each shard's copy the stored rows, which come first (part -1), then its queries (part 0, a bounded number), in blocks."""
+def _answering(keys: list[str], k: int, block: int):
+    """Of each shard, named by the keys, the stored rows, which come first (part -1), then its queries (part 0, a bounded number), in blocks."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, shard = None, None
-        for group in sorted_groups(batches, ["shard", "copy", "part"]):
-            mine = group["shard"][0].as_py(), group["copy"][0].as_py()
+        for group in sorted_groups(batches, [*keys, "part"]):
+            mine = [group[c][0].as_py() for c in keys]
+            width = len(group["v"][0].as_py()) // 8
             if group["part"][0].as_py() < 0:
                 shard = mine
                 here = group["row"].to_numpy(), group["vec_id"].to_numpy(), unpack(group["v"], width), group["far"].to_numpy()
@@ -221,7 +223,7 @@ def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivot
                 yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(axis=1).max())])], ["top"])
 
     top = (rows.mapInArrow(squares, "top double").agg(F.max("top")).first()[0] or 0.0) + 1.0
-    some = rows.where(F.pmod(F.xxhash64("vec_id", "row"), F.lit(1_000_000)) < int(sample / max(1, n) * 1_000_000) + 1).orderBy("vec_id", "v").toArrow()
+    some = rows.where(draw("vec_id", "row") < draws_for(sample, n)).orderBy("vec_id", "v").toArrow()
     centre = fit_pivots(lift(unpack(some["v"], width), top), pivots) if some.num_rows else np.zeros((1, width + 1))
     index = spark.sparkContext.broadcast(centre)  # a fixed number of pivots
 
@@ -283,7 +285,7 @@ def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivot
         kept = placed.mapInArrow(stored, names).select(F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)).alias("copy"), *NAMES)
         both = kept.unionByName(asking.withColumn("copy", F.pmod(F.xxhash64("row"), copies).cast("int")))
         dealt = both.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "part", "far")
-        return dealt.mapInArrow(_answering(width, k, block), "query long, query_id long, vec_id long, score long")
+        return dealt.mapInArrow(_answering(["shard", "copy"], k, block), "query long, query_id long, vec_id long, score long")
 
     near = checkpoint(round_of(questions.withColumns({"radius": F.lit(float("inf")), "least": F.lit(-(2**63))}).mapInArrow(asked(False), names)))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
@@ -303,6 +305,24 @@ def _of_dimension(rows: DataFrame, width: int, n: int, k: int, every: int, pivot
     return told.select("query_id", "rank", "vec_id", "score")
 
 
+def _of_others(rows: DataFrame, k: int, every: int, rows_per_shard: int, block: int, queries_per_task: int) -> DataFrame:
+    """The search among vectors of any number of dimensions: every query of a dimension against all its rows, shard by shard.
+
+    A dimension has a shard for each ``rows_per_shard`` of its rows, and each shard a copy for each ``queries_per_task`` of its queries.
+    """
+    asks = F.col("vec_id") % every == 0
+    sizes = checkpoint(rows.groupBy("n").agg(F.ceil(F.count("*") / rows_per_shard).alias("shards"), F.greatest(F.lit(1), F.ceil(F.count(F.when(asks, 1)) / queries_per_task)).alias("copies")))
+    told = rows.join(sizes.hint("shuffle_hash"), "n")
+    blank = [F.lit(0.0).alias("far"), F.lit(float("inf")).alias("radius"), F.lit(-(2**63)).cast("long").alias("least")]
+    some = F.xxhash64("row")
+    kept = told.select("n", F.pmod(some, "shards").alias("shard"), F.explode(F.expr("sequence(0L, copies - 1)")).alias("copy"), F.lit(-1).alias("part"), "row", "vec_id", "v", *blank)
+    asked = told.where(asks).select("n", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.pmod(F.xxhash64(some), "copies").alias("copy"), F.lit(0).alias("part"), "row", "vec_id", "v", *blank)
+    dealt = kept.unionByName(asked).repartition("n", "shard", "copy").sortWithinPartitions("n", "shard", "copy", "part")
+    found = dealt.mapInArrow(_answering(["n", "shard", "copy"], k, block), "query long, query_id long, vec_id long, score long")
+    told = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return told.select("query_id", "rank", "vec_id", "score")
+
+
 def op2_topk_search(spark, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 

@@ -28,6 +28,16 @@ def two_languages():
     return [*rows, (100, None, "en"), (101, "", None), (102, "12 34 !?", "de"), (103, ENGLISH.upper() * 3000, None), (104, "İ ß ﬁ", None), (None, GERMAN, None), rows[5]]
 
 
+def test_more_languages_than_the_full_matrix_has(spark):
+    """Made-up languages of three words each; the buckets are halved twice."""
+    words = [[f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + (7 * k + j) % 26)}q{j}z" for j in range(3)] for k in range(200)]
+    rows = [(i, " ".join(words[i % 200] * 4), f"l{i % 200:03}") for i in range(1200)]
+    model = language_id.train(table(spark, rows))
+    assert (len(model.languages), model.bits, model.table.shape) == (200, language_id.BITS - 2, (3 << (language_id.BITS - 2), 200))
+    got = language_id.identify(table(spark, rows)).where("held_out").collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 200:03}" for r in got]) > 0.9
+
+
 def test_language_and_its_edges(spark):
     got = language_id.identify(table(spark, two_languages())).collect()
     assert len(got) == len(two_languages())

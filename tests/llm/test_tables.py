@@ -51,6 +51,15 @@ def test_search_matches_brute_force(spark, options):
     assert sorted(map(tuple, got.collect())) == brute_top(rows)
 
 
+@pytest.mark.parametrize("options", [{}, {"rows_per_shard": 3, "queries_per_task": 2}])
+def test_more_dimensions_than_are_indexed(spark, options):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=k % 71 + 1).tolist()) for k in range(0, 1420, 2)] + [(20 * k, [1.0] * 90) for k in range(30)]
+    rows += [(k, rng.normal(size=68 + k % 4).tolist()) for k in range(2000, 2090)]
+    got = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=2, indexed=2, **options)
+    assert sorted(map(tuple, got.collect())) == brute_rows(rows)
+
+
 def test_search_of_few_and_of_nothing(spark):
     schema = "vec_id long, embedding array<float>"
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (20, [1.0, 1.0])]
