@@ -6,6 +6,7 @@ the tests check against vectors or brute force.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from attestry.functions import crypto, hashing, jsondoc, temporal, terms, text
 from attestry.operators import blobs, canonical, chains, keys, manifests, patterns, privacy, quads, resolve
 from attestry.operators.patterns import Literal, Var
 from attestry.plans import durable
-from attestry.sources import graphs, packages
+from attestry.sources import graphs, packages, statements
 
 BASE = "urn:vk:"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,6 +470,29 @@ def rdf_optional(spark, d):
     return rows.select(F.col("name.value").alias("name"), F.col("status.value").alias("status"))
 
 
+def stored_graph(spark, d) -> statements.Store:
+    """The statements of ``graph`` as files of the shared folder."""
+    name = f"kg_{uuid.uuid4().hex}"
+    return statements.save(graph(spark, d), durable.fresh_path(spark, "kg"), name, buckets=8)
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice::DOUBLE AS total, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey")
+def rdf_stored_star(spark, d):
+    """A star of each order's statements and one of its customer's, over stored statements."""
+    store = stored_graph(spark, d)
+    rows = statements.bgp(store, [(O, "a", p("Order")), (O, p("status"), Var("status")), (O, p("total"), Var("total")), (O, p("by"), C), (C, p("customerName"), Var("name"))])
+    told = statements.named(store, rows, O, "status", "total", "name")
+    return told.select(F.regexp_extract(F.col(f"{O}.value"), r"(\d+)$", 1).cast("long").alias("k"), F.col("status.value").alias("status"), F.col("total.value").cast("double").alias("total"), F.col("name.value").alias("name"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey HAVING count(*) > 5)")
+def rdf_stored_paths(spark, d):
+    """Regions with more than five customers, counted on numbers, with no term looked up."""
+    store = stored_graph(spark, d)
+    rows = statements.bgp(store, [(C, p("inNation"), N), (N, p("inRegion"), R)])
+    return rows.groupBy(R).agg(F.count("*").alias("c")).where("c > 5").agg(F.count("*").alias("n"))
+
+
 @query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
 def rdf_union(spark, d):
     g = graph(spark, d)
