@@ -16,7 +16,7 @@ from attestry.functions import crypto, hashing, jsondoc, temporal, terms, text
 from attestry.operators import blobs, canonical, chains, keys, manifests, patterns, privacy, quads, resolve
 from attestry.operators.patterns import Literal, Var
 from attestry.plans import durable
-from attestry.sources import graphs, packages, statements
+from attestry.sources import addressed, graphs, packages, statements
 
 BASE = "urn:vk:"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,19 @@ def cas_dedup(spark, d):
     return each.agg(F.sum("c").alias("documents"), F.count("*").alias("blobs"), F.sum("n").alias("bytes"))
 
 
+@query("SELECT doc_id, octet_length(encode(text)) AS n, 'sha256:' || sha256(text) LIKE 'sha256:0%' AS low FROM documents WHERE text IS NOT NULL")
+def addressed_files(spark, d):
+    """All documents as files named by their address, read back, and those of some prefixes by a filter that is pushed down."""
+    addressed.register(spark)
+    docs = read(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("bytes"), hashing.sha256(F.col("text")).alias("hash"))
+    path = durable.fresh_path(spark, "addressed")
+    docs.select("hash", "bytes").dropDuplicates(["hash"]).write.format("addressed").mode("append").save(path)
+    found, again = (spark.read.format("addressed").load(path) for _ in range(2))
+    low = again.where(F.startswith("hash", F.lit("sha256:0"))).select("hash", F.lit(True).alias("low"))
+    told = docs.select("doc_id", "hash").join(found.select("hash", F.octet_length("bytes").cast("long").alias("n")), "hash").join(low, "hash", "left")
+    return told.select("doc_id", "n", F.coalesce("low", F.lit(False)).alias("low"))
+
+
 @query("SELECT doc_id FROM documents WHERE source = 'src1' AND text IN (SELECT text FROM documents WHERE source <> 'src1')")
 def cas_semi(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "source", hashing.sha256(F.col("text")).alias("hash"))
