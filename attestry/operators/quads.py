@@ -55,10 +55,16 @@ def _decoded(text: pa.Array) -> pa.Array:
 
 def _unescape(x: Column) -> Column:
     """The characters that an escaped text stands for; only texts with code points leave the built-in way."""
-    coded, out = F.contains(x, F.lit("\\u")) | F.contains(x, F.lit("\\U")), x
-    for mark, plain in (("\\\\", "\x00"), ('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ("\x00", "\\")):
-        out = F.replace(out, F.lit(mark), F.lit(plain))
-    return F.when(coded, _decoded(F.when(coded, x))).otherwise(out)
+    coded = F.contains(x, F.lit("\\u")) | F.contains(x, F.lit("\\U"))
+
+    def simple(part: Column) -> Column:
+        for mark, plain in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")):
+            part = F.replace(part, F.lit(mark), F.lit(plain))
+        return part
+
+    # Escaped backslashes part the text first, so that no other escape is seen across one.
+    parts = F.array_join(F.transform(F.split(x, r"\\\\"), simple), "\\")
+    return F.when(coded, _decoded(F.when(coded, x))).when(F.contains(x, F.lit("\\")), parts).otherwise(x)
 
 
 def normal(token: Column) -> Column:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import crypto, hashing, jsondoc, temporal, terms, text
-from attestry.operators import blobs, canonical, chains, keys, manifests, patterns, privacy, quads, resolve
+from attestry.operators import blobs, canonical, chains, entailment, keys, manifests, patterns, privacy, quads, resolve
 from attestry.operators.patterns import Literal, Var
 from attestry.plans import durable
-from attestry.sources import addressed, graphs, packages, statements
+from attestry.sources import addressed, graphs, packages, statements, table_functions
 
 BASE = "urn:vk:"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -943,3 +943,60 @@ def trig_graph(spark, d):
     told = patterns.pattern(g, N, p("told"), Var("b"), Var("g"))
     rows = patterns.join(patterns.join(told, patterns.pattern(g, Var("b"), p("name"), Var("name"), Var("g"))), patterns.pattern(g, Var("b"), p("in"), R, Var("g")))
     return rows.select(F.col("n.value").alias("s"), F.col("name.value").alias("name"), F.col("r.value").alias("region"), F.col("g.value").alias("graph"))
+
+
+@query("""
+WITH RECURSIVE up AS (SELECT DISTINCT p_size AS k, p_size AS c FROM part UNION SELECT k, c // 2 FROM up WHERE c > 1),
+t AS (SELECT 'size' || c AS class, p_partkey::VARCHAR AS node FROM part JOIN up ON k = p_size
+      UNION SELECT 'Thing', p_partkey::VARCHAR FROM part UNION SELECT 'Brand', p_brand FROM part)
+SELECT class, count(*) AS n FROM t GROUP BY class""")
+def rdf_entailed(spark, d):
+    """Parts typed by a tree of sizes, and a property whose superproperty has a domain and a range."""
+    part = read(spark, d, "part")
+    node = F.concat(F.lit(BASE + "part/"), "p_partkey")
+    parts = quads.from_table(part, node, "x", {}, {"made": F.concat(F.lit(BASE + "brand/"), F.replace("p_brand", F.lit("#"), F.lit("-")))}, BASE).where(F.col("p") != quads.RDF_TYPE)
+    none = F.lit(None).cast("string")
+
+    def told(rows, s, p, o):
+        return rows.select(none.alias("graph"), s.alias("s"), F.lit("uri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit("uri").alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"), F.lit("").alias("doc_id"))
+
+    size = lambda c: F.concat(F.lit(BASE + "size"), c.cast("int").cast("string"))
+    one = spark.range(1)
+    sizes = part.select("p_size").distinct().select(F.explode(F.expr("filter(transform(sequence(0, 31), i -> p_size div cast(power(2, i) as bigint)), x -> x > 1)")).alias("c")).distinct()
+    schema = [told(sizes, size(F.col("c")), entailment.SUBCLASS, size(F.floor(F.col("c") / 2))), told(one, F.lit(BASE + "made"), entailment.SUBPROPERTY, F.lit(BASE + "linked")), told(one, F.lit(BASE + "linked"), entailment.DOMAIN, F.lit(BASE + "Thing")), told(one, F.lit(BASE + "linked"), entailment.RANGE, F.lit(BASE + "Brand"))]
+    table = parts.unionByName(told(part, node, quads.RDF_TYPE, size(F.col("p_size"))))
+    for more in schema:
+        table = table.unionByName(more)
+    types = entailment.entail(table).where(F.col("p") == quads.RDF_TYPE).select("s", "o").distinct()
+    return types.groupBy(F.replace("o", F.lit(BASE), F.lit("")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey AS k, sha256(CASE WHEN s_suppkey % 2 = 0
+  THEN '_:c14n0 <urn:vk:knows> _:c14n1 .' || chr(10) || '_:c14n1 <urn:vk:knows> _:c14n0 .' || chr(10)
+  ELSE '_:c14n0 <urn:vk:of> "' || s_name || '" .' || chr(10) || '_:c14n1 <urn:vk:of> "' || s_name || '" .' || chr(10) || '_:c14n2 <urn:vk:of> "' || s_name || '" .' || chr(10) END) AS digest FROM supplier""")
+def canonical_ties(spark, d):
+    """Graphs whose blank nodes look alike: two that know each other, or three with the same name; paths decide on their names."""
+    rows = read(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_name")
+    node = [F.concat(F.lit("_:"), F.substring(F.sha2(F.concat("s_name", F.lit(str(k))), 256), 1, 8), F.lit(str(k))) for k in range(3)]
+    pair = F.array(F.concat(node[0], F.lit(" <urn:vk:knows> "), node[1], F.lit(" .")), F.concat(node[1], F.lit(" <urn:vk:knows> "), node[0], F.lit(" .")))
+    three = F.array(*[F.concat(n, F.lit(' <urn:vk:of> "'), F.col("s_name"), F.lit('" .')) for n in node])
+    told = canonical.canonicalise(rows.select("doc_id", F.explode(F.when(F.col("doc_id") % 2 == 0, pair).otherwise(three)).alias("quad")))
+    return told.select(F.col("doc_id").alias("k"), F.sha2("text", 256).alias("digest"))
+
+
+@query("""
+SELECT n_nationkey AS k, n_name AS name, 'a "quoted" ' || n_name AS note, n_nationkey % 5 = 0 AS broken FROM nation""")
+def sql_statements(spark, d):
+    """Turtle, N-Quads and JSON-LD texts of nations, read by SQL in lateral joins; every fifth N-Quads text has a malformed line."""
+    table_functions.register(spark)
+    n, view = read(spark, d, "nation"), f"texts_{uuid.uuid4().hex}"
+    k, quoted = F.col("n_nationkey").cast("string"), F.concat(F.lit('"a \\"quoted\\" '), "n_name", F.lit('"'))
+    lines = F.concat(F.lit("<urn:vk:n/"), k, F.lit("> <urn:vk:note> "), quoted, F.lit(" .\n"), F.when(F.col("n_nationkey") % 5 == 0, "no statement .\n").otherwise(""))
+    turtle = F.concat(F.lit("@prefix v: <urn:vk:> . <urn:vk:n/"), k, F.lit('> v:name """'), "n_name", F.lit('"""@en ; v:in [ v:key '), k, F.lit(" ] ."))
+    doc = F.to_json(F.struct(F.create_map(F.lit("@vocab"), F.lit(BASE)).alias("@context"), F.concat(F.lit("urn:vk:n/"), k).alias("@id"), F.col("n_name").alias("name")))
+    n.select("n_nationkey", lines.alias("lines"), turtle.alias("turtle"), doc.alias("doc")).createOrReplaceTempView(view)
+    return spark.sql(f"""
+      WITH a AS (SELECT n_nationkey, max(s.o) AS note, max(s.error IS NOT NULL) AS broken FROM {view}, LATERAL n_quads_statements(lines) s GROUP BY n_nationkey),
+      b AS (SELECT n_nationkey, max(CASE WHEN s.p = 'urn:vk:name' AND s.o_lang = 'en' THEN s.o END) AS name, count_if(s.s_kind = 'bnode' AND s.o_dt LIKE '%integer') AS keys FROM {view}, LATERAL turtle_statements(turtle) s GROUP BY n_nationkey),
+      c AS (SELECT n_nationkey, s.o AS name FROM {view}, LATERAL json_ld_statements(doc) s WHERE s.error IS NULL)
+      SELECT a.n_nationkey AS k, b.name, note, broken FROM a JOIN b ON a.n_nationkey = b.n_nationkey AND keys = 1 JOIN c ON a.n_nationkey = c.n_nationkey AND b.name = c.name""")

@@ -304,14 +304,20 @@ def entailment_mode(stated: str | None) -> str:
     return stated or "none"
 
 
-def build_graph(docs: DataFrame, id_col: str, text_col: str, media: str = "application/ld+json", mode: str | None = None, **options) -> DataFrame:
-    """The statement table of documents of one media type. Entailment modes other than ``none`` raise.
+def build_graph(docs: DataFrame, id_col: str, text_col: str, media: str = "application/ld+json", mode: str | None = None, entail: bool = False, **options) -> DataFrame:
+    """The statement table of documents of one media type.
 
-    So does a document in JSON-LD, RDF/XML or N-Quads with an error, unless ``strict`` is false; one in Turtle or TriG with ``strict``.
+    Entailment modes other than ``none`` raise, unless ``entail`` is set: then ``materialized`` adds all that follows from
+    the documents' schema (see ``entailment.entail``), and ``runtime`` is no mode of tables.
+    A document in JSON-LD, RDF/XML or N-Quads with an error raises, unless ``strict`` is false; one in Turtle or TriG with ``strict``.
     """
     mode = entailment_mode(mode)
+    if mode == "materialized" and entail:
+        from attestry.operators import entailment
+
+        return entailment.entail(build_graph(docs, id_col, text_col, media, **options))
     if mode != "none":
-        raise NotImplementedError(f"entailment mode {mode}: see subclass_closure" if mode in ENTAILMENT else f"unknown entailment mode {mode}")
+        raise NotImplementedError(f"entailment mode {mode}: not asked for" if mode in ENTAILMENT else f"unknown entailment mode {mode}")
     if media == "application/ld+json":
         return load_json_ld(docs, id_col, text_col, **{"strict": True, **options})
     if media in ("application/n-quads", "application/n-triples"):
