@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from attestry.functions import crypto, hashing, text
-from attestry.operators import manifests
+from attestry.operators import hardening, manifests
 from attestry.operators.manifests import PREFIX, SCHEME
 from attestry.operators.resolve import CONTENT_LABEL, HMAC_LABEL
 
@@ -71,19 +71,21 @@ def _checked(told: DataFrame, what: str) -> DataFrame:
     return told.withColumn("recipients", F.coalesce("recipients", missing.cast(told.schema["recipients"].dataType)))
 
 
-def encrypt(contents: DataFrame, recipients: DataFrame, label: str = CONTENT_LABEL) -> DataFrame:
-    """id, ciphertext, ciphertext_hash, plaintext_hash, plaintext_size, iv, ephemeral_public_key, recipients.
+def encrypt(contents: DataFrame, recipients: DataFrame, label: str = CONTENT_LABEL, quantum: int | None = None) -> DataFrame:
+    """id, ciphertext, ciphertext_hash, plaintext_hash, plaintext_size, iv, ephemeral_public_key, recipients, padding_quantum.
 
     ``contents`` has id, plain (bytes), key (32 bytes), nonce (12 bytes) and sender, the secret half of a
     key pair made for this content; ``recipients`` has id, recipient and public_key (for key agreement), a row for each
-    reader of a content. A content without a recipient raises.
+    reader of a content. A content without a recipient raises. With ``quantum`` the content is padded to a multiple of it
+    before it is sealed, and the size that is told is that of the padded bytes.
     """
     base = F.lit((9).to_bytes(32, "little"))
     shares = _shares(contents, recipients, "key", label, "encryptedKey", [])
-    told = contents.join(shares, "id", "left").withColumn("ciphertext", crypto.seal(F.col("key"), F.col("nonce"), F.col("plain")))
+    inner = F.col("plain") if quantum is None else hardening.pad(F.col("plain"), quantum)
+    told = contents.join(shares, "id", "left").withColumn("inner", inner).withColumn("ciphertext", crypto.seal(F.col("key"), F.col("nonce"), F.col("inner")))
     return _checked(told, "content").select(
-        "id", "ciphertext", hashing.sha256(F.col("ciphertext")).alias("ciphertext_hash"), hashing.sha256(F.col("plain")).alias("plaintext_hash"), F.octet_length("plain").cast("long").alias("plaintext_size"),
-        F.lower(F.hex("nonce")).alias("iv"), F.lower(F.hex(crypto.shared_secret(F.col("sender"), base))).alias("ephemeral_public_key"), "recipients",
+        "id", "ciphertext", hashing.sha256(F.col("ciphertext")).alias("ciphertext_hash"), hashing.sha256(F.col("plain")).alias("plaintext_hash"), F.octet_length("inner").cast("long").alias("plaintext_size"),
+        F.lower(F.hex("nonce")).alias("iv"), F.lower(F.hex(crypto.shared_secret(F.col("sender"), base))).alias("ephemeral_public_key"), "recipients", F.lit(quantum).cast("int").alias("padding_quantum"),
     )
 
 
@@ -103,7 +105,7 @@ def encrypted_record(plain_format: Column) -> Column:
     """The privacy record of a row of ``encrypt``."""
     told = F.struct(
         F.lit(CIPHER).alias("algorithm"), F.lit(AGREEMENT).alias("keyAgreement"), F.col("iv"), F.lit(TAG_BITS).alias("tagLength"), F.col("plaintext_hash").alias("plaintextHash"),
-        plain_format.alias("plaintextFormat"), F.col("plaintext_size").alias("plaintextSize"), F.col("ephemeral_public_key").alias("ephemeralPublicKey"), F.col("recipients"),
+        plain_format.alias("plaintextFormat"), F.col("plaintext_size").alias("plaintextSize"), F.col("ephemeral_public_key").alias("ephemeralPublicKey"), F.col("recipients"), F.col("padding_quantum").alias("paddingQuantum"),
     )
     return F.struct(F.lit("encrypted").alias("mode"), told.alias("parameters"))
 
@@ -114,16 +116,17 @@ def build_encrypted(uri: Column, version: Column, created: Column, plain_format:
     return manifests.build(uri, version, F.lit("main") if branch is None else branch, created, content, chain, privacy=encrypted_record(plain_format), prefix=prefix)
 
 
-def build_disclosure(uri: Column, version: Column, created: Column, content: Column, statements: Column, salt: Column, root: Column, mandatory: Column, profile: str = "URDNA2015", branch: Column | None = None, prefix: str = PREFIX) -> Column:
+def build_disclosure(uri: Column, version: Column, created: Column, content: Column, statements: Column, salt: Column, root: Column, mandatory: Column, profile: str = "URDNA2015", branch: Column | None = None, bucket: int | None = None, prefix: str = PREFIX) -> Column:
     """The unsigned manifest of a disclosure blob, with the key shares of a row of ``share_index_key``.
 
     Only the graph profile can be disclosed statement by statement; any other raises. Availability is partial.
+    ``bucket`` says that the statements were padded to a multiple of it (``hardening.pad_statements``).
     """
     if profile != "URDNA2015":
         raise ValueError(f"selective disclosure needs the graph profile, not {profile}")
     record = manifests.content_record(content, "application/json", profile, prefix=prefix).withField("availability", F.lit("partial"))
     shares = F.struct(F.col("ephemeral_public_key").alias("ephemeralPublicKey"), F.col("iv"), F.lit(AGREEMENT).alias("keyAgreement"), F.col("recipients"))
-    told = F.struct(F.lit(PROOF_SUITE).alias("disclosureProofSuite"), statements.alias("statementCount"), text.to_base64url(salt).alias("indexSalt"), root.alias("indexRoot"), mandatory.alias("mandatoryStatements"), shares.alias("hmacKeyRecipients"))
+    told = F.struct(F.lit(PROOF_SUITE).alias("disclosureProofSuite"), statements.alias("statementCount"), F.lit(bucket).cast("int").alias("statementCountBucket"), text.to_base64url(salt).alias("indexSalt"), root.alias("indexRoot"), mandatory.alias("mandatoryStatements"), shares.alias("hmacKeyRecipients"))
     privacy = F.struct(F.lit("selective-disclosure").alias("mode"), told.alias("parameters"))
     return manifests.build(uri, version, F.lit("main") if branch is None else branch, created, record, privacy=privacy, prefix=prefix)
 

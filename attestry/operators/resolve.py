@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import crypto, hashing, jsondoc, temporal, text
-from attestry.operators import chains, keys, manifests, privacy
+from attestry.operators import chains, hardening, keys, manifests, privacy
 from attestry.operators.manifests import PREFIX, SCHEME
 from attestry.plans.durable import cut
 
@@ -185,7 +185,7 @@ def resolve(requests: DataFrame, blobs: DataFrame, key_documents: DataFrame | No
 # --- privacy modes -------------------------------------------------------------------------------
 
 _SHARE = "array<struct<id:string,encryptedKey:string,encryptedHmacKey:string,disclosedStatements:string>>"
-_PARAMETERS = f"refreshPolicy string, iv string, ephemeralPublicKey string, plaintextHash string, recipients {_SHARE}, statementCount int, indexSalt string, indexRoot string, mandatoryStatements array<int>, hmacKeyRecipients struct<ephemeralPublicKey:string,iv:string,recipients:{_SHARE}>, authorityType string, contentVisibility string"
+_PARAMETERS = f"refreshPolicy string, iv string, ephemeralPublicKey string, plaintextHash string, recipients {_SHARE}, paddingQuantum int, statementCount int, indexSalt string, indexRoot string, mandatoryStatements array<int>, hmacKeyRecipients struct<ephemeralPublicKey:string,iv:string,recipients:{_SHARE}>, authorityType string, contentVisibility string"
 _BLOB = "mandatoryNQuads array<string>, statementIndex array<string>, hmacTags array<string>"
 
 
@@ -245,7 +245,8 @@ def _opened(told: DataFrame, labels: tuple[str, str]) -> DataFrame:
     asked = (F.col("way") == "encrypted") & F.col("secret").isNotNull() & F.col("recipient").isNotNull() & F.col("pp").isNotNull() & F.col("failure").isNull()
     nonce, mine = F.unhex("pp.iv"), _share(F.col("pp.recipients"))
     key = crypto.unwrap(F.unhex(mine["encryptedKey"]), F.when(asked, F.col("secret")), F.unhex("pp.ephemeralPublicKey"), nonce, labels[0], F.col("recipient"))
-    told = told.withColumn("plain", crypto.unseal(key, nonce, F.when(asked, F.col("body"))))
+    inner = crypto.unseal(key, nonce, F.when(asked, F.col("body")))
+    told = told.withColumn("inner", inner).withColumn("plain", F.when(F.col("pp.paddingQuantum").isNull(), F.col("inner")).otherwise(hardening.unpad(F.col("inner")))).drop("inner")
     wrong = hashing.sha256(F.col("plain")) != F.col("pp.plaintextHash")
     opened = F.when(~F.coalesce(asked, F.lit(False)), "ciphertext-verified").when(F.col("plain").isNull(), "decryption-failed").otherwise("decrypted-verified")
     said = F.array(F.when(asked & F.col("plain").isNull(), "decryption failed"), F.when(wrong, "plaintext hash mismatch after decryption"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import crypto, hashing, jsondoc, temporal, terms, text
-from attestry.operators import canonical, chains, keys, manifests, patterns, privacy, publish, quads, resolve
+from attestry.operators import canonical, chains, hardening, keys, manifests, patterns, privacy, publish, quads, resolve
 from attestry.operators.patterns import Literal, Var
 from attestry.plans import durable
 from attestry.plans.catalogue import BASE, C, O, graph, p, query, read
@@ -492,3 +492,44 @@ def graph_factory(spark, d):
         told = told.select(F.substring_index("c.value", "/", -1).cast("int").alias("k"), F.col("name.value").alias("name"), F.lit(k).alias("form"))
         out = told if out is None else out.unionByName(told)
     return out
+
+
+# --- metadata hardening ----------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS digest, (octet_length(encode(text)) + 8 + 1023) // 1024 * 1024 + 16 AS sealed_bytes FROM documents WHERE text IS NOT NULL")
+def hardened_sizes(spark, d):
+    """All documents padded to quanta of a kilobyte, sealed, opened and unpadded again."""
+    key, nonce = digest("pad", F.col("doc_id")), F.substring(digest("nonce", F.col("doc_id")), 1, 12)
+    docs = read(spark, d, "documents").where("text is not null").select("doc_id", crypto.seal(key, nonce, hardening.pad(F.col("text").cast("binary"))).alias("sealed"), key.alias("key"), nonce.alias("nonce"))
+    plain = hardening.unpad(crypto.unseal(F.col("key"), F.col("nonce"), F.col("sealed")))
+    return docs.select("doc_id", F.sha2(plain, 256).alias("digest"), F.octet_length("sealed").cast("long").alias("sealed_bytes"))
+
+
+@query("""SELECT s_suppkey AS k, 3::BIGINT AS shares, 1::BIGINT AS forms, ((length('{"n":' || s_suppkey || ',"of":"hidden"}') + 8 + 1023) // 1024 * 1024 + 16)::BIGINT AS sealed_bytes, true AS opened, 'decrypted-verified' AS status FROM supplier""")
+def hardened_recipients(spark, d):
+    """Padded content for one reader among two decoys, under opaque names; the reader opens it by the name that the publisher tells."""
+    rows = suppliers(spark, d).withColumns({"content": jsondoc.canonical_json(body_of("hidden")), "id": row_key(), "hiding_key": digest("hiding", row_key()), "key": digest("content key", row_key()), "nonce": F.substring(digest("nonce", row_key()), 1, 12), "sender": digest("sender", row_key()), "reader": digest("reader", row_key())})
+    rows = durable.cut(rows)
+    readers = rows.select("id", F.concat(F.lit("reader "), F.col("k").cast("string")).alias("recipient"), crypto.shared_secret(F.col("reader"), F.lit(POINT)).alias("public_key"))
+    named = durable.cut(hardening.among_decoys(rows, readers))
+    sealed = publish.encrypt(rows.select("id", F.col("content").cast("binary").alias("plain"), "key", "nonce", "sender"), named.drop("real"), quantum=hardening.QUANTUM)
+    both = durable.cut(rows.join(sealed, "id"))
+    made = durable.cut(both.withColumn("doc", manifests.sign(publish.build_encrypted(F.col("uri"), F.lit(1), F.lit(STAMP), F.lit("application/json")), own_seed(), F.lit("key-1"), F.lit(STAMP))))
+    asked = made.join(named.where("real is not null").select("id", "recipient"), "id").select("uri", hashing.sha256(F.col("doc")).alias("manifest_hash"), "public_key", "recipient", F.col("reader").alias("secret"))
+    got = resolve.resolve_private(asked, blobs_of((made, F.col("doc")), (made, F.col("ciphertext"))))
+    shapes = F.transform("recipients", lambda r: F.concat(F.length(r["encryptedKey"]).cast("string"), F.regexp_replace(r["id"], "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$", "uuid")))
+    told = made.select("k", "uri", "content", F.size("recipients").cast("long").alias("shares"), F.size(F.array_distinct(shapes)).cast("long").alias("forms"), F.octet_length("ciphertext").cast("long").alias("sealed_bytes"))
+    return told.join(got.select("uri", F.col("content").alias("plain"), F.col("content_status").alias("status")), "uri").select("k", "shares", "forms", "sealed_bytes", (F.col("plain") == F.col("content").cast("binary")).alias("opened"), "status")
+
+
+@query("SELECT s_suppkey AS k, ((1 + s_suppkey % 19 + 7) // 8 * 8)::BIGINT AS published, (1 + s_suppkey % 19)::BIGINT AS real, true AS holds FROM supplier")
+def hardened_indexes(spark, d):
+    """Statement indexes of one to nineteen statements, published in multiples of eight."""
+    n = F.transform(F.sequence(F.lit(1), (F.col("s_suppkey") % 19 + 1).cast("int")), lambda i: F.concat(F.lit("<urn:s/"), F.col("s_suppkey").cast("string"), F.lit('> <urn:p> "'), i.cast("string"), F.lit('" .\n')))
+    rows = read(spark, d, "supplier").select("s_suppkey", F.array_join(n, "").alias("text"))
+    rows = durable.cut(rows.select("s_suppkey", "text", hardening.pad_statements(F.col("text"), digest("hiding", F.col("s_suppkey"))).alias("padded")))
+    index = privacy.statement_index(rows, "s_suppkey", "padded", digest("salt"))
+    real = hardening.real_statements(index).groupBy("doc_id").agg(F.count("*").alias("real"), F.max("idx").alias("last"))
+    told = index.groupBy("doc_id").agg(F.count("*").alias("published"), F.count_distinct("hash").alias("different"))
+    return told.join(real, "doc_id").select(F.col("doc_id").alias("k"), "published", "real", ((F.col("last") == F.col("real") - 1) & (F.col("different") == F.col("published"))).alias("holds"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import crypto, terms, text
-from attestry.operators import blobs, canonical, chains, manifests, patterns, publish, quads, resolve
+from attestry.operators import blobs, canonical, chains, hardening, manifests, patterns, publish, quads, resolve
 from attestry.operators.patterns import Literal, Var
 from attestry.sources import graphs, packages
 
@@ -625,3 +625,36 @@ def test_folds_of_circles_and_of_nothing(spark):
         chains.fold(ring, 4)
     with pytest.raises(RuntimeError):
         chains.passed(ring.select("manifest_hash"), ring.withColumn("hit", F.lit(True)), "hit")
+
+
+# --- metadata hardening ----------------------------------------------------------------------------
+
+
+def test_padding_is_undone_and_hides_sizes(spark):
+    sizes = [0, 1, 7, 8, 500, 1015, 1016, 1017, 2040, 2041, 70_000]
+    rows = spark.createDataFrame([(n, bytes([n % 256]) * n) for n in sizes] + [(-1, None), (-2, b"ends with zeros" + bytes(900))], "n int, plain binary")
+    told = {r.n: r for r in rows.select("n", "plain", hardening.pad(F.col("plain")).alias("p"), hardening.unpad(hardening.pad(F.col("plain"))).alias("u"), hardening.padded_size(F.octet_length("plain")).alias("s")).collect()}
+    assert all(r.u == r.plain for r in told.values()) and told[-1].p is None
+    assert {n: len(told[n].p) for n in sizes} == {n: -(-(n + 8) // 1024) * 1024 for n in sizes} == {n: told[n].s for n in sizes}
+    wrong = spark.createDataFrame([(b"",), (b"short",), (b"\xff" * 1024,), (bytes(7) + b"\x09" + bytes(8),), (bytes(7) + b"\x01" + b"ab" + bytes(6),)], "p binary")
+    assert [r[0] for r in wrong.select(hardening.unpad(F.col("p"))).collect()] == [None] * 5
+
+
+def test_statement_padding(spark):
+    texts = ["", "a .", "a .\n", "".join(f"s{k} .\n" for k in range(8)), "".join(f"s{k} .\n" for k in range(9)), None]
+    rows = spark.createDataFrame([(k, t, bytes([k]) * 32) for k, t in enumerate(texts)], "k int, t string, key binary")
+    told = [r.p for r in rows.select("k", hardening.pad_statements(F.col("t"), F.col("key")).alias("p")).orderBy("k").collect()]
+    assert [None if p is None else p.count("\n") for p in told] == [8, 8, 8, 8, 16, None]
+    assert told[3] == texts[3] and told[4].startswith(texts[4]) and told[2].startswith("a .\n") and len({x for p in told[:5] for x in p.split("\n") if "padding" in x}) == 8 + 7 + 7 + 7
+    assert all(quads.parse(spark.createDataFrame([("d", x) for x in told[0].splitlines()], "doc_id string, quad string")).select("p").distinct().collect()[0])
+
+
+def test_decoys_look_like_recipients(spark):
+    contents = spark.createDataFrame([(k, bytes([k]) * 32) for k in range(3)], "id int, hiding_key binary")
+    readers = spark.createDataFrame([(0, "ann", bytes([1]) * 32), (0, "bob", bytes([2]) * 32), (1, "ann", bytes([1]) * 32), (9, "eve", bytes([3]) * 32)], "id int, recipient string, public_key binary")
+    got = hardening.among_decoys(contents, readers).collect()
+    assert sorted((r.id, r.real or "") for r in got) == sorted([(0, "ann"), (0, "bob"), (1, "ann")] + [(k, "") for k in range(3) for _ in range(2)])
+    import uuid
+
+    assert all(uuid.UUID(r.recipient).version == 4 and str(uuid.UUID(r.recipient)) == r.recipient and len(r.public_key) == 32 for r in got)
+    assert len({r.recipient for r in got}) == len(got) and hardening.among_decoys(contents, readers, 0).count() == 3
