@@ -238,32 +238,153 @@ def sequence(a: DataFrame, b: DataFrame) -> DataFrame:
 def one_or_more(pairs: DataFrame, most: int = 64) -> DataFrame:
     """The transitive closure of pairs, each once.
 
-    Every round joins the closure with itself, so paths double in length; cycles end because a round
-    that finds nothing new is the last. Raises where ``most`` rounds do not suffice.
+    Circles are taken together first (``strong_components``), the graph of what is left has none, and its closure is
+    expanded to the members at the end. Raises where ``most`` rounds do not suffice.
     """
-    known = cut(pairs.distinct())
-    n = known.count()
+    pairs = cut(pairs.distinct())
+    if _without_ends(pairs.where("x <> y")).isEmpty():
+        loops = pairs.where("x = y")
+        return _closure(pairs.where("x <> y"), most).unionByName(loops)
+    parts = cut(strong_components(pairs, most))
+    of_x, of_y = parts.toDF("x", "cx"), parts.toDF("y", "cy")
+    placed = cut(pairs.join(of_x, "x").join(of_y, "y"))
+    between = _closure(placed.where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), most).toDF("cx", "cy")
+    inside = placed.where("cx = cy").select("cx", F.col("cx").alias("cy")).distinct()
+    return between.unionByName(inside).join(of_x, "cx").join(of_y, "cy").select("x", "y")
+
+
+def _closure(pairs: DataFrame, most: int) -> DataFrame:
+    """The closure of pairs without circles: what a round has found takes on all that is known, so paths double in length."""
+    known = last = cut(pairs)
     for _ in range(most):
-        known = cut(known.unionByName(sequence(known, known)).distinct())
-        if (now := known.count()) == n:
+        if last.isEmpty():
             return known
-        n = now
+        last = cut(sequence(last, known).distinct().join(known, ["x", "y"], "left_anti"))
+        known = cut(known.unionByName(last))
     raise RuntimeError(f"no closure after {most} rounds")
 
 
+def _turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))
+
+
+def _single(pairs: DataFrame) -> DataFrame:
+    """The pairs of those x that have just one, not themselves; pairs are told once each."""
+    return pairs.groupBy("x").agg(F.min("y").alias("y"), F.count("*").alias("n")).where("n = 1 and x <> y").drop("n")
+
+
+def shortcuts(pairs: DataFrame, most: int = 40) -> DataFrame:
+    """Pairs that lead 2, 4, 8 and so on steps ahead along stretches where there is only one way to go.
+
+    With them a path of n steps is gone in the logarithm of n rounds; there are at most so many for each term.
+    """
+    jump = cut(_single(pairs))
+    n, out, far = jump.count(), None, 1
+    for _ in range(most):
+        if far >= n or jump.isEmpty():
+            break
+        jump, far = cut(sequence(jump, jump)), 2 * far
+        out = jump if out is None else out.unionByName(jump)
+    return jump.where("false") if out is None else out.where("x <> y").distinct()
+
+
+def _stretch_ends(pairs: DataFrame, most: int = 40) -> DataFrame:
+    """x, y: where the single way from x leads to in the end; none for those that it leads into a circle of single ways."""
+    single = cut(_single(pairs))
+    inner = single.select(F.col("x").alias("y"), F.lit(True).alias("on"))
+    state, n, far = cut(single.join(inner, "y", "left").select("x", "y", F.coalesce("on", F.lit(False)).alias("on"))), single.count(), 1
+    for _ in range(most):
+        if far >= n or state.where("on").isEmpty():
+            break
+        ahead = state.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("on").alias("further"))
+        state = cut(state.where(~F.col("on")).unionByName(state.where("on").join(ahead, "y").select("x", F.col("z").alias("y"), F.col("further").alias("on"))))
+        far *= 2
+    return state.where(~F.col("on")).select("x", "y")
+
+
+#: Rounds after which stretches with only one way are worth their shortcuts: short paths need none.
+PATIENCE = 4
+
+
+def _without_ends(pairs: DataFrame, most: int = 10_000) -> DataFrame:
+    """The pairs that are left when all that lead to nowhere, or come from nowhere, are taken away; none if there is no circle."""
+    left, before = cut(pairs), -1
+    for k in range(most):
+        n = left.count()
+        if n in (0, before):
+            return left
+        before = n
+        from_, to = left.select(F.col("x").alias("y")).distinct(), left.select(F.col("y").alias("x")).distinct()
+        now = left.join(from_, "y", "left_semi").join(to, "x", "left_semi")
+        if k >= PATIENCE:
+            back = _turned(left)
+            lost = _stretch_ends(left).join(from_, "y", "left_anti").select("x")  # single ways to an end without a way on
+            first = _stretch_ends(back).join(back.select(F.col("x").alias("y")), "y", "left_anti").select(F.col("x").alias("y"))
+            now = now.join(lost, "x", "left_anti").join(first, "y", "left_anti")
+        left = cut(now.select("x", "y"))
+    raise RuntimeError(f"pairs without an end after {most} rounds")
+
+
+def _spread(pairs: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """x, v: the least ``v`` of a term and of all that lead to it; in each round only what has changed is told on."""
+    state = fresh = start
+    for k in range(most):
+        if k == PATIENCE:
+            pairs = cut(pairs.unionByName(shortcuts(pairs)).unionByName(_turned(shortcuts(_turned(pairs)))).distinct())
+            fresh = state
+        told = fresh.join(pairs, "x").groupBy(F.col("y").alias("x")).agg(F.min("v").alias("w"))
+        fresh = cut(told.join(state, "x").where("w < v").select("x", F.col("w").alias("v")))
+        if fresh.isEmpty():
+            return state
+        state = cut(state.join(fresh.withColumnRenamed("v", "w"), "x", "left").select("x", F.coalesce("w", "v").alias("v")))
+    raise RuntimeError(f"no rest after {most} rounds")
+
+
+def strong_components(pairs: DataFrame, most: int = 64, steps: int = 10_000) -> DataFrame:
+    """x, component: for each term the least of those that it leads to and that lead back to it, itself included.
+
+    Ends and stretches without a circle go first. Then each term learns the least label that leads to it and the
+    least that it leads to, labels being hashes new in each round: where both are the same it belongs to that label's
+    component, and pairs whose terms differ in one of them lie in no circle. Shortcuts make long stretches short.
+    """
+    pairs = cut(pairs.distinct())
+    nodes = cut(pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct())
+    left, done = pairs.where("x <> y"), None
+    for k in range(most):
+        left = _without_ends(left)
+        if left.isEmpty():
+            break
+        start = cut(left.select("x").distinct().withColumn("v", F.struct(F.xxhash64(F.lit(k), "x").alias("h"), F.col("x").alias("x"))))
+        ahead, back = _spread(left, start, steps), _spread(_turned(left), start, steps)
+        told = cut(ahead.join(back.withColumnRenamed("v", "w"), "x"))
+        done_now = told.where("v = w").select("x", F.col("v.h").alias("h"), F.col("v.x").alias("root"))
+        least = done_now.groupBy("h", "root").agg(F.min("x").alias("component"))
+        here = cut(done_now.join(least, ["h", "root"]).select("x", "component"))
+        done = here if done is None else done.unionByName(here)
+        rest = told.where("v <> w")
+        left = cut(left.join(rest, "x").join(rest.select(F.col("x").alias("y"), F.col("v").alias("v2"), F.col("w").alias("w2")), "y").where("v = v2 and w = w2").select("x", "y"))
+    else:
+        raise RuntimeError(f"no components after {most} rounds")
+    if done is None:
+        return nodes.select("x", F.col("x").alias("component"))
+    return nodes.join(done, "x", "left").select("x", F.coalesce("component", "x").alias("component"))
+
+
 def reached(pairs: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
     """The pairs of the transitive closure that begin at the terms of ``starts`` (column x), each once.
 
-    Only what the starts reach is worked on: in each round the pairs found last take one step more. For a
-    path whose end is bound instead, give the inverse pairs. Raises where ``most`` rounds do not suffice.
+    Only what the starts reach is worked on: in each round the pairs found last take one step more, or a shortcut where there is
+    only one way to go. For a path whose end is bound instead, give the inverse pairs. Raises where ``most`` rounds do not suffice.
     """
     pairs = cut(pairs.distinct())
     last = cut(pairs.join(starts.select("x").distinct(), "x", "left_semi"))
-    known = last
-    for _ in range(most):
+    known, ways = last, None
+    for k in range(most):
         if last.isEmpty():
             return known
-        last = cut(sequence(last, pairs).distinct().join(known, ["x", "y"], "left_anti"))
+        if k == PATIENCE:
+            ways = cut(pairs.unionByName(shortcuts(pairs)).distinct())
+        last = cut(sequence(last, pairs if ways is None else ways).distinct().join(known, ["x", "y"], "left_anti"))
         known = cut(known.unionByName(last))
     raise RuntimeError(f"no closure after {most} rounds")
 

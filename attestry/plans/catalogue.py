@@ -1000,3 +1000,19 @@ def sql_statements(spark, d):
       b AS (SELECT n_nationkey, max(CASE WHEN s.p = 'urn:vk:name' AND s.o_lang = 'en' THEN s.o END) AS name, count_if(s.s_kind = 'bnode' AND s.o_dt LIKE '%integer') AS keys FROM {view}, LATERAL turtle_statements(turtle) s GROUP BY n_nationkey),
       c AS (SELECT n_nationkey, s.o AS name FROM {view}, LATERAL json_ld_statements(doc) s WHERE s.error IS NULL)
       SELECT a.n_nationkey AS k, b.name, note, broken FROM a JOIN b ON a.n_nationkey = b.n_nationkey AND keys = 1 JOIN c ON a.n_nationkey = c.n_nationkey AND b.name = c.name""")
+
+
+@query("""
+WITH o AS (SELECT s_suppkey AS k, s_nationkey AS n, lead(s_suppkey) OVER w AS next, first_value(s_suppkey) OVER w AS first FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey))
+SELECT k, count(*) OVER (PARTITION BY n) + 1 AS reached, first AS component FROM o""")
+def rdf_path_cycles(spark, d):
+    """Suppliers of a nation in a ring, each ring with a way out to its nation: what each reaches, and its ring's first member."""
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.lead("s_suppkey").over(w).alias("next"), F.row_number().over(w).alias("n"))
+    first = rows.where("n = 1").select("s_nationkey", F.col("s_suppkey").alias("first"))
+    ring = rows.join(first, "s_nationkey").select(F.col("s_suppkey").alias("x"), F.coalesce("next", "first").alias("y"))
+    out = first.select(F.col("first").alias("x"), (-1 - F.col("s_nationkey")).cast("long").alias("y"))
+    pairs = durable.cut(ring.unionByName(out))
+    told = patterns.one_or_more(pairs).groupBy("x").agg(F.count("*").alias("reached"))
+    parts = patterns.strong_components(pairs).where("x >= 0")
+    return told.join(parts, "x").select(F.col("x").alias("k"), "reached", "component")
