@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.jsondoc import canonical as canonical_text
 from attestry.functions.jsondoc import number_text
 from attestry.functions.terms import XSD
 from attestry.operators import quads
@@ -41,6 +42,13 @@ class Context:
                 if part not in self.registry:
                     raise ValueError(f"context not in the registry: {part}")
                 part = self.registry[part].get("@context", self.registry[part])
+            if "@import" in part:  # what the context says itself goes before what it takes over
+                name = part["@import"]
+                taken = self.registry.get(name)
+                taken = taken.get("@context", taken) if taken is not None else None
+                if not isinstance(taken, dict) or "@import" in taken:
+                    raise ValueError(f"no context to import: {name}")
+                part = {**taken, **{k: v for k, v in part.items() if k != "@import"}}
             for key, value in part.items():
                 if key in ("@vocab", "@base", "@language"):
                     setattr(out, key[1:], value)
@@ -67,6 +75,8 @@ class Context:
 
 def held_in(value: object, told: dict, at: Context, blank: Callable[[], str]) -> list:
     """The values of a property, taken out of the container that its term stands for."""
+    if told.get("@type") == "@json":
+        return [value]
     kinds = told.get("@container") or []
     kinds = kinds if isinstance(kinds, list) else [kinds]
     if "@list" in kinds:
@@ -112,13 +122,23 @@ class Statements:
         at = at.extended(item["@context"]) if "@context" in item else at
         name = next((item[k] for k in item if at.iri(k, True) == "@id"), None)
         me = self.blank() if name is None else at.iri(name)
+        self.entries(me, name is not None, item, at, graph)
+        return me
+
+    def entries(self, me: str, named: bool, item: dict, at: Context, graph: str | None) -> None:
+        """What the entries of a node, or of a group of them (``@nest``), say about it."""
         for key, value in item.items():
             p = at.iri(key, True)
-            if p == "@type":
+            if p == "@nest":
+                for x in value if isinstance(value, list) else [value]:
+                    if not isinstance(x, dict) or any(at.iri(k, True) == "@value" for k in x):
+                        raise ValueError("@nest holds no entries")
+                    self.entries(me, named, x, at, graph)
+            elif p == "@type":
                 for kind in value if isinstance(value, list) else [value]:
                     self.say(me, RDF_TYPE, at.iri(kind, True) or kind, graph)
             elif p == "@graph":
-                inner = graph if name is None else me
+                inner = me if named else graph
                 for x in value if isinstance(value, list) else [value]:
                     self.node(x, at, inner)
             elif p == "@included":
@@ -136,7 +156,6 @@ class Statements:
                     o = self.value(x, told, inner, graph)
                     if o is not None:
                         self.say(me, p, o, graph)
-        return me
 
     def backwards(self, me: str, p: str | None, items: object, at: Context, graph: str | None) -> None:
         """Statements about ``me`` as the object, of the nodes that a reverse property holds."""
@@ -145,8 +164,12 @@ class Statements:
                 self.say(self.node(x, at, graph) if isinstance(x, dict) else at.iri(x), p, me, graph)
 
     def value(self, x: object, told: dict, at: Context, graph: str | None) -> str | None:
+        if told.get("@type") == "@json":
+            return self.json_literal(x["@value"] if isinstance(x, dict) and "@value" in x and x.get("@type") == "@json" else x)
         if x is None:
             return None
+        if isinstance(x, dict) and "@value" in x and x.get("@type") and at.iri(x["@type"], True) == "@json":
+            return self.json_literal(x["@value"])
         if isinstance(x, dict):
             if "@list" in x:
                 return self.chain(x["@list"] if isinstance(x["@list"], list) else [x["@list"]], told, at, graph)
@@ -172,6 +195,11 @@ class Statements:
                 head = link
         return head
 
+    @classmethod
+    def json_literal(cls, x: object) -> str:
+        """A JSON literal: the canonical text of the value."""
+        return cls.literal(canonical_text(x), f"{RDF}JSON", None)
+
     @staticmethod
     def literal(x: object, kind: str | None, language: str | None) -> str:
         if isinstance(x, bool):

@@ -94,3 +94,28 @@ def test_a_literal_keeps_a_null_character_and_escaped_backslashes(spark):
     rows = [("d", f'<urn:s> <urn:p{k}> "{escape(v)}" .') for k, v in enumerate(values)]
     got = quads.parse(spark.createDataFrame(rows, "doc_id string, quad string"))
     assert {r.p: r.o for r in got.collect()} == {f"urn:p{k}": v for k, v in enumerate(values)}
+
+
+def test_nested_entries_imports_and_json_literals(spark):
+    registry = {"urn:ctx": {"@context": {"@vocab": "urn:v:", "data": {"@type": "@json"}, "name": "urn:else"}}, "urn:twice": {"@context": {"@import": "urn:ctx"}}}
+    context = {"@version": 1.1, "@import": "urn:ctx", "labels": "@nest", "name": "urn:n"}
+    docs = [
+        {"@context": context, "@id": "urn:a", "labels": [{"name": "x", "labels": {"other": "y"}}, {"@type": "T"}], "data": {"b": [1.0, None, "é"], "a": {}}},
+        {"@id": "urn:b", "@nest": {"urn:p": {"@value": [True, 1e21], "@type": "@json"}}, "urn:q": {"@value": None, "@type": "@json"}},
+        {"@context": context, "@id": "urn:c", "data": None},
+        {"@context": {"@import": "urn:missing"}, "@id": "urn:d"},
+        {"@context": {"@import": "urn:twice"}, "@id": "urn:d"},
+        {"@id": "urn:e", "@nest": "text"},
+        {"@id": "urn:e", "@nest": {"@value": 1}},
+        {"@context": context, "@id": "urn:f", "data": [1, 2]},
+    ]
+    import json
+
+    df = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)], "id long, text string")
+    got = {(r.s, r.p, r.o, r.o_dt) for r in graphs.load_json_ld(df, "id", "text", registry=registry).collect()}
+    kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#JSON"
+    assert got == {
+        ("urn:a", "urn:n", "x", None), ("urn:a", "urn:v:other", "y", None), ("urn:a", TYPE, "urn:v:T", None), ("urn:a", "urn:v:data", '{"a":{},"b":[1,null,"é"]}', kind),
+        ("urn:b", "urn:p", "[true,1e+21]", kind), ("urn:b", "urn:q", "null", kind), ("urn:c", "urn:v:data", "null", kind), ("urn:f", "urn:v:data", "[1,2]", kind),
+    }
+    assert [r.doc_id for r in graphs.load_errors(df, "id", "text", registry=registry).orderBy("doc_id").collect()] == [3, 4, 5, 6]
