@@ -12,7 +12,8 @@ no join compares all solutions with all others unless they share nothing.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -325,13 +326,15 @@ def _without_ends(pairs: DataFrame, most: int = 10_000) -> DataFrame:
     raise RuntimeError(f"pairs without an end after {most} rounds")
 
 
-def _spread(pairs: DataFrame, start: DataFrame, most: int) -> DataFrame:
-    """x, v: the least ``v`` of a term and of all that lead to it; in each round only what has changed is told on."""
+def _spread(pairs: DataFrame, start: DataFrame, most: int, more: Callable[[], DataFrame]) -> DataFrame:
+    """x, v: the least ``v`` of a term and of all that lead to it; in each round only what has changed is told on.
+
+    Where that takes long, ``more`` gives the pairs with their shortcuts.
+    """
     state = fresh = start
     for k in range(most):
         if k == PATIENCE:
-            pairs = cut(pairs.unionByName(shortcuts(pairs)).unionByName(_turned(shortcuts(_turned(pairs)))).distinct())
-            fresh = state
+            pairs, fresh = more(), state
         told = fresh.join(pairs, "x").groupBy(F.col("y").alias("x")).agg(F.min("v").alias("w"))
         fresh = cut(told.join(state, "x").where("w < v").select("x", F.col("w").alias("v")))
         if fresh.isEmpty():
@@ -355,7 +358,8 @@ def strong_components(pairs: DataFrame, most: int = 64, steps: int = 10_000) ->
         if left.isEmpty():
             break
         start = cut(left.select("x").distinct().withColumn("v", F.struct(F.xxhash64(F.lit(k), "x").alias("h"), F.col("x").alias("x"))))
-        ahead, back = _spread(left, start, steps), _spread(_turned(left), start, steps)
+        ways = cache(lambda now=left: cut(now.unionByName(shortcuts(now)).unionByName(_turned(shortcuts(_turned(now)))).distinct()))
+        ahead, back = _spread(left, start, steps, ways), _spread(_turned(left), start, steps, lambda told=ways: _turned(told()))
         told = cut(ahead.join(back.withColumnRenamed("v", "w"), "x"))
         done_now = told.where("v = w").select("x", F.col("v.h").alias("h"), F.col("v.x").alias("root"))
         least = done_now.groupBy("h", "root").agg(F.min("x").alias("component"))

@@ -53,5 +53,13 @@ def test_a_path_and_a_ring_of_ten_thousand(spark):
     assert patterns.reached(path, start, 40).count() == n + 10
     assert patterns._without_ends(path).isEmpty()
     ring = path.unionByName(spark.createDataFrame([(n, 0), (n, -1)], "x long, y long"))
-    parts = patterns.strong_components(ring, 3, 60)
-    assert {tuple(r) for r in parts.groupBy("component").count().collect()} == {(0, n + 1), (-1, 1)}
+    assert patterns.reached(ring, start.limit(1), 40).count() == n + 2
+
+
+def test_components_of_rings(spark):
+    n = 500
+    ring = spark.range(n).select(F.col("id").alias("x"), F.pmod(F.col("id") + 1, F.lit(n)).alias("y"))
+    other = ring.select((F.col("x") + 1000).alias("x"), (F.col("y") + 1000).alias("y"))
+    both = ring.unionByName(other).unionByName(spark.createDataFrame([(3, 1003), (7, -1)], "x long, y long"))
+    parts = patterns.strong_components(both, 4, 40)
+    assert {tuple(r) for r in parts.groupBy("component").count().collect()} == {(0, n), (1000, n), (-1, 1)}
