@@ -393,6 +393,42 @@ def test_similar_documents_behind_frequent_shingles(spark, monkeypatch, tile):
     assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(table(spark, rows)).collect()} == brute_similar(rows)
 
 
+@pytest.mark.parametrize("tile, crowd", [(4, 4096), (4, 8), (1, 4096)])
+def test_groups_of_many_tiles_are_verified_whole(spark, monkeypatch, tile, crowd):
+    """Candidate groups that fall into several parts: chains of texts of which neighbours are too far apart, or just near enough."""
+    rng = random.Random(8)
+    rows, told = [], [f"c{k}" for k in range(60)]
+    for i in range(90):  # steps of one word are a similarity of 50 of 62 shingles or so, of two words or three less
+        told = list(told)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            told[rng.randrange(60)] = f"d{rng.randrange(10_000)}"
+        rows.append((i, " ".join(told)))
+    links = simhash.similar_links
+    pairs = simhash.candidate_pairs
+    opened = []
+
+    def told_pairs(sets, similarity):
+        got, crowded = pairs(sets, similarity, crowd)
+        opened.append((got.count(), crowded is not None))
+        return got, crowded
+
+    monkeypatch.setattr(simhash, "similar_links", lambda sets, similarity: links(sets, similarity, crowd))
+    monkeypatch.setattr(simhash, "candidate_pairs", told_pairs)
+    want = brute_similar(rows)
+    assert 10 < len({c for _, c in want}) < 80
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(table(spark, rows), tile=tile).collect()} == want
+    assert opened and opened[0][0] > 0 and (crowd > 8 or opened[0][1])
+
+
+def test_sets_that_share_half_a_name_are_not_equal(spark):
+    """Names cut to two bits: nearly all sets share one with others."""
+    rows = near_corpus(4, 60)
+    want = brute_similar(rows)
+    assert {(r.doc_id, r.component_id) for r in simhash.similar_documents(table(spark, rows), bits=2).collect()} == want
+    kept = sorted(r.doc_id for r in simhash.dedup(table(spark, rows), bits=2).collect())
+    assert kept == sorted({c for _, c in want})  # one id is there twice: one row of it stays
+
+
 @pytest.mark.parametrize("sides", [1, 2])
 def test_link_sets_match_brute_force(sides):
     rng = np.random.default_rng(2)
