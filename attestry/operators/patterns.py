@@ -247,11 +247,27 @@ def one_or_more(pairs: DataFrame, most: int = 64) -> DataFrame:
         loops = pairs.where("x = y")
         return _closure(pairs.where("x <> y"), most).unionByName(loops)
     parts = cut(strong_components(pairs, most))
-    of_x, of_y = parts.toDF("x", "cx"), parts.toDF("y", "cy")
-    placed = cut(pairs.join(of_x, "x").join(of_y, "y"))
+    return _condensed(pairs, parts, most).join(parts.toDF("x", "cx"), "cx").join(parts.toDF("y", "cy"), "cy").select("x", "y")
+
+
+def reach_counts(pairs: DataFrame, parts: DataFrame | None = None, most: int = 64) -> DataFrame:
+    """x, n: how many terms each leads to in one step or more, itself among them where it lies on a circle.
+
+    As many as ``one_or_more`` has pairs for it, which are not written down: a circle is one component of so many terms. ``parts``
+    are the ``strong_components`` of the pairs, where they are known.
+    """
+    pairs = cut(pairs.distinct())
+    parts = cut(strong_components(pairs, most) if parts is None else parts)
+    sizes = parts.groupBy(F.col("component").alias("cy")).agg(F.count("*").alias("n"))
+    told = _condensed(pairs, parts, most).join(sizes, "cy").groupBy("cx").agg(F.sum("n").alias("n"))
+    return told.join(parts.toDF("x", "cx"), "cx").select("x", "n")
+
+
+def _condensed(pairs: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+    """cx, cy: which components lead to which, to themselves where there is a circle in them."""
+    placed = cut(pairs.join(parts.toDF("x", "cx"), "x").join(parts.toDF("y", "cy"), "y"))
     between = _closure(placed.where("cx <> cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct(), most).toDF("cx", "cy")
-    inside = placed.where("cx = cy").select("cx", F.col("cx").alias("cy")).distinct()
-    return between.unionByName(inside).join(of_x, "cx").join(of_y, "cy").select("x", "y")
+    return between.unionByName(placed.where("cx = cy").select("cx", F.col("cx").alias("cy")).distinct())
 
 
 def _closure(pairs: DataFrame, most: int) -> DataFrame:

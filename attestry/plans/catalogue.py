@@ -1013,6 +1013,6 @@ def rdf_path_cycles(spark, d):
     ring = rows.join(first, "s_nationkey").select(F.col("s_suppkey").alias("x"), F.coalesce("next", "first").alias("y"))
     out = first.select(F.col("first").alias("x"), (-1 - F.col("s_nationkey")).cast("long").alias("y"))
     pairs = durable.cut(ring.unionByName(out))
-    told = patterns.one_or_more(pairs).groupBy("x").agg(F.count("*").alias("reached"))
-    parts = patterns.strong_components(pairs).where("x >= 0")
-    return told.join(parts, "x").select(F.col("x").alias("k"), "reached", "component")
+    parts = durable.cut(patterns.strong_components(pairs))
+    told = patterns.reach_counts(pairs, parts).withColumnRenamed("n", "reached")
+    return told.join(parts.where("x >= 0"), "x").select(F.col("x").alias("k"), "reached", "component")
