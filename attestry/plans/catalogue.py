@@ -691,7 +691,8 @@ def seal_roundtrip(spark, d):
 def key_recovery(spark, d):
     """A content key wrapped for each supplier's signing key; every fourth one asks under another name."""
     k = F.col("s_suppkey").cast("string")
-    rows = read(spark, d, "supplier").select("s_suppkey", "s_name", F.unhex(F.sha2(F.concat(F.lit("r"), k), 256)).alias("mine"), F.unhex(F.sha2(F.concat(F.lit("e"), k), 256)).alias("once"), F.unhex(F.sha2(F.concat(F.lit("k"), k), 256)).alias("key"), F.unhex(F.substring(F.sha2(k, 256), 1, 24)).alias("nonce"))
+    rows = durable.spread(read(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    rows = rows.select("s_suppkey", "s_name", F.unhex(F.sha2(F.concat(F.lit("r"), k), 256)).alias("mine"), F.unhex(F.sha2(F.concat(F.lit("e"), k), 256)).alias("once"), F.unhex(F.sha2(F.concat(F.lit("k"), k), 256)).alias("key"), F.unhex(F.substring(F.sha2(k, 256), 1, 24)).alias("nonce"))
     rows = rows.select("*", crypto.to_agreement_public(crypto.public_key(F.col("mine"))).alias("to"), crypto.to_agreement_public(crypto.public_key(F.col("once"))).alias("sent"))
     rows = rows.withColumn("wrapped", crypto.wrap(F.col("key"), crypto.to_agreement_secret(F.col("once")), F.col("to"), F.col("nonce"), "cek", F.col("s_name")))
     name = F.when(F.col("s_suppkey") % 4 == 0, "someone else").otherwise(F.col("s_name"))

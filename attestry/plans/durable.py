@@ -42,7 +42,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 
-def spread(df: DataFrame, key: str, rows: int = 256) -> DataFrame:
+def spread(df: DataFrame, key: str, rows: int = 1024) -> DataFrame:
     """The rows of a stored table dealt by ``key`` over as many tasks as the session has places for.
 
     A file of small rows is read by one task, however much work each row is. Tasks get some ``rows`` at least, since batches share costs.

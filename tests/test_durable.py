@@ -35,4 +35,4 @@ def test_tables_that_files_cannot_hold_are_cut(spark):
 def test_rows_of_one_file_are_spread(spark, tmp_path):
     spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "t"))
     told = durable.spread(spark.read.parquet(str(tmp_path / "t")), "id")
-    assert told.rdd.getNumPartitions() > 4 and told.count() == 4000
+    assert told.rdd.getNumPartitions() == 4 and told.count() == 4000
