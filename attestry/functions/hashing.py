@@ -35,8 +35,8 @@ def envelope(data: Column, kind: str, profile: str, prefix: str) -> Column:
         return (f"{0x60 + len(raw):02X}" if len(raw) < 24 else f"78{len(raw):02X}") + raw.hex().upper()
 
     head = F.lit("A3" + text("@type") + text(kind) + text(f"{prefix}:content"))
-    body = F.concat(head, _cbor_head(0x40, F.octet_length(data).cast("long")), F.hex(data), F.lit(text(f"{prefix}:canonicalization") + text(profile)))
-    return F.unhex(body)
+    size = _cbor_head(0x40, F.octet_length(data).cast("long"))
+    return F.concat(F.unhex(F.concat(head, size)), data.cast("binary"), F.unhex(F.lit(text(f"{prefix}:canonicalization") + text(profile))))
 
 
 def cid(data: Column, kind: str, profile: str, prefix: str) -> Column:

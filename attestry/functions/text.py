@@ -1,6 +1,6 @@
 """Addresses, encodings, authorities and versions, as column expressions.
 
-Base 58 and base 32 need arithmetic that SQL lacks; these two are Arrow functions.
+Base 58 needs arithmetic that SQL lacks; it is an Arrow function.
 """
 
 from __future__ import annotations
@@ -86,12 +86,12 @@ def from_base58(text: pa.Array) -> pa.Array:
 
 
 def to_base32(data: Column) -> Column:
-    """Bytes as lower-case base 32 without padding, five bits of the hexadecimal text at a time."""
-    bits = F.array_join(F.transform(F.split(F.hex(data), ""), lambda h: F.when(h == "", "").otherwise(F.lpad(F.conv(h, 16, 2), 4, "0"))), "")
-    count = F.ceil(F.length(bits) / 5).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.rpad(F.substring(bits, k * 5 + 1, F.lit(5)), 5, "0"))
-    letters = F.transform(groups, lambda g: F.substring(F.lit(BASE32), F.conv(g, 2, 10).cast("int") + 1, F.lit(1)))
-    return F.when(F.octet_length(data) > 0, F.array_join(letters, "")).when(data.isNotNull(), F.lit(""))
+    """Bytes as lower-case base 32 without padding, five bytes at a time: 40 bits are eight letters."""
+    count = F.ceil(F.octet_length(data) * 8 / 5).cast("int")
+    fives = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(data) - 1) / 5).cast("int")), lambda k: F.rpad(F.hex(F.substring(data, k * 5 + 1, F.lit(5))), 10, "0"))
+    digits = F.array_join(F.transform(fives, lambda h: F.lpad(F.conv(h, 16, 32), 8, "0")), "")
+    letters = F.substring(F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32), F.lit(1), count)
+    return F.when(F.octet_length(data) > 0, letters).when(data.isNotNull(), F.lit(""))
 
 
 def multibase(text: Column) -> Column:
