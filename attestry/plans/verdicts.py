@@ -40,7 +40,7 @@ def other_seed() -> Column:
 def suppliers(spark, d) -> DataFrame:
     """k, uri and key of each supplier, all under one authority."""
     authority = text.derive_authority(crypto.public_key(own_seed()))
-    told = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), authority.alias("authority"), crypto.public_key(own_seed()).alias("public_key"))
+    told = durable.spread(read(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), "k").select("k", authority.alias("authority"), crypto.public_key(own_seed()).alias("public_key"))
     return durable.cut(told.withColumn("uri", F.concat(F.lit("vk://"), "authority", F.lit("/data/"), row_key())))
 
 
@@ -242,7 +242,7 @@ def opaque_deltas(spark, d):
 def delta_kinds(spark, d):
     """Patches of JSON and of graphs for each part: right ones, wrong ones with sound content, wrong ones without."""
     case, graph_ = row_key() % 3, row_key() % 2 == 1
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    rows = durable.spread(read(spark, d, "part").select(F.col("p_partkey").alias("k")), "k")
     line = lambda n: F.concat(F.lit(f"<{BASE}part/"), row_key(), F.lit(f'> <{BASE}n> "{n}" .\n'))
     own = lambda n: F.concat(F.lit('{"k":'), row_key(), F.lit(f',"n":{n}}}'))
     before, now = F.when(graph_, line(1)).otherwise(own(1)), F.when(graph_, line(2)).otherwise(own(2))
