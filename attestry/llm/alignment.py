@@ -1,6 +1,6 @@
 """Aligning the tokens of two tokenizers, and how often their tokens meet in the whole corpus.
 
-Both tokenizers cut the same bytes. A run of texts is laid end to end, the ends of all tokens of either
+Both tokenizers cut the same bytes. A piece of a run of texts is laid end to end, the ends of all tokens of either
 side are counted once over its bytes, and a group ends wherever both counts do. Prefix sums of the counts
 give, for every byte, the token of either side and the group; read at the bounds of the texts they give each text's own
 numbers. Two tokens are linked where their bytes overlap, and each stretch between consecutive ends of either side
@@ -34,6 +34,7 @@ from attestry.llm.tokens import Encoder
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RUN = 1 << 22  # bytes of text that share a list of pairs
+PIECE = 1 << 18  # bytes of a run that are aligned at once: their ids are Python objects, and their bytes have several numbers each
 
 
 class Sides:
@@ -126,6 +127,19 @@ class Aligned:
         return memoryview(told), bounds[ends]
 
 
+def _pieces(texts: pa.Array, at: np.ndarray, sides: Sides, digest: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """A run of texts, aligned piece by piece: the numbers of a tokens, b tokens, groups and links of each text, all its links, and the groups."""
+    counts, links, told = [], [], []
+    for first, last in runs(at, PIECE):
+        x = Aligned([t or "" for t in texts.slice(first, last - first).to_pylist()], sides)
+        counts.append([np.diff(v) for v in (x.of_a, x.of_b, x.of_group, x.of_link)])
+        links.append(x.link_a << 32 | x.link_b)
+        held, ends = x.groups()
+        each = (bytes(held[p:q]) for p, q in zip(ends.tolist(), ends[1:].tolist()))
+        told += [hashlib.sha256(t).hexdigest() if t else "" for t in each] if digest else [t.decode() for t in each]
+    return np.concatenate(counts, axis=1), np.concatenate(links), told
+
+
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str | None = None, piece_bpe: str | None = None, digest: bool = False, run: int = RUN) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links and groups of each row, and what ``statistics`` needs besides.
 
@@ -143,20 +157,18 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_
         for batch in batches:
             _, at = text_buffer(batch["text"])
             for first, last in runs(at, run):
-                x = Aligned([t or "" for t in batch["text"].slice(first, last - first).to_pylist()], sides)
                 n = last - first
-                pairs, code = np.unique(x.link_a << 32 | x.link_b, return_inverse=True)
-                row = np.repeat(np.arange(n), np.diff(x.of_link))
-                cell, times = np.unique(row * max(1, len(pairs)) + code, return_counts=True)
+                counts, links, texts = _pieces(batch["text"].slice(first, n), at[first : last + 1], sides, digest)
+                pairs, code = np.unique(links, return_inverse=True)
+                cell = np.repeat(np.arange(n), counts[3]) * max(1, len(pairs)) + code
+                total = np.bincount(code, minlength=len(pairs))
+                del links, code
+                cell, times = np.unique(cell, return_counts=True)
                 row, cell = np.divmod(cell, max(1, len(pairs)))
                 bounds = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
-                total = np.bincount(code, minlength=len(pairs))
                 own = pa.array([0] + [len(pairs)] * n, pa.int32())  # the list lies with the run's first row
-                held, ends = x.groups()
-                texts = [bytes(held[p:q]) for p, q in zip(ends.tolist(), ends[1:].tolist())]
-                texts = [hashlib.sha256(t).hexdigest() if t else "" for t in texts] if digest else [t.decode() for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(first, n), *(pa.array(np.diff(v), pa.int64()) for v in (x.of_a, x.of_b, x.of_group, x.of_link)), pa.array(texts, pa.string()),
+                    [batch["doc_id"].slice(first, n), *(pa.array(v, pa.int64()) for v in counts), pa.array(texts, pa.string()),
                      pa.array(np.full(n, part * base + k)), pa.ListArray.from_arrays(bounds, pa.array(cell, pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
                      pa.ListArray.from_arrays(own, pa.array(pairs)), pa.ListArray.from_arrays(own, pa.array(total, pa.int64()))],
                     NAMES,

@@ -7,7 +7,9 @@ import random
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -106,6 +108,27 @@ def test_alignment_of_a_very_long_text(spark, sides):
     assert row.n_links == row.n_a + row.n_b - row.n_groups and row.groups.count(";") == row.n_groups - 1
 
 
+def test_a_run_is_aligned_in_pieces(monkeypatch):
+    with open(public_tokenizers.path(alignment.BYTE_BPE), encoding="utf-8") as f, open(public_tokenizers.path(alignment.PIECE_BPE), "rb") as g:
+        sides = alignment.Sides(f.read(), g.read())
+    told, seen, plain = texts() * 40, [], alignment.Aligned
+    column = pa.array(told, pa.string())
+    at = np.cumsum([0, *(len((t or "").encode()) for t in told)])
+
+    def watched(part, sides):
+        seen.append((len(part), sum(len(t.encode()) for t in part)))
+        return plain(part, sides)
+
+    monkeypatch.setattr(alignment, "Aligned", watched)
+    monkeypatch.setattr(alignment, "PIECE", 5000)
+    counts, links, groups = alignment._pieces(column, at, sides, False)
+    assert len(seen) > 5 and all(size <= 5000 or n == 1 for n, size in seen)
+    x = plain([t or "" for t in told], sides)
+    held, ends = x.groups()
+    assert (counts == [np.diff(v) for v in (x.of_a, x.of_b, x.of_group, x.of_link)]).all() and (links == (x.link_a << 32 | x.link_b)).all()
+    assert "".join(groups).encode() == bytes(held) and np.array_equal(np.cumsum([0, *(len(t) for t in groups)]), ends)
+
+
 def test_query_of_alignment(spark, sides, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("length(text) < 3000").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
