@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -141,18 +142,23 @@ def by_subject(quads: DataFrame) -> DataFrame:
 def from_table(df: DataFrame, subject: Column, kind: str, literals: dict[str, Column], links: dict[str, Column], base: str, doc_id: str = "") -> DataFrame:
     """A relational table as statements: a type, a literal for each column, a link for each key.
 
-    Nulls give no statement. Literals are typed by their column.
+    Nulls give no statement. Literals are typed by their column. Each predicate is a part of a union of its own, so that Spark reads only
+    those that a pattern asks for, and knows how large they are.
     """
     types = {"int": "integer", "bigint": "integer", "smallint": "integer", "double": "double", "float": "float", "boolean": "boolean", "date": "date", "timestamp": "dateTime"}
-    rows = [F.struct(F.lit(RDF_TYPE).alias("p"), F.lit(base + kind).alias("o"), F.lit("uri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"))]
+    none = F.lit(None).cast("string")
+    rows = [(RDF_TYPE, F.lit(base + kind), "uri", None)]
     found = dict(df.select(*[c.alias(n) for n, c in literals.items()]).dtypes)
     for name, column in literals.items():
         dt = "decimal" if found[name].startswith("decimal") else types.get(found[name])
-        rows.append(F.struct(F.lit(base + name).alias("p"), column.cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit(XSD + dt if dt else None).cast("string").alias("o_dt")))
-    rows += [F.struct(F.lit(base + name).alias("p"), column.cast("string").alias("o"), F.lit("uri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt")) for name, column in links.items()]
-    told = df.select(subject.cast("string").alias("s"), F.explode(F.array(*rows)).alias("r")).where("s is not null and r.o is not null")
-    none = F.lit(None).cast("string")
-    return told.select(none.alias("graph"), "s", F.lit("uri").alias("s_kind"), "r.p", "r.o", "r.o_kind", "r.o_dt", none.alias("o_lang"), F.lit(doc_id).alias("doc_id"))
+        rows.append((base + name, column.cast("string"), "literal", XSD + dt if dt else None))
+    rows += [(base + name, column.cast("string"), "uri", None) for name, column in links.items()]
+
+    def one(p: str, o: Column, o_kind: str, o_dt: str | None) -> DataFrame:
+        told = df.select(none.alias("graph"), subject.cast("string").alias("s"), F.lit("uri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit(o_kind).alias("o_kind"), F.lit(o_dt).cast("string").alias("o_dt"), none.alias("o_lang"), F.lit(doc_id).alias("doc_id"))
+        return told.where("s is not null and o is not null")
+
+    return reduce(DataFrame.unionByName, [one(*r) for r in rows])
 
 
 def ordered(df: DataFrame, by: str, order: str) -> DataFrame:

@@ -86,3 +86,19 @@ def test_a_store_is_opened_again(spark, tmp_path):
 def test_a_store_of_nothing(spark, tmp_path):
     store = statements.save(spark.createDataFrame([], quads.SCHEMA), str(tmp_path / "kg"), fresh(), buckets=2)
     assert statements.bgp(store, QUERIES[0]).count() == 0 and statements.named(store, statements.bgp(store, [(X, Var("p"), Y)])).count() == 0
+
+
+def test_a_pattern_over_tables_reads_only_what_says_its_predicate(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x", 2.5), (2, None, 1.0), (None, "y", 3.0)], "k long, name string, size double")
+    b = spark.createDataFrame([(1, 1)], "k long, of long")
+    for name, df in (("a", a), ("b", b)):
+        df.write.parquet(str(tmp_path / name))
+    a, b = (spark.read.parquet(str(tmp_path / x)) for x in "ab")
+    iri = lambda c: F.concat(F.lit("urn:"), c)
+    whole = quads.from_table(a, iri(F.col("k")), "A", {"name": F.col("name"), "size": F.col("size")}, {}, "urn:v:").unionByName(quads.from_table(b, iri(F.col("k")), "B", {}, {"of": iri(F.col("of"))}, "urn:v:"))
+    told = [(r.s, r.p.removeprefix("urn:v:"), r.o, r.o_kind, r.o_dt and r.o_dt.split("#")[1]) for r in whole.collect()]
+    kind = quads.RDF_TYPE
+    assert sorted(told, key=str) == sorted([("urn:1", kind, "urn:v:A", "uri", None), ("urn:2", kind, "urn:v:A", "uri", None), ("urn:1", "name", "x", "literal", None), ("urn:1", "size", "2.5", "literal", "double"),
+        ("urn:2", "size", "1.0", "literal", "double"), ("urn:1", kind, "urn:v:B", "uri", None), ("urn:1", "of", "urn:1", "uri", None)], key=str)
+    found = patterns.bgp(whole, [(patterns.Var("x"), "urn:v:of", patterns.Var("y"))])
+    assert all("/b/" in f for f in found.inputFiles()) and found.count() == 1
