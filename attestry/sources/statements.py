@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from attestry.operators.quads import RDF_TYPE
 from attestry.plans.durable import cut
 
 PARTS = ("kind", "value", "dt", "lang")
+_TERMS = "kind string, value string, dt string, lang string, id bigint"
 
 
 @dataclass
@@ -62,27 +64,43 @@ def save(quads: DataFrame, folder: str, name: str, buckets: int = 64, bits: int
         F.when(F.col("graph").isNotNull(), _term(uri, F.col("graph"))).alias("graph"), _term(F.col("s_kind"), F.col("s")).alias("s"), _term(uri, F.col("p")).alias("p"),
         _term(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("o"),
     )
-    each = whole.select(F.explode(F.array("graph", "s", "p", "o")).alias("t")).where("t is not null").select("t.*").distinct()
-    hashed = cut(each.withColumn("id", _hash(F.struct(*PARTS), bits)))
-    first = hashed.groupBy("id").agg(F.min(F.struct(*PARTS)).alias("first"), F.count("*").alias("n"))
-    clashing = cut(first.where("n > 1").select("id", "first"))
-    again = None
+    none = F.lit(None).cast("string")
+    few = quads.select(F.explode(F.array("graph", "p")).alias("value")).where("value is not null").distinct()
+    sides = [few.select(uri, "value", none, none), quads.select("s_kind", "s", none, none), quads.select("o_kind", "o", "o_dt", "o_lang")]
+    each = reduce(DataFrame.unionByName, [x.toDF(*PARTS) for x in sides]).distinct()
+    _in_order(each.withColumn("id", _hash(F.struct(*PARTS), bits))).write.mode("error").parquet(f"{folder}/terms")
+    hashed, again = spark.read.schema(_TERMS).parquet(f"{folder}/terms"), None
+    clashing = cut(hashed.groupBy("id").count().where("count > 1").select("id"))
     if not clashing.isEmpty():  # of 10 ** 10 terms some three; all but the first of a hash are numbered anew
-        again = hashed.join(clashing, "id").where(~F.struct(*PARTS).eqNullSafe(F.col("first")))
+        hashed = cut(hashed)
+        first = hashed.join(clashing, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*PARTS)).alias("first"))
+        again = hashed.join(first, "id").where(~F.struct(*PARTS).eqNullSafe(F.col("first")))
         again = cut(again.select(*PARTS, F.xxhash64(F.lit("again"), *[F.coalesce(p, F.lit("")) for p in PARTS]).alias("other")))
         taken = again.select(F.col("other").alias("id")).unionByName(hashed.select("id").distinct())
         if not taken.groupBy("id").count().where("count > 1").isEmpty():
             raise RuntimeError("terms of one hash have one second hash")
         hashed = hashed.join(again, _same(hashed, again), "left").select(*[hashed[p] for p in PARTS], F.coalesce("other", "id").alias("id"))
-    hashed.repartition("id").sortWithinPartitions("id").write.mode("error").option("path", f"{folder}/terms").saveAsTable(f"{name}_terms")
+        _in_order(hashed).write.mode("overwrite").parquet(f"{folder}/terms")
+    _register_terms(spark, folder, name)
     numbers = whole.select(*[F.when(F.col(c).isNotNull(), _hash(F.col(c), bits)).alias(c) for c in ("graph", "s", "p", "o")]) if again is None else _renumbered(whole, again, bits)
-    facts = numbers.distinct()
-    dealt = facts.repartition(F.col("p"), F.pmod(F.hash("s"), F.lit(buckets)))
+    dealt = numbers.withColumn("bucket", F.pmod(F.hash("s"), F.lit(buckets))).repartition("p", "bucket").distinct().drop("bucket")  # one shuffle for both
     dealt.write.mode("error").partitionBy("p").bucketBy(buckets, "s").sortBy("s").option("path", f"{folder}/facts").saveAsTable(f"{name}_facts")
     spark.createDataFrame([(json.dumps({"buckets": buckets}),)], "value string").coalesce(1).write.mode("error").text(f"{folder}/layout")
     return Store(spark, name)
 
 
+def _in_order(terms: DataFrame) -> DataFrame:
+    return terms.repartition("id").sortWithinPartitions("id")
+
+
+def _quoted(folder: str) -> str:
+    return folder.replace("'", "\\'")
+
+
+def _register_terms(spark: SparkSession, folder: str, name: str) -> None:
+    spark.sql(f"CREATE TABLE {name}_terms ({_TERMS}) USING parquet LOCATION '{_quoted(folder)}/terms'")
+
+
 def _same(a: DataFrame, b: DataFrame) -> Column:
     out = F.lit(True)
     for p in PARTS:
@@ -102,9 +120,8 @@ def _renumbered(whole: DataFrame, again: DataFrame, bits: int) -> DataFrame:
 def load(spark: SparkSession, folder: str, name: str) -> Store:
     """Registers what ``save`` has written below a folder, in another session or under another name."""
     layout = json.loads(spark.read.text(f"{folder}/layout").first()[0])
-    where = {t: f"{folder}/{t}".replace("'", "\\'") for t in ("terms", "facts")}
-    spark.sql(f"CREATE TABLE {name}_terms (kind string, value string, dt string, lang string, id bigint) USING parquet LOCATION '{where['terms']}'")
-    spark.sql(f"CREATE TABLE {name}_facts (graph bigint, s bigint, o bigint, p bigint) USING parquet PARTITIONED BY (p) CLUSTERED BY (s) SORTED BY (s) INTO {layout['buckets']} BUCKETS LOCATION '{where['facts']}'")
+    _register_terms(spark, folder, name)
+    spark.sql(f"CREATE TABLE {name}_facts (graph bigint, s bigint, o bigint, p bigint) USING parquet PARTITIONED BY (p) CLUSTERED BY (s) SORTED BY (s) INTO {layout['buckets']} BUCKETS LOCATION '{_quoted(folder)}/facts'")
     spark.sql(f"ALTER TABLE {name}_facts RECOVER PARTITIONS")
     return Store(spark, name)
 

@@ -102,3 +102,21 @@ def test_a_pattern_over_tables_reads_only_what_says_its_predicate(spark, tmp_pat
         ("urn:2", "size", "1.0", "literal", "double"), ("urn:1", kind, "urn:v:B", "uri", None), ("urn:1", "of", "urn:1", "uri", None)], key=str)
     found = patterns.bgp(whole, [(patterns.Var("x"), "urn:v:of", patterns.Var("y"))])
     assert all("/b/" in f for f in found.inputFiles()) and found.count() == 1
+
+
+def test_terms_are_written_once_where_none_share_a_hash(spark, tmp_path, monkeypatch):
+    written, plain = [], statements.cut
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(statements, "cut", counted)
+    quads_ = table(spark)
+    store = statements.save(quads_.unionByName(quads_), str(tmp_path / "kg"), f"kg_{uuid.uuid4().hex}", buckets=4)
+    assert sum(written) == 0  # without terms of one hash nothing is written beside the two tables
+    assert store.facts.count() == quads_.drop("doc_id").distinct().count() and store.terms.select("id").distinct().count() == store.terms.count()
+    found = {tuple(r) for r in statements.statements(store).drop("doc_id").collect()}
+    assert found == {tuple(r) for r in quads_.drop("doc_id").collect()}
+    statements.drop(store)
